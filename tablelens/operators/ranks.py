@@ -29,29 +29,48 @@ def _num_buckets(df: DataFrame) -> int:
     return max(1, min(n, 8192))
 
 
-def _bucket_col(df: DataFrame, skey: Column, buckets: int) -> Column:
+def _bucket_col(df: DataFrame, skey: Column, buckets: int, numeric: bool = True) -> Column:
+    """Range bucket of the key: the number of bucket bounds below it."""
     if buckets <= 1:
         return F.lit(0)
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(skey, probs, max(10000, 20 * buckets)).alias("b")).first()["b"]
-    bounds = sorted({float(b) for b in (bounds or []) if b is not None})
+    if numeric:
+        probs = [i / buckets for i in range(1, buckets)]
+        bounds = df.agg(F.percentile_approx(skey, probs, max(10000, 20 * buckets)).alias("b")).first()["b"]
+        bounds = sorted({float(b) for b in (bounds or []) if b is not None})
+        key = skey.cast("double")
+    else:
+        # text keys: bounds from a deterministic hash sample of bounded size
+        from tablelens.functions.scalars import hash_unit
+        n = df.count()
+        want = 64 * buckets
+        frac = min(1.0, want / max(n, 1))
+        sample = (df.select(skey.alias("k")).where(F.col("k").isNotNull())
+                    .where(hash_unit([F.col("k")], 7) < F.lit(frac)).limit(4 * want).collect())
+        keys = sorted(r["k"] for r in sample)
+        step = max(1, len(keys) // buckets)
+        bounds = sorted(set(keys[step::step]))
+        key = skey
     if not bounds:
         return F.lit(0)
     arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < skey.cast("double")))
+    return F.size(F.filter(arr, lambda b: b < key))
 
 
 def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_cols: list[str] | None = None,
                descending: bool = False, prefix: str = "cum_", tie_cols: list[str] | None = None) -> DataFrame:
     """Add ``cum_<c>`` = running sum of ``c`` in key order (inclusive of the row).
 
-    ``order_col`` must be numeric.  Rows with equal keys are ordered by
+    ``order_col`` is numeric or text (ascending only).  Rows with equal keys are ordered by
     ``tie_cols`` (ascending); without them keys should be distinct within
     ``partition_cols``.  ``descending`` sums from the largest key down.
     """
+    from tablelens.functions.scalars import is_numeric_type
     pc = list(partition_cols or [])
+    numeric = is_numeric_type(df.schema[order_col].dataType)
+    if descending and not numeric:
+        raise ValueError("descending order needs a numeric key")
     skey = -F.col(order_col) if descending else F.col(order_col)
-    d = df.withColumn("_b", _bucket_col(df, skey, _num_buckets(df)).cast("int"))
+    d = df.withColumn("_b", _bucket_col(df, skey, _num_buckets(df), numeric).cast("int"))
     totals = d.groupBy(*pc, "_b").agg(*[F.sum(c).alias(c) for c in sum_cols])
     wt = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*pc, "_b", *[F.coalesce(F.sum(c).over(wt), F.lit(0)).alias(f"_off_{c}")
