@@ -249,24 +249,32 @@ def drop_constant_columns(df: DataFrame) -> DataFrame:
     return df.select(*[_q(c) for c in df.columns if dc[c] > 1])
 
 
-def numeric_matrix(df: DataFrame, drop: str | None = None, max_cols: int = 150) -> DataFrame:
+def numeric_matrix(df: DataFrame, drop: str | None = None, max_cols: int = 150,
+                   keep: list[str] | None = None) -> DataFrame:
     """Drop ids (and ``drop``), coerce numeric text, label-encode other
-    text, impute medians then 0, keep the ``max_cols`` highest-variance columns."""
-    work, _ = drop_id_columns(df)
-    if drop and drop in work.columns:
-        work = work.drop(drop)
-    work, _ = coerce_numeric(work)
-    text = [c for c in work.columns if not is_numeric_type(work.schema[c].dataType)]
-    keep = [c for c in work.columns if is_numeric_type(work.schema[c].dataType) or c in text]
-    work = work.select(*[_q(c) for c in keep])
-    text = [c for c in text if is_string_type(work.schema[c].dataType)]
-    work = work.drop(*[c for c in work.columns
-                       if not is_numeric_type(work.schema[c].dataType) and c not in text])
+    text, impute medians then 0, keep the ``max_cols`` highest-variance columns.
+    ``keep`` columns (row keys) pass through untouched and are not features."""
+    keep = list(keep or [])
+    feats = df.drop(*keep)
+    ids = id_like_columns(feats)
+    cols = [c for c in feats.columns if c not in ids and c != drop]
+    work = df.select(*[_q(c) for c in keep + cols])
+    stats = numeric_text_stats(work.select(*[_q(c) for c in cols]))
+    coerce = {r["column_name"] for r in stats.where((F.col("valid") >= 0.8 * F.col("n")) & (F.col("valid") > 0))
+              .collect()}
+    work = work.select(*[(to_number(_q(c)).alias(c) if c in coerce else _q(c)) for c in work.columns])
+    text = [c for c in cols if c not in coerce and is_string_type(work.schema[c].dataType)]
+    other = [c for c in cols if c not in text and not is_numeric_type(work.schema[c].dataType) and c not in coerce]
+    work = work.drop(*other)
+    cols = [c for c in cols if c not in other]
     work = label_encode(work, text)
-    work = impute_median(work).na.fill(0.0)
-    if len(work.columns) > max_cols:
-        work = work.select(*[_q(c) for c in top_variance_columns(work, max_cols)])
-    return work.select(*[_q(c).cast("double").alias(c) for c in work.columns])
+    med = medians(work, cols)
+    work = work.select(*[_q(c) for c in keep],
+                       *[F.coalesce(_q(c).cast("double"), F.lit(med.get(c)), F.lit(0.0)).alias(c) for c in cols])
+    if len(cols) > max_cols:
+        v = variances(work, cols)
+        cols = sorted(cols, key=lambda c: (-v[c], cols.index(c)))[:max_cols]
+    return work.select(*[_q(c) for c in keep], *[_q(c).cast("double").alias(c) for c in cols])
 
 
 def infer_ui_types(df: DataFrame) -> DataFrame:
