@@ -31,10 +31,12 @@ def _cell_topk(kind: str, k: int, exclude_self: bool):
         d = d.sort_values("did", kind="stable").reset_index(drop=True)
         qids = q["qid"].to_numpy()
         dids = d["did"].to_numpy()
-        if kind == "cosine":
+        if kind in ("cosine", "euclidean"):
             qm = np.vstack([np.asarray(v, dtype=np.float64) for v in q["payload"]])
             dm = np.vstack([np.asarray(v, dtype=np.float64) for v in d["payload"]])
             scores = dm @ qm.T
+            if kind == "euclidean":  # negative squared distance: larger is nearer
+                scores = 2 * scores - (dm * dm).sum(axis=1)[:, None] - (qm * qm).sum(axis=1)[None, :]
         else:  # overlap of distinct token sets
             vocab: dict[str, int] = {}
             rows, cols = [], []
@@ -66,8 +68,9 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, exclu
                  q_block: int = 1024, d_chunk: int = 4096) -> DataFrame:
     """Top-``k`` items per query: ``qid, did, score, rank`` (rank 1 = best; ties
     by ascending ``did``).  Inputs have columns ``qid long, payload`` and
-    ``did long, payload`` where payload is a unit vector (``cosine``) or a
-    distinct token array (``overlap``)."""
+    ``did long, payload`` where payload is a unit vector (``cosine``), a raw
+    vector (``euclidean``: score = minus squared distance) or a distinct token
+    array (``overlap``)."""
     nq, nd = queries.count(), corpus.count()
     b = max(1, math.ceil(nq / q_block))
     c = max(1, math.ceil(nd / d_chunk))
