@@ -103,9 +103,12 @@ def _curve_points(df: DataFrame, y: str, score: str, positive) -> DataFrame:
                                          F.col("cum_neg").alias("fp"), F.col("cum_one").alias("i"), "P", "N", "m")
 
 
-def _thin(df: DataFrame, idx: str, n: int, m: int = 40) -> DataFrame:
-    step = max(1, n // m)
-    return df.where(((F.col(idx) - 1) % step) == 0)
+def _thin_in_plan(curve: DataFrame, idx: str, m: int) -> DataFrame:
+    """Keep rows whose 0-based index is a multiple of max(1, len // m); the
+    length is a one-row aggregate of the same plan (no extra action)."""
+    n = curve.agg(F.count(F.lit(1)).alias("_len"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_len") / m))
+    return attach_scalars(curve, n).where((F.col(idx) % step) == 0).drop("_len")
 
 
 def roc_curve(df: DataFrame, y: str, score: str, positive, thin_to: int | None = 40,
@@ -128,9 +131,7 @@ def roc_curve(df: DataFrame, y: str, score: str, positive, thin_to: int | None =
         F.col("cum_one").alias("k"), (F.col("fp") / F.col("N")).alias("x"), (F.col("tp") / F.col("P")).alias("y"))
     curve = start.unionByName(kept)
     if thin_to:
-        n = curve.count()
-        step = max(1, n // thin_to)
-        curve = curve.where((F.col("k") % step) == 0)
+        curve = _thin_in_plan(curve, "k", thin_to)
     return curve.select("k", "x", "y")
 
 
@@ -144,9 +145,7 @@ def pr_curve(df: DataFrame, y: str, score: str, positive, thin_to: int | None =
     last = pts.agg(F.max("m").cast("long").alias("k")).select("k", F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
     curve = body.unionByName(last)
     if thin_to:
-        n = curve.count()
-        step = max(1, n // thin_to)
-        curve = curve.where((F.col("k") % step) == 0)
+        curve = _thin_in_plan(curve, "k", thin_to)
     return curve
 
 

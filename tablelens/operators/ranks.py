@@ -20,8 +20,8 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 
     The one-row side is broadcast and matched on a constant key, so this is a
     map-side lookup — never a shuffle or a pairing of two data tables."""
-    one = F.broadcast(scalars.limit(1).withColumn("_one", F.lit(1)))
-    return df.withColumn("_one", F.lit(1)).join(one, "_one").drop("_one")
+    one = F.broadcast(scalars.limit(1).withColumn("__scalar_key", F.lit(1)))
+    return df.withColumn("__scalar_key", F.lit(1)).join(one, "__scalar_key").drop("__scalar_key")
 
 
 def _num_buckets(df: DataFrame) -> int:
@@ -29,40 +29,50 @@ def _num_buckets(df: DataFrame) -> int:
     return max(1, min(n, 8192))
 
 
-def _bucket_col(df: DataFrame, skey: Column, buckets: int, numeric: bool = True) -> Column:
-    """Range bucket of the key: the number of bucket bounds below it."""
+def _text_bounds(df: DataFrame, skey: Column, buckets: int) -> list:
+    """Bucket bounds for text keys from a deterministic hash sample of bounded size."""
+    from tablelens.functions.scalars import hash_unit
+    n = df.count()
+    want = 64 * buckets
+    frac = min(1.0, want / max(n, 1))
+    sample = (df.select(skey.alias("k")).where(F.col("k").isNotNull())
+                .where(hash_unit([F.col("k")], 7) < F.lit(frac)).limit(4 * want).collect())
+    keys = sorted(r["k"] for r in sample)
+    step = max(1, len(keys) // buckets)
+    return sorted(set(keys[step::step]))
+
+
+def with_range_bucket(df: DataFrame, skey: Column, buckets: int, numeric: bool = True) -> DataFrame:
+    """Add ``_b``: the number of range-bucket bounds below the key.
+
+    Numeric keys: the bounds are ``percentile_approx`` of the key, computed as a
+    one-row aggregate of the same plan and broadcast — no driver round trip,
+    and Spark reuses the upstream exchange for both branches.  Text keys use a
+    bounded driver-side sample."""
     if buckets <= 1:
-        return F.lit(0)
+        return df.withColumn("_b", F.lit(0))
     if numeric:
         probs = [i / buckets for i in range(1, buckets)]
-        bounds = df.agg(F.percentile_approx(skey, probs, max(10000, 20 * buckets)).alias("b")).first()["b"]
-        bounds = sorted({float(b) for b in (bounds or []) if b is not None})
+        bounds = df.agg(F.percentile_approx(skey.cast("double"), probs, max(10000, 20 * buckets)).alias("_bounds"))
+        d = attach_scalars(df, bounds)
         key = skey.cast("double")
-    else:
-        # text keys: bounds from a deterministic hash sample of bounded size
-        from tablelens.functions.scalars import hash_unit
-        n = df.count()
-        want = 64 * buckets
-        frac = min(1.0, want / max(n, 1))
-        sample = (df.select(skey.alias("k")).where(F.col("k").isNotNull())
-                    .where(hash_unit([F.col("k")], 7) < F.lit(frac)).limit(4 * want).collect())
-        keys = sorted(r["k"] for r in sample)
-        step = max(1, len(keys) // buckets)
-        bounds = sorted(set(keys[step::step]))
-        key = skey
+        b = F.coalesce(F.size(F.filter(F.col("_bounds"), lambda x: x < key)), F.lit(0))
+        return d.withColumn("_b", b.cast("int")).drop("_bounds")
+    bounds = _text_bounds(df, skey, buckets)
     if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b < key))
+        return df.withColumn("_b", F.lit(0))
+    arr = F.array(*[F.lit(x) for x in bounds])
+    return df.withColumn("_b", F.size(F.filter(arr, lambda x: x < skey)).cast("int"))
 
 
 def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_cols: list[str] | None = None,
                descending: bool = False, prefix: str = "cum_", tie_cols: list[str] | None = None) -> DataFrame:
     """Add ``cum_<c>`` = running sum of ``c`` in key order (inclusive of the row).
 
-    ``order_col`` is numeric or text (ascending only).  Rows with equal keys are ordered by
-    ``tie_cols`` (ascending); without them keys should be distinct within
-    ``partition_cols``.  ``descending`` sums from the largest key down.
+    ``order_col`` is numeric or text (ascending only).  Rows with equal keys
+    are ordered by ``tie_cols`` (ascending); without them keys should be
+    distinct within ``partition_cols``.  ``descending`` sums from the largest
+    key down.  Lazy for numeric keys (no action is run).
     """
     from tablelens.functions.scalars import is_numeric_type
     pc = list(partition_cols or [])
@@ -70,7 +80,7 @@ def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_col
     if descending and not numeric:
         raise ValueError("descending order needs a numeric key")
     skey = -F.col(order_col) if descending else F.col(order_col)
-    d = df.withColumn("_b", _bucket_col(df, skey, _num_buckets(df), numeric).cast("int"))
+    d = with_range_bucket(df, skey, _num_buckets(df), numeric)
     totals = d.groupBy(*pc, "_b").agg(*[F.sum(c).alias(c) for c in sum_cols])
     wt = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*pc, "_b", *[F.coalesce(F.sum(c).over(wt), F.lit(0)).alias(f"_off_{c}")
