@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.operators.ranks import attach_scalars, exact_quantiles, prefix_sum
+from tablelens.operators.ranks import attach_scalars, exact_quantiles, prefix_sum, shared
 
 
 def _q(c: str):
@@ -96,11 +96,12 @@ def roc_auc(df: DataFrame, y: str, score: str, positive) -> DataFrame:
 def _curve_points(df: DataFrame, y: str, score: str, positive) -> DataFrame:
     """Per distinct score, descending: running tp / fp (inclusive), the running
     index ``i`` (1..m) and the totals P, N."""
-    sc = _score_counts(df, y, score, positive).withColumn("one", F.lit(1).cast("long"))
+    sc = shared(_score_counts(df, y, score, positive).withColumn("one", F.lit(1).cast("long")))
     c = prefix_sum(sc, "s", ["pos", "neg", "one"], descending=True)
     tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("m"))
-    return attach_scalars(c, tot).select("s", "pos", "neg", F.col("cum_pos").alias("tp"),
-                                         F.col("cum_neg").alias("fp"), F.col("cum_one").alias("i"), "P", "N", "m")
+    return shared(attach_scalars(c, tot).select("s", "pos", "neg", F.col("cum_pos").alias("tp"),
+                                                F.col("cum_neg").alias("fp"), F.col("cum_one").alias("i"),
+                                                "P", "N", "m"))
 
 
 def _thin_in_plan(curve: DataFrame, idx: str, m: int) -> DataFrame:
@@ -129,7 +130,7 @@ def roc_curve(df: DataFrame, y: str, score: str, positive, thin_to: int | None =
     kept = pts.withColumn("one", F.lit(1).cast("long"))
     kept = prefix_sum(kept, "i", ["one"]).select(
         F.col("cum_one").alias("k"), (F.col("fp") / F.col("N")).alias("x"), (F.col("tp") / F.col("P")).alias("y"))
-    curve = start.unionByName(kept)
+    curve = shared(start.unionByName(kept))
     if thin_to:
         curve = _thin_in_plan(curve, "k", thin_to)
     return curve.select("k", "x", "y")
@@ -143,7 +144,7 @@ def pr_curve(df: DataFrame, y: str, score: str, positive, thin_to: int | None =
     body = pts.select((F.col("m") - F.col("i")).cast("long").alias("k"), (F.col("tp") / F.col("P")).alias("x"),
                       F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0)).alias("y"))
     last = pts.agg(F.max("m").cast("long").alias("k")).select("k", F.lit(0.0).alias("x"), F.lit(1.0).alias("y"))
-    curve = body.unionByName(last)
+    curve = shared(body.unionByName(last))
     if thin_to:
         curve = _thin_in_plan(curve, "k", thin_to)
     return curve

@@ -15,6 +15,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+_SHARED: list[DataFrame] = []
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) an intermediate that feeds several
+    branches of one plan, so its upstream scan and shuffle run once.  Persisted
+    data is recomputed from lineage if an executor is lost.  Release with
+    :func:`release_shared` when a job is done."""
+    from pyspark import StorageLevel
+    d = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(d)
+    return d
+
+
+def release_shared() -> None:
+    while _SHARED:
+        _SHARED.pop().unpersist()
+
+
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row of ``df``.
 
@@ -79,6 +98,7 @@ def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_col
     numeric = is_numeric_type(df.schema[order_col].dataType)
     if descending and not numeric:
         raise ValueError("descending order needs a numeric key")
+    df = shared(df)  # read by the bounds, the totals and the rows
     skey = -F.col(order_col) if descending else F.col(order_col)
     d = with_range_bucket(df, skey, _num_buckets(df), numeric)
     totals = d.groupBy(*pc, "_b").agg(*[F.sum(c).alias(c) for c in sum_cols])
@@ -117,7 +137,7 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     gc = list(group_cols or [])
     if not gc:  # a constant group keeps every step an equi-join
         df, gc = df.withColumn("_g0", F.lit(0)), ["_g0"]
-    vc = value_counts(df, value_col, gc)
+    vc = shared(value_counts(df, value_col, gc))
     cum = prefix_sum(vc, value_col, ["_c"], gc)
     n = vc.groupBy(*gc).agg(F.sum("_c").alias("_n"))
     ps = F.array(*[F.lit(float(p)) for p in probs])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalars import hash_bucket, hash_int, hash_unit
-from tablelens.operators.ranks import attach_scalars, prefix_sum
+from tablelens.operators.ranks import attach_scalars, prefix_sum, shared
 
 
 def hash_sample(df: DataFrame, key_cols: list[str], fraction: float, seed: int = 42) -> DataFrame:
@@ -65,9 +65,9 @@ def kfold(df: DataFrame, key_cols: list[str], k: int | None = None, label: str |
 def thin(df: DataFrame, order_col: str, m: int = 40) -> DataFrame:
     """Keep every step-th row in ``order_col`` order, step = max(1, n // m)
     (curves and result tables)."""
-    d = df.withColumn("_one", F.lit(1).cast("long"))
+    d = shared(df.withColumn("_one", F.lit(1).cast("long")))
     r = prefix_sum(d, order_col, ["_one"])
-    n = df.agg(F.count(F.lit(1)).alias("_len"))
+    n = d.agg(F.count(F.lit(1)).alias("_len"))
     step = F.greatest(F.lit(1), F.floor(F.col("_len") / m))
     return attach_scalars(r, n).where(((F.col("cum__one") - 1) % step) == 0).drop("_one", "cum__one", "_len")
 

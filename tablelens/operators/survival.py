@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalars import is_numeric_type, to_number
-from tablelens.operators.ranks import attach_scalars, prefix_sum
+from tablelens.operators.ranks import attach_scalars, prefix_sum, shared
 
 # Column names read as a duration.
 DURATION_NAMES = ["time", "duration", "tenure", "days", "months", "age", "lifetime", "t"]
@@ -73,6 +73,7 @@ def survival_frame(df: DataFrame, duration: str, event: str) -> DataFrame:
 
 def kaplan_meier(tf: DataFrame) -> DataFrame:
     """``t, at_risk, events, s`` for every distinct duration plus t = 0."""
+    tf = shared(tf)
     g = tf.groupBy("T").agg(F.sum("E").cast("long").alias("events"), F.count(F.lit(1)).alias("c"))
     risk = prefix_sum(g, "T", ["c"], descending=True).withColumnRenamed("cum_c", "at_risk")
     d, n = F.col("events"), F.col("at_risk")
