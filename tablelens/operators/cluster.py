@@ -115,11 +115,12 @@ def _grow(x: np.ndarray, rng: np.random.Generator, height_limit: int):
         return i
 
     node(np.arange(len(x)), 0)
-    return feat, thr, left, right, size
+    adj = [_avg_path(float(n)) for n in size]  # c(n) added at a leaf holding n samples
+    return feat, thr, left, right, adj
 
 
 def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, size = (np.asarray(a) for a in tree)
+    feat, thr, left, right, adj = (np.asarray(a) for a in tree)
     node = np.zeros(len(x), dtype=np.int64)
     depth = np.zeros(len(x))
     active = feat[node] >= 0
@@ -129,7 +130,7 @@ def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
         node[active] = np.where(go_left, left[node[active]], right[node[active]])
         depth[active] += 1
         active = feat[node] >= 0
-    return depth + np.vectorize(_avg_path)(size[node].astype(float))
+    return depth + adj[node]
 
 
 def isolation_forest(df: DataFrame, key_cols: list[str], cols: list[str], n_trees: int = 200,
@@ -158,12 +159,13 @@ def isolation_forest(df: DataFrame, key_cols: list[str], cols: list[str], n_tree
         pdf = pdf.sort_values("h").head(psi)
         t = int(pdf["tree"].iloc[0])
         x = np.vstack([np.asarray(v, dtype=float) for v in pdf["x"]])
-        f, th, le, ri, sz = _grow(x, np.random.default_rng(seed + t), height)
-        return pd.DataFrame({"tree": [t], "feat": [f], "thr": [th], "left": [le], "right": [ri], "size": [sz]})
+        f, th, le, ri, adj = _grow(x, np.random.default_rng(seed + t), height)
+        return pd.DataFrame({"tree": [t], "feat": [f], "thr": [th], "left": [le], "right": [ri], "adj": [adj]})
 
     forest = picked.groupBy("tree").applyInPandas(
-        grow, "tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, size array<int>")
-    model = [tuple(r[1:]) for r in forest.orderBy("tree").collect()]  # n_trees x 2^height nodes at most
+        grow, "tree int, feat array<int>, thr array<double>, left array<int>, right array<int>, adj array<double>")
+    model = [tuple(np.asarray(a) for a in r[1:])
+             for r in forest.orderBy("tree").collect()]  # n_trees x 2^height nodes at most
     bc = spark.sparkContext.broadcast(model)
     c = _avg_path(psi)
     schema = ", ".join(f"`{k}` {z.schema[k].dataType.simpleString()}" for k in key_cols) + ", score double"

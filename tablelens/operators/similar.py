@@ -38,34 +38,53 @@ def _cell_topk(kind: str, k: int, exclude_self: bool):
             if kind == "euclidean":  # negative squared distance: larger is nearer
                 scores = 2 * scores - (dm * dm).sum(axis=1)[:, None] - (qm * qm).sum(axis=1)[None, :]
         else:  # overlap of distinct token sets
-            vocab: dict[str, int] = {}
-            rows, cols = [], []
+            vocab = pd.Index(pd.unique(np.concatenate([np.asarray(t, dtype=object) for t in q["payload"]]
+                                                      or [np.array([], dtype=object)])))
+            qmat = np.zeros((len(vocab), len(q)), dtype=np.float64)
             for j, toks in enumerate(q["payload"]):
-                for t in toks:
-                    rows.append(vocab.setdefault(t, len(vocab)))
-                    cols.append(j)
-            qmat = np.zeros((len(vocab) + 1, len(q)), dtype=np.int32)  # last row: unknown token
-            qmat[rows, cols] = 1
-            scores = np.empty((len(d), len(q)), dtype=np.float64)
-            miss = len(vocab)
-            for i, toks in enumerate(d["payload"]):
-                idx = np.fromiter((vocab.get(t, miss) for t in toks), dtype=np.int64, count=len(toks))
-                scores[i] = qmat[idx].sum(axis=0) if len(idx) else 0.0
+                qmat[vocab.get_indexer(np.asarray(toks, dtype=object)), j] = 1.0
+            scores = np.zeros((len(d), len(q)), dtype=np.float64)
+            lens = np.fromiter((len(t) for t in d["payload"]), dtype=np.int64, count=len(d))
+            if lens.sum():
+                flat = np.concatenate([np.asarray(t, dtype=object) for t in d["payload"]])
+                codes = vocab.get_indexer(flat)  # -1: token in no query of this block
+                rows = np.repeat(np.arange(len(d)), lens)
+                hit = codes >= 0
+                rows, codes = rows[hit], codes[hit]
+                step = max(1, 4_000_000 // max(1, len(q)))  # bound the temporary (pairs x queries)
+                for a in range(0, len(rows), step):
+                    r, c = rows[a:a + step], codes[a:a + step]  # r is sorted (one run per document)
+                    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+                    scores[r[starts]] += np.add.reduceat(qmat[c], starts, axis=0)
         if exclude_self:
             scores[dids[:, None] == qids[None, :]] = -np.inf
-        kk = min(k, len(d))
-        order = np.argsort(-scores, axis=0, kind="stable")[:kk]  # ties keep did order
-        out_q = np.repeat(qids[None, :], kk, axis=0).ravel()
-        out_d = dids[order].ravel()
-        out_s = np.take_along_axis(scores, order, axis=0).ravel()
-        keep = np.isfinite(out_s)
-        return pd.DataFrame({"qid": out_q[keep].astype("int64"), "did": out_d[keep].astype("int64"),
-                             "score": out_s[keep]})
+        return _local_topk(scores, qids, dids, k)
     return fn
 
 
+def _local_topk(scores: np.ndarray, qids: np.ndarray, dids: np.ndarray, k: int) -> pd.DataFrame:
+    """Top-k rows of every column by (score desc, row asc) — rows are in id
+    order — with a linear-time partition and one vectorised sort of the few
+    candidates (values at or above each column's k-th largest)."""
+    n, m = scores.shape
+    kk = min(k, n)
+    if kk < n:
+        part = np.argpartition(-scores, kk - 1, axis=0)[:kk]
+        thr = np.take_along_axis(scores, part, axis=0).min(axis=0)
+        r, c = np.nonzero(scores >= thr[None, :])
+    else:
+        r, c = np.nonzero(np.ones_like(scores, dtype=bool))
+    sc = scores[r, c]
+    order = np.lexsort((r, -sc, c))
+    r, c, sc = r[order], c[order], sc[order]
+    first = np.searchsorted(c, c, side="left")
+    keep = ((np.arange(len(c)) - first) < kk) & np.isfinite(sc)
+    return pd.DataFrame({"qid": qids[c[keep]].astype("int64"), "did": dids[r[keep]].astype("int64"),
+                         "score": sc[keep].astype("float64")})
+
+
 def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, exclude_self: bool = False,
-                 q_block: int = 1024, d_chunk: int = 4096) -> DataFrame:
+                 q_block: int = 2048, d_chunk: int = 8192) -> DataFrame:
     """Top-``k`` items per query: ``qid, did, score, rank`` (rank 1 = best; ties
     by ascending ``did``).  Inputs have columns ``qid long, payload`` and
     ``did long, payload`` where payload is a unit vector (``cosine``), a raw

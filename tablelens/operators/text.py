@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.text import SPARK_ENGLISH_STOP_WORDS, whitespace_tokens, word_tokens
+from tablelens.functions.text import SPARK_ENGLISH_STOP_WORDS, WHITESPACE_CLASS, whitespace_tokens, word_tokens
 from tablelens.operators.ranks import attach_scalars
 
 # Lexicon for the sentiment split (positive, then negative words).
@@ -79,7 +79,8 @@ def sentiment(df: DataFrame, text_col: str) -> DataFrame:
     """Lexicon split — a text is positive when it holds more distinct
     positive than negative words, negative when fewer, neutral on a tie.
     Output one row ``positive, neutral, negative`` (shares, NULL texts skipped)."""
-    toks = whitespace_tokens(F.col(text_col))
+    # array_intersect already de-duplicates, so the raw split is enough here
+    toks = F.split(F.lower(F.col(text_col)), WHITESPACE_CLASS)
     pos = F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in POSITIVE_WORDS])))
     neg = F.size(F.array_intersect(toks, F.array(*[F.lit(w) for w in NEGATIVE_WORDS])))
     d = df.where(F.col(text_col).isNotNull()).select(pos.alias("p"), neg.alias("n"))
