@@ -56,8 +56,10 @@ def _cell_topk(kind: str, k: int, exclude_self: bool):
                     r, c = rows[a:a + step], codes[a:a + step]  # r is sorted (one run per document)
                     starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
                     scores[r[starts]] += np.add.reduceat(qmat[c], starts, axis=0)
-        if exclude_self:
-            scores[dids[:, None] == qids[None, :]] = -np.inf
+        if exclude_self:  # dids are sorted: locate each query's own row directly
+            pos = np.searchsorted(dids, qids)
+            ok = (pos < len(dids)) & (dids[np.minimum(pos, len(dids) - 1)] == qids)
+            scores[pos[ok], np.flatnonzero(ok)] = -np.inf
         return _local_topk(scores, qids, dids, k)
     return fn
 
