@@ -99,11 +99,22 @@ def relationship_graph(spark, sf):
     return links.select("source", "target", r6(F.col("value")).alias("value"), "kind", "sign")
 
 
-@register("graph_nodes")
+@register("graph_nodes", """
+WITH c AS (SELECT 'l_quantity' AS label, corr(l_quantity, CAST(l_returnflag = 'R' AS INTEGER)) AS c FROM lineitem
+           UNION ALL SELECT 'l_extendedprice', corr(l_extendedprice, CAST(l_returnflag = 'R' AS INTEGER)) FROM lineitem
+           UNION ALL SELECT 'l_discount', corr(l_discount, CAST(l_returnflag = 'R' AS INTEGER)) FROM lineitem
+           UNION ALL SELECT 'l_tax', corr(l_tax, CAST(l_returnflag = 'R' AS INTEGER)) FROM lineitem),
+b AS (SELECT label, greatest(0.04, least(1.0, abs(c) / max(abs(c)) OVER ())) AS value, CASE WHEN c < 0 THEN -1 ELSE 1 END AS sign
+      FROM c),
+s AS (SELECT l_linestatus AS label, avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS value FROM lineitem GROUP BY 1)
+SELECT '__target__' AS id, 'is_r' AS name, 'target' AS grp, 22.0 AS val, CAST(NULL AS INTEGER) AS sign
+UNION ALL SELECT label, label, 'driver', round(6.0 + value * 16.0, 6), sign FROM b
+UNION ALL SELECT 'seg::' || label, label, 'segment', round(5.0 + value * 9.0, 6), NULL FROM s
+""")
 def graph_nodes(spark, sf):
     bars, pairs, dist = _graph_inputs(spark, sf)
     nodes, _ = C.relationship_graph(bars, pairs, dist, "is_r")
-    return nodes
+    return nodes.select("id", "name", "grp", r6(F.col("val")).alias("val"), "sign")
 
 
 @register("scatter_sample", f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tablelens.operators import profile as P
 from tablelens.plans.common import DIRTY_LINEITEM_COLS, DIRTY_LINEITEM_SQL, dirty_lineitem
 from tablelens.plans.registry import register
@@ -102,3 +104,20 @@ FROM qs WHERE score >= 90 OR duplicates > 0
 def quality_findings(spark, sf):
     d = dirty_lineitem(spark, sf).select("l_returnflag", "l_linestatus", "l_tax", "qty_text")
     return P.quality_findings(d, target="l_linestatus")
+
+
+@register("source_rows", """
+SELECT 'lineitem' AS table_name, count(*) AS rows FROM lineitem
+UNION ALL SELECT 'orders', count(*) FROM orders
+UNION ALL SELECT 'documents', count(*) FROM documents
+""")
+def source_rows(spark, sf):
+    """I4: row counts without building the tables (Parquet answers from footers)."""
+    from tablelens.session import table_path
+    from tablelens.sources.io import source_row_count
+    parts = [source_row_count(spark, table_path(sf, t)).select(F.lit(t).alias("table_name"), "rows")
+             for t in ("lineitem", "orders", "documents")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -173,3 +173,20 @@ def statistics(spark, sf):
 def statistics_regression(spark, sf):
     li = load(spark, sf, "lineitem")
     return S.statistics(li, "l_extendedprice", False, ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"])
+
+
+@register("corr_heatmap", f"""
+WITH p AS (SELECT a, b, round_even(abs(r), 2) AS r, pos FROM ({_corr_union(NUM)})
+           WHERE r IS NOT NULL AND NOT isnan(r) ORDER BY round_even(abs(r), 2) DESC, pos LIMIT 6),
+s AS (SELECT a AS x, b AS y, r FROM p UNION ALL SELECT b, a, r FROM p),
+l AS (SELECT DISTINCT x AS label FROM s)
+SELECT label,
+       CASE WHEN label = 'l_quantity' THEN 1.0 ELSE coalesce((SELECT r FROM s WHERE x = label AND y = 'l_quantity'), 0.0) END AS l_quantity,
+       CASE WHEN label = 'l_extendedprice' THEN 1.0 ELSE coalesce((SELECT r FROM s WHERE x = label AND y = 'l_extendedprice'), 0.0) END AS l_extendedprice,
+       CASE WHEN label = 'l_discount' THEN 1.0 ELSE coalesce((SELECT r FROM s WHERE x = label AND y = 'l_discount'), 0.0) END AS l_discount,
+       CASE WHEN label = 'l_tax' THEN 1.0 ELSE coalesce((SELECT r FROM s WHERE x = label AND y = 'l_tax'), 0.0) END AS l_tax
+FROM l
+""")
+def corr_heatmap(spark, sf):
+    """A3 over the A1 result (a result table of at most six pairs)."""
+    return S.pairs_to_matrix(S.corr_pairs(load(spark, sf, "lineitem"), NUM, top=6))
