@@ -65,22 +65,27 @@ def coerce_numeric(df: DataFrame, target: str | None = None, threshold: float =
     return out, log
 
 
+def _long_text(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Unpivot columns to ``(k, v)`` with v the value as text (NULL kept)."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _q(c).cast("string").alias("v"))
+                                         for c in cols])).alias("s")).select("s.k", "s.v")
+
+
 def id_like_columns(df: DataFrame, target: str | None = None) -> list[str]:
     """C3 rule: name is ``id`` or ends in ``id`` (any case), or a text column whose
     distinct count (NULL included) equals the row count and whose mean text
-    length (NULL read as 'nan') is under 25."""
+    length (NULL read as 'nan') is under 25.  All text columns are measured by
+    one unpivoted aggregation (no per-column distinct expansion)."""
     by_name = [c for c in df.columns if c != target and c.lower().endswith("id")]
     text = [c for c in df.columns if c != target and c not in by_name
             and not is_numeric_type(df.schema[c].dataType)]
     if not text:
         return by_name
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(text):
-        s = _q(c).cast("string")
-        aggs += [(F.countDistinct(s) + F.max(F.when(s.isNull(), 1).otherwise(0))).alias(f"d{i}"),
-                 F.avg(F.length(F.coalesce(s, F.lit("nan")))).alias(f"l{i}")]
-    r = df.agg(*aggs).first()
-    return by_name + [c for i, c in enumerate(text) if r[f"d{i}"] == r["_n"] and r[f"l{i}"] < 25]
+    g = _long_text(df, text).groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    st = g.groupBy("k").agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n"),
+                            (F.sum(F.length(F.coalesce("v", F.lit("nan"))) * F.col("c")) / F.sum("c")).alias("l"))
+    got = {r["k"]: r for r in st.collect()}  # one row per text column
+    return by_name + [c for c in text if c in got and got[c]["d"] == got[c]["n"] and got[c]["l"] < 25]
 
 
 def drop_id_columns(df: DataFrame, target: str | None = None):
@@ -278,22 +283,19 @@ def numeric_matrix(df: DataFrame, drop: str | None = None, max_cols: int = 150,
 
 
 def infer_ui_types(df: DataFrame) -> DataFrame:
-    """Per column over ALL rows (text form): number / date / category / text / empty."""
+    """Per column over ALL rows (text form): number / date / category / text / empty.
+    One unpivoted aggregation: per (column, value) first, then per column."""
     cols = df.columns
     date_re = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|^[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}"
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for i, c in enumerate(cols):
-        s = F.coalesce(_q(c).cast("string"), F.lit(""))
-        aggs += [F.min(F.when((s != "") & to_number(s).isNotNull(), 1).otherwise(0)).alias(f"num{i}"),
-                 F.min(F.when(s.rlike(date_re), 1).otherwise(0)).alias(f"dt{i}"),
-                 F.countDistinct(s).alias(f"u{i}")]
-    row = df.agg(*aggs)
-    n = F.col("_n")
-    st = []
-    for i, c in enumerate(cols):
-        kind = (F.when(n == 0, "empty").when(F.col(f"num{i}") == 1, "number").when(F.col(f"dt{i}") == 1, "date")
-                .when(F.col(f"u{i}") <= F.least(F.lit(12), F.greatest(F.lit(2), F.floor(n / 2))), "category")
-                .otherwise("text"))
-        st.append(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("column_name"), kind.alias("kind")))
-    return row.select(F.explode(F.array(*st)).alias("s")).select("s.pos", "s.column_name", "s.kind")
-
+    pos = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
+    long = _long_text(df, cols).select("k", F.coalesce("v", F.lit("")).alias("v"))
+    g = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    st = g.groupBy("k").agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("u"),
+        F.min(F.when((F.col("v") != "") & to_number(F.col("v")).isNotNull(), 1).otherwise(0)).alias("num"),
+        F.min(F.when(F.col("v").rlike(date_re), 1).otherwise(0)).alias("dt"))
+    n = F.col("n")
+    kind = (F.when(n == 0, "empty").when(F.col("num") == 1, "number").when(F.col("dt") == 1, "date")
+            .when(F.col("u") <= F.least(F.lit(12), F.greatest(F.lit(2), F.floor(n / 2))), "category")
+            .otherwise("text"))
+    return st.select(pos[F.col("k")].alias("pos"), F.col("k").alias("column_name"), kind.alias("kind"))

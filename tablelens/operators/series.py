@@ -116,7 +116,8 @@ def _hw_fit(y: np.ndarray, period: int, seasonal: bool, horizon: int):
 def holt_winters(series: DataFrame, keys: list[str], t_col: str, y_col: str, max_points: int = 3000) -> DataFrame:
     """Per series forecast with a fixed (alpha, beta, gamma) grid chosen by
     in-sample SSE.  Output rows ``keys..., kind (history|forecast), idx, value``
-    where history is the last 60 points; metrics via :func:`holt_winters_metrics`."""
+    (history = the last 60 points) with the series' ``mae, mape, period,
+    horizon, direction`` repeated on each row."""
     key_schema = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_schema}, kind string, idx int, value double, mae double, mape double, " \
              f"period int, horizon int, direction string"
@@ -146,4 +147,8 @@ def holt_winters(series: DataFrame, keys: list[str], t_col: str, y_col: str, max
         out["horizon"], out["direction"] = horizon, direction
         return out[keys + ["kind", "idx", "value", "mae", "mape", "period", "horizon", "direction"]]
 
-    return series.select(*keys, t_col, y_col).groupBy(*keys).applyInPandas(fit, schema)
+    # only the last max_points of each series reach Python (WindowGroupLimit keeps it partial)
+    w = Window.partitionBy(*keys).orderBy(F.desc(t_col))
+    recent = series.select(*keys, t_col, y_col).withColumn("_r", F.row_number().over(w)) \
+                   .where(F.col("_r") <= max_points).drop("_r")
+    return recent.groupBy(*keys).applyInPandas(fit, schema)
