@@ -25,6 +25,7 @@ from tablelens.operators import evaluate as V
 from tablelens.operators import features as X
 from tablelens.operators.ranks import exact_quantiles, medians
 from tablelens.operators.sample import kfold, stratified_split
+from tablelens.session import cut_lineage
 
 
 def _q(c: str):
@@ -123,6 +124,9 @@ def prepare_supervised(df: DataFrame, target: str | None = None, task: str = "au
         split = work.withColumn("split", F.when(hash_unit(["_key"]) < 0.2, "test").otherwise("train"))
     asm = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     data = asm.transform(split.select("_key", "label", "split", *[_q(c) for c in feats]))
+    # The prepared table is read by every fit, fold and diagnostic: write it once to
+    # the shared checkpoint folder, which also cuts the (deep) preparation lineage.
+    data = cut_lineage(data)
     return Prepared(data, feats, is_clf, classes, log)
 
 
