@@ -218,3 +218,23 @@ def whatif_score(scenarios: DataFrame, key_cols: list[str], curves: DataFrame, b
     if probability:
         tot = tot.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))))
     return tot
+
+
+# Verdict cut-offs (excellent, good, fair; below fair = weak) and labels.
+VERDICT_CUTS = {"auc": (0.85, 0.72, 0.60), "lift": (0.20, 0.10, 0.03), "r2": (0.75, 0.50, 0.25),
+                "silhouette": (0.50, 0.35, 0.20)}
+VERDICT_LABELS = {"excellent": "Strong predictive signal", "good": "Solid predictive signal",
+                  "fair": "Moderate signal", "weak": "Near-chance — weak signal"}
+CLUSTER_LABELS = {"excellent": "Well-separated segments", "good": "Reasonably distinct segments",
+                  "fair": "Overlapping segments", "weak": "Weak segmentation"}
+
+
+def verdict(scores: DataFrame, kind: str, value_col: str = "value") -> DataFrame:
+    """``level, label`` from a one-row score table.  ``kind``: ``auc``,
+    ``lift`` (accuracy minus the majority share), ``r2`` or ``silhouette``."""
+    hi, mid, lo = VERDICT_CUTS[kind]
+    v = F.col(value_col)
+    level = F.when(v >= hi, "excellent").when(v >= mid, "good").when(v >= lo, "fair").otherwise("weak")
+    labels = CLUSTER_LABELS if kind == "silhouette" else VERDICT_LABELS
+    lab = F.create_map(*[x for k, t in labels.items() for x in (F.lit(k), F.lit(t))])
+    return scores.select(level.alias("level")).select("level", lab[F.col("level")].alias("label"))

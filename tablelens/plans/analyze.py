@@ -106,6 +106,7 @@ def _supervised(df: DataFrame, target: str | None, task: str, key_cols: list[str
     else:
         r["metrics"] = V.regression_metrics(pred, "label", "prediction")
         r.optional("residuals", lambda: V.residual_sample(pred, ["_key"], "label", "prediction"))
+    r.optional("verdict", lambda: _verdict(prep, r["metrics"], df, target))
     est = type(best)  # a fresh estimator of the selected family for CV / learning curve
     r.optional("cv", lambda: M.cross_validate(prep, _fresh(best, est)))
     r.optional("learning", lambda: M.learning_curve(prep, _fresh(best, est)))
@@ -144,6 +145,19 @@ def _supervised(df: DataFrame, target: str | None, task: str, key_cols: list[str
     return r
 
 
+def _verdict(prep, metrics: DataFrame, df: DataFrame, target: str) -> DataFrame:
+    """P6 on the headline metric: ROC-AUC (binary), accuracy lift over the
+    majority share (multiclass) or R^2."""
+    from tablelens.operators.ranks import attach_scalars
+    if prep.binary:
+        return V.verdict(metrics.where(col("metric") == "ROC-AUC"), "auc")
+    if prep.is_classification:
+        acc = metrics.where(col("metric") == "Accuracy").select(col("value").alias("acc"))
+        maj = G.class_distribution(df, target).agg(F.max("share").alias("maj"))
+        return V.verdict(attach_scalars(acc, maj).select((col("acc") - col("maj")).alias("value")), "lift")
+    return V.verdict(metrics.where(col("metric") == "R2"), "r2")
+
+
 def _fresh(model, _est):
     """A new, unfitted estimator with the fitted model's parameters."""
     from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
@@ -170,6 +184,7 @@ def _clustering(df: DataFrame):
     scores, k, labelled = U.kmeans_select(m, cols)
     r["task"], r["silhouette"] = "clustering", scores
     r["segments"] = U.segment_sizes(labelled)
+    r["verdict"] = V.verdict(scores.where(col("k") == k).select(col("silhouette").alias("value")), "silhouette")
     r["dimensions"] = U.defining_dimensions(labelled, cols)
     return r
 

@@ -208,3 +208,53 @@ def whatif_score(spark, sf):
     cs, curves, base = _whatif_inputs(spark, sf)
     s = V.whatif_score(cs, ["c_custkey"], curves, base)
     return s.select("c_custkey", F.round("score", 4).alias("score"))
+
+
+def _verdict_sql(score_sql: str, cuts, labels) -> str:
+    hi, mid, lo = cuts
+    lab = " ".join(f"WHEN '{k}' THEN '{t}'" for k, t in labels.items())
+    return f"""
+WITH s AS ({score_sql}),
+l AS (SELECT CASE WHEN value >= {hi} THEN 'excellent' WHEN value >= {mid} THEN 'good'
+                  WHEN value >= {lo} THEN 'fair' ELSE 'weak' END AS level FROM s)
+SELECT level, CASE level {lab} END AS label FROM l
+"""
+
+
+_AUC_SQL = f"""
+WITH d AS ({SCORED_SQL}),
+r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS mr FROM d)
+SELECT (sum(mr) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+       / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)) AS value FROM r
+"""
+
+_LIFT_SQL = f"""
+WITH d AS ({SCORED_SQL})
+SELECT avg(CAST(l_returnflag = pred_cls AS DOUBLE))
+       - (SELECT max(c) * 1.0 / sum(c) FROM (SELECT count(*) AS c FROM d GROUP BY l_returnflag)) AS value FROM d
+"""
+
+
+@register("verdict_auc", _verdict_sql(_AUC_SQL, V.VERDICT_CUTS["auc"], V.VERDICT_LABELS))
+def verdict_auc(spark, sf):
+    auc = V.roc_auc(scored(spark, sf), "y", "p", 1).select(F.col("auc").alias("value"))
+    return V.verdict(auc, "auc")
+
+
+@register("verdict_lift", _verdict_sql(_LIFT_SQL, V.VERDICT_CUTS["lift"], V.VERDICT_LABELS))
+def verdict_lift(spark, sf):
+    from tablelens.operators.ranks import attach_scalars
+    d = scored(spark, sf)
+    acc = d.agg(F.avg((F.col("l_returnflag") == F.col("pred_cls")).cast("double")).alias("acc"))
+    maj = d.groupBy("l_returnflag").count().agg((F.max("count") / F.sum("count")).alias("maj"))
+    lift = attach_scalars(acc, maj).select((F.col("acc") - F.col("maj")).alias("value"))
+    return V.verdict(lift, "lift")
+
+
+@register("verdict_r2", _verdict_sql(f"""
+WITH d AS ({SCORED_SQL})
+SELECT 1 - avg(power(l_extendedprice - price_hat, 2)) / var_pop(l_extendedprice) AS value FROM d
+""", V.VERDICT_CUTS["r2"], V.VERDICT_LABELS))
+def verdict_r2(spark, sf):
+    m = V.regression_metrics(scored(spark, sf), "l_extendedprice", "price_hat").where(F.col("metric") == "R2")
+    return V.verdict(m, "r2")
