@@ -43,6 +43,11 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.withColumn("__scalar_key", F.lit(1)).join(one, "__scalar_key").drop("__scalar_key")
 
 
+# Inputs (distinct keys) up to this size take one ordinary window; larger ones
+# are range-bucketed so no task holds more than about size / buckets keys.
+SINGLE_WINDOW_MAX_ROWS = 200_000
+
+
 def _num_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(1, min(n, 8192))
@@ -91,7 +96,8 @@ def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_col
     ``order_col`` is numeric or text (ascending only).  Rows with equal keys
     are ordered by ``tie_cols`` (ascending); without them keys should be
     distinct within ``partition_cols``.  ``descending`` sums from the largest
-    key down.  Lazy for numeric keys (no action is run).
+    key down.  The input is persisted and counted once; small inputs take a
+    single window, large ones the bucketed path.
     """
     from tablelens.functions.scalars import is_numeric_type
     pc = list(partition_cols or [])
@@ -100,6 +106,11 @@ def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_col
         raise ValueError("descending order needs a numeric key")
     df = shared(df)  # read by the bounds, the totals and the rows
     skey = -F.col(order_col) if descending else F.col(order_col)
+    order = [skey] + [F.col(c) for c in (tie_cols or [])]
+    if df.count() <= SINGLE_WINDOW_MAX_ROWS:
+        # size-checked: a window over at most SINGLE_WINDOW_MAX_ROWS keys in one task
+        w = Window.partitionBy(*pc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.select(*[F.col(c) for c in df.columns], *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
     d = with_range_bucket(df, skey, _num_buckets(df), numeric)
     totals = d.groupBy(*pc, "_b").agg(*[F.sum(c).alias(c) for c in sum_cols])
     wt = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +118,6 @@ def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_col
                                         for c in sum_cols])
     if not pc:
         offsets = F.broadcast(offsets)  # at most `buckets` rows
-    order = [skey] + [F.col(c) for c in (tie_cols or [])]
     wi = Window.partitionBy(*pc, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = d.join(offsets, on=pc + ["_b"], how="inner")
     return out.select(*[F.col(c) for c in df.columns],

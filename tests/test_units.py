@@ -111,3 +111,22 @@ def test_keyword_topk_fills_k_with_zero_scores(spark):
     d = spark.createDataFrame(docs, "id long, text string")
     got = keyword_topk(q, "id", "text", d, "id", "text", k=2).orderBy("rank").collect()
     assert [r["did"] for r in got] == [70, 1] and got[0]["score"] > 0 and got[1]["score"] == 0
+
+
+def test_bucketed_path_matches_window(spark, monkeypatch):
+    """Force the range-bucketed path (used above SINGLE_WINDOW_MAX_ROWS keys)."""
+    monkeypatch.setattr(R, "SINGLE_WINDOW_MAX_ROWS", 0)
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "k": rng.normal(size=3000), "v": rng.integers(0, 5, 3000)})
+    df = spark.createDataFrame(pdf)
+    got = R.prefix_sum(df, "k", ["v"], ["g"]).toPandas().sort_values(["g", "k"])
+    pdf = pdf.sort_values(["g", "k"])
+    assert np.array_equal(got["cum_v"].to_numpy(), pdf.groupby("g")["v"].cumsum().to_numpy())
+    desc = R.prefix_sum(df, "k", ["v"], descending=True).toPandas().sort_values("k", ascending=False)
+    assert np.array_equal(desc["cum_v"].to_numpy(), desc["v"].cumsum().to_numpy())
+    words = spark.createDataFrame([(f"w{i:04d}", 1) for i in range(700)], "k string, one int")
+    assert R.prefix_sum(words, "k", ["one"]).toPandas().sort_values("k")["cum_one"].tolist() == list(range(1, 701))
+    x = np.round(rng.exponential(size=999), 2)
+    q = {r["p"]: r["q"] for r in R.exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})), "x",
+                                                     [0.1, 0.5, 0.9]).collect()}
+    assert all(q[p] == pytest.approx(float(np.quantile(x, p)), rel=1e-12) for p in (0.1, 0.5, 0.9))
