@@ -1,4 +1,4 @@
-"""E5-E9 over English documents."""
+"""E5-E9 over the whole documents table (all languages)."""
 
 from __future__ import annotations
 
@@ -10,12 +10,12 @@ from tablelens.plans.common import load, r6
 from tablelens.plans.registry import register
 
 
-def english_docs(spark, sf):
-    return load(spark, sf, "documents").where(F.col("lang") == "en").select("doc_id", "text")
+def all_docs(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", "text")
 
 
 _TC_SQL = f"""
-docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),
+docs AS (SELECT doc_id, text FROM documents),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{WORD_PATTERN}')) AS term FROM docs),
 tc AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE NOT list_contains({sql_str_list(SPARK_ENGLISH_STOP_WORDS)}, term)
        GROUP BY 1, 2)
@@ -29,7 +29,7 @@ v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tc GROUP BY term HAVING
 SELECT term, total FROM v ORDER BY total DESC, term LIMIT 12
 """)
 def keywords(spark, sf):
-    return X.keywords(english_docs(spark, sf), "doc_id", "text")
+    return X.keywords(all_docs(spark, sf), "doc_id", "text")
 
 
 @register("bag_of_words", f"""
@@ -38,7 +38,7 @@ v AS (SELECT term FROM tc GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DE
 SELECT count(*) AS entries, sum(tf) AS tokens, count(DISTINCT term) AS terms FROM tc JOIN v USING (term)
 """)
 def bag_of_words(spark, sf):
-    b = X.bag_of_words(english_docs(spark, sf), "doc_id", "text")
+    b = X.bag_of_words(all_docs(spark, sf), "doc_id", "text")
     return b.agg(F.count(F.lit(1)).alias("entries"), F.sum("tf").alias("tokens"),
                  F.countDistinct("term").alias("terms"))
 
@@ -53,7 +53,7 @@ m AS (SELECT term, sum(wn) / any_value(n) AS mean FROM nw, n GROUP BY term ORDER
 SELECT term, round(mean, 6) AS mean, round(greatest(0.08, mean / max(mean) OVER ()), 6) AS weight FROM m
 """)
 def tfidf_top_terms(spark, sf):
-    t = X.tfidf_top_terms(english_docs(spark, sf), "doc_id", "text")
+    t = X.tfidf_top_terms(all_docs(spark, sf), "doc_id", "text")
     return t.select("term", r6(F.col("mean")).alias("mean"), r6(F.col("weight")).alias("weight"))
 
 
@@ -83,4 +83,4 @@ def sentiment_conversations(spark, sf):
 
 @register("topics_lda")
 def topics_lda(spark, sf):
-    return X.lda_topics(english_docs(spark, sf), "doc_id", "text")
+    return X.lda_topics(all_docs(spark, sf), "doc_id", "text")
