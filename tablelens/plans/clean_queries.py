@@ -162,8 +162,8 @@ def label_encoded_rows(spark, sf):
 
 
 @register("date_parts", """
-SELECT o_orderkey, year(o_orderdate) AS d_year, month(o_orderdate) AS d_month, day(o_orderdate) AS d_day,
-       isodow(o_orderdate) - 1 AS d_dow
+SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS d_year, CAST(month(o_orderdate) AS INTEGER) AS d_month,
+       CAST(day(o_orderdate) AS INTEGER) AS d_day, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS d_dow
 FROM orders
 """)
 def date_parts(spark, sf):

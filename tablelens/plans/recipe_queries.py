@@ -22,7 +22,7 @@ def join_dupcheck(spark, sf):
 
 
 @register("duplicate_keys", """
-SELECT count(*) AS keys, sum(n) AS rows FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1)
+SELECT count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1)
 """)
 def duplicate_keys(spark, sf):
     d = R.duplicate_keys(load(spark, sf, "lineitem"), ["l_orderkey"])
@@ -46,11 +46,11 @@ def multi_aggregate(spark, sf):
 
 @register("pivot_counts", """
 SELECT CAST(n_regionkey AS INTEGER) AS n_regionkey,
-       coalesce(sum(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 END), 0) AS AUTOMOBILE,
-       coalesce(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END), 0) AS BUILDING,
-       coalesce(sum(CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 END), 0) AS FURNITURE,
-       coalesce(sum(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 END), 0) AS HOUSEHOLD,
-       coalesce(sum(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 END), 0) AS MACHINERY
+       CAST(coalesce(sum(CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1 END), 0) AS BIGINT) AS AUTOMOBILE,
+       CAST(coalesce(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END), 0) AS BIGINT) AS BUILDING,
+       CAST(coalesce(sum(CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 END), 0) AS BIGINT) AS FURNITURE,
+       CAST(coalesce(sum(CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1 END), 0) AS BIGINT) AS HOUSEHOLD,
+       CAST(coalesce(sum(CASE WHEN c_mktsegment = 'MACHINERY' THEN 1 END), 0) AS BIGINT) AS MACHINERY
 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_regionkey
 """)
 def pivot_counts(spark, sf):

@@ -83,7 +83,7 @@ def mann_whitney(spark, sf):
 WITH m AS ({_moments_sql(['l_extendedprice', 'l_discount'], 'l_returnflag')}),
 g AS (SELECT feature, count(*) AS k, sum(n) AS N, sum(n * mean) AS sx, sum(n * mean * mean) AS snm2,
              sum((n - 1) * var) AS ssw FROM m WHERE n >= 3 GROUP BY feature)
-SELECT feature, k, N, round(((snm2 - sx * sx / N) / (k - 1)) / (ssw / (N - k)), 6) AS stat,
+SELECT feature, k, CAST(N AS BIGINT) AS N, round(((snm2 - sx * sx / N) / (k - 1)) / (ssw / (N - k)), 6) AS stat,
        round((snm2 - sx * sx / N) / ((snm2 - sx * sx / N) + ssw), 8) AS eta2
 FROM g
 """)
@@ -99,7 +99,7 @@ WITH r AS (SELECT l_returnflag AS g, l_quantity AS x,
 s AS (SELECT g, sum(mr) AS R, count(*) AS n FROM r GROUP BY g),
 t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity)),
 h AS (SELECT count(*) AS k, sum(n) AS n, sum(R * R / n) AS s FROM s)
-SELECT 'l_quantity' AS feature, k, n, round((12.0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS stat
+SELECT 'l_quantity' AS feature, k, CAST(n AS BIGINT) AS n, round((12.0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 6) AS stat
 FROM h, t
 """)
 def kruskal(spark, sf):

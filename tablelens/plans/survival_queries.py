@@ -18,7 +18,7 @@ def frame(spark, sf):
 _KM_SQL = """
 WITH g AS (SELECT l_quantity AS t, sum(CAST(l_returnflag = 'R' AS INTEGER)) AS events, count(*) AS c
            FROM lineitem GROUP BY 1),
-r AS (SELECT t, events, sum(c) OVER (ORDER BY t DESC) AS at_risk FROM g),
+r AS (SELECT t, events, CAST(sum(c) OVER (ORDER BY t DESC) AS BIGINT) AS at_risk FROM g),
 l AS (SELECT *, CASE WHEN events < at_risk THEN ln(1 - events / at_risk) ELSE 0 END AS lg,
              CASE WHEN events >= at_risk AND events > 0 THEN 1 ELSE 0 END AS z FROM r),
 k AS (SELECT t, at_risk, events, CASE WHEN sum(z) OVER (ORDER BY t) > 0 THEN 0.0 ELSE exp(sum(lg) OVER (ORDER BY t)) END AS s

@@ -24,7 +24,7 @@ tc AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE NOT list_contains({sql
 
 @register("keywords", f"""
 WITH {_TC_SQL},
-v AS (SELECT term, sum(tf) AS total, count(*) AS df FROM tc GROUP BY term HAVING count(*) >= 2
+v AS (SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tc GROUP BY term HAVING count(*) >= 2
       ORDER BY total DESC, term LIMIT 500)
 SELECT term, total FROM v ORDER BY total DESC, term LIMIT 12
 """)
@@ -35,7 +35,7 @@ def keywords(spark, sf):
 @register("bag_of_words", f"""
 WITH {_TC_SQL},
 v AS (SELECT term FROM tc GROUP BY term HAVING count(*) >= 2 ORDER BY sum(tf) DESC, term LIMIT 500)
-SELECT count(*) AS entries, sum(tf) AS tokens, count(DISTINCT term) AS terms FROM tc JOIN v USING (term)
+SELECT count(*) AS entries, CAST(sum(tf) AS BIGINT) AS tokens, count(DISTINCT term) AS terms FROM tc JOIN v USING (term)
 """)
 def bag_of_words(spark, sf):
     b = X.bag_of_words(all_docs(spark, sf), "doc_id", "text")
