@@ -57,11 +57,12 @@ b AS (SELECT l_extendedprice AS y,
                   WHEN l_quantity <= u[4] THEN 3 WHEN l_quantity <= u[5] THEN 4 END AS bin, u
       FROM lineitem, u),
 g AS (SELECT bin, any_value(u[bin]) AS lo, any_value(u[bin + 1]) AS hi, avg(y) AS m FROM b GROUP BY bin)
-SELECT bin, lo, hi, round(m, 4) AS mean_target, round(m / max(m) OVER (), 6) AS value FROM g
+SELECT bin, round(lo, 6) AS lo, round(hi, 6) AS hi, round(m, 4) AS mean_target, round(m / max(m) OVER (), 6) AS value FROM g
 """)
 def quartile_means(spark, sf):
     out = A.quartile_means(load(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
-    return out.select("bin", "lo", "hi", F.round("mean_target", 4).alias("mean_target"), r6(F.col("value")).alias("value"))
+    return out.select("bin", r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"),
+                      F.round("mean_target", 4).alias("mean_target"), r6(F.col("value")).alias("value"))
 
 
 @register("value_shares", """

@@ -106,18 +106,19 @@ def mode_fill(spark, sf):
 
 @register("describe", """
 SELECT 'l_quantity' AS column_name, count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean,
-       round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, quantile_cont(l_quantity, 0.25) AS q1,
-       quantile_cont(l_quantity, 0.5) AS median, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS max
+       round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, round(quantile_cont(l_quantity, 0.25), 6) AS q1,
+       round(quantile_cont(l_quantity, 0.5), 6) AS median, round(quantile_cont(l_quantity, 0.75), 6) AS q3, max(l_quantity) AS max
 FROM lineitem
 UNION ALL
 SELECT 'l_discount', count(l_discount), round(avg(l_discount), 6), round(stddev_samp(l_discount), 6), min(l_discount),
-       quantile_cont(l_discount, 0.25), quantile_cont(l_discount, 0.5), quantile_cont(l_discount, 0.75), max(l_discount)
+       round(quantile_cont(l_discount, 0.25), 6), round(quantile_cont(l_discount, 0.5), 6),
+       round(quantile_cont(l_discount, 0.75), 6), max(l_discount)
 FROM lineitem
 """)
 def describe(spark, sf):
     d = R.describe(load(spark, sf, "lineitem"), ["l_quantity", "l_discount"])
     return d.select("column_name", "count", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
-                    "min", "q1", "median", "q3", "max")
+                    "min", *[r6(F.col(c)).alias(c) for c in ("q1", "median", "q3")], "max")
 
 
 @register("class_weights", """
