@@ -24,9 +24,8 @@ NEGATIVE_WORDS = ["bad", "worst", "hate", "hated", "terrible", "awful", "poor",
 
 def term_counts(df: DataFrame, doc_col: str, text_col: str, stop_words=SPARK_ENGLISH_STOP_WORDS) -> DataFrame:
     """``doc, term, tf`` for every document and non-stop-word term."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
     toks = df.select(F.col(doc_col).alias("doc"), F.explode(word_tokens(F.col(text_col))).alias("term"))
-    toks = toks.where(~F.array_contains(stop, F.col("term")))
+    toks = toks.where(~F.col("term").isin(list(stop_words)))  # planned as a hash-set lookup (InSet)
     return toks.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
