@@ -48,9 +48,19 @@ def _load() -> None:
                 raise
 
 
+def _shipping(fn):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tablelens.session import ensure_shipped
+        ensure_shipped(spark)  # workers import tablelens for the pandas UDFs
+        return fn(spark, sf_dir)
+    run.__name__ = getattr(fn, "__name__", "query")
+    run.__doc__ = fn.__doc__
+    return run
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     _load()
-    return dict(QUERIES)
+    return {name: _shipping(fn) for name, fn in QUERIES.items()}
 
 
 def all_oracles() -> dict[str, str]:
