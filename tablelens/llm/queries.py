@@ -76,6 +76,15 @@ def op7_decontamination(spark, sf):
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op8_quality")
+def op8_quality(spark, sf):
+    from tablelens.llm.quality import fit_quality, held_out, score_quality
+    docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels")
+    weights = fit_quality(docs, labels, "quality", ~held_out(F.col("doc_id")))
+    return score_quality(docs.select("doc_id", "text"), weights).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op9_mixing", r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
 s AS (SELECT source, sum(size) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position FROM d GROUP BY source),
