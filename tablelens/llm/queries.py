@@ -45,6 +45,14 @@ def op2_token_count(spark, sf):
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query("op5_token_files")
+def op5_token_files(spark, sf):
+    import public_tokenizers
+    from tablelens.llm.token_files import encoded_documents
+    read = encoded_documents(load(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark, sf):
     from tablelens.llm.simhash import near_duplicates
