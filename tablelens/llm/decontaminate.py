@@ -159,9 +159,9 @@ class _Shard:
         self.texts: list[list[np.ndarray]] = [[] for _ in blocks]
         self.origins: list[list[tuple[int, int, int]]] = [[] for _ in blocks]  # length with separator, document, first word
 
-    def add(self, key: bytes, words: list[str]) -> None:
+    def add(self, words: list[str]) -> None:
         at = len(self.docs)
-        self.docs.append((key, len(words)))
+        self.docs.append(len(words))
         for b, block in enumerate(self.blocks):
             if not block.shortest or len(words) < block.shortest:
                 continue
@@ -173,8 +173,8 @@ class _Shard:
                 self.origins[b].append((len(stretch) + 1, at, int(cut[i])))
                 self.held += len(stretch) + 1
 
-    def spans(self) -> Iterator[tuple[bytes, int, list[tuple[int, int]], set[str]]]:
-        """(key, words, merged [begin, end) spans, items) of each document."""
+    def spans(self) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+        """(words, merged [begin, end) spans, items) of each document, in order."""
         marks: list[list[tuple[int, int]]] = [[] for _ in self.docs]
         items: list[set[str]] = [set() for _ in self.docs]
         for block, texts, origins in zip(self.blocks, self.texts, self.origins):
@@ -188,8 +188,8 @@ class _Shard:
                 for doc, start, number in zip(docs[stretch].tolist(), starts.tolist(), numbers.tolist()):
                     marks[doc].append((start, start + length))
                     items[doc].update(block.items[number])
-        for (key, n), spans, held in zip(self.docs, marks, items):
-            yield key, n, merged(spans), held
+        for n, spans, held in zip(self.docs, marks, items):
+            yield n, merged(spans), held
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -206,33 +206,62 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 RESULT = "n_words long, n_hit long, spans array<struct<begin:long,end:long>>, items array<string>"
 
 
-def _scan(blocks: list, n: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the characters from the first to the last word of each span."""
+    if not spans:
+        return text
+    words = list(WORD.finditer(text.translate(LOWER)))
+    kept, at = [], 0
+    for begin, end in spans:
+        kept.append(text[at:words[begin].start()])
+        at = words[end - 1].end()
+    return "".join([*kept, text[at:]])
+
+
+def _shards(blocks: list, n: int):
+    """Iterator of finished shards over batches of (row, text); a document's key is its place in the held rows."""
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[str], _Shard]]:
         windows = [Windows(b.value, n) for b in blocks]
+        for batch in batches:
+            begin, shard, texts = 0, _Shard(windows), []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                shard.add(words_of(text))
+                texts.append(text)
+                if shard.held >= SHARD_WORDS or at + 1 == batch.num_rows:
+                    yield batch.column(0).slice(begin, at + 1 - begin), texts, shard
+                    begin, shard, texts = at + 1, _Shard(windows), []
+    return shards
+
+
+def _scan(blocks: list, n: int):
+    shards, span = _shards(blocks, n), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
-        def result(shard: _Shard, id_type: pa.DataType) -> pa.RecordBatch:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, shard in shards(batches):
             rows = list(shard.spans())
-            span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            return pa.RecordBatch.from_pydict({
-                "id": pa.array([r[0] for r in rows], id_type),
-                "n_words": pa.array([r[1] for r in rows], pa.int64()),
-                "n_hit": pa.array([sum(e - b for b, e in r[2]) for r in rows], pa.int64()),
-                "spans": pa.array([[{"begin": b, "end": e} for b, e in r[2]] for r in rows], span),
-                "items": pa.array([sorted(r[3]) for r in rows], pa.list_(pa.string()))})
-
-        shard, id_type = _Shard(windows), None
-        for batch in batches:
-            id_type = batch.column(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                shard.add(key, words_of(text.as_py()))
-                if shard.held >= SHARD_WORDS or len(shard.docs) >= 4096:
-                    yield result(shard, id_type)
-                    shard = _Shard(windows)
-        if shard.docs:
-            yield result(shard, id_type)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([r[0] for r in rows], pa.int64()),
+                 pa.array([sum(e - b for b, e in r[1]) for r in rows], pa.int64()),
+                 pa.array([[{"begin": b, "end": e} for b, e in r[1]] for r in rows], span),
+                 pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
+                names=["id", "n_words", "n_hit", "spans", "items"])
     return scan
 
 
+def _cut(blocks: list, n: int):
+    shards = _shards(blocks, n)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts, shard in shards(batches):
+            found = [(n_words, spans) for n_words, spans, _ in shard.spans()]
+            yield pa.RecordBatch.from_arrays(
+                [rows, pa.array([without(t, s) if s else None for t, (_, s) in zip(texts, found)], pa.string()),
+                 pa.array([bool(s) for _, s in found]),
+                 pa.array([sum(e - b for b, e in s) < w or not s for w, s in found])],
+                names=["row", "cut", "hit", "left"])
+    return cut
+
+
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
     """The items in broadcast blocks of at most ``BLOCK_CHARS`` characters (or one item)."""
     sc = benchmark.sparkSession.sparkContext
@@ -253,3 +282,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(_scan(blocks, n), f"id {rows.schema['id'].dataType.simpleString()}, {RESULT}")
 
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None,
+                 item_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
+    """The documents, all columns, with the hit spans cut out of their texts (and ``length_col`` set to the characters
+    left); documents of which no word is left go, others stay as they are."""
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text_of(text_col).alias("text"))
+    done = rows.mapInArrow(_cut(blocks, n), f"row {rows.schema['row'].dataType.simpleString()}, cut string, hit boolean, "
+                           "left boolean").where("left")
+    new = {text_col: F.when(F.col("hit"), F.col("cut")).otherwise(F.col("row")[text_col])}
+    if length_col:
+        new[length_col] = F.when(F.col("hit"), F.char_length("cut").cast(docs.schema[length_col].dataType)
+                                 ).otherwise(F.col("row")[length_col])
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -12,7 +12,7 @@ ranges), so a source with a third of all rows is spread over many tasks.
 
 Defined cases: null text has size 0; a null source is a source of its own, after
 all others; empty and all-white texts take 0 words; a source of size 0 has
-target 0; repeated rows are rows of their own; an empty table gives no rows.
+target 0; repeated rows are rows of their own, taken alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -60,36 +60,63 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     return sources.withColumn("target", fill)
 
 
+def _keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[Column, Column, Column]:
+    """Source key (null apart), seeded hash and size of a document."""
+    source = F.col(source_col).cast("string")
+    key = F.when(source.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), source))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return key, hashed, F.regexp_count(text_of(text_col), F.lit(WORD_REGEX)).cast("long")
+
+
+def rates(rows: DataFrame, weights: tuple[float, ...], share: float, max_epochs: float) -> DataFrame:
+    """For each source of (key, source, hashed, size): source_size, target, whole
+    repetitions, and the last (hashed, size) that gets the fractional one (null: none does)."""
+    rows = rows.withColumn("range", F.conv(F.substring("hashed", 1, 3), 16, 10).cast("int"))
+    sums = materialise(rows.groupBy("key", "source", "range").agg(F.sum("size").alias("size")), "range_sums")
+    sources = in_order(sums.groupBy("key", "source").agg(F.sum("size").alias("size")), F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
+    targets = water_fill(materialise(sources.withColumn("weight", weight), "weights"), share, max_epochs)
+    whole = F.when(F.col("size") > 0, F.floor(F.col("target") / F.col("size"))).otherwise(F.lit(0)).cast("long")
+    targets = materialise(targets.select("key", F.col("size").alias("source_size"), "target", whole.alias("whole")), "targets")
+
+    begins = sums.select("key", "range", (F.sum("size").over(
+        Window.partitionBy("key").orderBy("range")) - F.col("size")).alias("before"))
+    begins = begins.join(targets.select("key", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")), "key")
+    within = F.sum("size").over(Window.partitionBy("key", "range").orderBy("hashed", "size")
+                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # a document whose middle lies before the last word wanted is in: nearest to the target
+    last = (rows.join(begins, ["key", "range"]).withColumn("upto", F.col("before") + within)
+            .where(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"))
+            .groupBy("key").agg(F.max(F.struct("hashed", "size")).alias("last")))
+    return materialise(targets.join(last, "key", "left"), "rates")
+
+
+def _with_rates(rows: DataFrame, known: DataFrame) -> DataFrame:
+    in_ = F.col("last").isNotNull() & (F.struct("hashed", "size") <= F.col("last"))
+    return rows.join(known, "key").withColumn("repetitions", F.col("whole") + in_.cast("long"))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
     """One row per input row: id, size, source_size, target, repetitions, taken (words).
 
     ``weights`` go round the sources in code-point order, null last.
     """
-    key = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = materialise(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), key.alias("key"),
-        F.regexp_count(text_of(text_col), F.lit(WORD_REGEX)).cast("long").alias("size"), hashed.alias("hashed")), "sizes")
-    rows = rows.withColumn("range", F.conv(F.substring("hashed", 1, 3), 16, 10).cast("int"))
-    sums = materialise(rows.groupBy("key", "source", "range").agg(F.sum("size").alias("size")), "range_sums")
-
-    sources = in_order(sums.groupBy("key", "source").agg(F.sum("size").alias("size")),
-                       F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("position") % len(weights) + 1).cast("int"))
-    targets = materialise(water_fill(sources.withColumn("weight", weight), share, max_epochs), "targets")
-
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - F.col("whole") * F.col("source_size")
-    begins = sums.withColumn("before", F.sum("size").over(
-        Window.partitionBy("key").orderBy("range")) - F.col("size")).select("key", "range", "before")
-    begins = (begins.join(targets.select("key", F.col("size").alias("source_size"), "target"), "key")
-              .withColumn("whole", whole).withColumn("rest", rest))
-    within = F.sum("size").over(Window.partitionBy("key", "range").orderBy("hashed", "id", "size")
-                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    # the document whose middle lies before the last word wanted is in: nearest to the target
-    middle = 2 * (F.col("before") + F.col("within")) - F.col("size")
-    return (rows.join(begins, ["key", "range"]).withColumn("within", within)
-            .withColumn("repetitions", (F.col("whole") + (middle <= 2 * F.col("rest")).cast("long")).cast("long"))
-            .select("id", "size", "source_size", "target", "repetitions",
-                    (F.col("repetitions") * F.col("size")).alias("taken")))
+    key, hashed, size = _keys(docs, id_col, text_col, source_col, seed)
+    rows = materialise(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+                                   key.alias("key"), size.alias("size"), hashed.alias("hashed")), "sizes")
+    return _with_rates(rows, rates(rows.drop("id"), weights, share, max_epochs)).select(
+        "id", "size", "source_size", "target", "repetitions", (F.col("repetitions") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                    weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0,
+                    seed: int = 0) -> DataFrame:
+    """The mix itself: every document as many times as it is repeated, with all its columns."""
+    key, hashed, size = _keys(docs, id_col, text_col, source_col, seed)
+    keyed = [key.alias("key"), size.alias("size"), hashed.alias("hashed")]
+    rows = materialise(docs.select(F.col(source_col).cast("string").alias("source"), *keyed), "sizes")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), *keyed)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("repetitions")))
+    return (_with_rates(packed, rates(rows, weights, share, max_epochs)).where("repetitions > 0")
+            .select("row", again.alias("time")).select("row.*"))

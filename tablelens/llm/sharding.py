@@ -117,27 +117,41 @@ def shard_of(splits: list[tuple[int, int]], first: int = 0) -> Column:
     return F.when(before, shard_of(splits[:mid], first)).otherwise(shard_of(splits[mid + 1:], first + mid + 1))
 
 
+def _placed(rows: DataFrame, splits: list[tuple[int, int]], counted: DataFrame) -> DataFrame:
+    """Add shard and slot to rows with a key; one exchange.  ``counted`` has the same keys, without the texts.
+
+    Shards are ranges of keys: a slot is the rows in earlier parts of the shard plus the place in the own part.
+    """
+    part = F.shiftright("h", 51).cast("int")
+    counts = (counted.groupBy(shard_of(splits).alias("shard"), part.alias("part"))
+              .agg(F.count(F.lit(1)).alias("n")))  # at most 4096 + shards rows
+    begins = counts.select("shard", "part", (F.sum("n").over(
+        Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h", "k", "size")) - 1
+    return (rows.withColumn("shard", shard_of(splits)).withColumn("part", part).withColumn("place", place)
+            .join(F.broadcast(begins), ["shard", "part"]).withColumn("slot", F.col("before") + F.col("place")))
+
+
 def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text",
                   tolerance: float = 0.001) -> DataFrame:
     """One row per input row: id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
     rows = materialise(keyed(docs, id_col, text_col), "keys")
-    placed = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance)))
-    # shards are key ranges: a slot is the rows of earlier parts of the shard plus the place in its own part
-    placed = placed.withColumn("part", F.shiftright("h", 51).cast("int"))
-    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # at most 4096 + shards rows
-    begins = counts.select("shard", "part", (F.sum("n").over(
-        Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h", "k", "size", "text_crc32")) - 1
-    return (placed.withColumn("place", place).join(F.broadcast(begins), ["shard", "part"])
-            .select("id", "size", "text_crc32", "shard", (F.col("before") + F.col("place")).alias("slot")))
+    return _placed(rows, splitters(rows, shards, tolerance), rows).select("id", "size", "text_crc32", "shard", "slot")
+
+
+def sharded_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text",
+                      tolerance: float = 0.001) -> DataFrame:
+    """The documents with all their columns and their shard and slot (which take the place of columns so named)."""
+    keys = materialise(keyed(docs, id_col, text_col).drop("id"), "keys")
+    h, k = sort_key(docs, id_col, text_col)
+    size = F.octet_length(text_of(text_col)) + F.lit(OVERHEAD)
+    own = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    rows = docs.select(F.struct(*own).alias("row"), h.alias("h"), k.alias("k"), size.alias("size"))
+    return _placed(rows, splitters(keys, shards, tolerance), keys).select("row.*", "shard", "slot")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text",
                  tolerance: float = 0.001) -> None:
-    """Write the documents, all columns, into one folder per shard in key order; one exchange of the texts."""
-    splits = splitters(materialise(keyed(docs, id_col, text_col), "keys"), shards, tolerance)
-    h, k = sort_key(docs, id_col, text_col)
-    moved = (docs.select(F.struct(*docs.columns).alias("row"), h.alias("h"), k.alias("k"))
-             .withColumn("__shard", shard_of(splits)).repartition(shards, "__shard")
-             .sortWithinPartitions("__shard", "h", "k"))
-    moved.select("__shard", "row.*").write.partitionBy("__shard").parquet(path)
+    """Write the documents into one folder per shard, in slot order within each file."""
+    (sharded_documents(docs, shards, id_col, text_col, tolerance).sortWithinPartitions("shard", "slot")
+     .write.partitionBy("shard").parquet(path))
