@@ -45,6 +45,13 @@ def op2_token_count(spark, sf):
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark, sf):
+    from tablelens.llm.substring_dedup import remove_repeats
+    return remove_repeats(load(spark, sf, "documents"), length=100).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_token_files")
 def op5_token_files(spark, sf):
     import public_tokenizers
