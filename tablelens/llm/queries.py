@@ -45,6 +45,13 @@ def op2_token_count(spark, sf):
     return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+@query("op3_language")
+def op3_language(spark, sf):
+    from tablelens.llm.language import identify, learn_text
+    found = identify(load(spark, sf, "pages"), learn_text(load(spark, sf, "documents")))
+    return found.select(F.col("id").alias("page_id"), "lang", F.round("probability", 6).alias("probability"), "text_lang")
+
+
 @query("op4_substring_dedup")
 def op4_substring_dedup(spark, sf):
     from tablelens.llm.substring_dedup import remove_repeats
