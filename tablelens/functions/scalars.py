@@ -8,13 +8,15 @@ pandas and most SQL engines reject.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 __all__ = [
     "NUMBER_PATTERN", "to_number", "is_number_text", "hash_int", "hash_unit", "hash_bucket",
-    "nonfinite_to_null", "nan_to_null", "parse_compact", "weekday_mon0", "clamp", "safe_div",
+    "nonfinite_to_null", "finite_table", "finite_input", "parse_compact", "weekday_mon0",
     "is_numeric_type", "is_datetime_type", "is_string_type", "round_half_even",
 ]
 
@@ -48,16 +50,30 @@ def to_number(c: Column) -> Column:
     return F.when(is_number_text(s), F.trim(s).try_cast("double"))
 
 
-def nan_to_null(c: Column) -> Column:
-    """Ingest normalisation: Spark keeps NaN as a value, pandas treats it as missing."""
-    return F.when(~F.isnan(c), c)
-
-
 def nonfinite_to_null(c: Column) -> Column:
     """NaN and +/-Inf become NULL."""
     return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
 
 
+def finite_table(df: DataFrame) -> DataFrame:
+    """Missing-value normalisation: NaN and +/-Inf of every float column become
+    NULL, as all operators count missing values.  A projection, or nothing where
+    no column is a float."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    if not floats:
+        return df
+    return df.select(*[(nonfinite_to_null(F.col(f"`{c}`")).alias(c) if c in floats else F.col(f"`{c}`"))
+                       for c in df.columns])
+
+
+def finite_input(fn):
+    """Operators whose first argument is a table: it is read with NaN and +/-Inf as missing."""
+    @functools.wraps(fn)
+    def run(df, *args, **kw):
+        return fn(finite_table(df), *args, **kw)
+    return run
+
+
 def hash_int(cols: list[str | Column], seed: int = 42) -> Column:
     """Portable 32-bit hash: first 8 hex digits of md5('k1#k2#...#seed').
 
@@ -95,14 +111,6 @@ def weekday_mon0(c: Column) -> Column:
     return F.weekday(c)
 
 
-def clamp(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def round_half_even(c: Column, scale: int) -> Column:
     """Python's ``round`` (banker's rounding)."""
     return F.bround(c, scale)

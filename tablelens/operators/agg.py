@@ -11,19 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.functions.scalars import finite_input
 from tablelens.operators.ranks import attach_scalars, exact_quantiles, prefix_sum, quantile_row
 
 _AGGS = ("count", "mean", "sum", "median", "min", "max")
 
 
+@finite_input
 def group_aggregate(df: DataFrame, group: str, agg: str = "count", of: str | None = None,
                     top: int = 8) -> DataFrame:
     """G1: ``label, value`` — count, or mean/sum/median/min/max of ``of`` per
-    group, largest first, ``top`` clamped to 1..12.  NULL groups are dropped."""
+    group, the ``top`` largest first.  NULL groups are dropped."""
     agg = agg.lower()
     if agg not in _AGGS:
         raise ValueError(f"unsupported aggregate {agg}")
-    top = max(1, min(12, int(top or 8)))
     d = df.where(F.col(group).isNotNull())
     label = F.col(group).cast("string").alias("label")
     if agg == "count":
@@ -46,6 +47,7 @@ def group_cardinality_ok(df: DataFrame, group: str) -> bool:
     return r["d"] <= max(40, 0.6 * r["n"])
 
 
+@finite_input
 def segment_rate(df: DataFrame, segment: str, target: str, positive, top: int = 5) -> DataFrame:
     """``label, value`` = share of rows with ``target == positive`` per
     segment (NULL segments dropped), highest first."""
@@ -56,6 +58,7 @@ def segment_rate(df: DataFrame, segment: str, target: str, positive, top: int =
     return g.orderBy(F.desc("value"), F.asc("label")).limit(top)
 
 
+@finite_input
 def quartile_means(df: DataFrame, col: str, target: str, q: int = 4) -> DataFrame:
     """Mean target per quantile bin of ``col`` (``pd.qcut`` with duplicate
     edges dropped; bins right-closed, the first also holds the minimum).
@@ -82,6 +85,7 @@ def quartile_means(df: DataFrame, col: str, target: str, q: int = 4) -> DataFram
                                                        F.lit(1.0))).alias("value"))
 
 
+@finite_input
 def value_shares(df: DataFrame, col: str, top: int = 5, missing_as_category: bool = False) -> DataFrame:
     """``label, value`` = share of each value, largest first.
 
@@ -98,6 +102,7 @@ def value_shares(df: DataFrame, col: str, top: int = 5, missing_as_category: boo
     return shares.orderBy(F.desc("value"), F.asc("label")).limit(top)
 
 
+@finite_input
 def histogram(df: DataFrame, col: str, bins: int = 8) -> DataFrame:
     """Equal-width histogram like ``np.histogram``: ``bin (1..n), lo, hi, count``;
     the last bin is right-closed; empty bins are kept."""
@@ -119,6 +124,7 @@ def histogram(df: DataFrame, col: str, bins: int = 8) -> DataFrame:
                          F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
+@finite_input
 def box_summary(df: DataFrame, col: str, by: str | None = None, max_classes: int = 4) -> DataFrame:
     """Five-number summary ``label, min, q1, med, q3, max``; one box per class
     of ``by`` when it has at most ``max_classes`` classes, else one box 'all'."""
@@ -135,6 +141,7 @@ def box_summary(df: DataFrame, col: str, by: str | None = None, max_classes: int
     return quantile_row(d, "v", probs, names, ["label"]).select("label", *names)
 
 
+@finite_input
 def headline_stats(df: DataFrame, target: str, is_classification: bool) -> DataFrame:
     """``rows, columns, avg_missing_pct`` and either the majority-class share
     or the mean target, in one aggregate pass."""
@@ -152,6 +159,7 @@ def headline_stats(df: DataFrame, target: str, is_classification: bool) -> DataF
     return attach_scalars(base.drop("mean_target").withColumn("mean_target", F.lit(None).cast("double")), maj)
 
 
+@finite_input
 def pareto(df: DataFrame, group: str, value: str) -> DataFrame:
     """``label, total, cum_share`` — groups by descending total with the running
     share of the grand total.  The running window is over grouped rows; many
@@ -175,6 +183,7 @@ def scale_by_max(df: DataFrame, value: str = "value", floor: float = 0.02) -> Da
                                   F.abs(F.col(value)) / F.coalesce(F.nullif(mx, F.lit(0.0)), F.lit(1.0)))))
 
 
+@finite_input
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """``label, count, share`` per class (NULL dropped), plus ``is_majority``."""
     g = df.where(F.col(target).isNotNull()).groupBy(F.col(target).cast("string").alias("label")) \

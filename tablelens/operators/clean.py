@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.scalars import (
+    finite_input,
     is_datetime_type, is_numeric_type, is_string_type, to_number, weekday_mon0,
 )
 from tablelens.operators.ranks import medians, prefix_sum
@@ -71,6 +72,7 @@ def _long_text(df: DataFrame, cols: list[str]) -> DataFrame:
                                          for c in cols])).alias("s")).select("s.k", "s.v")
 
 
+@finite_input
 def id_like_columns(df: DataFrame, target: str | None = None) -> list[str]:
     """C3 rule: name is ``id`` or ends in ``id`` (any case), or a text column whose
     distinct count (NULL included) equals the row count and whose mean text
@@ -94,6 +96,7 @@ def drop_id_columns(df: DataFrame, target: str | None = None):
     return df.drop(*ids), ids
 
 
+@finite_input
 def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     """C4: rows with a NULL target are removed."""
     return df.na.drop(subset=[target])
@@ -106,6 +109,7 @@ def finite_target(df: DataFrame, target: str) -> DataFrame:
                                           & (F.abs(_q(target)) < F.lit(float("inf"))))
 
 
+@finite_input
 def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
     """Exact non-null distinct count of several columns from one unpivoted job."""
     if not cols:
@@ -120,15 +124,12 @@ def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
 def auto_target(df: DataFrame) -> str:
     """A column with a known target name; else the last text column with
     2..10 distinct values; else the last column."""
-    for c in df.columns:
-        if c.strip().lower() in TARGET_NAMES:
-            return c
-    text = [c for c in df.columns if not is_numeric_type(df.schema[c].dataType)]
-    dc = distinct_counts(df, text)
-    for c in reversed(df.columns):
-        if c in dc and 1 < dc[c] <= 10:
-            return c
-    return df.columns[-1] if df.columns else ""
+    named = [c for c in df.columns if c.strip().lower() in TARGET_NAMES]
+    if named or not df.columns:
+        return named[0] if named else ""
+    counts = distinct_counts(df, [c for c in df.columns if not is_numeric_type(df.schema[c].dataType)])
+    few = [c for c, n in counts.items() if n in range(2, 11)]
+    return (few or df.columns)[-1]
 
 
 def task_kind(df: DataFrame, target: str, distinct: int | None = None) -> str:
@@ -158,6 +159,7 @@ def high_card_text(df: DataFrame, target: str | None = None) -> DataFrame:
              .select(F.col("k").alias("column_name"), F.col("n_distinct").cast("long"), "mean_len")
 
 
+@finite_input
 def impute_median(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Fill NULL numerics with the exact column median (distributed order
     statistics for all columns in one job)."""
@@ -179,19 +181,21 @@ def label_dictionary(df: DataFrame, col: str) -> DataFrame:
     return r.select("value", (F.col("cum__one") - 1).cast("int").alias("code"))
 
 
-def label_encode(df: DataFrame, cols: list[str], dict_broadcast_max: int = 1_000_000) -> DataFrame:
+def label_encode(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace text by its code; NULL -> -1 (pandas ``cat.codes``).
 
-    Dictionaries below ``dict_broadcast_max`` entries are broadcast; larger ones
-    are joined by shuffle."""
+    The dictionaries of all columns are built together; each is joined by its
+    column, broadcast or not as the optimizer finds by its bytes."""
+    if not cols:
+        return df
+    values = _long_text(df, cols).where(F.col("v").isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
+    codes = prefix_sum(values, "v", ["_one"], partition_cols=["k"]).select(
+        "k", "v", (F.col("cum__one") - 1).cast("int").alias("code"))
     out = df
-    for c in cols:
-        dic = label_dictionary(df, c)
-        size = dic.count()
-        dic = dic.withColumnRenamed("value", f"_v_{c}").withColumnRenamed("code", f"_code_{c}")
-        side = F.broadcast(dic) if size <= dict_broadcast_max else dic
-        out = out.join(side, _q(c).cast("string") == F.col(f"_v_{c}"), "left")
-        out = out.withColumn(c, F.coalesce(F.col(f"_code_{c}"), F.lit(-1))).drop(f"_v_{c}", f"_code_{c}")
+    for i, c in enumerate(cols):
+        own = codes.where(F.col("k") == F.lit(c)).select(F.col("v").alias(f"_v{i}"), F.col("code").alias(f"_code{i}"))
+        out = out.join(own, _q(c).cast("string") == F.col(f"_v{i}"), "left")
+        out = out.withColumn(c, F.coalesce(F.col(f"_code{i}"), F.lit(-1))).drop(f"_v{i}", f"_code{i}")
     return out
 
 
@@ -228,6 +232,7 @@ def date_parts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return out
 
 
+@finite_input
 def variances(df: DataFrame, cols: list[str]) -> dict[str, float]:
     r = df.agg(*[F.var_samp(_q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)]).first()
     return {c: (r[f"v{i}"] if r[f"v{i}"] is not None else 0.0) for i, c in enumerate(cols)}
@@ -240,6 +245,7 @@ def top_variance_columns(df: DataFrame, k: int = 150) -> list[str]:
     return [c for c, _ in sorted(v.items(), key=lambda kv: (-kv[1], num.index(kv[0])))[:k]]
 
 
+@finite_input
 def variance_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """C13 as a table ``(column, variance)`` from one aggregate."""
     row = df.agg(*[F.var_samp(_q(c).cast("double")).alias(f"v{i}") for i, c in enumerate(cols)])
@@ -254,10 +260,11 @@ def drop_constant_columns(df: DataFrame) -> DataFrame:
     return df.select(*[_q(c) for c in df.columns if dc[c] > 1])
 
 
-def numeric_matrix(df: DataFrame, drop: str | None = None, max_cols: int = 150,
+@finite_input
+def numeric_matrix(df: DataFrame, drop: str | None = None, max_cols: int | None = None,
                    keep: list[str] | None = None) -> DataFrame:
     """Drop ids (and ``drop``), coerce numeric text, label-encode other
-    text, impute medians then 0, keep the ``max_cols`` highest-variance columns.
+    text, impute medians then 0; with ``max_cols`` keep that many highest-variance columns.
     ``keep`` columns (row keys) pass through untouched and are not features."""
     keep = list(keep or [])
     feats = df.drop(*keep)
@@ -276,12 +283,13 @@ def numeric_matrix(df: DataFrame, drop: str | None = None, max_cols: int = 150,
     med = medians(work, cols)
     work = work.select(*[_q(c) for c in keep],
                        *[F.coalesce(_q(c).cast("double"), F.lit(med.get(c)), F.lit(0.0)).alias(c) for c in cols])
-    if len(cols) > max_cols:
+    if max_cols and len(cols) > max_cols:
         v = variances(work, cols)
         cols = sorted(cols, key=lambda c: (-v[c], cols.index(c)))[:max_cols]
     return work.select(*[_q(c) for c in keep], *[_q(c).cast("double").alias(c) for c in cols])
 
 
+@finite_input
 def infer_ui_types(df: DataFrame) -> DataFrame:
     """Per column over ALL rows (text form): number / date / category / text / empty.
     One unpivoted aggregation: per (column, value) first, then per column."""

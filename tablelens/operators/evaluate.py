@@ -29,9 +29,10 @@ def confusion(df: DataFrame, y: str, pred: str) -> DataFrame:
     of actual and predicted values; a class label set is small)."""
     a, p = _q(y).cast("string"), _q(pred).cast("string")
     cells = df.groupBy(a.alias("actual"), p.alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
-    labels = sorted({r[0] for r in cells.select("actual").union(cells.select("predicted")).distinct().collect()
-                     if r[0] is not None})
-    grid = df.sparkSession.createDataFrame([(x, z) for x in labels for z in labels], "actual string, predicted string")
+    labels = (cells.select(F.col("actual").alias("label")).union(cells.select("predicted")).where("label is not null")
+              .agg(F.array_sort(F.collect_set("label")).alias("labels")))  # the class names, once each
+    grid = (labels.select(F.explode("labels").alias("actual"), "labels")
+            .select("actual", F.explode("labels").alias("predicted")))
     return grid.join(cells, ["actual", "predicted"], "left") \
                .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
@@ -190,7 +191,7 @@ def whatif_score(scenarios: DataFrame, key_cols: list[str], curves: DataFrame, b
                  probability: bool = False) -> DataFrame:
     """Additive surrogate ``baseline + sum_f (interp_f(x_f) - baseline)``.
 
-    ``curves``: ``feature, i, x, pred`` (a few points per feature — broadcast);
+    ``curves``: ``feature, i, x, pred`` (a few points per feature);
     ``scenarios``: key columns plus one column per feature.  Linear
     interpolation inside the curve, clamped to the end values outside; the sum
     is clamped to 0..1 for probabilities.  The lookup is an equi-join on the
@@ -204,7 +205,7 @@ def whatif_score(scenarios: DataFrame, key_cols: list[str], curves: DataFrame, b
     seg = a.join(b, ["feature", "i"])
     ends = curves.groupBy("feature").agg(F.min_by("pred", "i").alias("p_first"), F.min("x").alias("x_first"),
                                          F.max_by("pred", "i").alias("p_last"), F.max("x").alias("x_last"))
-    seg = F.broadcast(seg.join(ends, "feature"))  # bounded by features x points
+    seg = seg.join(ends, "feature")
     j = long.join(seg, "feature")
     inside = (F.col("v") >= F.col("x0")) & (F.col("v") <= F.col("x1"))
     span = F.col("x1") - F.col("x0")

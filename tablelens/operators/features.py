@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.scalars import hash_unit, is_numeric_type
+from tablelens.functions.scalars import finite_input, hash_unit, is_numeric_type
 from tablelens.operators.clean import distinct_counts, variances
 
 
@@ -26,6 +26,7 @@ def sample_skew(c) -> F.Column:
     return F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
 
 
+@finite_input
 def skew_table(df: DataFrame, cols: list[str]) -> DataFrame:
     """``column_name, skew, min, n`` for numeric columns, one pass."""
     row = df.agg(*[x for i, c in enumerate(cols) for x in (
@@ -49,12 +50,14 @@ def log_candidates(df: DataFrame, cols: list[str] | None = None, max_new: int =
     return out
 
 
+@finite_input
 def log_features(df: DataFrame, cols: list[str] | None = None, max_new: int = 3) -> DataFrame:
     """Add ``log_<c> = log1p(c)`` for skewed non-negative columns."""
     picked = log_candidates(df, cols, max_new)
     return df.select("*", *[F.log1p(_q(c).cast("double")).alias(f"log_{c}") for c in picked])
 
 
+@finite_input
 def interaction_feature(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """``<a>_x_<b>`` = product of the two highest-variance numeric columns."""
     cols = cols or [c for c in df.columns if is_numeric_type(df.schema[c].dataType)]
@@ -65,6 +68,7 @@ def interaction_feature(df: DataFrame, cols: list[str] | None = None) -> DataFra
     return df.withColumn(f"{a}_x_{b}", _q(a) * _q(b))
 
 
+@finite_input
 def standardize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """(x - mean) / population sigma (scikit-learn ``StandardScaler``);
     a zero sigma leaves the centred value unscaled."""
@@ -79,6 +83,7 @@ def standardize(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     return df.select(*[(exprs[c].alias(c) if c in exprs else _q(c)) for c in df.columns])
 
 
+@finite_input
 def minmax(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     """(x - min) / (max - min); a constant column maps to 0.5."""
     r = df.agg(*[x for i, c in enumerate(cols) for x in
@@ -95,28 +100,29 @@ def minmax(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     return df.select(*[(exprs[c].alias(c) if c in exprs else _q(c)) for c in df.columns])
 
 
-def one_hot(df: DataFrame, col: str, values: list | None = None, prefix: str | None = None) -> DataFrame:
+def one_hot(df: DataFrame, col: str, values: list | None = None, prefix: str | None = None,
+            max_values: int | None = 1000) -> DataFrame:
     """One 0/1 column per category value (values sorted; NULL gets none).
-    The category list is bounded: a one-hot over an id column is an error."""
+    The result has a column per value, so ``max_values`` (None: no limit) guards
+    against encoding an id; for more values use the label or target encoder."""
     if values is None:
-        rows = df.select(_q(col)).where(_q(col).isNotNull()).distinct().limit(1001).collect()
-        if len(rows) > 1000:
-            raise ValueError(f"{col} has more than 1000 categories; one-hot refused")
+        seen = df.select(_q(col)).where(_q(col).isNotNull()).distinct()
+        rows = (seen if max_values is None else seen.limit(max_values + 1)).collect()  # a value per new column
+        if max_values is not None and len(rows) > max_values:
+            raise ValueError(f"{col} has over {max_values} values; raise max_values to encode them all")
         values = sorted(r[0] for r in rows)
     p = prefix or col
     return df.select("*", *[F.when(_q(col) == F.lit(v), 1).otherwise(0).alias(f"{p}_{v}") for v in values])
 
 
-def target_encode(df: DataFrame, col: str, target: str, train_mask: F.Column | None = None,
-                  broadcast_max: int = 1_000_000) -> DataFrame:
+@finite_input
+def target_encode(df: DataFrame, col: str, target: str, train_mask: F.Column | None = None) -> DataFrame:
     """Mean target per category fitted on the training rows only, joined
     back to every row; unseen categories get the training mean."""
     train = df.where(train_mask) if train_mask is not None else df
     enc = train.groupBy(_q(col).alias("_k")).agg(F.avg(_q(target).cast("double")).alias(f"{col}_te"))
     gm = train.agg(F.avg(_q(target).cast("double"))).first()[0]
-    n = enc.count()
-    side = F.broadcast(enc) if n <= broadcast_max else enc
-    out = df.join(side, _q(col).eqNullSafe(F.col("_k")), "left").drop("_k")
+    out = df.join(enc, _q(col).eqNullSafe(F.col("_k")), "left").drop("_k")
     return out.withColumn(f"{col}_te", F.coalesce(F.col(f"{col}_te"), F.lit(gm)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.functions.scalars import is_datetime_type, is_numeric_type
+from tablelens.functions.scalars import finite_input, is_datetime_type, is_numeric_type
 from tablelens.operators.ranks import attach_scalars
 
 
@@ -24,6 +24,7 @@ def _long_values(df: DataFrame) -> DataFrame:
     return df.select(F.explode(pairs).alias("s")).select("s.pos", "s.name", "s.v")
 
 
+@finite_input
 def column_stats(df: DataFrame) -> DataFrame:
     """Per column: pos, name, n, missing_n, unique (non-null distinct),
     distinct_all (NULL counted as a value), mean_len (of non-null text)."""
@@ -37,6 +38,7 @@ def column_stats(df: DataFrame) -> DataFrame:
     )
 
 
+@finite_input
 def profile_columns(df: DataFrame, target: str | None = None, max_cols: int | None = None) -> DataFrame:
     """``name, type, missing (% of rows, 1 decimal), unique`` for every column.
 
@@ -59,6 +61,7 @@ def profile_columns(df: DataFrame, target: str | None = None, max_cols: int | No
     )
 
 
+@finite_input
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (all but the first of each group)."""
     g = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_c"))
@@ -89,6 +92,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     )
 
 
+@finite_input
 def quality_findings(df: DataFrame, target: str | None = None, positive=None,
                      corr_pairs: DataFrame | None = None, max_rows: int = 8) -> DataFrame:
     """P5: rule findings as rows ``(rule, subject, value, kind)``.

@@ -11,9 +11,12 @@ bucket its offset; the running sum inside a bucket is an ordinary window.
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablelens.functions.scalars import finite_table
 
 _SHARED: list[DataFrame] = []
 
@@ -29,11 +32,22 @@ def shared(df: DataFrame) -> DataFrame:
     return d
 
 
-def release_shared() -> None:
-    while _SHARED:
+def release_shared(keep: int = 0) -> None:
+    """Release all persisted intermediates but the first ``keep``."""
+    while len(_SHARED) > keep:
         _SHARED.pop().unpersist()
 
 
+@contextlib.contextmanager
+def shared_scope():
+    """Releases, at its end, what was persisted inside it (for steps whose results have been read)."""
+    keep = len(_SHARED)
+    try:
+        yield
+    finally:
+        release_shared(keep)
+
+
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row of ``df``.
 
@@ -43,14 +57,24 @@ def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     return df.withColumn("__scalar_key", F.lit(1)).join(one, "__scalar_key").drop("__scalar_key")
 
 
-# Inputs (distinct keys) up to this size take one ordinary window; larger ones
-# are range-bucketed so no task holds more than about size / buckets keys.
-SINGLE_WINDOW_MAX_ROWS = 200_000
+#: Keys that one bucket's window holds, about; the number of buckets follows from it.
+ROWS_PER_BUCKET = 200_000
+#: Bounds looked at together: a bucket is found in two short steps, not by a walk over all bounds.
+STRIDE = 64
 
 
-def _num_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(n, 8192))
+def _num_buckets(n: int) -> int:
+    return max(1, min(-(-n // ROWS_PER_BUCKET), 8192))
+
+
+def null_safe(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal columns where NULL equals NULL; the columns appear once, from the left."""
+    other = right.select(*[F.col(f"`{c}`").alias(f"__j{i}") for i, c in enumerate(cols)],
+                         *[F.col(f"`{c}`") for c in right.columns if c not in cols])
+    on = F.lit(True)
+    for i, c in enumerate(cols):
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"__j{i}"))
+    return left.join(other, on, how).drop(*[f"__j{i}" for i in range(len(cols))])
 
 
 def _text_bounds(df: DataFrame, skey: Column, buckets: int) -> list:
@@ -80,8 +104,12 @@ def with_range_bucket(df: DataFrame, skey: Column, buckets: int, numeric: bool =
         bounds = df.agg(F.percentile_approx(skey.cast("double"), probs, max(10000, 20 * buckets)).alias("_bounds"))
         d = attach_scalars(df, bounds)
         key = skey.cast("double")
-        b = F.coalesce(F.size(F.filter(F.col("_bounds"), lambda x: x < key)), F.lit(0))
-        return d.withColumn("_b", b.cast("int")).drop("_bounds")
+        below = lambda bounds: F.coalesce(F.size(F.filter(bounds, lambda x: x < key)), F.lit(0))
+        every = F.transform(F.sequence(F.lit(STRIDE), F.lit(buckets - 1), F.lit(STRIDE)),
+                            lambda i: F.element_at("_bounds", i)) if buckets > STRIDE else F.array().cast("array<double>")
+        skipped = (F.lit(STRIDE) * below(every)).cast("int")
+        b = skipped + below(F.slice("_bounds", skipped + 1, F.lit(STRIDE)))
+        return d.withColumn("_b", F.coalesce(b, F.lit(0)).cast("int")).drop("_bounds")
     bounds = _text_bounds(df, skey, buckets)
     if not bounds:
         return df.withColumn("_b", F.lit(0))
@@ -96,8 +124,8 @@ def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_col
     ``order_col`` is numeric or text (ascending only).  Rows with equal keys
     are ordered by ``tie_cols`` (ascending); without them keys should be
     distinct within ``partition_cols``.  ``descending`` sums from the largest
-    key down.  The input is persisted and counted once; small inputs take a
-    single window, large ones the bucketed path.
+    key down.  NULL is a partition like any other.  The input is persisted and
+    counted once; the count sets the number of buckets and nothing else.
     """
     from tablelens.functions.scalars import is_numeric_type
     pc = list(partition_cols or [])
@@ -107,21 +135,19 @@ def prefix_sum(df: DataFrame, order_col: str, sum_cols: list[str], partition_col
     df = shared(df)  # read by the bounds, the totals and the rows
     skey = -F.col(order_col) if descending else F.col(order_col)
     order = [skey] + [F.col(c) for c in (tie_cols or [])]
-    if df.count() <= SINGLE_WINDOW_MAX_ROWS:
-        # size-checked: a window over at most SINGLE_WINDOW_MAX_ROWS keys in one task
-        w = Window.partitionBy(*pc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.select(*[F.col(c) for c in df.columns], *[F.sum(c).over(w).alias(f"{prefix}{c}") for c in sum_cols])
-    d = with_range_bucket(df, skey, _num_buckets(df), numeric)
+    buckets = _num_buckets(df.count())
+    d = with_range_bucket(df, skey, buckets, numeric)
+    wi = Window.partitionBy(*pc, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = {c: F.sum(c).over(wi) for c in sum_cols}
+    if buckets == 1:  # every offset is 0
+        return d.select(*[F.col(c) for c in df.columns], *[run[c].alias(f"{prefix}{c}") for c in sum_cols])
     totals = d.groupBy(*pc, "_b").agg(*[F.sum(c).alias(c) for c in sum_cols])
     wt = Window.partitionBy(*pc).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*pc, "_b", *[F.coalesce(F.sum(c).over(wt), F.lit(0)).alias(f"_off_{c}")
                                         for c in sum_cols])
-    if not pc:
-        offsets = F.broadcast(offsets)  # at most `buckets` rows
-    wi = Window.partitionBy(*pc, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = d.join(offsets, on=pc + ["_b"], how="inner")
+    out = null_safe(d, offsets, pc + ["_b"])
     return out.select(*[F.col(c) for c in df.columns],
-                      *[(F.col(f"_off_{c}") + F.sum(c).over(wi)).alias(f"{prefix}{c}") for c in sum_cols])
+                      *[(F.col(f"_off_{c}") + run[c]).alias(f"{prefix}{c}") for c in sum_cols])
 
 
 def value_counts(df: DataFrame, value_col: str, group_cols: list[str] | None = None) -> DataFrame:
@@ -139,32 +165,51 @@ def midranks(df: DataFrame, value_col: str, group_cols: list[str] | None = None)
     return cum.withColumn("midrank", F.col("cum__c") - F.col("_c") + (F.col("_c") + 1) / 2.0)
 
 
+#: Ranks a bracket reaches to both sides of a quantile, as a share; approximate percentiles err by 1e-4 at most.
+REACH, ACCURACY = 2.5e-4, 10_000
+#: Groups below this size have brackets over all their values (a rank is a large share of them).
+WHOLE_BELOW = 8_000
+
+
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
                     group_cols: list[str] | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas/NumPy default, SQL
-    ``quantile_cont``) as rows ``(group..., p, q)`` — distributed order statistics,
-    no single buffer holds all values."""
+    ``quantile_cont``) as rows ``(group..., p, q)``; NULL is a group.
+
+    A first pass brackets every quantile by approximate percentiles; a second
+    counts the values below a bracket and keeps those inside it, about 0.05 %
+    of a large group, whose running counts give the exact order statistics."""
     gc = list(group_cols or [])
+    df = finite_table(df.select(*[F.col(f"`{c}`") for c in gc], F.col(f"`{value_col}`").cast("double").alias("_v")))
+    df = df.where(F.col("_v").isNotNull())
     if not gc:  # a constant group keeps every step an equi-join
         df, gc = df.withColumn("_g0", F.lit(0)), ["_g0"]
-    vc = shared(value_counts(df, value_col, gc))
-    cum = prefix_sum(vc, value_col, ["_c"], gc)
-    n = vc.groupBy(*gc).agg(F.sum("_c").alias("_n"))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    x = cum.join(n, on=gc, how="inner")
-    x = x.select(*gc, F.col(value_col).cast("double").alias("_v"), "_c", "cum__c", "_n",
-                 F.explode(ps).alias("p"))
+    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-REACH, REACH)]
+    marks = df.groupBy(*gc).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", ends, ACCURACY).alias("_e"))
+    whole = F.col("_n") < WHOLE_BELOW
+    brackets = F.array(*[F.struct(
+        F.lit(float(p)).alias("p"), F.when(whole, F.lit(float("-inf"))).otherwise(F.col("_e")[2 * i]).alias("lo"),
+        F.when(whole, F.lit(float("inf"))).otherwise(F.col("_e")[2 * i + 1]).alias("hi")) for i, p in enumerate(probs)])
+    marks = marks.select(*gc, "_n", brackets.alias("_brackets"))
+    # one row per (group, quantile, value inside its bracket); values below it only count
+    near = F.transform(F.filter("_brackets", lambda x: F.col("_v") <= x["hi"]), lambda x: F.struct(
+        x["p"].alias("p"), F.when(F.col("_v") >= x["lo"], F.col("_v")).alias("x")))
+    counts = (null_safe(df, marks, gc).select(*gc, "_n", F.inline(near))
+              .groupBy(*gc, "p", "x").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")))
+    counts = shared(counts)
+    below = counts.where("x is null").select(*gc, "p", F.col("_c").alias("_below"))
+    inside = prefix_sum(counts.where("x is not null"), "x", ["_c"], [*gc, "p"])
+    x = null_safe(inside, below, [*gc, "p"], "left")
+    end = F.coalesce("_below", F.lit(0)) + F.col("cum__c")
+    start = end - F.col("_c")
     h = (F.col("_n") - 1) * F.col("p")
     lo, hi = F.floor(h), F.ceil(h)
-    start = F.col("cum__c") - F.col("_c")
-    in_lo = (start <= lo) & (lo < F.col("cum__c"))
-    in_hi = (start <= hi) & (hi < F.col("cum__c"))
-    x = x.where(in_lo | in_hi).select(*gc, "p", h.alias("_h"), F.when(in_lo, F.col("_v")).alias("_vlo"),
-                                       F.when(in_hi, F.col("_v")).alias("_vhi"))
-    g = x.groupBy(*gc, "p").agg(F.max("_h").alias("_h"), F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"))
+    in_lo, in_hi = (start <= lo) & (lo < end), (start <= hi) & (hi < end)
+    g = (x.where(in_lo | in_hi).groupBy(*gc, "p").agg(
+        F.max(h).alias("_h"), F.max(F.when(in_lo, F.col("x"))).alias("_vlo"), F.max(F.when(in_hi, F.col("x"))).alias("_vhi")))
     frac = F.col("_h") - F.floor(F.col("_h"))
-    out = g.select(*gc, "p", (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("q"))
-    return out.drop("_g0")
+    return g.select(*[c for c in gc if c != "_g0"], "p",
+                    (F.col("_vlo") + frac * (F.col("_vhi") - F.col("_vlo"))).alias("q"))
 
 
 def quantile_row(df: DataFrame, value_col: str, probs: list[float], names: list[str],

@@ -147,14 +147,12 @@ def mean_ci(df: DataFrame, col: str, by: list[str] | None = None, conf: float =
             .withColumn("hi", F.col("mean") + F.col("_t") * F.col("sem")).drop("_t")
 
 
-def rank_column(df: DataFrame, col: str, out: str, broadcast_max: int = 2_000_000) -> DataFrame:
+def rank_column(df: DataFrame, col: str, out: str) -> DataFrame:
     """Attach the midrank of ``col`` to each row.  The rank table has one row per
-    distinct value; it is broadcast when small, else joined by shuffle (AQE
-    splits a hot value's partition)."""
+    distinct value; the optimizer broadcasts it or not by its bytes (AQE splits
+    a hot value's partition)."""
     r = midranks(df, col).select(F.col(col).alias(f"_v_{out}"), F.col("midrank").alias(out))
-    n = r.count()
-    side = F.broadcast(r) if n <= broadcast_max else r
-    return df.join(side, _q(col) == F.col(f"_v_{out}"), "left").drop(f"_v_{out}")
+    return df.join(r, _q(col) == F.col(f"_v_{out}"), "left").drop(f"_v_{out}")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalars import hash_bucket, hash_int, hash_unit
-from tablelens.operators.ranks import attach_scalars, prefix_sum, shared
+from tablelens.operators.ranks import attach_scalars, null_safe, prefix_sum, shared
 
 
 def hash_sample(df: DataFrame, key_cols: list[str], fraction: float, seed: int = 42) -> DataFrame:
@@ -26,21 +26,28 @@ def hash_sample_n(df: DataFrame, key_cols: list[str], n: int, seed: int = 42) ->
 
 
 def _class_ranks(df: DataFrame, label: str, key_cols: list[str], seed: int) -> DataFrame:
-    """Rank (1..n_c) of each row inside its class by hash, plus the class size."""
+    """Rank (1..n_c) of each row inside its class (NULL is one) by hash."""
     d = df.withColumn("_h", hash_int(key_cols, seed)).withColumn("_one", F.lit(1).cast("long"))
-    r = prefix_sum(d, "_h", ["_one"], partition_cols=[label], tie_cols=key_cols)
-    sizes = d.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    return r.join(F.broadcast(sizes), label).withColumnRenamed("cum__one", "_rank")
+    return prefix_sum(d, "_h", ["_one"], partition_cols=[label], tie_cols=key_cols).withColumnRenamed("cum__one", "_rank")
 
 
 def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_fraction: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Add ``split`` in {train, test}: in every class the ceil(f * n_c) rows
-    with the smallest hash go to test.  Class sizes are one row per class
-    (the label set is small by definition of a classification target)."""
-    r = _class_ranks(df, label, key_cols, seed)
-    test = F.col("_rank") <= F.ceil(F.col("_nc") * F.lit(float(test_fraction)))
-    return r.withColumn("split", F.when(test, "test").otherwise("train")).drop("_h", "_one", "_rank", "_nc")
+    with the smallest hash go to test (NULL is a class like any other).  Only
+    labels and keys are ranked, for the greatest key of each class that goes to test."""
+    keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(key_cols)]
+    narrow = df.select(F.col(f"`{label}`").alias("_class"), *keys)
+    names = [f"_k{i}" for i in range(len(keys))]
+    ranks = _class_ranks(narrow, "_class", names, seed)
+    sizes = narrow.groupBy("_class").agg(F.count(F.lit(1)).alias("_nc"))
+    cut = (null_safe(ranks, sizes, ["_class"]).where(F.col("_rank") <= F.ceil(F.col("_nc") * F.lit(float(test_fraction))))
+           .groupBy("_class").agg(F.max(F.struct("_h", *names)).alias("_cut")))  # a row per class
+    own = F.struct(hash_int(key_cols, seed).alias("_h"), *keys)
+    rows = df.withColumn("_class", F.col(f"`{label}`")).withColumn("_own", own)
+    out = null_safe(rows, cut, ["_class"], "left")
+    test = F.coalesce(F.col("_own") <= F.col("_cut"), F.lit(False))
+    return out.withColumn("split", F.when(test, "test").otherwise("train")).drop("_class", "_own", "_cut")
 
 
 def random_split(df: DataFrame, key_cols: list[str], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
@@ -59,7 +66,7 @@ def kfold(df: DataFrame, key_cols: list[str], k: int | None = None, label: str |
     if label is None:
         return df.withColumn("fold", hash_bucket(key_cols, k, seed))
     r = _class_ranks(df, label, key_cols, seed)
-    return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_one", "_rank", "_nc")
+    return r.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_one", "_rank")
 
 
 def thin(df: DataFrame, order_col: str, m: int = 40) -> DataFrame:

@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelens.functions.scalars import is_datetime_type, is_numeric_type, to_number
+from tablelens.operators.ranks import null_safe
+from tablelens.functions.scalars import finite_table, is_datetime_type, is_numeric_type, to_number
 
 
 def _q(c: str):
@@ -113,42 +114,36 @@ def _hw_fit(y: np.ndarray, period: int, seasonal: bool, horizon: int):
     return fitted, fc, (a, b, g)
 
 
-def holt_winters(series: DataFrame, keys: list[str], t_col: str, y_col: str, max_points: int = 3000) -> DataFrame:
+def holt_winters(series: DataFrame, keys: list[str], t_col: str, y_col: str,
+                 max_points: int | None = None) -> DataFrame:
     """Per series forecast with a fixed (alpha, beta, gamma) grid chosen by
-    in-sample SSE.  Output rows ``keys..., kind (history|forecast), idx, value``
-    (history = the last 60 points) with the series' ``mae, mape, period,
-    horizon, direction`` repeated on each row."""
+    in-sample SSE, over all its points (``max_points``: only the last so many).
+    Output rows ``keys..., kind (history|forecast), idx, value`` (history = the
+    last 60 points) with the series' ``mae, mape, period, horizon, direction``
+    repeated on each row.  Period and horizon are those of :func:`series_plan`."""
     key_schema = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
+    columns = ["kind", "idx", "value", "mae", "mape", "period", "horizon", "direction"]
     schema = f"{key_schema}, kind string, idx int, value double, mae double, mape double, " \
              f"period int, horizon int, direction string"
+    points = finite_table(series.select(*keys, F.col(t_col).alias("_t"), F.col(y_col).cast("double").alias("_y")))
+    points = points.where(F.col("_y").isNotNull())
+    if max_points:
+        w = Window.partitionBy(*keys).orderBy(F.desc("_t"))  # planned as a group limit, partial before the shuffle
+        points = points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_points).drop("_r")
+    plan = series_plan(points, keys).where("n >= 12")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t_col)
-        y = pd.to_numeric(pdf[y_col], errors="coerce").dropna().to_numpy(dtype=float)[-max_points:]
-        n = len(y)
-        if n < 12:
-            return pd.DataFrame(columns=keys + ["kind", "idx", "value", "mae", "mape", "period", "horizon",
-                                                "direction"])
-        period = 12 if n >= 60 else 7 if n >= 28 else 1
-        seasonal = period > 1 and n > 2 * period
-        horizon = max(6, min(24, n // 6))
-        fitted, fc, _ = _hw_fit(y, period, seasonal, horizon)
-        mae = float(np.abs(y - fitted).mean())
-        nz = np.abs(y) >= 1e-9
-        mape = float(np.abs((y[nz] - fitted[nz]) / y[nz]).mean() * 100) if nz.any() else float("nan")
-        hist = y[-60:]
-        direction = "rising" if fc[-1] > hist[-1] else "falling" if fc[-1] < hist[-1] else "flat"
-        rows = [("history", i, float(v)) for i, v in enumerate(hist)] + \
-               [("forecast", len(hist) + i, float(v)) for i, v in enumerate(fc)]
-        out = pd.DataFrame(rows, columns=["kind", "idx", "value"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out["mae"], out["mape"], out["period"] = mae, mape, period if seasonal else 1
-        out["horizon"], out["direction"] = horizon, direction
-        return out[keys + ["kind", "idx", "value", "mae", "mape", "period", "horizon", "direction"]]
-
-    # only the last max_points of each series reach Python (WindowGroupLimit keeps it partial)
-    w = Window.partitionBy(*keys).orderBy(F.desc(t_col))
-    recent = series.select(*keys, t_col, y_col).withColumn("_r", F.row_number().over(w)) \
-                   .where(F.col("_r") <= max_points).drop("_r")
-    return recent.groupBy(*keys).applyInPandas(fit, schema)
+        pdf = pdf.sort_values("_t", kind="stable")
+        y, plan = pdf["_y"].to_numpy(dtype=float), pdf.iloc[0]
+        period, horizon = int(plan["period"]) if plan["seasonal"] else 1, int(plan["horizon"])
+        fitted, ahead, _ = _hw_fit(y, int(plan["period"]), bool(plan["seasonal"]), horizon)
+        shown, error, sized = y[-60:], np.abs(y - fitted), np.abs(y) >= 1e-9
+        moved = ahead[-1] - shown[-1]
+        out = pd.DataFrame({"kind": ["history"] * len(shown) + ["forecast"] * len(ahead),
+                            "idx": range(len(shown) + len(ahead)), "value": np.r_[shown, ahead]})
+        out[keys] = [plan[k] for k in keys]
+        return out.assign(mae=error.mean(), mape=(error[sized] / np.abs(y[sized])).mean() * 100 if sized.any() else np.nan,
+                          period=period, horizon=horizon,
+                          direction="flat" if moved == 0 else "rising" if moved > 0 else "falling")[keys + columns]
+
+    return null_safe(points, plan, keys).groupBy(*keys).applyInPandas(fit, schema)

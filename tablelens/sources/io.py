@@ -2,7 +2,8 @@
 
 The reference reads one file into memory and samples it down to a row cap; on
 Spark the scan is split across executors and no cap is applied.  Sampling is
-still offered (I5/I6), always deterministic.
+still offered (I5/I6), always deterministic.  Every reader gives NaN and
+infinities as NULL.
 """
 
 from __future__ import annotations
@@ -10,20 +11,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelens.functions.scalars import hash_unit
+from tablelens.functions.scalars import finite_table, hash_unit
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Parquet scan; projection and filters are pushed into the reader."""
-    return spark.read.parquet(path)
+    return finite_table(spark.read.parquet(path))
 
 
 def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -> DataFrame:
     """CSV with a header.  Pass ``schema`` at scale; inference costs a full pass."""
     r = spark.read.option("header", header).option("mode", "PERMISSIVE")
     if schema is not None:
-        return r.schema(schema).csv(path)
-    return r.option("inferSchema", True).csv(path)
+        return finite_table(r.schema(schema).csv(path))
+    return finite_table(r.option("inferSchema", True).csv(path))
 
 
 def read_json(spark: SparkSession, path: str, schema=None, array_document: bool = False) -> DataFrame:
@@ -32,7 +33,7 @@ def read_json(spark: SparkSession, path: str, schema=None, array_document: bool
     r = spark.read.option("multiLine", array_document)
     if schema is not None:
         r = r.schema(schema)
-    return r.json(path)
+    return finite_table(r.json(path))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str | None = None, **kw) -> DataFrame:
@@ -49,11 +50,11 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None, **kw) ->
 
 def source_row_count(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """I4: size of a source without building the table.  Parquet answers from
-    footers; text formats count lines (minus the header for CSV)."""
+    footers; text formats count lines (minus each file's header for CSV)."""
     fmt = (fmt or path.rsplit(".", 1)[-1]).lower()
     if fmt in ("csv", "tsv", "txt"):
-        lines = spark.read.text(path)
-        return lines.agg((F.count(F.lit(1)) - 1).cast("long").alias("rows"))
+        per_file = spark.read.text(path).groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("lines"))
+        return per_file.agg(F.coalesce(F.sum(F.col("lines") - 1), F.lit(0)).cast("long").alias("rows"))
     return read_table(spark, path, fmt).agg(F.count(F.lit(1)).cast("long").alias("rows"))
 
 
