@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tablelens.functions.scalars import finite_input
 from tablelens.operators.ranks import attach_scalars, exact_quantiles, prefix_sum, quantile_row
 
-_AGGS = ("count", "mean", "sum", "median", "min", "max")
+AGGREGATES = ("count", "mean", "sum", "median", "min", "max")
 
 
 @finite_input
@@ -23,7 +23,7 @@ def group_aggregate(df: DataFrame, group: str, agg: str = "count", of: str | Non
     """G1: ``label, value`` — count, or mean/sum/median/min/max of ``of`` per
     group, the ``top`` largest first.  NULL groups are dropped."""
     agg = agg.lower()
-    if agg not in _AGGS:
+    if agg not in AGGREGATES:
         raise ValueError(f"unsupported aggregate {agg}")
     d = df.where(F.col(group).isNotNull())
     label = F.col(group).cast("string").alias("label")

@@ -10,16 +10,17 @@ every row with the broadcast forest — the forest size is fixed by
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.functions.scalars import finite_input
 from tablelens.operators.features import standardize
 from tablelens.operators.ranks import attach_scalars
 
@@ -34,26 +35,56 @@ def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------------- k-means
 
+#: Rows that the silhouette is taken over, at most: it needs the distances of all pairs of them.
+SILHOUETTE_ROWS = 2000
+
+
+def silhouette(x: np.ndarray, cluster: np.ndarray) -> float:
+    """Mean Euclidean silhouette of rows that are numbered by cluster."""
+    ids = np.unique(cluster)
+    if len(ids) < 2:
+        return 0.0
+    squares = (x ** 2).sum(axis=1)
+    apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0))
+    sizes = np.array([(cluster == c).sum() for c in ids])
+    sums = np.stack([apart[:, cluster == c].sum(axis=1) for c in ids], axis=1)
+    own = cluster[:, None] == ids[None, :]
+    inner = sums[own] / np.maximum(sizes[own.argmax(axis=1)] - 1, 1)
+    outer = np.where(own, np.inf, sums / sizes).min(axis=1)
+    score = (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)
+    return float(np.where(sizes[own.argmax(axis=1)] > 1, score, 0.0).mean())
+
+
+@finite_input
 def kmeans_select(df: DataFrame, cols: list[str], k_max: int = 8, seed: int = 42):
-    """Fit k = 2..k_max (fewer when rows are few) on standardised columns and
-    keep the best silhouette (Spark's squared-Euclidean silhouette).
-    Returns ``(scores DataFrame(k, silhouette), best_k, labelled DataFrame)``."""
+    """Fit k = 2..k_max (fewer when rows are few) on standardised columns, the
+    fits side by side, and keep the best Euclidean silhouette (over
+    ``SILHOUETTE_ROWS`` rows by hash).  Returns ``(scores DataFrame(k,
+    silhouette), best_k, labelled DataFrame)``, labelled with the raw columns."""
     if len(cols) < 2:
-        raise ValueError("clustering needs at least 2 numeric features")
-    z = _assembled(standardize(df, cols), cols).cache()
-    n = z.count()
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-    scores, best = [], None
-    for k in range(2, min(k_max + 1, n)):
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(z)
-        sil = ev.evaluate(model.transform(z))
-        scores.append((k, float(sil)))
-        if best is None or sil > best[1]:
-            best = (k, sil, model)
-    labelled = best[2].transform(z).drop("features")
-    out = df.sparkSession.createDataFrame(scores, "k int, silhouette double")
-    z.unpersist()
-    return out, best[0], labelled
+        raise ValueError("clustering takes two numeric columns or more")
+    scaled = [f"{c}__z" for c in cols]
+    z = _assembled(standardize(df, cols, suffix="__z"), scaled).drop(*scaled).cache()
+    try:
+        n = z.count()
+        turn = F.xxhash64(*[_q(c) for c in cols])
+        sample = np.array([r[0].toArray() for r in z.orderBy(turn, *[_q(c) for c in cols]).limit(SILHOUETTE_ROWS)
+                           .select("features").collect()])
+
+        def fit(k):
+            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(z)
+            centres = np.array(model.clusterCenters())
+            near = ((sample[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+            return k, silhouette(sample, near), model
+        with ThreadPoolExecutor(4) as pool:
+            found = list(pool.map(fit, range(2, min(k_max + 1, n))))
+    finally:
+        z.unpersist()
+    if not found:
+        raise ValueError("clustering takes three rows or more")
+    best = max(found, key=lambda x: (x[1], -x[0]))
+    out = df.sparkSession.createDataFrame([x[:2] for x in found], "k int, silhouette double")
+    return out, best[0], best[2].transform(z).drop("features")
 
 
 def segment_sizes(labelled: DataFrame, cluster_col: str = "cluster") -> DataFrame:
@@ -135,28 +166,27 @@ def _path_lengths(x: np.ndarray, tree) -> np.ndarray:
 def isolation_forest(df: DataFrame, key_cols: list[str], cols: list[str], n_trees: int = 200,
                      sample_size: int = 256, seed: int = 42) -> DataFrame:
     """U4: anomaly ``score`` in (0, 1) (2^(-E[h]/c(psi))) and ``flag`` = score > 0.5
-    (scikit-learn's contamination='auto') for EVERY row, on standardised columns."""
+    (scikit-learn's contamination='auto') for EVERY row, on standardised columns,
+    which are there as the array ``scaled``."""
     spark = df.sparkSession
     z = standardize(df.select(*key_cols, *cols), cols)
     n = z.count()
     psi = min(sample_size, n)
-    frac = min(1.0, 2.0 * psi / max(n, 1))
     vec = F.array(*[_q(c).cast("double") for c in cols])
+
     # Tree samples only need a deterministic hash (no cross-engine oracle): Spark's
     # native xxhash64 is far cheaper per row than md5 over concatenated text.
     def unit(*cs):
         return F.pmod(F.xxhash64(*[F.col(k) for k in key_cols], *cs, F.lit(seed)), F.lit(2 ** 31)) / F.lit(2.0 ** 31)
 
-    if n_trees * frac <= 1.0:
-        # disjoint hash ranges: one hash per row, map-only
-        u = unit()
-        picked = z.where(u < F.lit(n_trees * frac)).select(
-            F.floor(u / F.lit(frac)).cast("int").alias("tree"), unit(F.lit(1)).alias("h"), vec.alias("x"))
-    else:
-        trees = F.array(*[F.lit(t) for t in range(n_trees)])
-        picked = z.select(F.explode(trees).alias("tree"), *key_cols, vec.alias("x")) \
-                  .withColumn("h", unit(F.col("tree"))) \
-                  .where(F.col("h") < F.lit(frac)).select("tree", "h", "x")
+    # every tree draws its rows by a hash of its own from one pool, the least
+    # hashes of all rows, that would hold a sample of its own for each tree
+    pool = min(n, n_trees * psi)
+    trees = F.array(*[F.lit(t) for t in range(n_trees)])
+    drawn = (z.where(unit() <= F.lit(2.0 * pool / max(n, 1))).orderBy(unit(), *key_cols).limit(pool)
+             .select(F.explode(trees).alias("tree"), *key_cols, vec.alias("x")))
+    picked = (drawn.withColumn("h", unit(F.col("tree"))).where(F.col("h") <= F.lit(3.0 * psi / max(pool, 1)))
+              .select("tree", "h", "x"))
     height = int(math.ceil(math.log2(max(psi, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -172,31 +202,31 @@ def isolation_forest(df: DataFrame, key_cols: list[str], cols: list[str], n_tree
              for r in forest.orderBy("tree").collect()]  # n_trees x 2^height nodes at most
     bc = spark.sparkContext.broadcast(model)
     c = _avg_path(psi)
-    schema = ", ".join(f"`{k}` {z.schema[k].dataType.simpleString()}" for k in key_cols) + ", score double"
+    schema = ", ".join(f"`{k}` {z.schema[k].dataType.simpleString()}" for k in key_cols) + ", x array<double>, score double"
 
     def score(it):
         trees = bc.value
         for pdf in it:
             x = np.vstack([np.asarray(v, dtype=float) for v in pdf["x"]]) if len(pdf) else np.zeros((0, len(cols)))
             h = np.mean([_path_lengths(x, t) for t in trees], axis=0) if len(pdf) else np.zeros(0)
-            out = pdf[key_cols].copy()
+            out = pdf[[*key_cols, "x"]].copy()
             out["score"] = np.power(2.0, -h / c) if c > 0 else 0.5
             yield out
 
     scored = z.select(*key_cols, vec.alias("x")).mapInPandas(score, schema)
-    return scored.withColumn("flag", (F.col("score") > 0.5).cast("int"))
+    return scored.withColumn("flag", (F.col("score") > 0.5).cast("int")).withColumnRenamed("x", "scaled")
 
 
-def anomaly_drivers(df: DataFrame, flags: DataFrame, key_cols: list[str], cols: list[str], top: int = 6) -> DataFrame:
+def anomaly_drivers(flags: DataFrame, cols: list[str], top: int = 6) -> DataFrame:
     """``label, separation, value``: |mean(flagged) - mean(normal)| / sigma per
-    column from one conditional aggregate; value = separation / max, floor 0.08."""
-    j = df.select(*key_cols, *cols).join(flags.select(*key_cols, "flag"), key_cols)
+    column from one conditional aggregate over the scored rows (no join, so
+    repeated rows count once each); value = separation / max, floor 0.08."""
     aggs = []
     for i, c in enumerate(cols):
-        x = _q(c).cast("double")
+        x = F.col("scaled")[i]
         aggs += [F.avg(F.when(F.col("flag") == 1, x)).alias(f"a{i}"), F.avg(F.when(F.col("flag") == 0, x)).alias(f"b{i}"),
                  F.stddev_pop(x).alias(f"s{i}")]
-    row = j.agg(*aggs)
+    row = flags.agg(*aggs)
     st = F.array(*[F.struct(F.lit(c).alias("label"), F.lit(i).alias("pos"),
                             F.coalesce(F.abs(F.col(f"a{i}") - F.col(f"b{i}")) /
                                        F.when(F.col(f"s{i}") > 0, F.col(f"s{i}")).otherwise(F.lit(1e-9)),
@@ -222,7 +252,7 @@ def pca(df: DataFrame, key_cols: list[str], cols: list[str], k: int = 5):
     DataFrame(component, ratio), loadings DataFrame(label, value) of |PC1| top 6,
     projection DataFrame(keys, pc1, pc2))``."""
     if len(cols) < 2:
-        raise ValueError("dimensionality reduction needs at least two numeric features")
+        raise ValueError("a projection takes two numeric columns or more")
     spark = df.sparkSession
     k = min(k, len(cols))
     z = _assembled(standardize(df.select(*key_cols, *cols), cols), cols)

@@ -9,22 +9,26 @@ engineered features -> width cap) with every statistic computed by Spark.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.scalars import hash_unit, is_datetime_type, is_numeric_type, is_string_type
+from tablelens.functions.scalars import finite_table, hash_unit, is_datetime_type, is_numeric_type, is_string_type
 from tablelens.operators import clean as C
 from tablelens.operators import evaluate as V
 from tablelens.operators import features as X
+from tablelens.operators import text as TX
 from tablelens.operators.ranks import exact_quantiles, medians
-from tablelens.operators.sample import kfold, stratified_split
+from tablelens.operators.sample import kfold, random_split, stratified_split
 from tablelens.session import cut_lineage
 
 
@@ -32,13 +36,29 @@ def _q(c: str):
     return F.col(f"`{c}`")
 
 
+# Columns of the prepared table and of predictions; features so named are renamed inside.
+RESERVED = ["_key", "label", "split", "features", "feature", "x", "fold", "prediction", "probability",
+            "rawPrediction", "tfidf"]
+#: Classes of a target, at most; a target with more is an id or a number.
+MOST_CLASSES = 1000
+
+
 @dataclass
 class Prepared:
     data: DataFrame                 # _key, label, features (vector), split, + raw feature columns
-    features: list[str]
+    features: list[str]             # names of the raw feature columns in data
     is_classification: bool
     classes: list[str] = field(default_factory=list)
     log: list[str] = field(default_factory=list)
+    shown: dict = field(default_factory=dict)           # feature -> the user's column name
+    terms: list[str] = field(default_factory=list)      # vocabulary of the TF-IDF part of the feature vector
+    text_col: str | None = None                         # the column that the vocabulary is of
+    imbalance: dict | None = None                       # class counts before and after oversampling
+
+    @property
+    def names(self) -> list[str]:
+        """What each place of the feature vector stands for."""
+        return [self.shown.get(f, f) for f in self.features] + self.terms
 
     @property
     def binary(self) -> bool:
@@ -54,17 +74,30 @@ def check_preconditions(df: DataFrame, target: str | None, task: str) -> None:
     """Refuse inputs the task cannot use (raises ``ValueError``)."""
     if task in ("classification", "regression", "auto", "nlp"):
         if not target or target not in df.columns:
-            cols = ", ".join(df.columns[:12])
-            raise ValueError(f"target column '{target}' not found. Available columns: {cols}")
-        if df.where(_q(target).isNotNull()).limit(8).count() < 8:
-            raise ValueError("not enough rows to train a reliable model — need at least 8")
+            raise ValueError(f"no column is named {target!r}; the table has " + ", ".join(df.columns[:12]))
+        usable = C.finite_target(df, target) if task == "regression" else C.drop_missing_target(df, target)
+        if usable.limit(8).count() < 8:
+            raise ValueError("a model needs 8 rows with a target, at least")
+
+
+def longest_text(df: DataFrame, exclude: list[str]) -> tuple[str | None, list[str]]:
+    """The high-cardinality text column with the longest texts, and all such columns."""
+    found = sorted(C.high_card_text(df.drop(*exclude)).collect(), key=lambda r: (-(r["mean_len"] or 0.0), r["column_name"]))
+    names = [r["column_name"] for r in found]
+    return (names[0] if names else None), names
 
 
 def prepare_supervised(df: DataFrame, target: str | None = None, task: str = "auto",
-                       key_cols: list[str] | None = None, max_features: int = 150,
-                       engineer: bool = True) -> Prepared:
+                       key_cols: list[str] | None = None, max_features: int | None = None,
+                       engineer: bool = True, vocab_size: int = 300, balance: bool = True) -> Prepared:
+    """Clean, encode, split and assemble a table for supervised models.
+
+    In an NLP task (or where text is the only signal) the longest high-cardinality
+    text becomes TF-IDF features; in others such columns are dropped.  ``balance``
+    oversamples a rare class among the training rows (D5).  ``max_features``
+    keeps that many columns of the highest variance."""
     log: list[str] = []
-    df = C.trim_column_names(df)
+    df = finite_table(C.trim_column_names(df))
     target = (target or "").strip() or C.auto_target(df)
     check_preconditions(df, target, task)
     key = F.concat_ws("#", *[_q(k).cast("string") for k in key_cols]) if key_cols else row_key(df).cast("string")
@@ -74,7 +107,7 @@ def prepare_supervised(df: DataFrame, target: str | None = None, task: str = "au
               .collect()}
     work = df.select("_key", *[(C.to_number(_q(c)).alias(c) if c in coerce else _q(c))
                                for c in df.columns if c != "_key"])
-    ids = C.id_like_columns(work.drop("_key"), target)
+    ids = [] if task == "nlp" else C.id_like_columns(work.drop("_key"), target)
     if key_cols:
         ids = sorted(set(ids) | set(key_cols) - {target})
     work = work.drop(*ids)
@@ -83,16 +116,27 @@ def prepare_supervised(df: DataFrame, target: str | None = None, task: str = "au
     work = C.drop_missing_target(work, target)
     is_clf = (task == "classification") or (task in ("auto", "nlp") and C.task_kind(work, target) == "classification")
     feats = [c for c in work.columns if c not in ("_key", target)]
-    hc = {r["column_name"] for r in C.high_card_text(work.select(*feats)).collect()}
-    if hc:
-        work = work.drop(*hc)
-        log.append("dropped high-cardinality text column(s): " + ", ".join(sorted(hc)))
+    text_col, hc = longest_text(work, ["_key", target])
+    if not (hc and (task == "nlp" or set(feats) <= set(hc))):
+        text_col = None
+    if text_col is not None:
+        log.append(f"text column {text_col!r} as TF-IDF features")
+    dropped = sorted(c for c in hc if c != text_col)
+    if dropped:
+        log.append("dropped high-cardinality text column(s): " + ", ".join(dropped))
+    work = work.drop(*dropped)
+    if text_col is not None:
+        work = work.withColumnRenamed(text_col, "__text")
     feats = [c for c in feats if c not in hc]
+    shown = {f"{c}__": c for c in feats if c in RESERVED}
+    work = work.withColumnsRenamed({c: safe for safe, c in shown.items()})
+    feats = [f"{c}__" if c in RESERVED else c for c in feats]
+    passed = ["_key", *(["__text"] if text_col is not None else [])]
     dates = [c for c in feats if is_datetime_type(work.schema[c].dataType)]
     dates += C.date_like_columns(work.select(*[c for c in feats if c not in dates]))
     if dates:
         work = C.date_parts(work, dates)
-    feats = [c for c in work.columns if c not in ("_key", target)]
+    feats = [c for c in work.columns if c not in (*passed, target)]
     text = [c for c in feats if is_string_type(work.schema[c].dataType)]
     other = [c for c in feats if c not in text and not is_numeric_type(work.schema[c].dataType)]
     work = work.drop(*other)
@@ -100,9 +144,9 @@ def prepare_supervised(df: DataFrame, target: str | None = None, task: str = "au
     work = C.label_encode(work, text)
     num = [c for c in feats if c not in text]
     med = medians(work, num)
-    work = work.select("_key", _q(target), *[F.coalesce(_q(c).cast("double"), F.lit(med.get(c)), F.lit(0.0)).alias(c)
+    work = work.select(*passed, _q(target), *[F.coalesce(_q(c).cast("double"), F.lit(med.get(c)), F.lit(0.0)).alias(c)
                                                if c in num else _q(c).cast("double").alias(c) for c in feats])
-    if engineer and feats:
+    if engineer and feats and text_col is None:
         before = set(work.columns)
         work = X.log_features(work, [c for c in feats if c in num])
         work = X.interaction_feature(work, feats)
@@ -110,24 +154,60 @@ def prepare_supervised(df: DataFrame, target: str | None = None, task: str = "au
         feats += new
         if new:
             log.append("engineered features: " + ", ".join(new))
-    if len(feats) > max_features:
+    if max_features and len(feats) > max_features:
         v = C.variances(work, feats)
         feats = sorted(feats, key=lambda c: (-v[c], feats.index(c)))[:max_features]
     classes: list[str] = []
     if is_clf:
-        classes = sorted(r[0] for r in work.select(_q(target).cast("string")).distinct().collect())
+        counts = work.groupBy(_q(target).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_CLASSES + 1)
+        sizes = {r["c"]: r["n"] for r in counts.collect()}  # a row per class
+        if len(sizes) > MOST_CLASSES:
+            raise ValueError(f"the target has over {MOST_CLASSES} classes")
+        classes = sorted(sizes)
         idx = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(float(i)))])
         work = work.withColumn("label", idx[_q(target).cast("string")])
-        split = stratified_split(work, "label", ["_key"], 0.2)
+        share = test_share(sum(sizes.values()), len(classes))
+        split = (stratified_split(work, "label", ["_key"], share) if min(sizes.values()) >= 2
+                 else random_split(work, ["_key"], share))
     else:
         work = C.finite_target(work, target).withColumn("label", _q(target).cast("double"))
-        split = work.withColumn("split", F.when(hash_unit(["_key"]) < 0.2, "test").otherwise("train"))
-    asm = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    data = asm.transform(split.select("_key", "label", "split", *[_q(c) for c in feats]))
+        split = random_split(work, ["_key"])
+    inputs, terms = list(feats), []
+    if text_col is not None:
+        split, terms = TX.tfidf_vectors(split, "__text", vocab_size)
+        inputs.append("tfidf")
     # The prepared table is read by every fit, fold and diagnostic: write it once to
     # the shared checkpoint folder, which also cuts the (deep) preparation lineage.
-    data = cut_lineage(data)
-    return Prepared(data, feats, is_clf, classes, log)
+    data = cut_lineage(split.select("_key", "label", "split", *(["tfidf"] if terms else []), *[_q(c) for c in feats]))
+    imbalance = None
+    if is_clf:
+        data, imbalance = balanced(data, feats, classes, balance and not terms)
+        if imbalance["applied"]:
+            log.append("oversampled the rarest class of the training rows (SMOTE)")
+    data = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(data)
+    return Prepared(data, feats, is_clf, classes, log, shown, terms, text_col, imbalance)
+
+
+def test_share(rows: int, classes: int) -> float:
+    """A fifth for the test, more where that would not hold a row of each class."""
+    return 0.2 if int(rows * 0.2) >= classes else min(0.4, classes / max(rows, 1) + 0.05)
+
+
+def balanced(data: DataFrame, feats: list[str], classes: list[str], oversample: bool) -> tuple[DataFrame, dict]:
+    """Training rows with the rarest class oversampled where it is rare; counts before and after by class name."""
+    from tablelens.operators.oversample import smote
+    train = data.where(F.col("split") == "train")
+    name = lambda counts: {classes[int(k)]: int(v) for k, v in counts.items()}
+    if not (oversample and feats):
+        counts = {r[0]: r[1] for r in train.groupBy("label").count().collect()}  # a row per class
+        return data, {"applied": False, "before": name(counts), "after": name(counts)}
+    rows, info = smote(train, "label", feats, "_key")
+    out = {"applied": info["applied"], "minority_share": info["minority_share"], "before": name(info["before"]),
+           "after": name(info["after"])}
+    if info["applied"]:
+        rows = rows.select(F.col("_key").cast("string").alias("_key"), "label", F.lit("train").alias("split"), *[_q(c) for c in feats])
+        data = cut_lineage(data.where(F.col("split") != "train").select(*rows.columns).unionByName(rows))
+    return data, out
 
 
 # ------------------------------------------------------------------ search
@@ -171,20 +251,34 @@ def fit_and_score(prep: Prepared, estimators: dict, train: DataFrame | None = No
                   test: DataFrame | None = None) -> list[dict]:
     train = train if train is not None else prep.data.where(F.col("split") == "train")
     test = test if test is not None else prep.data.where(F.col("split") == "test")
-    out = []
-    for name, est in estimators.items():
+
+    def one(item):
+        name, est = item
         model = est.fit(train)
         metric, value = score_predictions(prep, model.transform(test))
-        out.append({"model": name, "score": value, "metric": metric, "fitted": model})
-    return out
+        return {"model": name, "score": value, "metric": metric, "fitted": model}
+    return together(one, estimators.items())
+
+
+#: Fits that run side by side; they are many small jobs that leave executors idle one at a time.
+AT_ONCE = 4
+
+
+def together(fn, items) -> list:
+    """Results of ``fn`` for all items, in order; independent Spark jobs overlap."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(fn, items))
 
 
 def model_search(prep: Prepared) -> tuple[DataFrame, object]:
     """M1: fit the grid on train, score on test; ``model, score, metric, best``
     and the best fitted model."""
     data = prep.data.cache()
-    res = fit_and_score(prep, candidates(prep), data.where(F.col("split") == "train"),
-                        data.where(F.col("split") == "test"))
+    try:
+        res = fit_and_score(prep, candidates(prep), data.where(F.col("split") == "train"),
+                            data.where(F.col("split") == "test"))
+    finally:
+        data.unpersist()
     best = max(res, key=lambda r: (r["score"], -list(candidates(prep)).index(r["model"])))
     rows = [(r["model"], r["score"], r["metric"], r is best) for r in res]
     table = prep.data.sparkSession.createDataFrame(rows, "model string, score double, metric string, best boolean")
@@ -194,6 +288,9 @@ def model_search(prep: Prepared) -> tuple[DataFrame, object]:
 def model_compare(prep: Prepared, best_name: str, best_score: float) -> DataFrame:
     """M2: baselines on the same held-out rows plus the selected model."""
     res = fit_and_score(prep, baselines(prep))
+    if res:
+        res.append({"model": "K-Nearest Neighbors", "metric": res[0]["metric"],
+                    "score": score_predictions(prep, nearest_neighbours(prep))[1]})
     metric = res[0]["metric"] if res else ("ROC-AUC" if prep.is_classification else "R2")
     rows = [(r["model"], r["score"], r["metric"], False) for r in res]
     rows.append((f"{best_name} (auto-selected)", best_score, metric, True))
@@ -208,12 +305,15 @@ def cross_validate(prep: Prepared, estimator, k: int | None = None) -> DataFrame
     n = train.count()
     k = k or (5 if n >= 250 else 3)
     folded = kfold(train, ["_key"], k, label="label" if prep.is_classification else None, n_rows=n).cache()
-    scores, metric = [], None
-    for f in range(k):
+
+    def one(f):
         model = estimator.fit(folded.where(F.col("fold") != f))
-        metric, v = score_predictions(prep, model.transform(folded.where(F.col("fold") == f)))
-        scores.append(v)
-    folded.unpersist()
+        return score_predictions(prep, model.transform(folded.where(F.col("fold") == f)))
+    try:
+        found = together(one, range(k))
+    finally:
+        folded.unpersist()
+    metric, scores = found[0][0], [v for _, v in found]
     import statistics as st
     row = (k, metric, float(st.fmean(scores)), float(st.pstdev(scores)), scores)
     return prep.data.sparkSession.createDataFrame([row], "k int, metric string, mean double, std double, "
@@ -225,36 +325,102 @@ def learning_curve(prep: Prepared, estimator, sizes=(0.2, 0.4, 0.6, 0.8, 1.0), f
     over ``folds`` folds; nested hash thresholds keep smaller sets inside larger."""
     train = prep.data.where(F.col("split") == "train").withColumn("_u", hash_unit(["_key"], 7))
     folded = kfold(train, ["_key"], folds, seed=43).cache()
-    rows = []
-    for s in sizes:
-        tr_s, va_s = [], []
-        for f in range(folds):
-            fit_rows = folded.where((F.col("fold") != f) & (F.col("_u") < s))
-            model = estimator.fit(fit_rows)
-            tr_s.append(score_predictions(prep, model.transform(fit_rows))[1])
-            va_s.append(score_predictions(prep, model.transform(folded.where(F.col("fold") == f)))[1])
-        n = folded.where((F.col("fold") != 0) & (F.col("_u") < s)).count()
-        rows.append((int(n), sum(tr_s) / folds, sum(va_s) / folds))
-    folded.unpersist()
+
+    def one(part):
+        s, f = part
+        fit_rows = folded.where((F.col("fold") != f) & (F.col("_u") < s))
+        model = estimator.fit(fit_rows)
+        return (score_predictions(prep, model.transform(fit_rows))[1],
+                score_predictions(prep, model.transform(folded.where(F.col("fold") == f)))[1])
+    try:
+        found = dict(zip(parts := [(s, f) for s in sizes for f in range(folds)], together(one, parts)))
+        counts = folded.where(F.col("fold") != 0).agg(*[F.count(F.when(F.col("_u") < s, 1)) for s in sizes]).first()
+    finally:
+        folded.unpersist()
+    mean = lambda s, i: sum(found[s, f][i] for f in range(folds)) / folds
+    rows = [(int(n), mean(s, 0), mean(s, 1)) for s, n in zip(sizes, counts)]
     return prep.data.sparkSession.createDataFrame(rows, "n long, train double, val double")
 
 
+#: Test rows that permutation importance reads, and training rows that neighbours are looked for among, at most.
+PERMUTED_ROWS, NEIGHBOUR_ROWS = 2000, 8000
+
+
+def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Features, labels and keys of ``n`` rows by hash of the key: bounded, and read on the driver."""
+    from tablelens.operators.sample import hash_sample_n
+    got = hash_sample_n(rows.select("_key", "label", "features"), ["_key"], n).collect()
+    x = np.array([r["features"].toArray() for r in got]) if got else np.zeros((0, 0))
+    return x, np.array([r["label"] for r in got]), [r["_key"] for r in got]
+
+
+def nearest_neighbours(prep: Prepared, k: int = 5) -> DataFrame:
+    """M2: predictions of the test rows by their ``k`` nearest of ``NEIGHBOUR_ROWS``
+    training rows (a documented bound, as this is a baseline to compare with),
+    which are broadcast; rows are scored in batches."""
+    known, labels, _ = _sample(prep.data.where(F.col("split") == "train"), NEIGHBOUR_ROWS)
+    held = prep.data.sparkSession.sparkContext.broadcast((known, labels, (known ** 2).sum(axis=1)))
+    n_classes, is_clf = len(prep.classes), prep.is_classification
+
+    def score(batches):
+        x, y, norm = held.value
+        for pdf in batches:
+            q = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
+            near = np.argsort(norm[None, :] - 2 * q @ x.T, axis=1, kind="stable")[:, :k] if len(pdf) else np.zeros((0, 1), int)
+            votes = y[near]
+            if is_clf:
+                shares = np.stack([(votes == c).mean(axis=1) for c in range(n_classes)], axis=1)
+                pred = shares.argmax(axis=1).astype(float)
+            else:
+                pred, shares = votes.mean(axis=1), np.zeros((len(pdf), 1))
+            yield pd.DataFrame({"label": pdf["label"], "prediction": pred, "p": shares.tolist()})
+    test = prep.data.where(F.col("split") == "test").select("label", vector_to_array("features").alias("x"))
+    scored = test.mapInPandas(score, "label double, prediction double, p array<double>")
+    return scored.select("label", "prediction", array_to_vector("p").alias("probability"))
+
+
+def permutation_importance(prep: Prepared, model, repeats: int = 4, seed: int = 42) -> np.ndarray:
+    """Drop of a linear model's score when one feature's values are permuted
+    among ``PERMUTED_ROWS`` test rows, mean over ``repeats``."""
+    x, y, _ = _sample(prep.data.where(F.col("split") == "test"), PERMUTED_ROWS)
+    if prep.is_classification:
+        coef, base = model.coefficientMatrix.toArray(), np.asarray(model.interceptVector.toArray())
+    else:
+        coef, base = model.coefficients.toArray()[None, :], np.array([model.intercept])
+
+    def score(logits):
+        if not prep.is_classification:
+            return -((logits[:, 0] - y) ** 2).mean() / (y.var() or 1.0)
+        if len(coef) > 1:
+            return (logits.argmax(axis=1) == y).mean()
+        rank = pd.Series(logits[:, 0]).rank().to_numpy()
+        n1 = (y == 1).sum()
+        return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / max(n1 * (len(y) - n1), 1)
+    whole, draw = x @ coef.T + base, np.random.default_rng(seed)
+    out = np.zeros(x.shape[1])
+    for j in range(x.shape[1]):
+        for _ in range(repeats):
+            out[j] += score(whole) - score(whole + np.outer(draw.permutation(x[:, j]) - x[:, j], coef[:, j]))
+    return np.maximum(out / repeats, 0)
+
+
 def importance(prep: Prepared, model, top: int = 6) -> DataFrame:
-    """``label, value, sign`` — tree importances (or |coefficient| x feature
-    sigma for linear models), scaled by the top one, floored at 0.04; sign
-    from the correlation with the target (A4)."""
+    """``label, value, sign`` — tree importances, or the permutation importance
+    of linear models, scaled by the top one, floored at 0.04; sign from the
+    correlation with the target (A4; 1 for terms of a text)."""
     if hasattr(model, "featureImportances"):
         imp = list(model.featureImportances.toArray())
+    elif hasattr(model, "coefficientMatrix") or hasattr(model, "coefficients"):
+        imp = permutation_importance(prep, model).tolist()
     else:
-        coef = model.coefficients.toArray() if hasattr(model, "coefficients") else model.coefficientMatrix.toArray()[0]
-        sd = prep.data.agg(*[F.stddev_pop(_q(c)).alias(c) for c in prep.features]).first()
-        imp = [abs(float(c)) * float(sd[f] or 0.0) for c, f in zip(coef, prep.features)]
+        raise ValueError("this model has neither importances nor coefficients")
     from tablelens.operators.stats import direction_signs
-    signs = {r["feature"]: r["sign"] for r in direction_signs(prep.data, prep.features, "label").collect()}
+    signs = ({r["feature"]: r["sign"] for r in direction_signs(prep.data, prep.features, "label").collect()}
+             if prep.features else {})
     order = sorted(range(len(imp)), key=lambda i: (-imp[i], i))[:top]
     mx = imp[order[0]] if order and imp[order[0]] > 0 else 1.0
-    rows = [(prep.features[i], float(max(0.04, min(1.0, imp[i] / mx))), int(signs.get(prep.features[i], 1)))
-            for i in order]
+    safe = prep.features + prep.terms
+    rows = [(prep.names[i], float(max(0.04, min(1.0, imp[i] / mx))), int(signs.get(safe[i], 1))) for i in order]
     return prep.data.sparkSession.createDataFrame(rows, "label string, value double, sign int")
 
 
@@ -262,6 +428,8 @@ def partial_dependence(prep: Prepared, model, n_feats: int = 4, grid: int = 11)
     """For the ``n_feats`` highest-variance features, ``grid`` points from the
     5th to the 95th percentile with every other feature at its median, plus the
     all-median baseline.  ``feature, x, pred`` (feature NULL = baseline)."""
+    if prep.terms or not prep.features:
+        raise ValueError("partial dependence is of columns; the features are terms of a text")
     spark = prep.data.sparkSession
     med = medians(prep.data, prep.features)
     var = C.variances(prep.data, prep.features)
@@ -283,4 +451,5 @@ def partial_dependence(prep: Prepared, model, n_feats: int = 4, grid: int = 11)
     g = VectorAssembler(inputCols=prep.features, outputCol="features").transform(g)
     p = model.transform(g)
     pred = vector_to_array("probability")[1] if prep.binary else F.col("prediction")
-    return p.select("feature", "x", pred.alias("pred"))
+    names = F.create_map(*[F.lit(v) for f in prep.features for v in (f, prep.shown.get(f, f))])
+    return p.select(names[F.col("feature")].alias("feature"), "x", pred.alias("pred"))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.functions.scalars import is_numeric_type, to_number
+from tablelens.functions.scalars import finite_input, is_numeric_type, to_number
 from tablelens.operators.ranks import attach_scalars, prefix_sum, shared
 
 # Column names read as a duration.
@@ -40,7 +40,7 @@ def choose_columns(df: DataFrame, target: str | None = None) -> tuple[str, str]:
         dc = distinct_counts(df, cols)
         event = next((c for c in cols if dc[c] == 2), None)
     if event is None:
-        raise ValueError("survival analysis needs a binary event column (the target)")
+        raise ValueError("no column tells events from censored rows: name one with two values as the target")
     cand = [c for c in cols if c != event]
     num = {c: (_q(c).cast("double") if is_numeric_type(df.schema[c].dataType) else to_number(_q(c))) for c in cand}
     r = df.agg(F.count(F.lit(1)).alias("_n"), *[x for i, c in enumerate(cand) for x in (
@@ -53,7 +53,7 @@ def choose_columns(df: DataFrame, target: str | None = None) -> tuple[str, str]:
     for i, c in enumerate(cand):
         if ok[c] and r[f"v{i}"] and r[f"p{i}"] / r[f"v{i}"] > 0.9:
             return event, c
-    raise ValueError("survival analysis needs a non-negative duration/time column")
+    raise ValueError("no column holds durations (numbers from 0 up)")
 
 
 def event_indicator(df: DataFrame, event: str) -> F.Column:
@@ -71,6 +71,13 @@ def survival_frame(df: DataFrame, duration: str, event: str) -> DataFrame:
              .where(F.col("T").isNotNull() & (F.col("T") >= 0) & F.col("E").isNotNull())
 
 
+def with_survival(df: DataFrame, duration: str, event: str) -> DataFrame:
+    """The table with ``_T`` and ``_E``, without rows that have neither time nor event."""
+    t = _q(duration).cast("double") if is_numeric_type(df.schema[duration].dataType) else to_number(_q(duration))
+    return (df.withColumn("_T", t).withColumn("_E", event_indicator(df, event))
+            .where(F.col("_T").isNotNull() & (F.col("_T") >= 0) & F.col("_E").isNotNull()))
+
+
 def kaplan_meier(tf: DataFrame) -> DataFrame:
     """``t, at_risk, events, s`` for every distinct duration plus t = 0."""
     tf = shared(tf)
@@ -107,88 +114,142 @@ def event_rate(tf: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------------ Cox
 
-def _efron_terms(p: int):
-    """Per distinct event time: Efron log-likelihood, gradient and Hessian terms
-    from the risk-set sums and the tied-event sums (vectorised over l = 0..d-1)."""
-    def fn(it):
-        for pdf in it:
-            ll = 0.0
-            g = np.zeros(p)
-            h = np.zeros((p, p))
-            for r in pdf.itertuples(index=False):
-                d = int(r.d)
-                if d == 0:
-                    continue
-                s0r, s0t = r.s0r, r.s0t
-                s1r, s1t = np.asarray(r.s1r), np.asarray(r.s1t)
-                s2r, s2t = np.asarray(r.s2r).reshape(p, p), np.asarray(r.s2t).reshape(p, p)
-                frac = np.arange(d) / d
-                den = s0r - frac * s0t
-                ll += r.xb_ev - np.log(den).sum()
-                a0, a1 = (1 / den).sum(), (frac / den).sum()
-                g += np.asarray(r.x_ev) - (s1r * a0 - s1t * a1)
-                b0, b1, b2 = (1 / den ** 2).sum(), (frac / den ** 2).sum(), (frac ** 2 / den ** 2).sum()
-                h -= (s2r * a0 - s2t * a1) - (np.outer(s1r, s1r) * b0 - (np.outer(s1r, s1t) + np.outer(s1t, s1r)) * b1
-                                              + np.outer(s1t, s1t) * b2)
+#: Places of a tie that are summed at a time.
+TIES = 1 << 16
+
+
+def _weighted(pdf: pd.DataFrame, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    z = np.array(pdf["z"].tolist(), dtype=float).reshape(len(pdf), len(beta))
+    xb = z @ beta
+    return z, xb, np.exp(xb)
+
+
+def _part_sums(beta: np.ndarray):
+    """Of each part: the sums of w, w z and w z z' over its rows."""
+    p = len(beta)
+
+    def run(batches):
+        part, sums = None, np.zeros(1 + p + p * p)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            part = int(pdf["part"].iloc[0])
+            z, _, w = _weighted(pdf, beta)
+            sums += np.r_[w.sum(), w @ z, (z.T @ (w[:, None] * z)).ravel()]
+        if part is not None:
+            yield pd.DataFrame({"part": [part], "sums": [sums.tolist()]})
+    return run
+
+
+def _efron(d: int, risk: np.ndarray, tied: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """What the ``d`` tied events of a time add (without their own covariates)."""
+    ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
+    r1, t1 = risk[1:1 + p], tied[1:1 + p]
+    r2, t2 = risk[1 + p:].reshape(p, p), tied[1 + p:].reshape(p, p)
+    for at in range(0, d, TIES):
+        frac = np.arange(at, min(at + TIES, d)) / d
+        den = risk[0] - frac * tied[0]
+        ll -= np.log(den).sum()
+        a0, a1 = (1 / den).sum(), (frac / den).sum()
+        b0, b1, b2 = (1 / den ** 2).sum(), (frac / den ** 2).sum(), (frac ** 2 / den ** 2).sum()
+        g -= r1 * a0 - t1 * a1
+        h -= (r2 * a0 - t2 * a1) - (np.outer(r1, r1) * b0 - (np.outer(r1, t1) + np.outer(t1, r1)) * b1
+                                    + np.outer(t1, t1) * b2)
+    return ll, g, h
+
+
+def _part_terms(beta: np.ndarray, later: dict[int, np.ndarray]):
+    """Likelihood, gradient and Hessian of a part, read from the latest time down;
+    ``later`` has the sums of all parts with later times.  Holds sums, no rows."""
+    p = len(beta)
+
+    def run(batches):
+        ll, g, h = 0.0, np.zeros(p), np.zeros((p, p))
+        risk, tied, d, time = None, np.zeros(1 + p + p * p), 0, None
+
+        def close():
+            nonlocal ll, g, h
+            if d:
+                more = _efron(d, risk, tied, p)
+                ll, g, h = ll + more[0], g + more[1], h + more[2]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if risk is None:
+                risk = later[int(pdf["part"].iloc[0])].copy()
+            z, xb, w = _weighted(pdf, beta)
+            t, e = pdf["T"].to_numpy(), pdf["E"].to_numpy().astype(bool)
+            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
+            for i, j in zip(cut[:-1], cut[1:]):
+                if t[i] != time:
+                    close()
+                    time, tied, d = t[i], np.zeros(1 + p + p * p), 0
+                zi, wi, ei = z[i:j], w[i:j], e[i:j]
+                risk += np.r_[wi.sum(), wi @ zi, (zi.T @ (wi[:, None] * zi)).ravel()]
+                if ei.any():
+                    zt, wt = zi[ei], wi[ei]
+                    tied += np.r_[wt.sum(), wt @ zt, (zt.T @ (wt[:, None] * zt)).ravel()]
+                    d += int(ei.sum())
+                    ll += xb[i:j][ei].sum()
+                    g += zt.sum(axis=0)
+        close()
+        if risk is not None:
             yield pd.DataFrame({"ll": [ll], "g": [g.tolist()], "h": [h.ravel().tolist()]})
-    return fn
+    return run
+
+
+def _likelihood(rows: DataFrame, beta: np.ndarray, penalizer: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Penalised log-likelihood, gradient and Hessian: two passes over the sorted
+    parts, and p x p numbers per part to the driver."""
+    p = len(beta)
+    sums = {r["part"]: np.array(r["sums"]) for r in rows.mapInPandas(_part_sums(beta), "part int, sums array<double>").collect()}
+    later, running = {}, np.zeros(1 + p + p * p)
+    for part in sorted(sums):  # parts are in order of falling time
+        later[part] = running.copy()
+        running += sums[part]
+    found = rows.mapInPandas(_part_terms(beta, later), "ll double, g array<double>, h array<double>").collect()
+    ll = sum(r["ll"] for r in found) - 0.5 * penalizer * float(beta @ beta)
+    g = np.sum([r["g"] for r in found], axis=0) - penalizer * beta
+    h = np.sum([np.reshape(r["h"], (p, p)) for r in found], axis=0) - penalizer * np.eye(p)
+    return ll, g, h
 
 
+@finite_input
 def cox_ph(df: DataFrame, duration: str, event: str, features: list[str], penalizer: float = 0.1,
            max_iter: int = 50, tol: float = 1e-9) -> DataFrame:
     """Cox proportional hazards, Efron ties, ridge ``penalizer`` on
-    standardised covariates (lifelines' convention: 0.5 * penalizer * ||b||^2).
-    Output ``feature, coef, hr`` on the original scale."""
+    standardised covariates (lifelines' convention: 0.5 * penalizer * ||b||^2),
+    by Newton steps that are halved while they lower the likelihood.  Rows with
+    a missing covariate are left out of all sums alike.  Output ``feature, coef,
+    hr, gradient`` on the original scale; ``gradient`` (of the standardised
+    covariate, at the returned coefficients) is about 0 at the optimum."""
+    base = df.select(_q(duration).cast("double").alias("T"), _q(event).cast("int").alias("E"),
+                     *[_q(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)]).dropna()
+    stats = base.agg(*[F.avg(f"x{i}") for i in range(len(features))],
+                     *[F.stddev_pop(f"x{i}") for i in range(len(features))]).first()
     p = len(features)
-    x = F.array(*[_q(c).cast("double") for c in features])
-    base = df.select(_q(duration).cast("double").alias("T"), _q(event).cast("int").alias("E"), x.alias("x")) \
-             .where(F.col("T").isNotNull() & F.col("E").isNotNull())
-    stats = base.select(*[F.col("x")[i].alias(f"x{i}") for i in range(p)]).agg(
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(p)]
-    ).first()
-    mu = np.array([stats[f"m{i}"] for i in range(p)], dtype=float)
-    sd = np.array([stats[f"s{i}"] or 1.0 for i in range(p)], dtype=float)
-    sd[sd == 0] = 1.0
-    z = base.select("T", "E", F.array(*[(F.col("x")[i] - F.lit(mu[i])) / F.lit(sd[i]) for i in range(p)]).alias("z"))
-    z = z.cache()
-    beta = np.zeros(p)
-    ll_prev = None
-    for _ in range(max_iter):
-        bl = F.array(*[F.lit(float(b)) for b in beta])
-        xb = F.aggregate(F.zip_with("z", bl, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-        w = z.withColumn("xb", xb).withColumn("w", F.exp("xb"))
-        outer = [F.col("w") * F.col("z")[i] * F.col("z")[j] for i in range(p) for j in range(p)]
-        per_t = w.groupBy("T").agg(
-            F.sum("w").alias("s0"), *[F.sum(F.col("w") * F.col("z")[i]).alias(f"s1_{i}") for i in range(p)],
-            *[F.sum(o).alias(f"s2_{k}") for k, o in enumerate(outer)],
-            F.sum("E").alias("d"), F.sum(F.when(F.col("E") == 1, F.col("w")).otherwise(0.0)).alias("s0t"),
-            *[F.sum(F.when(F.col("E") == 1, F.col("w") * F.col("z")[i]).otherwise(0.0)).alias(f"s1t_{i}")
-              for i in range(p)],
-            *[F.sum(F.when(F.col("E") == 1, o).otherwise(0.0)).alias(f"s2t_{k}") for k, o in enumerate(outer)],
-            F.sum(F.when(F.col("E") == 1, F.col("xb")).otherwise(0.0)).alias("xb_ev"),
-            *[F.sum(F.when(F.col("E") == 1, F.col("z")[i]).otherwise(0.0)).alias(f"xe_{i}") for i in range(p)])
-        sums = ["s0"] + [f"s1_{i}" for i in range(p)] + [f"s2_{k}" for k in range(p * p)]
-        risk = prefix_sum(per_t, "T", sums, descending=True, prefix="r_")
-        terms = risk.select(
-            "d", F.col("r_s0").alias("s0r"), "s0t", "xb_ev",
-            F.array(*[F.col(f"r_s1_{i}") for i in range(p)]).alias("s1r"),
-            F.array(*[F.col(f"s1t_{i}") for i in range(p)]).alias("s1t"),
-            F.array(*[F.col(f"r_s2_{k}") for k in range(p * p)]).alias("s2r"),
-            F.array(*[F.col(f"s2t_{k}") for k in range(p * p)]).alias("s2t"),
-            F.array(*[F.col(f"xe_{i}") for i in range(p)]).alias("x_ev")).where(F.col("d") > 0)
-        parts = terms.mapInPandas(_efron_terms(p), "ll double, g array<double>, h array<double>").collect()
-        ll = sum(r["ll"] for r in parts) - 0.5 * penalizer * float(beta @ beta)
-        g = np.sum([np.asarray(r["g"]) for r in parts], axis=0) - penalizer * beta
-        h = np.sum([np.asarray(r["h"]).reshape(p, p) for r in parts], axis=0) - penalizer * np.eye(p)
-        step = np.linalg.solve(-h, g)
-        beta = beta + step
-        if ll_prev is not None and abs(ll - ll_prev) < tol and np.abs(step).max() < 1e-7:
-            break
-        ll_prev = ll
-    z.unpersist()
-    coef = beta / sd
-    rows = [(f, float(c), float(math.exp(c))) for f, c in zip(features, coef)]
-    return df.sparkSession.createDataFrame(rows, "feature string, coef double, hr double")
+    mu, sd = np.array([v or 0.0 for v in stats[:p]]), np.array([v or 1.0 for v in stats[p:]])
+    z = F.array(*[(F.col(f"x{i}") - F.lit(float(mu[i]))) / F.lit(float(sd[i])) for i in range(p)])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (base.select("T", "E", z.alias("z")).repartitionByRange(parts, F.desc("T")).sortWithinPartitions(F.desc("T"))
+            .withColumn("part", F.spark_partition_id()).persist())
+    try:
+        beta = np.zeros(p)
+        ll, g, h = _likelihood(rows, beta, penalizer)
+        for _ in range(max_iter):
+            step = np.linalg.solve(-h, g)
+            for _ in range(20):
+                tried = _likelihood(rows, beta + step, penalizer)
+                if tried[0] >= ll - 1e-12 * abs(ll):
+                    break
+                step = step / 2
+            gain, (ll, g, h), beta = abs(tried[0] - ll), tried, beta + step
+            if gain < tol and np.abs(step).max() < 1e-7:
+                break
+    finally:
+        rows.unpersist()
+    found = [(f, float(c), float(math.exp(c)), float(v)) for f, c, v in zip(features, beta / sd, g)]
+    return df.sparkSession.createDataFrame(found, "feature string, coef double, hr double, gradient double")
 
 
 def hazard_bars(hr: DataFrame, top: int = 6) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import col
 
-from tablelens.functions.scalars import is_numeric_type
+from tablelens.functions.scalars import finite_table, is_numeric_type
 from tablelens.operators import agg as G
+from tablelens.operators import charts as CH
 from tablelens.operators import clean as C
 from tablelens.operators import cluster as U
 from tablelens.operators import evaluate as V
@@ -28,6 +29,7 @@ from tablelens.operators import stats as S
 from tablelens.operators import survival as SV
 from tablelens.operators import text as TX
 from tablelens.operators.features import standardize
+from tablelens.session import cut_lineage
 
 TASKS = ("auto", "classification", "regression", "nlp", "clustering", "anomaly", "dimreduction",
          "timeseries", "survival", "recommendation")
@@ -43,20 +45,20 @@ class _Results(dict):
     def optional(self, name: str, fn):
         try:
             self[name] = fn()
-        except Exception as exc:  # noqa: BLE001 — optional result; recorded, never hides core errors
+        except ValueError as exc:  # what operators raise where a result has no meaning; bugs are not caught
             log.warning("optional result %s skipped: %s", name, exc)
             self.skipped.append(name)
 
 
 def analyze(df: DataFrame, target: str | None = None, task: str = "auto", key_cols: list[str] | None = None):
-    """Run one analysis task.  ``key_cols`` identify rows (a content hash is used
-    when absent).  Returns a dict of result DataFrames (plus ``task`` and
+    """Run one analysis task.  ``key_cols`` identify rows (rows are numbered, and
+    the numbered table is checkpointed, when absent).  Returns a dict of result DataFrames (plus ``task`` and
     ``fixes`` entries) with a ``skipped`` attribute naming optional results that
     could not be produced."""
     task = (task or "auto").lower()
     if task not in TASKS:
         raise ValueError(f"unknown task {task}")
-    df = C.trim_column_names(df)
+    df = finite_table(C.trim_column_names(df))
     if task == "clustering":
         return _clustering(df)
     if task == "anomaly":
@@ -75,7 +77,7 @@ def analyze(df: DataFrame, target: str | None = None, task: str = "auto", key_co
 def _keyed(df: DataFrame, key_cols: list[str] | None) -> tuple[DataFrame, list[str]]:
     if key_cols:
         return df, key_cols
-    return df.withColumn("_row", M.row_key(df)), ["_row"]
+    return cut_lineage(df.withColumn("_row", F.monotonically_increasing_id())), ["_row"]
 
 
 # ------------------------------------------------------------------ supervised
@@ -83,9 +85,13 @@ def _keyed(df: DataFrame, key_cols: list[str] | None) -> tuple[DataFrame, list[s
 def _supervised(df: DataFrame, target: str | None, task: str, key_cols: list[str] | None):
     r = _Results()
     target = (target or "").strip() or C.auto_target(df)
+    if target not in df.columns:
+        M.check_preconditions(df, target, task)
+    df, key_cols = _keyed(df, key_cols)
     prep = M.prepare_supervised(df, target, task, key_cols)
+    df = df.drop("_row")
     r["task"], r["fixes"] = ("classification" if prep.is_classification else "regression"), prep.log
-    data = prep.data.cache()
+    data = prep.data
     table, best = M.model_search(prep)
     r["model_compare"] = table
     test = data.where(col("split") == "test")
@@ -114,10 +120,13 @@ def _supervised(df: DataFrame, target: str | None, task: str, key_cols: list[str
     if not prep.is_classification or prep.binary:
         r.optional("whatif", lambda: M.partial_dependence(prep, best))
     raw = df.where(F.col(f"`{target}`").isNotNull())
-    r.optional("statistics", lambda: S.statistics(raw, target, prep.is_classification))
+    drivers = [x["label"] for x in r["importance"].collect() if x["label"] in df.columns] if "importance" in r else []
+    r.optional("statistics", lambda: S.statistics(raw, target, prep.is_classification, ranked=drivers))
     r.optional("profile", lambda: P.profile_columns(df, target))
     r.optional("quality", lambda: P.quality_score(df))
-    num = [c for c in prep.features if c in df.columns and is_numeric_type(df.schema[c].dataType)]
+    numeric = lambda cs: [c for c in cs if c in df.columns and c != target and is_numeric_type(df.schema[c].dataType)]
+    rest = numeric(prep.shown.get(f, f) for f in prep.features)
+    num = numeric(drivers) + [c for c in rest if c not in drivers]  # the strongest drivers of the target first
     if len(num) >= 2:
         r.optional("corr", lambda: S.corr_pairs(df, num[:6]))
     if num:
@@ -125,26 +134,31 @@ def _supervised(df: DataFrame, target: str | None, task: str, key_cols: list[str
         r.optional("box", lambda: G.box_summary(df, num[0], target if prep.is_classification else None))
     if prep.is_classification and prep.binary:
         pos_label = prep.classes[1]
-        seg = next((c for c in df.columns if c != target and C.distinct_counts(df, [c])[c] <= 8), None)
+        few = {c for c, k in C.distinct_counts(df, [c for c in df.columns if c != target]).items() if k <= 8}
+        seg = next((c for c in [*drivers, *df.columns] if c in few), None)
         if seg:
             r.optional("segments", lambda: G.segment_rate(df, seg, target, pos_label))
     elif num:
         r.optional("segments", lambda: G.quartile_means(df, num[0], target))
     r.optional("headline", lambda: G.headline_stats(df, target, prep.is_classification))
     if prep.is_classification:
-        r.optional("imbalance", lambda: G.class_distribution(df, target))
-    if task == "nlp":
-        text = [c for c in df.columns if c != target and not is_numeric_type(df.schema[c].dataType)]
-        if text:
-            tcol = text[0]
-            keyed, kc = _keyed(df, key_cols)
-            r.optional("tfidf_terms", lambda: TX.tfidf_top_terms(keyed, kc[0], tcol))
-            r.optional("keywords", lambda: TX.keywords(keyed, kc[0], tcol))
-            r.optional("sentiment", lambda: TX.sentiment(df, tcol))
-            r.optional("topics", lambda: TX.lda_topics(keyed, kc[0], tcol))
+        r.optional("imbalance", lambda: _imbalance(df, target, prep))
+    if prep.text_col and df.where(F.col(f"`{prep.text_col}`").isNotNull()).limit(10).count() == 10:
+        keyed = df.select(F.lit(0).alias("_doc"), F.col(f"`{prep.text_col}`").alias("_text"))
+        r.optional("tfidf_terms", lambda: TX.tfidf_top_terms(keyed, "_doc", "_text"))
+        r.optional("keywords", lambda: TX.keywords(keyed, "_doc", "_text"))
+        r.optional("sentiment", lambda: TX.sentiment(keyed, "_text"))
+        r.optional("topics", lambda: TX.lda_topics(keyed, "_doc", "_text"))
     return r
 
 
+def _imbalance(df: DataFrame, target: str, prep) -> DataFrame:
+    """G10 with D6: class distribution, and the training rows of each class before and after oversampling."""
+    rows = [(c, prep.imbalance["before"].get(c, 0), prep.imbalance["after"].get(c, 0)) for c in prep.classes]
+    trained = df.sparkSession.createDataFrame(rows, "label string, train_before long, train_after long")
+    return G.class_distribution(df, target).join(trained, "label")
+
+
 def _verdict(prep, metrics: DataFrame, df: DataFrame, target: str) -> DataFrame:
     """P6 on the headline metric: ROC-AUC (binary), accuracy lift over the
     majority share (multiclass) or R^2."""
@@ -195,11 +209,14 @@ def _anomaly(df: DataFrame, key_cols):
     m = C.numeric_matrix(keyed, keep=kc)
     cols = [c for c in m.columns if c not in kc]
     if not cols:
-        raise ValueError("anomaly detection needs at least one numeric feature")
-    flags = U.isolation_forest(m, kc, cols)
+        raise ValueError("no column can be scored for outliers")
+    flags = cut_lineage(U.isolation_forest(m, kc, cols))  # read by every result below
     r["task"], r["scores"] = "anomaly", flags
     r["rate"] = U.anomaly_rate(flags)
-    r.optional("drivers", lambda: U.anomaly_drivers(m, flags, kc, cols))
+    r.optional("drivers", lambda: U.anomaly_drivers(flags, cols))
+    if len(cols) > 1:
+        pair = flags.select(*kc, F.col("scaled")[0].alias("fx"), F.col("scaled")[1].alias("fy"), "flag")
+        r.optional("scatter", lambda: CH.score_scatter(pair, kc, "fx", "fy", "flag", 160))
     r.optional("score_hist", lambda: G.histogram(flags, "score", 8))
     return r
 
@@ -211,6 +228,7 @@ def _pca(df: DataFrame, target, key_cols):
     cols = [c for c in m.columns if c not in kc]
     var, load, proj = U.pca(m, kc, cols)
     r["task"], r["variance"], r["loadings"], r["projection"] = "dimreduction", var, load, proj
+    r.optional("scatter", lambda: CH.score_scatter(proj.withColumn("c", F.lit(0)), kc, "pc1", "pc2", "c", 180))
     return r
 
 
@@ -225,8 +243,10 @@ def _timeseries(df: DataFrame, target):
         t = col(f"`{date}`")
     series = df.select(F.lit("series").alias("series"), t.alias("t"),
                        col(f"`{value}`").cast("double").alias("y")).where(col("y").isNotNull() & col("t").isNotNull())
+    # one point for each time, so that the series is as long as its time range and not as the table
+    series = series.groupBy("series", "t").agg(F.avg("y").alias("y"))
     if series.limit(12).count() < 12:
-        raise ValueError("time-series forecasting needs at least 12 points")
+        raise ValueError("a forecast takes 12 points in time, at least")
     r["task"] = "timeseries"
     r["forecast"] = TS.holt_winters(series, ["series"], "t", "y")
     r["plan"] = TS.series_plan(series, ["series"])
@@ -238,34 +258,38 @@ def _survival(df: DataFrame, target):
     event, duration = SV.choose_columns(df, target)
     tf = SV.survival_frame(df, duration, event)
     if tf.limit(10).count() < 10:
-        raise ValueError("not enough rows for survival analysis")
+        raise ValueError("a survival curve takes 10 rows, at least")
     curve = SV.kaplan_meier(tf)
     r["task"], r["km"] = "survival", SV.km_thinned(curve)
     r["median"], r["event_rate"] = SV.km_median(curve), SV.event_rate(tf)
-    feats = C.numeric_matrix(df.drop(event), drop=duration)
-    cols = [c for c in feats.columns if C.distinct_counts(feats, [c])[c] > 1]
-    if len(cols) + 2 > 3 and tf.limit(41).count() > 40:
-        base = df.select(SV.event_indicator(df, event).alias("_E"), col(f"`{duration}`").cast("double").alias("_T"),
-                         *[col(f"`{c}`") for c in cols if c in df.columns])
-        usable = [c for c in cols if c in base.columns and is_numeric_type(base.schema[c].dataType)]
-        if usable:
-            r.optional("hazards", lambda: SV.hazard_bars(SV.cox_ph(base, "_T", "_E", usable)))
+    timed = SV.with_survival(df, duration, event)
+    feats = C.numeric_matrix(timed.drop(event, duration), keep=["_T", "_E"])  # imputed and encoded covariates
+    counts = C.distinct_counts(feats, [c for c in feats.columns if c not in ("_T", "_E")])
+    cols = [c for c, k in counts.items() if k > 1]
+    if len(cols) > 1 and tf.limit(41).count() > 40:
+        r.optional("hazards", lambda: SV.hazard_bars(SV.cox_ph(feats, "_T", "_E", cols)))
     return r
 
 
 def _recommend(df: DataFrame, key_cols):
+    """U16: neighbours of every row by its numbers, shown by name: the key column
+    if one is given, else the first text column, else the row's number."""
     r = _Results()
-    keyed, kc = _keyed(df, key_cols)
-    m = C.numeric_matrix(keyed, keep=kc)
-    cols = [c for c in m.columns if c not in kc]
+    rows = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
+    texts = [c for c in df.columns if not is_numeric_type(df.schema[c].dataType)]
+    name = (key_cols or texts or ["_row"])[0]
+    m = C.numeric_matrix(rows.drop(name) if name != "_row" else rows, keep=["_row"])
+    cols = [c for c in m.columns if c != "_row"]
     if not cols:
-        raise ValueError("recommendations need at least one numeric feature per item")
-    z = standardize(m, cols)
-    idc = kc[0]
-    if not is_numeric_type(z.schema[idc].dataType):
-        z = z.withColumn(idc, F.xxhash64(col(idc)))
+        raise ValueError("items have no numbers to be compared by")
+    near = SIM.similar_items(standardize(m, cols), "_row", cols, k=5)
+    names = rows.select(F.col("_row").alias("_id"), F.col(f"`{name}`").cast("string").alias("_name"))
+    named = near
+    for c in ("item", "similar"):
+        named = (named.join(names, F.col(c) == F.col("_id")).withColumn(f"{c}_row", F.col(c)).withColumn(c, F.col("_name"))
+                 .drop("_id", "_name"))
     r["task"] = "recommendation"
-    r["similar"] = SIM.similar_items(z, idc, cols, k=5)
+    r["similar"] = named.select("item", "similar", "score", "rank", "item_row", "similar_row")
     r.optional("spread", lambda: C.variance_table(m, cols))
     return r
 

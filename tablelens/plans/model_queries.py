@@ -16,7 +16,7 @@ _PREP_CACHE: dict = {}
 
 
 def prepared(spark, sf, kind="clf"):
-    key = (sf, kind, id(spark))
+    key = (sf, kind, spark.sparkContext.applicationId)
     if key not in _PREP_CACHE:
         li = load(spark, sf, "lineitem")
         if kind == "clf":
@@ -30,7 +30,7 @@ def prepared(spark, sf, kind="clf"):
 
 
 def searched(spark, sf):
-    key = (sf, "search", id(spark))
+    key = (sf, "search", spark.sparkContext.applicationId)
     if key not in _PREP_CACHE:
         _PREP_CACHE[key] = M.model_search(prepared(spark, sf))
     return _PREP_CACHE[key]
@@ -136,7 +136,7 @@ def _planted_customers(spark, sf):
 def isolation_forest(spark, sf):
     c = _planted_customers(spark, sf)
     flags = K.isolation_forest(c, ["c_custkey"], ["c_acctbal", "c_nationkey"])
-    return flags.join(c.select("c_custkey", "planted"), "c_custkey")
+    return flags.drop("scaled").join(c.select("c_custkey", "planted"), "c_custkey")
 
 
 @register("anomaly_summary")
@@ -144,7 +144,7 @@ def anomaly_summary(spark, sf):
     c = _planted_customers(spark, sf)
     flags = K.isolation_forest(c, ["c_custkey"], ["c_acctbal", "c_nationkey"])
     from tablelens.operators.ranks import attach_scalars
-    drivers = K.anomaly_drivers(c, flags, ["c_custkey"], ["c_acctbal", "c_nationkey"])
+    drivers = K.anomaly_drivers(flags, ["c_acctbal", "c_nationkey"])
     return attach_scalars(drivers, K.anomaly_rate(flags))
 
 
