@@ -11,8 +11,10 @@ partition with Spark's commit protocol, so a lost executor repeats its tasks
 and no more, on any file system that Spark writes to; ``ranks`` beside them is one row with
 the id of every rank.  A block knows its shard and where in it it starts.
 
-Texts are split at white space, which no pre-token of the word tokenizer spans,
-and each task encodes a distinct chunk once while it remembers it.
+Texts are split at white space where the tokenizer drops it (others get whole texts),
+and each task encodes a distinct chunk once while it remembers it; a Latin word
+is encoded once for all its cases and the marks that follow it, since the tokenizer folds case
+and starts a new pre-token at the marks.
 
 Defined cases: null text counts as empty (its end id only); a null id comes after all others;
 repeated rows are written one after the other; other columns are not read; an
@@ -37,8 +39,12 @@ from tablelens.llm.common import materialise, text_of, write_folder
 BLOCK_IDS = 1 << 16
 #: Distinct chunks that a task remembers, and the characters that it splits at a time.
 HELD, AT_ONCE = 1 << 20, 1 << 20
+#: Words that are encoded as one text.
+TOGETHER = 256
 #: Characters that Python takes for white space and the tokenizer doesn't.
 ODD = re.compile("[\x1c-\x1f]")
+#: Fixed value: ASCII marks that start a pre-token after a word (no apostrophe, no < | > of special tokens).
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 #: Bytes of each of the four values, for all control bytes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 
@@ -74,13 +80,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width, self.known = width, {}
         self.end = np.array([end_id], width).tobytes()
+        both, one, two = self.library([" a\n bC. ", "a", "bC."])
+        self.drops_white = both == one + two  # else a chunk's ids depend on the white space around it
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
     def library(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, self.width).tobytes() for e in encode(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one pre-token each: encoded as texts of many words
+        and parted after the tokens that end a word."""
+        texts = [" ".join(words[i:i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        out: list[bytes] = []
+        for text, ids in zip(texts, self.library(texts)):
+            ids = np.frombuffer(ids, self.width)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * ids.itemsize
+            if len(ends) != text.count(" ") + 1:
+                return self.library(words)
+            raw, begin = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[begin:end])
+                begin = end
+        return out
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remember the ids of new chunks; a word is encoded once, whatever its case and the marks after it."""
+        known, parted, new, words = self.known, [], set(), set()
+        for chunk in chunks:
+            word = chunk.rstrip(MARKS)
+            if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
+                marks, word = chunk[len(word):], word.lower()
+                parted.append((chunk, word, marks))
+                if word not in known:
+                    words.add(word)
+                if marks and marks not in known:
+                    new.add(marks)
+            else:
+                new.add(chunk)
+        new, words = list(new), list(words)
+        known.update(zip(new, self.library(new)))
+        known.update(zip(words, self.words(words)))
+        for chunk, word, marks in parted:
+            known[chunk] = known[word] + known[marks] if marks else known[word]
+
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
+        if not self.drops_white:
+            yield from (ids + self.end for ids in self.library(texts))
+            return
         while at < len(texts):
             to, size = at, 0
             while to < len(texts) and (to == at or size < AT_ONCE):
@@ -90,8 +140,7 @@ class Encoder:
             known = self.known
             if len(known) > HELD:
                 known.clear()
-            new = list({c for own in chunks for c in own if c not in known})
-            known.update(zip(new, self.library(new)))
+            self.learn({c for own in chunks for c in own if c not in known})
             for own in chunks:
                 yield b"".join(map(known.__getitem__, own)) + self.end
             at = to

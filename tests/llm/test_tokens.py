@@ -59,6 +59,12 @@ def test_chunks_give_the_librarys_ids(encoder, texts):
     assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_tokenizers_that_keep_white_space_get_whole_texts():
+    encoder = token_files.Encoder(BYTE, 2, "<u4")
+    texts = [prose(4, 30), "a  b\n c", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [encoder.tokenizer.encode(t).ids + [2] for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1))))
 def test_packed_values_come_back(values):
