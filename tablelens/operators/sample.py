@@ -35,7 +35,8 @@ def stratified_split(df: DataFrame, label: str, key_cols: list[str], test_fracti
                      seed: int = 42) -> DataFrame:
     """Add ``split`` in {train, test}: in every class the ceil(f * n_c) rows
     with the smallest hash go to test (NULL is a class like any other).  Only
-    labels and keys are ranked, for the greatest key of each class that goes to test."""
+    labels and keys are ranked, for the greatest key of each class that goes to
+    test; rows with equal keys go to the same side."""
     keys = [F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(key_cols)]
     narrow = df.select(F.col(f"`{label}`").alias("_class"), *keys)
     names = [f"_k{i}" for i in range(len(keys))]

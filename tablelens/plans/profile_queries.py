@@ -9,7 +9,7 @@ from tablelens.plans.common import DIRTY_LINEITEM_COLS, DIRTY_LINEITEM_SQL, dirt
 from tablelens.plans.registry import register
 
 
-def _profile_sql(cols, target=None) -> str:
+def _profile_sql(cols, target=None, table=DIRTY_LINEITEM_SQL) -> str:
     parts = []
     for i, (c, kind) in enumerate(cols):
         if c == target:
@@ -22,7 +22,7 @@ def _profile_sql(cols, target=None) -> str:
         parts.append(f"SELECT {i} AS pos, '{c}' AS name, {role} AS type, "
                      f"round_even(100.0 * (count(*) - count({c})) / count(*), 1) AS missing, "
                      f"count(DISTINCT {c}) AS unique FROM d")
-    return f"WITH d AS ({DIRTY_LINEITEM_SQL}) " + " UNION ALL ".join(parts)
+    return f"WITH d AS ({table}) " + " UNION ALL ".join(parts)
 
 
 @register("profile_columns", _profile_sql(DIRTY_LINEITEM_COLS, target="l_returnflag"))

@@ -25,6 +25,7 @@ _MODULES = [
     "tablelens.plans.recipe_queries",
     "tablelens.plans.chart_queries",
     "tablelens.plans.model_queries",
+    "tablelens.plans.edge_queries",
 ]
 
 
@@ -41,11 +42,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     for m in _MODULES:
-        try:
-            importlib.import_module(m)
-        except ModuleNotFoundError as e:
-            if e.name != m:
-                raise
+        importlib.import_module(m)
 
 
 def _shipping(fn):

@@ -114,8 +114,8 @@ def test_keyword_topk_fills_k_with_zero_scores(spark):
 
 
 def test_bucketed_path_matches_window(spark, monkeypatch):
-    """Force the range-bucketed path (used above SINGLE_WINDOW_MAX_ROWS keys)."""
-    monkeypatch.setattr(R, "SINGLE_WINDOW_MAX_ROWS", 0)
+    """Many buckets, with more of them than are looked at together."""
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 20)
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "k": rng.normal(size=3000), "v": rng.integers(0, 5, 3000)})
     df = spark.createDataFrame(pdf)
@@ -130,3 +130,22 @@ def test_bucketed_path_matches_window(spark, monkeypatch):
     q = {r["p"]: r["q"] for r in R.exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})), "x",
                                                      [0.1, 0.5, 0.9]).collect()}
     assert all(q[p] == pytest.approx(float(np.quantile(x, p)), rel=1e-12) for p in (0.1, 0.5, 0.9))
+
+
+def test_null_groups_stay(spark, monkeypatch):
+    monkeypatch.setattr(R, "ROWS_PER_BUCKET", 2)
+    df = spark.createDataFrame([(None if i % 2 else "a", float(i), 1) for i in range(10)], "g string, k double, v int")
+    got = sorted((str(r["g"]), r["k"], r["cum_v"]) for r in R.prefix_sum(df, "k", ["v"], ["g"]).collect())
+    assert got == sorted([("a", float(i), i // 2 + 1) for i in range(0, 10, 2)] + [("None", float(i), i // 2 + 1) for i in range(1, 10, 2)])
+    q = {r["g"]: r["q"] for r in R.exact_quantiles(df, "k", [0.5], ["g"]).collect()}
+    assert q == {"a": 4.0, None: 5.0}
+
+
+def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(R, "WHOLE_BELOW", 10)  # brackets also where a rank is a large share
+    rng = np.random.default_rng(7)
+    x = np.r_[np.round(rng.exponential(size=30000), 3), np.full(9000, 0.7), np.nan]
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r["p"]: r["q"] for r in R.exact_quantiles(df, "x", probs).collect()}
+    assert all(got[p] == pytest.approx(float(np.nanquantile(x, p)), rel=1e-12) for p in probs)
