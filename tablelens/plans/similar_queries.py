@@ -37,6 +37,14 @@ def vector_topk(spark, sf):
     return out.select("qid", "did", F.round("score", 6).alias("score"), "rank")
 
 
+@register("vector_neighbours")
+def vector_neighbours(spark, sf):
+    """V2: every hundredth vector against all."""
+    e = load(spark, sf, "embeddings")
+    out = S.ivf_topk(e.where(F.col("vec_id") % 100 == 0), "vec_id", e, "vec_id", "embedding", k=5, exclude_self=True)
+    return out.select("qid", "did", F.round("score", 6).alias("score"), "rank")
+
+
 def part_features(spark, sf):
     p = load(spark, sf, "part").withColumn("item_key", F.col("p_partkey"))
     m = C.numeric_matrix(p.drop("p_name"), keep=["item_key"])
