@@ -104,14 +104,14 @@ def _softmax(logs: np.ndarray) -> np.ndarray:
 READ = "id {}, host string, domain string, suffix string, declared string, likely array<double>, share array<double>"
 
 
-def _read(model):
+def _read(model, markup: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, doubles = model.value, pa.list_(pa.float64())
         for batch in batches:
-            pages = batch.column(2).to_pylist()
-            likely = [own.log_likelihood(visible(p)) for p in pages]
-            places = [address(u) for u in batch.column(1).to_pylist()]
-            declared = [found[1].lower() if (found := DECLARED.search(p)) else "" for p in pages]
+            pages, origins = batch.column(2).to_pylist(), batch.column(1).to_pylist()
+            likely = [own.log_likelihood(visible(p) if markup else p) for p in pages]
+            places = [address(u) if markup else (u, "", "") for u in origins]
+            declared = [found[1].lower() if markup and (found := DECLARED.search(p)) else "" for p in pages]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([x[i] for x in places], pa.string()) for i in range(3)), pa.array(declared, pa.string()),
                  pa.array(likely, doubles), pa.array([_softmax(x) for x in likely], doubles)],
@@ -146,12 +146,15 @@ def _fuse(languages: list[str], corpus: np.ndarray, kinds: tuple[int, int]):
 
 
 def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url",
-             html_col: str = "html") -> DataFrame:
-    """One row per page: id, lang, probability, text_lang (by the text alone)."""
+             html_col: str = "html", markup: bool = True) -> DataFrame:
+    """One row per page: id, lang, probability, text_lang (by the text alone).
+
+    Without ``markup`` the texts are plain and ``url_col`` names their source,
+    which has a prior as a host has."""
     spark, n = pages.sparkSession, len(model.languages)
     rows = pages.select(F.col(id_col).alias("id"), text_of(url_col).alias("url"), text_of(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    read = materialise(rows.mapInArrow(_read(spark.sparkContext.broadcast(model)), READ.format(kind)), "read")
+    read = materialise(rows.mapInArrow(_read(spark.sparkContext.broadcast(model), markup), READ.format(kind)), "read")
 
     def sums(rows: DataFrame, key: str, column: str, *more) -> DataFrame:
         return rows.groupBy(key, *more).agg(F.array(*[F.sum(F.col(column)[i]) for i in range(n)]).alias(f"of_{key}"))
