@@ -94,14 +94,17 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 @finite_input
 def quality_findings(df: DataFrame, target: str | None = None, positive=None,
-                     corr_pairs: DataFrame | None = None, max_rows: int = 8) -> DataFrame:
+                     corr_pairs: DataFrame | None = None, bars: DataFrame | None = None,
+                     segments: DataFrame | None = None, max_rows: int = 8) -> DataFrame:
     """P5: rule findings as rows ``(rule, subject, value, kind)``.
 
     Rules: a column with >=5 % missing (warn); a driver pair with |r| >= 0.9
-    (warn, first only); class majority share >= 70 % (warn); quality score >= 90
-    (good) else duplicates > 0 (warn).  At most ``max_rows`` rows, in rule order.
+    (warn, first only); a driver of ``bars`` (M13) at 0.85 or more with the next
+    under 0.6 (info); class majority share >= 70 % (warn); the segment of
+    ``segments`` (G2) whose rate of ``positive`` is 1.3 times that of the table or
+    more (info); quality score >= 90 (good) else duplicates > 0 (warn).  At most
+    ``max_rows`` rows, in rule order.
     """
-    spark = df.sparkSession
     st = column_stats(df)
     parts = [st.where(F.col("missing_n") * 100.0 / F.col("n") >= 5)
                .select(F.lit(1).alias("ord"), F.col("pos").alias("sub_ord"), F.lit("missing").alias("rule"),
@@ -112,6 +115,18 @@ def quality_findings(df: DataFrame, target: str | None = None, positive=None,
         parts.append(w.select(F.lit(2).alias("ord"), F.lit(0).alias("sub_ord"), F.lit("redundant_pair").alias("rule"),
                               F.concat_ws(" & ", "a", "b").alias("subject"), F.col("r").cast("double").alias("value"),
                               F.lit("warn").alias("kind")))
+    if bars is not None:
+        first = bars.orderBy(F.desc("value"), "label").limit(2).agg(
+            F.max(F.struct("value", "label")).alias("top"), F.when(F.count(F.lit(1)) > 1, F.min("value")).alias("next"))
+        parts.append(first.where((F.col("top.value") >= 0.85) & (F.col("next").isNull() | (F.col("next") < 0.6))).select(
+            F.lit(3).alias("ord"), F.lit(0).alias("sub_ord"), F.lit("dominant_driver").alias("rule"),
+            F.col("top.label").alias("subject"), F.col("top.value").cast("double").alias("value"), F.lit("info").alias("kind")))
+    if target is not None and segments is not None and positive is not None:
+        base = df.where(F.col(target).isNotNull()).agg(F.avg((F.col(target) == F.lit(positive)).cast("double")).alias("base"))
+        best = attach_scalars(segments.orderBy(F.desc("value"), "label").limit(1), base)
+        parts.append(best.where((F.col("base") > 0) & (F.col("value") / F.col("base") >= 1.3)).select(
+            F.lit(5).alias("ord"), F.lit(0).alias("sub_ord"), F.lit("best_segment").alias("rule"),
+            F.col("label").alias("subject"), (F.col("value") / F.col("base")).alias("value"), F.lit("info").alias("kind")))
     if target is not None:
         vc = df.where(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("c"))
         share = vc.agg((F.max("c") / F.sum("c")).alias("value"))
@@ -129,5 +144,4 @@ def quality_findings(df: DataFrame, target: str | None = None, positive=None,
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    del spark
     return out.orderBy("ord", "sub_ord").limit(max_rows)

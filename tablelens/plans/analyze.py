@@ -140,6 +140,10 @@ def _supervised(df: DataFrame, target: str | None, task: str, key_cols: list[str
             r.optional("segments", lambda: G.segment_rate(df, seg, target, pos_label))
     elif num:
         r.optional("segments", lambda: G.quartile_means(df, num[0], target))
+    rates = prep.is_classification and prep.binary and "segments" in r
+    r.optional("findings", lambda: P.quality_findings(
+        df, target if prep.is_classification else None, prep.classes[1] if rates else None, r.get("corr"),
+        r.get("importance"), r["segments"] if rates else None))
     r.optional("headline", lambda: G.headline_stats(df, target, prep.is_classification))
     if prep.is_classification:
         r.optional("imbalance", lambda: _imbalance(df, target, prep))

@@ -259,3 +259,26 @@ def forecast_shape(spark, sf):
                                          F.count(F.when(F.col("kind") == "forecast", 1)).alias("forecast"), F.max("period").alias("period"))
 
 
+@register("findings_drivers", """
+WITH b AS (SELECT * FROM (VALUES ('charged', abs((SELECT corr(l_extendedprice * (1 - l_discount), l_extendedprice) FROM lineitem))),
+                                 ('l_tax', abs((SELECT corr(l_tax, l_extendedprice) FROM lineitem))),
+                                 ('l_discount', abs((SELECT corr(l_discount, l_extendedprice) FROM lineitem)))) t(label, c)),
+v AS (SELECT label, greatest(0.04, c / max(c) OVER ()) AS value FROM b),
+d AS (SELECT label, value, row_number() OVER (ORDER BY value DESC, label) AS rk FROM v),
+g AS (SELECT CAST(floor(l_quantity / 10) AS INTEGER) AS label, avg(CAST(l_quantity >= 45 AS DOUBLE)) AS rate FROM lineitem GROUP BY 1),
+s AS (SELECT label, rate / (SELECT avg(CAST(l_quantity >= 45 AS DOUBLE)) FROM lineitem) AS ratio FROM g ORDER BY rate DESC, CAST(label AS VARCHAR) LIMIT 1)
+SELECT 'dominant_driver' AS rule, label AS subject, round(value, 6) AS value, 'info' AS kind FROM d
+WHERE rk = 1 AND value >= 0.85 AND (SELECT value FROM d WHERE rk = 2) < 0.6
+UNION ALL SELECT 'best_segment', CAST(label AS VARCHAR), round(ratio, 6), 'info' FROM s WHERE ratio >= 1.3
+""")
+def findings_drivers(spark, sf):
+    """P5, the rules on drivers and segments."""
+    from tablelens.operators.charts import correlation_bars
+    li = load(spark, sf, "lineitem").withColumns({
+        "big": (F.col("l_quantity") >= 45).cast("int"), "tens": F.floor(F.col("l_quantity") / 10).cast("int"),
+        "charged": F.col("l_extendedprice") * (1 - F.col("l_discount"))})
+    bars = correlation_bars(li, ["charged", "l_tax", "l_discount"], "l_extendedprice")
+    segments = A.segment_rate(li, "tens", "big", 1, top=20)
+    found = P.quality_findings(li.select("l_quantity", "big"), "big", 1, bars=bars, segments=segments)
+    return found.where(F.col("rule").isin("dominant_driver", "best_segment")).select(
+        "rule", "subject", r6(F.col("value")).alias("value"), "kind")
