@@ -11,8 +11,6 @@ bucket its offset; the running sum inside a bucket is an ordinary window.
 
 from __future__ import annotations
 
-import contextlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,22 +30,17 @@ def shared(df: DataFrame) -> DataFrame:
     return d
 
 
+def shared_count() -> int:
+    """How many intermediates are persisted now: a mark for :func:`release_shared`."""
+    return len(_SHARED)
+
+
 def release_shared(keep: int = 0) -> None:
     """Release all persisted intermediates but the first ``keep``."""
     while len(_SHARED) > keep:
         _SHARED.pop().unpersist()
 
 
-@contextlib.contextmanager
-def shared_scope():
-    """Releases, at its end, what was persisted inside it (for steps whose results have been read)."""
-    keep = len(_SHARED)
-    try:
-        yield
-    finally:
-        release_shared(keep)
-
-
 def attach_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
     """Append the columns of a one-row aggregate to every row of ``df``.
 

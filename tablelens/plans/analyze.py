@@ -29,6 +29,7 @@ from tablelens.operators import stats as S
 from tablelens.operators import survival as SV
 from tablelens.operators import text as TX
 from tablelens.operators.features import standardize
+from tablelens.operators.ranks import release_shared, shared_count
 from tablelens.session import cut_lineage
 
 TASKS = ("auto", "classification", "regression", "nlp", "clustering", "anomaly", "dimreduction",
@@ -41,6 +42,11 @@ class _Results(dict):
     def __init__(self):
         super().__init__()
         self.skipped: list[str] = []
+        self._held = shared_count()
+
+    def release(self) -> None:
+        """Free what was persisted for these results, once they have been read."""
+        release_shared(self._held)
 
     def optional(self, name: str, fn):
         try:
