@@ -282,3 +282,44 @@ def findings_drivers(spark, sf):
     found = P.quality_findings(li.select("l_quantity", "big"), "big", 1, bars=bars, segments=segments)
     return found.where(F.col("rule").isin("dominant_driver", "best_segment")).select(
         "rule", "subject", r6(F.col("value")).alias("value"), "kind")
+
+
+@register("headline_nan", f"""
+{D} SELECT count(*) AS rows, 7 AS columns, round((3 * count(*) - count(l_tax) - count(l_discount) - count(l_returnflag)) / (7 * count(*)) * 100, 6) AS avg_missing_pct,
+           (SELECT round(max(c) / sum(c), 6) FROM (SELECT count(*) AS c FROM d WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag)) AS majority_share
+FROM d
+""")
+def headline_nan(spark, sf):
+    """G7 where values are missing."""
+    h = A.headline_stats(nan_lineitem(spark, sf), "l_returnflag", is_classification=True)
+    return h.select("rows", "columns", r6(F.col("avg_missing_pct")).alias("avg_missing_pct"), r6(F.col("majority_share")).alias("majority_share"))
+
+
+@register("learning_curve_sizes", f"""
+WITH k AS (SELECT concat_ws('#', l_orderkey, l_linenumber) AS k FROM lineitem),
+t AS (SELECT {hash_sql('k', 7)} / 4294967296.0 AS u, {hash_sql('k', 43)} % 3 AS fold FROM k WHERE {hash_sql('k')} / 4294967296.0 >= 0.2),
+s AS (SELECT unnest([0.2, 0.4, 0.6, 0.8, 1.0]) AS share)
+SELECT CAST(count(*) FILTER (WHERE fold <> 0 AND u < share) AS BIGINT) AS n FROM t, s GROUP BY share
+""")
+def learning_curve_sizes(spark, sf):
+    """Training rows behind each point of the learning curve (its scores are no SQL)."""
+    from tablelens.plans.model_queries import learning_curve
+    return learning_curve(spark, sf).select("n")
+
+
+@register("smote_bounds", f"""
+WITH t AS (SELECT toxic, n_chars FROM labels JOIN documents USING (doc_id) WHERE {hash_sql('doc_id')} / 4294967296.0 >= 0.2),
+c AS (SELECT toxic, count(*) AS n, min(n_chars) AS lo, max(n_chars) AS hi FROM t GROUP BY 1)
+SELECT (SELECT max(n) - min(n) FROM c) AS synthetic, (SELECT count(*) FROM t) AS rows, true AS inside
+""")
+def smote_bounds(spark, sf):
+    """Synthetic rows made, and whether all lie inside the range of the class they are of."""
+    from tablelens.operators.oversample import smote
+    from tablelens.operators.ranks import attach_scalars
+    from tablelens.plans.model_queries import _smote_train
+    out, info = smote(_smote_train(spark, sf), "toxic", ["n_chars", "words"], "doc_id")
+    own = out.where((F.col("synthetic") == 0) & (F.col("toxic") == F.lit(info["minority"]))).agg(
+        F.min("n_chars").alias("lo"), F.max("n_chars").alias("hi"))
+    made = attach_scalars(out, own)
+    return made.agg(F.sum("synthetic").cast("long").alias("synthetic"), F.sum(1 - F.col("synthetic")).cast("long").alias("rows"),
+                    F.min((F.col("synthetic") == 0) | F.col("n_chars").between(F.col("lo") - 1e-9, F.col("hi") + 1e-9)).alias("inside"))

@@ -53,7 +53,14 @@ def history_tail(spark, sf):
 
 
 @register("series_columns", """
-SELECT 'value' AS value_col, 'ts' AS date_col FROM (SELECT count(*) FROM events)
+WITH c AS (SELECT 1 AS pos, 'event_id' AS name, count(event_id) / count(*) AS num, 0 AS dates FROM events
+           UNION ALL SELECT 2, 'ts', 0, count(ts) / count(*) FROM events
+           UNION ALL SELECT 3, 'user_id', count(user_id) / count(*), 0 FROM events
+           UNION ALL SELECT 4, 'event_type', count(TRY_CAST(event_type AS DOUBLE)) / count(*), count(TRY_CAST(event_type AS TIMESTAMP)) / count(*) FROM events
+           UNION ALL SELECT 5, 'value', count(value) / count(*), 0 FROM events
+           UNION ALL SELECT 6, 'props', count(TRY_CAST(props AS DOUBLE)) / count(*), count(TRY_CAST(props AS TIMESTAMP)) / count(*) FROM events)
+SELECT (SELECT name FROM c WHERE num > 0.8 ORDER BY pos DESC LIMIT 1) AS value_col,
+       (SELECT name FROM c WHERE num <= 0.8 AND dates > 0.8 ORDER BY pos LIMIT 1) AS date_col
 """)
 def series_columns(spark, sf):
     v, d = T.pick_columns(load(spark, sf, "events"))

@@ -61,7 +61,9 @@ def event_rate(spark, sf):
 
 
 @register("survival_columns", """
-SELECT 'churn' AS event, CASE WHEN (SELECT count(*) FROM lineitem) > 0 THEN 'tenure' END AS duration
+SELECT 'churn' AS event, CASE WHEN count(l_quantity) > 0.8 * count(*) THEN 'tenure'
+       WHEN count(l_extendedprice) > 0.8 * count(*) AND count(*) FILTER (WHERE l_extendedprice >= 0) > 0.9 * count(l_extendedprice)
+       THEN 'amount' END AS duration FROM lineitem
 """)
 def survival_columns(spark, sf):
     li = load(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"),
