@@ -4,7 +4,7 @@ BPE never merges across pre-tokens, so a text's count is the sum over its
 pre-tokens, and each distinct pre-token is encoded once for the whole corpus.
 One pass counts pre-tokens (a bounded counter per task, then an aggregation),
 the tokenizer encodes the distinct ones, and a second pass counts each
-document's pre-tokens and sums: the ``HEAD`` most frequent pre-tokens come from
+document's pre-tokens and sums: the most frequent pre-tokens, ``HEAD`` at most, come from
 a broadcast table of bounded size, all others are joined by pre-token, so a very
 common word meets no shuffle and no document's ids are ever held.
 
@@ -15,6 +15,7 @@ other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from tablelens.llm.common import materialise, text_of
 #: Most frequent pre-tokens in the broadcast table, and the characters that each may have.
 HEAD, HEAD_CHARS = 1 << 17, 64
 #: Distinct pre-tokens that a task counts before it hands its counts on.
-HELD = 1 << 20
+HELD = 1 << 18
 
 # The classes of the byte-level pre-tokenizer, below U+0250 (letters, numbers, white space).
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -62,9 +63,15 @@ class PreTokens:
         return [len(e) for e in self.tokenizer.encode_batch(pretokens, add_special_tokens=False)]
 
 
+@functools.lru_cache(1)
+def pretokens(path: str) -> PreTokens:
+    """One tokenizer for all tasks of a worker process."""
+    return PreTokens(path)
+
+
 def _corpus_counts(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, held = PreTokens(path), Counter()
+        split, held = pretokens(path), Counter()
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"pretoken": pa.array(list(held), pa.string()),
@@ -81,7 +88,7 @@ def _corpus_counts(path: str):
 
 def _pieces(path: str):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = PreTokens(path)
+        split = pretokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
@@ -93,7 +100,7 @@ def _pieces(path: str):
 
 def _document_counts(path: str, head):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, known = PreTokens(path), head.value
+        split, known = pretokens(path), head.value
         for batch in batches:
             sums, rest = [], []
             for text in batch.column(1):
@@ -115,14 +122,28 @@ def pretoken_pieces(texts: DataFrame, path: str) -> DataFrame:
                        .mapInArrow(_pieces(path), "pretoken string, n long, pieces int"), "pretokens")
 
 
+def most_frequent(table: DataFrame, most: int) -> DataFrame:
+    """The rows whose count ``n`` reaches a level that at most ``most`` rows reach.
+
+    The level is read off a histogram of counts, eight bins to a doubling."""
+    level = F.floor(8 * F.log2("n"))
+    bins = sorted(table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
+    cut, total = None, 0
+    for at, rows in bins:  # at most 8 x 63
+        total += rows
+        if total > most:
+            break
+        cut = at
+    return table.where(level >= cut) if cut is not None else table.limit(0)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens."""
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("id"),
                                 F.octet_length(text_of(text_col)).cast("long").alias("n_bytes")).alias("id"),
                        text_of(text_col).alias("text"))
     table = pretoken_pieces(rows.select("text"), tokenizer_path)
-    top = (table.where(F.length("pretoken") <= HEAD_CHARS).orderBy(F.desc("n"), "pretoken").limit(HEAD)
-           .select("pretoken", "pieces").toPandas())
+    top = most_frequent(table.where(F.length("pretoken") <= HEAD_CHARS), HEAD).select("pretoken", "pieces").toPandas()
     head = docs.sparkSession.sparkContext.broadcast(dict(zip(top["pretoken"], top["pieces"].tolist())))
     counted = materialise(rows.mapInArrow(
         _document_counts(tokenizer_path, head), f"id {rows.schema['id'].dataType.simpleString()}, known long, "
