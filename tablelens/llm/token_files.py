@@ -23,6 +23,7 @@ empty table writes no blocks.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ from tablelens.llm.common import materialise, text_of, write_folder
 #: Ids after which a block is closed; documents stay whole.
 BLOCK_IDS = 1 << 16
 #: Distinct chunks that a task remembers, and the characters that it splits at a time.
-HELD, AT_ONCE = 1 << 20, 1 << 20
+HELD, AT_ONCE = 1 << 19, 1 << 20
 #: Words that are encoded as one text.
 TOGETHER = 256
 #: Characters that Python takes for white space and the tokenizer doesn't.
@@ -146,11 +147,17 @@ class Encoder:
             at = to
 
 
+@functools.lru_cache(1)
+def encoder(path: str, end_id: int, width: str) -> Encoder:
+    """One encoder, with what it remembers, for all tasks of a worker process."""
+    return Encoder(path, end_id, width)
+
+
 def _encode(path: str, end_id: int, width: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id, width)
+        encode_all = encoder(path, end_id, width)
         for batch in batches:
-            ids = pa.array(encoder(batch.column(1).to_pylist()), pa.binary())
+            ids = pa.array(encode_all(batch.column(1).to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
     return encode
 
