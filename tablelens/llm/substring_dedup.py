@@ -337,11 +337,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = materialise(places.repartition("anchor").sortWithinPartitions("anchor", "context", "id", "at")
                         .mapInArrow(_first_and_again(length), FOUND), "contexts")
     first = found.where("not again")
-    crowded = first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP).select("anchor")
+    # at most one row for GROUP contexts: written, so that the join below knows its size
+    crowded = materialise(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+                          .select("anchor", F.lit(True).alias("crowded")), "crowded")
     cut = F.substring(F.col("text"), (F.col("begin") + 1).cast("int"), (F.col("end") - F.col("begin")).cast("int"))
-    contexts = first.join(texts, ["id", "th"]).select(
-        "anchor", "id", "th", "begin", cut.alias("context"))
-    contexts = materialise(contexts.join(crowded.withColumn("crowded", F.lit(True)), "anchor", "left"), "context_texts")
+    contexts = materialise(first.join(crowded, "anchor", "left").join(texts, ["id", "th"]).select(
+        "anchor", "id", "th", "begin", cut.alias("context"), "crowded"), "context_texts")
     shards = (contexts.where("crowded is null").drop("crowded").distinct().repartition("anchor")
               .sortWithinPartitions("anchor", "id", "th", "begin"))
     indexed = shards.mapInArrow(_indexed(length), SPAN)
