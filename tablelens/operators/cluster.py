@@ -15,6 +15,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -35,47 +36,29 @@ def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------------- k-means
 
-#: Rows that the silhouette is taken over, at most: it needs the distances of all pairs of them.
+#: Rows, about, whose exact Euclidean silhouette the verdict is the mean of; each is held against all rows.
 SILHOUETTE_ROWS = 2000
 
 
-def silhouette(x: np.ndarray, cluster: np.ndarray) -> float:
-    """Mean Euclidean silhouette of rows that are numbered by cluster."""
-    ids = np.unique(cluster)
-    if len(ids) < 2:
-        return 0.0
-    squares = (x ** 2).sum(axis=1)
-    apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * x @ x.T, 0))
-    sizes = np.array([(cluster == c).sum() for c in ids])
-    sums = np.stack([apart[:, cluster == c].sum(axis=1) for c in ids], axis=1)
-    own = cluster[:, None] == ids[None, :]
-    inner = sums[own] / np.maximum(sizes[own.argmax(axis=1)] - 1, 1)
-    outer = np.where(own, np.inf, sums / sizes).min(axis=1)
-    score = (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)
-    return float(np.where(sizes[own.argmax(axis=1)] > 1, score, 0.0).mean())
-
-
 @finite_input
 def kmeans_select(df: DataFrame, cols: list[str], k_max: int = 8, seed: int = 42):
     """Fit k = 2..k_max (fewer when rows are few) on standardised columns, the
-    fits side by side, and keep the best Euclidean silhouette (over
-    ``SILHOUETTE_ROWS`` rows by hash).  Returns ``(scores DataFrame(k,
-    silhouette), best_k, labelled DataFrame)``, labelled with the raw columns."""
+    fits side by side, and keep the best silhouette of all rows (Spark's, which is
+    squared-Euclidean; :func:`euclidean_silhouette` is for the verdict).  Returns
+    ``(scores DataFrame(k, silhouette), best_k, labelled DataFrame)``, labelled with the raw columns."""
     if len(cols) < 2:
         raise ValueError("clustering takes two numeric columns or more")
     scaled = [f"{c}__z" for c in cols]
     z = _assembled(standardize(df, cols, suffix="__z"), scaled).drop(*scaled).cache()
     try:
         n = z.count()
-        turn = F.xxhash64(*[_q(c) for c in cols])
-        sample = np.array([r[0].toArray() for r in z.orderBy(turn, *[_q(c) for c in cols]).limit(SILHOUETTE_ROWS)
-                           .select("features").collect()])
 
         def fit(k):
             model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(z)
-            centres = np.array(model.clusterCenters())
-            near = ((sample[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-            return k, silhouette(sample, near), model
+            if sum(size > 0 for size in model.summary.clusterSizes) < 2:  # all rows are equal
+                return k, 0.0, model
+            ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
+            return k, float(ev.evaluate(model.transform(z))), model
         with ThreadPoolExecutor(4) as pool:
             found = list(pool.map(fit, range(2, min(k_max + 1, n))))
     finally:
@@ -87,6 +70,62 @@ def kmeans_select(df: DataFrame, cols: list[str], k_max: int = 8, seed: int = 42
     return out, best[0], best[2].transform(z).drop("features")
 
 
+def euclidean_silhouette(labelled: DataFrame, cols: list[str], cluster_col: str = "cluster", seed: int = 42) -> DataFrame:
+    """P6's input: ``value``, the mean Euclidean silhouette on standardised columns.
+
+    The mean is over ``SILHOUETTE_ROWS`` rows, or all of a smaller table; the
+    distances of each are summed over ALL rows of every cluster, so its value is
+    exact.  Equal rows are drawn by their count: a tuple that ``c`` of ``n`` rows
+    have weighs ``c * SILHOUETTE_ROWS / n``, rounded up or down by a hash of it."""
+    spark = labelled.sparkSession
+    scaled = [f"{c}__z" for c in cols]
+    z = standardize(labelled, cols, suffix="__z").select(
+        F.col(cluster_col).cast("int").alias("cluster"), F.array(*[_q(c).cast("double") for c in scaled]).alias("x")).cache()
+    try:
+        sizes = {r["cluster"]: r["count"] for r in z.groupBy("cluster").count().collect()}  # a row per cluster
+        n = sum(sizes.values())
+        if len(sizes) < 2:
+            return spark.createDataFrame([(0.0,)], "value double")
+        share = min(1.0, SILHOUETTE_ROWS / n)
+        unit = F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(2 ** 31)) / F.lit(2.0 ** 31)
+        drawn = (z.groupBy("cluster", "x").agg(F.count(F.lit(1)).alias("c"))
+                 .select("cluster", "x", F.floor(F.col("c") * F.lit(share) + unit * F.lit(float(share < 1))).alias("w"))
+                 .where("w > 0").orderBy("cluster", "x").collect())  # SILHOUETTE_ROWS of them, about
+        ids = sorted(sizes)
+        points = np.array([r["x"] for r in drawn])
+        held = spark.sparkContext.broadcast((points, (points ** 2).sum(axis=1), ids))
+
+        def distances(batches):
+            p, norm, known = held.value
+            sums = np.zeros((len(known), len(p)))
+            for pdf in batches:
+                for at in range(0, len(pdf), 1000):
+                    part = pdf.iloc[at:at + 1000]
+                    q = np.array(part["x"].tolist(), dtype=float)
+                    apart = np.maximum((q ** 2).sum(axis=1)[:, None] + norm[None, :] - 2 * q @ p.T, 0)
+                    apart[apart < 1e-12 * (1 + norm[None, :])] = 0  # equal rows, by rounding
+                    member = part["cluster"].to_numpy()[None, :] == np.array(known)[:, None]
+                    sums += member.astype(float) @ np.sqrt(apart)
+            yield pd.DataFrame({"cluster": known, "sums": sums.tolist()})
+        sums = (z.mapInPandas(distances, "cluster int, sums array<double>").select("cluster", F.posexplode("sums"))
+                .groupBy("cluster", "pos").agg(F.sum("col").alias("s")).collect())  # clusters x drawn rows
+    finally:
+        z.unpersist()
+    total = np.zeros((len(points), len(ids)))
+    for r in sums:
+        total[r["pos"], ids.index(r["cluster"])] = r["s"]
+    count = np.array([sizes[c] for c in ids], dtype=float)
+    own = np.array([ids.index(r["cluster"]) for r in drawn])
+    at = np.arange(len(points))
+    inner = total[at, own] / np.maximum(count[own] - 1, 1)
+    outer = total / count
+    outer[at, own] = np.inf
+    outer = outer.min(axis=1)
+    score = np.where(count[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+    value = float(np.average(score, weights=[r["w"] for r in drawn]))
+    return spark.createDataFrame([(value,)], "value double")
+
+
 def segment_sizes(labelled: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     """``segment, share`` — 'Segment i' numbered from cluster id 0."""
     g = labelled.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("c"))

@@ -205,10 +205,10 @@ def _clustering(df: DataFrame):
     r = _Results()
     m = C.numeric_matrix(df)
     cols = m.columns
-    scores, k, labelled = U.kmeans_select(m, cols)
+    scores, _, labelled = U.kmeans_select(m, cols)
     r["task"], r["silhouette"] = "clustering", scores
     r["segments"] = U.segment_sizes(labelled)
-    r["verdict"] = V.verdict(scores.where(col("k") == k).select(col("silhouette").alias("value")), "silhouette")
+    r["verdict"] = V.verdict(U.euclidean_silhouette(labelled, cols), "silhouette")
     r["dimensions"] = U.defining_dimensions(labelled, cols)
     return r
 

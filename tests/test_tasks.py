@@ -96,6 +96,31 @@ def test_clustering_shape(spark):
     assert sum(r["share"] for r in segment_sizes(lab).collect()) == pytest.approx(1.0)
 
 
+def test_clustering_of_copies(spark):
+    from tablelens.operators.cluster import euclidean_silhouette, kmeans_select
+    spots = [(0.0, 0.0), (0.0, 10.0), (10.0, 0.0)]
+    pdf = pd.DataFrame([s for s in spots for _ in range(2500)], columns=["x", "y"])
+    scores, k, lab = kmeans_select(_df(spark, pdf), ["x", "y"])
+    assert k == 3 and scores.where("k = 3").first()["silhouette"] == pytest.approx(1.0)
+    assert euclidean_silhouette(lab, ["x", "y"]).first()["value"] == pytest.approx(1.0)
+
+
+def test_euclidean_silhouette_is_of_all_rows(spark):
+    from tablelens.operators.cluster import euclidean_silhouette
+    rng = np.random.RandomState(0)
+    x = np.vstack([rng.normal(size=(150, 2)), rng.normal(size=(40, 2)) + 3, [[9.0, 9.0]], np.repeat([[1.0, 1.0]], 60, axis=0)])
+    cluster = np.r_[np.zeros(150), np.ones(40), 2, np.zeros(60)].astype(int)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    apart = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2))
+    want = []
+    for i, c in enumerate(cluster):
+        inner = apart[i, cluster == c].sum() / max((cluster == c).sum() - 1, 1)
+        outer = min(apart[i, cluster == o].mean() for o in range(3) if o != c)
+        want.append((outer - inner) / max(inner, outer) if (cluster == c).sum() > 1 else 0.0)
+    lab = _df(spark, pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "cluster": cluster}))
+    assert euclidean_silhouette(lab, ["a", "b"]).first()["value"] == pytest.approx(np.mean(want), abs=1e-6)
+
+
 def test_anomaly_planted_rows_rank_top(spark):
     from tablelens.operators.cluster import isolation_forest
     rng = np.random.RandomState(0)
