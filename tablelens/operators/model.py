@@ -27,7 +27,7 @@ from tablelens.operators import clean as C
 from tablelens.operators import evaluate as V
 from tablelens.operators import features as X
 from tablelens.operators import text as TX
-from tablelens.operators.ranks import exact_quantiles, medians
+from tablelens.operators.ranks import exact_quantiles, medians, prefix_sum
 from tablelens.operators.sample import kfold, random_split, stratified_split
 from tablelens.session import cut_lineage
 
@@ -342,8 +342,8 @@ def learning_curve(prep: Prepared, estimator, sizes=(0.2, 0.4, 0.6, 0.8, 1.0), f
     return prep.data.sparkSession.createDataFrame(rows, "n long, train double, val double")
 
 
-#: Test rows that permutation importance reads, and training rows that neighbours are looked for among, at most.
-PERMUTED_ROWS, NEIGHBOUR_ROWS = 2000, 8000
+#: Scores that a block of permuted rows has, about, and training rows that neighbours are looked for among, at most.
+BLOCK_SCORES, NEIGHBOUR_ROWS = 4_000_000, 8000
 
 
 def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, list]:
@@ -380,28 +380,59 @@ def nearest_neighbours(prep: Prepared, k: int = 5) -> DataFrame:
 
 
 def permutation_importance(prep: Prepared, model, repeats: int = 4, seed: int = 42) -> np.ndarray:
-    """Drop of a linear model's score when one feature's values are permuted
-    among ``PERMUTED_ROWS`` test rows, mean over ``repeats``."""
-    x, y, _ = _sample(prep.data.where(F.col("split") == "test"), PERMUTED_ROWS)
+    """Drop of a linear model's score on all test rows when one feature's values
+    are permuted, mean over ``repeats``.
+
+    Rows are dealt by a hash of their number (not of their values) into blocks of
+    bounded size, and values are permuted inside a block, which is a random part of the
+    rows; the score is aggregated over all blocks: the ROC-AUC by one ranking of
+    every permutation's scores, accuracy and R2 by sums."""
+    test = prep.data.where(F.col("split") == "test").select("label", vector_to_array("features").alias("x"))
     if prep.is_classification:
         coef, base = model.coefficientMatrix.toArray(), np.asarray(model.interceptVector.toArray())
     else:
         coef, base = model.coefficients.toArray()[None, :], np.array([model.intercept])
-
-    def score(logits):
-        if not prep.is_classification:
-            return -((logits[:, 0] - y) ** 2).mean() / (y.var() or 1.0)
-        if len(coef) > 1:
-            return (logits.argmax(axis=1) == y).mean()
-        rank = pd.Series(logits[:, 0]).rank().to_numpy()
-        n1 = (y == 1).sum()
-        return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / max(n1 * (len(y) - n1), 1)
-    whole, draw = x @ coef.T + base, np.random.default_rng(seed)
-    out = np.zeros(x.shape[1])
-    for j in range(x.shape[1]):
-        for _ in range(repeats):
-            out[j] += score(whole) - score(whole + np.outer(draw.permutation(x[:, j]) - x[:, j], coef[:, j]))
-    return np.maximum(out / repeats, 0)
+    used = np.flatnonzero((coef != 0).any(axis=0)).tolist()  # the score does not depend on the others
+    out = np.zeros(coef.shape[1])
+    n, var = test.agg(F.count(F.lit(1)), F.var_pop("label")).first()
+    if not n or not used:
+        return out
+    ranked = prep.is_classification and len(coef) == 1
+    held = int(np.clip(BLOCK_SCORES // (len(used) * repeats), 256, 8192))
+    block = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(-(-n // held)))
+    rows = test.withColumn("row", F.monotonically_increasing_id()).withColumn("block", block)
+    is_clf = prep.is_classification
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row")
+        x, y = np.array(pdf["x"].tolist(), dtype=float), pdf["label"].to_numpy()
+        whole, draw = x @ coef.T + base, np.random.default_rng([seed, int(pdf["block"].iloc[0])])
+
+        def right(logits):
+            if ranked:
+                return logits[:, 0]
+            return (logits.argmax(axis=1) == y).astype(float) if is_clf else -(logits[:, 0] - y) ** 2
+        found = [right(whole)]
+        for j in used:
+            for _ in range(repeats):
+                found.append(right(whole + np.outer(draw.permutation(x[:, j]) - x[:, j], coef[:, j])))
+        if ranked:
+            return pd.DataFrame({"label": y, "s": np.stack(found, axis=1).tolist()})
+        return pd.DataFrame({"label": [0.0], "s": [[float(f.sum()) for f in found]]})
+    scored = (rows.groupBy("block").applyInPandas(score, "label double, s array<double>")
+              .select("label", F.posexplode("s").alias("which", "s")))
+    if ranked:
+        counts = scored.groupBy("which", "s").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count(F.lit(1)).alias("t"))
+        ranks = prefix_sum(counts, "s", ["t"], ["which"])
+        found = ranks.groupBy("which").agg(F.sum(F.col("pos") * (F.col("cum_t") - F.col("t") + (F.col("t") + 1) / 2.0)).alias("s"),
+                                           F.sum("pos").alias("p")).collect()  # a row per permutation
+        value = {r["which"]: (r["s"] - r["p"] * (r["p"] + 1) / 2.0) / max(r["p"] * (n - r["p"]), 1) for r in found}
+    else:
+        scale = n if is_clf else n * (var or 1.0)
+        value = {r["which"]: r["s"] / scale for r in scored.groupBy("which").agg(F.sum("s").alias("s")).collect()}
+    for i, j in enumerate(used):
+        out[j] = value[0] - np.mean([value[1 + i * repeats + r] for r in range(repeats)])
+    return np.maximum(out, 0)
 
 
 def importance(prep: Prepared, model, top: int = 6) -> DataFrame:

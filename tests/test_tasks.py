@@ -70,6 +70,49 @@ def test_classification_end_to_end(spark):
     assert 1 <= len(bars) <= 6 and all(0.04 <= b["value"] <= 1 for b in bars)
 
 
+def _scored_by(spark, x, y, classes):
+    from pyspark.ml.functions import array_to_vector
+    from tablelens.operators import model as M
+    rows = [(str(i), float(b), "test", [float(v) for v in a]) for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "_key string, label double, split string, x array<double>")
+    df = df.select("_key", "label", "split", array_to_vector("x").alias("features"))
+    return M.Prepared(df, [f"f{i}" for i in range(x.shape[1])], bool(classes), classes)
+
+
+def test_permutation_importance_of_a_rare_class(spark):
+    from hashlib import md5
+    from types import SimpleNamespace
+    from pyspark.ml.linalg import Matrices, Vectors
+    from tablelens.operators import model as M
+    n, d = 6000, 8
+    rng = np.random.RandomState(0)
+    turn = sorted(range(n), key=lambda i: md5(f"{i}#42".encode()).hexdigest()[:8])
+    x, y = rng.normal(size=(n, d)), np.zeros(n)
+    y[turn[-3:]] = 1  # the last ones by the samples' hash
+    x[turn[-3:], d - 1] += 12
+    model = SimpleNamespace(coefficientMatrix=Matrices.dense(1, d, [0.1] * 6 + [0.0, 2.0]), interceptVector=Vectors.dense([-9.0]))
+    imp = M.permutation_importance(_scored_by(spark, x, y, ["0", "1"]), model)
+    assert imp.argmax() == d - 1 and imp[d - 2] == 0 and (imp[:6] < 0.05).all()
+    assert 0.1 < imp[d - 1] < 1
+
+
+def test_permutation_importance_of_numbers_and_classes(spark):
+    from types import SimpleNamespace
+    from pyspark.ml.linalg import Matrices, Vectors
+    from tablelens.operators import model as M
+    rng = np.random.RandomState(0)
+    x = rng.normal(size=(9000, 2))
+    line = SimpleNamespace(coefficients=Vectors.dense([3.0, 1.0]), intercept=0.0)
+    imp = M.permutation_importance(_scored_by(spark, x, 3 * x[:, 0] + x[:, 1], []), line)
+    assert imp == pytest.approx([1.8, 0.2], rel=0.05)  # twice the feature's share of the variance
+    w = np.array([[2.0, 0.0], [-1.0, 1.0], [-1.0, -1.0]])
+    three = SimpleNamespace(coefficientMatrix=Matrices.dense(3, 2, w.ravel(order="F").tolist()), interceptVector=Vectors.dense([0.0] * 3))
+    imp = M.permutation_importance(_scored_by(spark, x, (x @ w.T).argmax(axis=1), ["a", "b", "c"]), three)
+    other = [np.c_[rng.permutation(x[:, 0]), x[:, 1]], np.c_[x[:, 0], rng.permutation(x[:, 1])]]
+    want = [((x @ w.T).argmax(axis=1) != (o @ w.T).argmax(axis=1)).mean() for o in other]
+    assert imp == pytest.approx(want, abs=0.03)
+
+
 def test_regression_end_to_end(spark):
     from tablelens.operators import model as M
     rng = np.random.RandomState(0)
