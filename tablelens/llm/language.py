@@ -10,8 +10,8 @@ smoothed towards the corpus's.  A page's own share is taken out of every sum tha
 used for it.  Sums are combined map-side, so a host with a third of all pages is one row per task.
 
 Defined cases: null html and url count as empty; a page without text, declaration and host gets the corpus's prior;
-null ids and repeated rows get a row each; labelled rows without text or language teach nothing; no
-labelled row at all is an error; an empty table of pages gives no rows.
+null ids and repeated rows get a row each; labelled rows without text or language teach nothing; without
+any labelled row every page's language and probability are null; an empty table of pages gives no rows.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import materialise, text_of
 
-#: Places that byte trigrams are hashed into, and languages at most: the broadcast model has 4 bytes for each of both.
+#: Places that byte trigrams are hashed into, and languages of which a model holds all places (4 bytes each) and a task
+#: all counts; of more languages only the counts that are there are held, and tasks write theirs out in between.
 PLACES, MOST_LANGUAGES = 1 << 16, 256
 #: Pages of evidence that a domain's and a host's prior weigh, and the added count of declarations and suffixes.
 DOMAIN_WEIGHT, HOST_WEIGHT, ADDED = 5.0, 5.0, 0.5
@@ -57,29 +60,57 @@ class TextModel:
         return TEXT_WEIGHT * self.log_share[:, trigrams(text)].sum(axis=1, dtype=np.float64)
 
 
+@dataclass
+class SparseTextModel:
+    """Of many languages: what a trigram that a language has adds to the share of one that it has not."""
+    languages: list[str]
+    unseen: np.ndarray    # log share of a trigram without a count, by language
+    begin: np.ndarray     # where a place's counts begin
+    language: np.ndarray
+    gain: np.ndarray
+
+    def log_likelihood(self, text: str) -> np.ndarray:
+        place, times = np.unique(trigrams(text), return_counts=True)
+        first, count = self.begin[place], np.diff(self.begin)[place]
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
+        gains = np.bincount(self.language[at], self.gain[at] * np.repeat(times, count), len(self.languages))
+        return TEXT_WEIGHT * (times.sum() * self.unseen + gains)
+
+
+def _rows(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lang, own in sums.items():
+        place = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), pa.array(place), pa.array(own[place])],
+                                         names=["lang", "place", "n"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = sums.setdefault(lang, np.zeros(PLACES, np.int64)) if len(sums) <= MOST_LANGUAGES or lang in sums else None
-            if own is None:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+            if lang not in sums and len(sums) >= MOST_LANGUAGES:
+                yield from _rows(sums)
+                sums.clear()
+            own = sums.setdefault(lang, np.zeros(PLACES, np.int64))
             own += np.bincount(trigrams(text.as_py()), minlength=PLACES)
-    for lang, own in sums.items():
-        place = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(place), pa.string()), pa.array(place), pa.array(own[place])],
-                                         names=["lang", "place", "n"])
+    yield from _rows(sums)
 
 
-def learn_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel:
+def learn_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel | SparseTextModel:
     """Trigram shares of each language, counted over all labelled documents."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
     table = rows.mapInArrow(_counted, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
-    if table.empty:
-        raise ValueError("no labelled document to learn languages from")
     languages = sorted(table["lang"].unique())
+    number = table["lang"].map({x: i for i, x in enumerate(languages)})
+    if len(languages) > MOST_LANGUAGES:
+        table = table.assign(lang=number).sort_values(["place", "lang"])
+        totals = np.bincount(table["lang"], table["n"], len(languages)) + 0.5 * PLACES
+        begin = np.searchsorted(table["place"].to_numpy(), np.arange(PLACES + 1))
+        return SparseTextModel(languages, np.log(0.5 / totals), begin, table["lang"].to_numpy(np.int32),
+                               np.log((table["n"].to_numpy() + 0.5) / 0.5).astype(np.float32))
     counts = np.full((len(languages), PLACES), 0.5)
-    counts[table["lang"].map({x: i for i, x in enumerate(languages)}), table["place"]] += table["n"]
+    if languages:
+        counts[number, table["place"]] += table["n"]
     return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
 
 
@@ -101,13 +132,16 @@ def _softmax(logs: np.ndarray) -> np.ndarray:
     return shares / shares.sum(axis=-1, keepdims=True)
 
 
+#: Numbers of one kind, about, that a batch of rows with a number for each of many languages holds.
+BATCH_NUMBERS = 4_000_000
 READ = "id {}, host string, domain string, suffix string, declared string, likely array<double>, share array<double>"
 
 
 def _read(model, markup: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, doubles = model.value, pa.list_(pa.float64())
-        for batch in batches:
+        step = max(BATCH_NUMBERS // len(own.languages), 1)
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             pages, origins = batch.column(2).to_pylist(), batch.column(1).to_pylist()
             likely = [own.log_likelihood(visible(p) if markup else p) for p in pages]
             places = [address(u) if markup else (u, "", "") for u in origins]
@@ -145,7 +179,14 @@ def _fuse(languages: list[str], corpus: np.ndarray, kinds: tuple[int, int]):
     return fuse
 
 
-def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url",
+def _sums(column: str, n: int) -> Column:
+    """Sums of the ``n`` places of an array; many by one vector."""
+    if n > MOST_LANGUAGES:
+        return vector_to_array(Summarizer.sum(array_to_vector(F.col(column))))
+    return F.array(*[F.sum(F.col(column)[i]) for i in range(n)])
+
+
+def identify(pages: DataFrame, model: TextModel | SparseTextModel, id_col: str = "page_id", url_col: str = "url",
              html_col: str = "html", markup: bool = True) -> DataFrame:
     """One row per page: id, lang, probability, text_lang (by the text alone).
 
@@ -154,17 +195,21 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     spark, n = pages.sparkSession, len(model.languages)
     rows = pages.select(F.col(id_col).alias("id"), text_of(url_col).alias("url"), text_of(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
+    if not n:
+        return rows.select("id", *[F.lit(None).cast(t).alias(c) for c, t in (("lang", "string"), ("probability", "double"),
+                                                                            ("text_lang", "string"))])
     read = materialise(rows.mapInArrow(_read(spark.sparkContext.broadcast(model), markup), READ.format(kind)), "read")
 
     def sums(rows: DataFrame, key: str, column: str, *more) -> DataFrame:
-        return rows.groupBy(key, *more).agg(F.array(*[F.sum(F.col(column)[i]) for i in range(n)]).alias(f"of_{key}"))
+        return rows.groupBy(key, *more).agg(_sums(column, n).alias(f"of_{key}"))
     hosts = materialise(sums(read, "host", "share", "domain", "suffix"), "hosts")
     by_domain, by_suffix = sums(hosts, "domain", "of_host"), sums(hosts, "suffix", "of_host")
     declared = sums(read, "declared", "share")  # at most one row for each word of two or three letters
     hosts = hosts.join(by_domain, "domain").join(by_suffix, "suffix").select("host", "of_host", "of_domain", "of_suffix")
-    totals = read.agg(*[F.sum(F.col("share")[i]) for i in range(n)], F.count_distinct("suffix"), F.count_distinct("declared")).first()
-    corpus = np.array([x or 0.0 for x in totals[:n]])
+    shares = read.agg(_sums("share", n)).first()[0] or [0.0] * n
+    totals = read.agg(F.count_distinct("suffix"), F.count_distinct("declared")).first()
+    corpus = np.array([x or 0.0 for x in shares])
     joined = read.join(hosts, "host").join(F.broadcast(declared), "declared")
     return joined.select("id", "host", "likely", "share", "of_host", "of_domain", "of_suffix", "of_declared").mapInArrow(
-        _fuse(model.languages, corpus, (totals[n] + 1, totals[n + 1] + 1)),
+        _fuse(model.languages, corpus, (totals[0] + 1, totals[1] + 1)),
         f"id {kind}, lang string, probability double, text_lang string")

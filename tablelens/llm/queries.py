@@ -47,11 +47,10 @@ def op2_token_count(spark, sf):
 
 @query("op3_language")
 def op3_language(spark, sf):
-    """Pages by all evidence, and documents by their texts and sources; taught by two thirds of the documents."""
+    """Pages by all evidence, and documents by their texts and sources; taught by all labelled documents."""
     from tablelens.llm.language import identify, learn_text
-    from tablelens.llm.quality import held_out
     docs = load(spark, sf, "documents")
-    model = learn_text(docs.where(~held_out(F.col("doc_id"))))
+    model = learn_text(docs)
     pages = identify(load(spark, sf, "pages"), model).withColumn("page_id", F.col("id")).withColumn("doc_id", F.lit(None).cast("long"))
     texts = identify(docs, model, "doc_id", "source", "text", markup=False)
     texts = texts.withColumn("page_id", F.lit(None).cast("long")).withColumn("doc_id", F.col("id"))

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablelens.llm import language, token_count, token_files
@@ -118,6 +119,36 @@ def test_evidence_decides_where_the_text_is_silent(spark, sf_small):
     assert language.identify(pages.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_language_query_learns_from_all_labels(spark, tmp_path, labelled):
+    from tablelens.llm.queries import QUERIES
+    rare = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 == 1)
+    rows = [(rare, "kwyjibo zqorp vexu " * 30, "xx", "a")] + [(i, "the house and the dog " * 30, "en", "a") for i in range(200, 230)]
+    docs = spark.createDataFrame([(i, t, x if labelled else None, s) for i, t, x, s in rows], "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(1, None, "<p>" + "zqorp vexu kwyjibo " * 30)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op3_language"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) + 1
+    by = {(r.doc_id, r.page_id): r.text_lang for r in got}
+    assert by[rare, None] == by[None, 1] == ("xx" if labelled else None) and by[200, None] == ("en" if labelled else None)
+
+
+@pytest.mark.parametrize("most", [2, 256])
+def test_many_languages(spark, monkeypatch, most):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", most)
+    n = 40 if most < 40 else 300
+    rows = [(i, prose(i % n, 12) + " ", f"l{i % n:03}") for i in range(2 * n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    model = language.learn_text(docs)
+    assert len(model.languages) == n and isinstance(model, language.SparseTextModel)
+    got = language.identify(docs.withColumn("source", F.lit("a")), model, "doc_id", "source", "text", markup=False).collect()
+    assert len(got) == 2 * n and all(r.text_lang == f"l{r.id % n:03}" for r in got)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", n)
+    whole = language.learn_text(docs)
+    assert model.log_likelihood(prose(7, 30)) == pytest.approx(whole.log_likelihood(prose(7, 30)), rel=1e-4)
+
+
 def test_markup_and_addresses():
     assert language.visible("<style>p{}</style><p>a&amp;b<!-- c --></p><script>d</script>").split() == ["a&b"]
     assert language.address("https://u@Blog.Example.FR:80/x") == ("blog.example.fr", "example.fr", "fr")
