@@ -11,7 +11,7 @@ whole, row by row, without a shuffle.
 
 Defined cases: null counts as empty; texts without words score by the bias alone;
 labels that are null or of unknown documents teach nothing; of several labels of a document the greatest counts;
-without any label all scores are 0.5; repeated rows get a row each.
+of several texts of a document the one of least hash teaches; without any label all scores are 0.5; repeated rows get a row each.
 """
 
 from __future__ import annotations
@@ -128,8 +128,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str, learn_from: Colu
     known = (labels.where(learn_from & F.col(label).isNotNull() & F.col(id_col).isNotNull())
              .groupBy(F.col(id_col).alias("__id")).agg(F.max(label).cast("int").alias("__label")))
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    rows = (docs.join(F.broadcast(sample), docs[id_col] == F.col("__id"))
-            .select(F.xxhash64("__id").alias("turn"), F.col("__label").alias("label"), text_of(text_col).alias("text")))
+    texts = docs.select(F.col(id_col).alias("__doc"), text_of(text_col).alias("__text"))
+    rows = (texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).groupBy("__id")
+            .agg(F.min("__label").alias("label"), F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("text"))
+            .select(F.xxhash64("__id").alias("turn"), "label", "text"))
     found = rows.mapInArrow(_features, "turn long, label int, place array<int>, value array<float>")
     table = (found.repartition(1).sortWithinPartitions("turn", "label", F.size("place"))
              .mapInArrow(_fit(options), "place int, weight double").toPandas())

@@ -87,6 +87,19 @@ def test_quality_on_held_out_rows(spark, sf_small):
     assert right >= 0.97 * scored.count() > 50
 
 
+def test_quality_learns_one_text_of_a_document(spark):
+    rows = [(1, "good words here"), (2, "bad things there"), (3, "fine words again")]
+    hot = rows + [(2, "bad things there")] * 500
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    once, often = (quality.fit_quality(spark.createDataFrame(r, "doc_id long, text string"), labels, "quality", F.lit(True))
+                   for r in (rows, hot))
+    assert once.any() and (once == often).all()
+    texts = [(1, "good words here"), (1, "other text"), (2, "bad things there")]
+    one, two = (quality.fit_quality(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels, "quality", F.lit(True))
+                for r, n in ((texts, 1), (texts[::-1] * 3, 4)))
+    assert (one == two).all()
+
+
 def test_quality_of_odd_rows(spark):
     docs = table(spark, ODD)
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (999, 0), (15, 0)], "doc_id long, quality int")
