@@ -167,16 +167,18 @@ def _first_and_again(length: int):
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes and its inverse: ranked on eight bytes, then on twice as many each round."""
+    """Order of all suffixes and its inverse: ranked on seven bytes, then on twice as many each round.
+
+    A byte takes nine bits, so the end of the text differs from every byte."""
     n = len(text)
-    words = np.concatenate([text, np.zeros(7, np.uint8)])
+    symbols = np.concatenate([text.astype(U) + U(1), np.zeros(6, U)])
     key = np.zeros(n, U)
-    for i in range(8):
-        key = (key << U(8)) | words[i:i + n]
+    for i in range(7):
+        key = (key << U(9)) | symbols[i:i + n]
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
-    step = 8
+    step = 7
     while rank[order[-1]] < n - 1:
         pair = rank * (n + 1)
         pair[:-step] += rank[step:] + 1
@@ -197,7 +199,8 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray, most: int):
         order, rank = suffix_array(text)
-        symbols = text[order - 1]
+        symbols = text[order - 1].astype(np.int16)
+        symbols[rank[0]] = -1  # nothing precedes the whole text: a run of its own, so both its borders are sampled
         heads = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
         self.runs = len(heads)
         self.samples = np.unique(np.r_[order[heads] - 1, len(text) - 1] % len(text))
@@ -210,7 +213,10 @@ class RunLengthIndex:
         at = np.searchsorted(self.samples, places)
         steps = self.samples[at] - places
         long_ = self.shared[at] + steps >= length
-        return places[long_], (self.phi[at] - steps)[long_]
+        here, there = places[long_], (self.phi[at] - steps)[long_]
+        if len(there) and (there.min() < 0 or (here == there).any()):
+            raise AssertionError("a sample is missing beside a run")
+        return here, there
 
 
 def _shared(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -236,8 +242,10 @@ def repeated_windows(contexts: list[bytes], length: int) -> tuple[np.ndarray, np
     here, there = RunLengthIndex(text, length).matches(places, length)
     parent = np.arange(len(text))
     parent[here] = there
-    while len(here) and ((up := parent[parent[here]]) != parent[here]).any():  # chains of matches halve
-        parent[here] = up
+    for _ in range(len(text).bit_length()):  # each link leads back in suffix order, so chains end, and they halve
+        parent[here] = parent[parent[here]]
+    if len(here) and (parent[parent[here]] != parent[here]).any():
+        raise AssertionError("matches form a circle")
     least = np.arange(len(text))
     np.minimum.at(least, parent[here], here)
     gone = places[least[parent[places]] < places]

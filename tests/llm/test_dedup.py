@@ -83,10 +83,7 @@ def test_substring_dedup(spark, monkeypatch, group):
     assert substring_dedup.remove_repeats(table(spark, rows).limit(0)).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", min_size=6, max_size=40), min_size=1, max_size=12))
-def test_run_length_index_marks_repeated_windows(texts):
-    contexts, length = [t.encode() for t in texts], 6
+def repeats_marked(contexts, length):
     context, place = substring_dedup.repeated_windows(contexts, length)
     want, seen = [], set()
     for c, t in enumerate(contexts):
@@ -97,6 +94,41 @@ def test_run_length_index_marks_repeated_windows(texts):
     assert sorted(zip(context.tolist(), place.tolist())) == want
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.lists(st.text("ab\0", min_size=6, max_size=40), min_size=1, max_size=12))
+def test_run_length_index_marks_repeated_windows(texts):
+    repeats_marked([t.encode() for t in texts], 6)
+
+
+def test_run_length_index_where_the_first_context_has_neighbours():
+    repeats_marked([b"baaaaa", b"aaaaaa", b"aaaaaa", b"baaaab"], 6)
+    repeats_marked([b"\0" * 6, b"\0" * 7, b"\0" * 6], 6)
+    for seed in range(400):
+        pick = random.Random(seed)
+        shared = prose(seed, 40)[:110]
+        contexts = [(prose(pick.randrange(3), 9)[-pick.randrange(1, 30):] + shared[:pick.randint(100, 110)]
+                     + prose(pick.randrange(3), 9)[:pick.randrange(30)]).encode() for _ in range(pick.randint(3, 8))]
+        repeats_marked(contexts, 100)
+
+
+def test_near_copies_over_many_partitions(spark):
+    pick, base = random.Random(5), prose(71, 120)
+    rows = []
+    for i in range(60):
+        words = base.split()
+        for _ in range(pick.randrange(4)):
+            words[pick.randrange(len(words))] = prose(pick.randrange(5), 1)
+        rows.append((i, " ".join(words[pick.randrange(9):]), "a"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = substring_dedup.remove_repeats(table(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = removed(rows, 100)
+    assert {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == {i: want[i, t] for i, t, _ in rows}
+
+
 def test_runs_are_fewer_than_places_in_repetitive_text():
     text = np.frombuffer((prose(4, 40) * 50).encode(), np.uint8)
     index = substring_dedup.RunLengthIndex(text, 20)
