@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.llm.common import text_of
 from tablelens.plans.common import load
 from tablelens.plans.registry import _shipping
 
@@ -142,3 +143,64 @@ def op10_sharding(spark, sf):
     return assign_shards(load(spark, sf, "documents"), shards=40).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 of ASCII strings in SQL: a table of 256 steps, and the sum over the characters of ``{0}``.
+CRC_TABLE = """(SELECT list(list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                          ORDER BY i) AS steps FROM range(256) t(i))"""
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length({0}) + 1), lambda i: CAST(ascii(substr({0}, i, 1)) AS BIGINT))),
+                           lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])))"""
+
+
+@query("op11_periodic_runs", rf"""
+WITH d AS (SELECT doc_id, w, len(w) AS n, coalesce({CRC.format("CAST(doc_id AS VARCHAR)")}, 1) AS h
+           FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents), {CRC_TABLE}),
+a AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM d),
+v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+             THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM a),
+e AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word, unnest(list_transform(range(n), lambda i: w[i + 1:i + 8])) AS gram FROM v),
+p AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.gram = y.gram
+      WHERE y.i > x.i AND 3 * (y.i - x.i) <= x.n AND len(x.gram) = 8),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 7 + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM p) GROUP BY doc_id, q, part),
+r AS (SELECT doc_id, start, length, min(q) AS q FROM s WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length),
+k AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS rest FROM e ANTI JOIN k USING (doc_id, i) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS runs,
+             arg_min({{'start': start, 'length': length, 'q': q}}, {{'e': -length / q, 's': start, 'q': q}}) AS best FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.q AS period,
+       CAST(1000 * best.length // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+       sha256(coalesce(rest, '')) AS collapsed_sha256
+FROM v LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+""")
+def op11_periodic_runs(spark, sf):
+    """The planted cycles of the contract, then the operator over all documents; digests of its runs and texts."""
+    from tablelens.llm.periodic_runs import cycle_tail, find_runs
+    docs = load(spark, sf, "documents")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    text = F.when((h % 10 == 0), cycle_tail(text_of("text"), g, 3 + g % 8)).otherwise(text_of("text"))
+    found = find_runs(docs.select("doc_id", text.alias("text")))
+    # greater exponent first: length / period compared as a fraction, then start, then period
+    best = F.get(F.array_sort("runs", lambda x, y: F.coalesce(
+        F.nullif(F.signum(y["length"] * x["period"] - x["length"] * y["period"]), F.lit(0.0)),
+        F.nullif(F.signum(x["start"] - y["start"]), F.lit(0.0)), F.signum(x["period"] - y["period"])).cast("int")), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return (found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")))
+
+
+@query("op12_piece_codec")
+def op12_piece_codec(spark, sf):
+    """Pieces with their spans and the decoded text; the spans cover a text but for what the normaliser drops."""
+    import public_tokenizers
+    from tablelens.llm.pieces import encode_pieces
+    encoded = encode_pieces(load(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decoded=True)
+    return encoded.select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("span_end"))
