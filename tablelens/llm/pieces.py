@@ -20,6 +20,7 @@ rows and null ids are rows like others; other columns are not read; an empty tab
 
 from __future__ import annotations
 
+import array
 import codecs
 import functools
 import heapq
@@ -38,7 +39,9 @@ from tablelens.llm.common import text_of
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units that a worker remembers, and pieces handed on at a time.
-HELD, AT_ONCE = 1 << 18, 1 << 20
+HELD, AT_ONCE = 1 << 19, 1 << 20
+#: Characters of a unit whose pairs are looked through at each merge; longer ones keep them in a heap.
+SHORT = 64
 
 
 def _one_by_one(error: UnicodeError):
@@ -199,6 +202,23 @@ class Pieces:
 
     def merged(self, unit: str) -> list[str]:
         """The pieces of a unit: the best-scored pair of neighbours first, the leftmost of equals."""
+        if self.own or self.unused or len(unit) > SHORT:
+            return self._merged_by_heap(unit)
+        score, none = self.scores.get, float("-inf")
+        symbols = list(unit)
+        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := max(pairs)) != none:
+            at = pairs.index(best)
+            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(symbols[at - 1] + symbols[at], none)
+            if at < len(pairs):
+                pairs[at] = score(symbols[at] + symbols[at + 1], none)
+        return symbols
+
+    def _merged_by_heap(self, unit: str) -> list[str]:
+        """The same for long units, user-defined symbols (which never merge) and pieces that only serve to make longer ones."""
         symbols = [m[0] for m in re.finditer(self.own.pattern + "|.", unit, re.S)] if self.own else list(unit)
         frozen = [bool(self.own and self.own.fullmatch(s)) for s in symbols]
         scores, split = self.scores, {}
@@ -228,12 +248,12 @@ class Pieces:
             offer(left[a], a)
             offer(a, right[a])
         out = [s for s in symbols if s]
-        while any(s in split for s in out):  # pieces that only serve to make longer ones
+        while any(s in split for s in out):
             out = [t for s in out for t in split.get(s, (s,))]
         return out
 
     def _unit(self, unit: str) -> bytes:
-        """(id, characters) of each piece of a unit, as little-endian numbers."""
+        """(id, characters) of each piece of a unit, as numbers of four bytes."""
         out = []
         for piece in self.merged(unit):
             id_ = self.ids.get(piece)
@@ -245,7 +265,7 @@ class Pieces:
                     out += [self.bytes[byte], len(piece) if i + 1 == len(data) else 0]
             else:
                 out += [self.unknown, len(piece)]
-        return np.array(out, "<i4").tobytes()
+        return array.array("i", out).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, ends): each piece with its span in the bytes of the text."""
@@ -256,7 +276,7 @@ class Pieces:
             known.clear()
         for unit in {u for u in units if u not in known}:
             known[unit] = self._unit(unit)
-        ids, sizes = np.frombuffer(b"".join(map(known.__getitem__, units)), "<i4").reshape(-1, 2).T
+        ids, sizes = np.frombuffer(b"".join(map(known.__getitem__, units)), np.intc).reshape(-1, 2).T
         if not self.fallback and len(ids):  # neighbours that the vocabulary lacks are one piece
             first = np.flatnonzero(~((ids == self.unknown) & np.r_[False, ids[:-1] == self.unknown]))
             ids, sizes = ids[first], np.add.reduceat(sizes, first)

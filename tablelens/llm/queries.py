@@ -154,7 +154,8 @@ CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(ran
 
 @query("op11_periodic_runs", rf"""
 WITH d AS (SELECT doc_id, w, len(w) AS n, coalesce({CRC.format("CAST(doc_id AS VARCHAR)")}, 1) AS h
-           FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents), {CRC_TABLE}),
+           FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents), {CRC_TABLE}),
 a AS (SELECT *, h // 10 AS g, (h // 10) % greatest(n, 1) AS a FROM d),
 v AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
              THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM a),
@@ -204,3 +205,70 @@ def op12_piece_codec(spark, sf):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
         F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("span_end"))
+
+
+@query("op13_conversation_repair", rf"""
+WITH RECURSIVE h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                            coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+c AS (SELECT *, {CRC.format("name")} % 20 AS c FROM h, {CRC_TABLE}),
+r AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+             CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+             regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM r),
+f AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd'
+                     WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+n AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) AS n,
+             count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+-- the cheapest way to each state of the grammar (nothing, after s, after u, after a) before each row: least of cost, then audit
+w AS (SELECT conv_id, 0 AS i, {{'k': 0, 'a': '', 'o': []::VARCHAR[]}} AS e, NULL::STRUCT(k BIGINT, a VARCHAR, o VARCHAR[]) AS s,
+             NULL::STRUCT(k BIGINT, a VARCHAR, o VARCHAR[]) AS u, NULL::STRUCT(k BIGINT, a VARCHAR, o VARCHAR[]) AS a FROM n
+      UNION ALL
+      SELECT conv_id, i, z.e, z.s, z.u, z.a FROM (
+        SELECT w.conv_id, f.i, f.fault, f.role, f.text, CASE WHEN f.fault = 't' THEN 1 ELSE 0 END AS t, left(f.role, 1) AS l, w.e, w.s,
+               -- insertions in front of the row: at most two in turn
+               list_min([x FOR x IN [w.u, {{'k': w.e.k + 2, 'a': w.e.a || 'I', 'o': list_append(w.e.o, 'user:')}},
+                 {{'k': w.s.k + 2, 'a': w.s.a || 'I', 'o': list_append(w.s.o, 'user:')}},
+                 {{'k': w.a.k + 2, 'a': w.a.a || 'I', 'o': list_append(w.a.o, 'user:')}}] IF x.k IS NOT NULL]) AS u,
+               list_min([x FOR x IN [w.a, {{'k': w.u.k + 2, 'a': w.u.a || 'I', 'o': list_append(w.u.o, 'assistant:')}},
+                 {{'k': w.e.k + 4, 'a': w.e.a || 'II', 'o': list_concat(w.e.o, ['user:', 'assistant:'])}},
+                 {{'k': w.s.k + 4, 'a': w.s.a || 'II', 'o': list_concat(w.s.o, ['user:', 'assistant:'])}}] IF x.k IS NOT NULL]) AS a
+        FROM w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = w.i + 1) b,
+      LATERAL (SELECT
+        {{'k': b.e.k + 3, 'a': b.e.a || 'D', 'o': b.e.o}} AS e,
+        list_min([x FOR x IN [{{'k': b.s.k + 3, 'a': b.s.a || 'D', 'o': b.s.o}},
+          CASE WHEN b.fault NOT IN ('b', 'd') AND b.l = 's' THEN {{'k': b.e.k + b.t, 'a': b.e.a || 'K', 'o': list_append(b.e.o, b.role || ':' || b.text)}} END] IF x.k IS NOT NULL]) AS s,
+        list_min([x FOR x IN [{{'k': b.u.k + 3, 'a': b.u.a || 'D', 'o': b.u.o}}] || (CASE WHEN b.fault IN ('b', 'd') THEN [] ELSE
+          [{{'k': y.k + b.t + CASE WHEN b.l = 'u' THEN 0 ELSE 2 END, 'a': y.a || CASE WHEN b.l = 'u' THEN 'K' ELSE 'R' END,
+             'o': list_append(y.o, CASE WHEN b.l = 'u' THEN b.role ELSE 'user' END || ':' || b.text)}} FOR y IN [b.e, b.s, b.a]] END) IF x.k IS NOT NULL]) AS u,
+        list_min([x FOR x IN [{{'k': b.a.k + 3, 'a': b.a.a || 'D', 'o': b.a.o}}] || (CASE WHEN b.fault IN ('b', 'd') THEN [] ELSE
+          [{{'k': y.k + b.t + CASE WHEN b.l = 'a' THEN 0 ELSE 2 END, 'a': y.a || CASE WHEN b.l = 'a' THEN 'K' ELSE 'R' END,
+             'o': list_append(y.o, CASE WHEN b.l = 'a' THEN b.role ELSE 'assistant' END || ':' || b.text)}} FOR y IN [b.u]] END) IF x.k IS NOT NULL]) AS a) z),
+l AS (SELECT w.conv_id, list_min([x FOR x IN [w.e, w.a, {{'k': w.u.k + 2, 'a': w.u.a || 'I', 'o': list_append(w.u.o, 'assistant:')}},
+             {{'k': w.s.k + 4, 'a': w.s.a || 'II', 'o': list_concat(w.s.o, ['user:', 'assistant:'])}}] IF x.k IS NOT NULL]) AS best
+      FROM w JOIN n ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(best.k, 0) AS cost, coalesce(best.a, '') AS audit,
+       sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN n ON d.conv_id IS NOT DISTINCT FROM n.conv_id
+     LEFT JOIN l ON d.conv_id IS NOT DISTINCT FROM l.conv_id
+""")
+def op13_conversation_repair(spark, sf):
+    """The contract's damage, then the operator over all conversations; those without rows left get the defined empty result."""
+    from tablelens.llm.conversation_repair import repaired_parts, summaries
+    turns = load(spark, sf, "conversations")
+    name = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    damaged = (turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(name.cast("binary")) % 20).alias("c"))
+               .where("c <> 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.when(F.col("c") == 3, 2).otherwise(1))))
+               .select("conv_id", "turn", F.when(F.col("c") == 4, "user").otherwise(F.col("role")).alias("role"),
+                       F.when(F.col("c") == 1, "").when(F.col("c") == 2, F.regexp_replace("text", "[.!?]", ""))
+                       .otherwise(F.col("text")).alias("text")))
+    found = summaries(repaired_parts(damaged))
+    convs = turns.select("conv_id").distinct()
+    joined = convs.join(found, convs.conv_id.eqNullSafe(found.conv), "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                         F.coalesce("digest", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
