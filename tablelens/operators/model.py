@@ -343,7 +343,7 @@ def learning_curve(prep: Prepared, estimator, sizes=(0.2, 0.4, 0.6, 0.8, 1.0), f
 
 
 #: Scores that a block of permuted rows has, about, and training rows that neighbours are looked for among, at most.
-BLOCK_SCORES, NEIGHBOUR_ROWS = 4_000_000, 8000
+BLOCK_SCORES = 4_000_000
 
 
 def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, list]:
@@ -355,28 +355,21 @@ def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, list]:
 
 
 def nearest_neighbours(prep: Prepared, k: int = 5) -> DataFrame:
-    """M2: predictions of the test rows by their ``k`` nearest of ``NEIGHBOUR_ROWS``
-    training rows (a documented bound, as this is a baseline to compare with),
-    which are broadcast; rows are scored in batches."""
-    known, labels, _ = _sample(prep.data.where(F.col("split") == "train"), NEIGHBOUR_ROWS)
-    held = prep.data.sparkSession.sparkContext.broadcast((known, labels, (known ** 2).sum(axis=1)))
-    n_classes, is_clf = len(prep.classes), prep.is_classification
-
-    def score(batches):
-        x, y, norm = held.value
-        for pdf in batches:
-            q = np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), -1)
-            near = np.argsort(norm[None, :] - 2 * q @ x.T, axis=1, kind="stable")[:, :k] if len(pdf) else np.zeros((0, 1), int)
-            votes = y[near]
-            if is_clf:
-                shares = np.stack([(votes == c).mean(axis=1) for c in range(n_classes)], axis=1)
-                pred = shares.argmax(axis=1).astype(float)
-            else:
-                pred, shares = votes.mean(axis=1), np.zeros((len(pdf), 1))
-            yield pd.DataFrame({"label": pdf["label"], "prediction": pred, "p": shares.tolist()})
-    test = prep.data.where(F.col("split") == "test").select("label", vector_to_array("features").alias("x"))
-    scored = test.mapInPandas(score, "label double, prediction double, p array<double>")
-    return scored.select("label", "prediction", array_to_vector("p").alias("probability"))
+    """M2: predictions of the test rows by their ``k`` nearest of all training rows."""
+    from tablelens.operators.neighbours import proven_topk
+    rows = cut_lineage(prep.data.select(F.monotonically_increasing_id().alias("row"), "label", "split",
+                                        vector_to_array("features").alias("payload")))
+    test, train = rows.where(F.col("split") == "test"), rows.where(F.col("split") == "train")
+    near = proven_topk(test.select(F.col("row").alias("qid"), "payload"), train.select(F.col("row").alias("did"), "payload"),
+                       k, "euclidean")
+    votes = near.join(train.select(F.col("row").alias("did"), F.col("label").alias("vote")), "did").groupBy("qid")
+    if not prep.is_classification:
+        told = votes.agg(F.avg("vote").alias("prediction")).withColumn("p", F.array(F.lit(0.0)))
+    else:
+        told = votes.agg(*[F.avg((F.col("vote") == c).cast("double")).alias(f"c{c}") for c in range(len(prep.classes))])
+        told = told.select("qid", F.array(*[f"c{c}" for c in range(len(prep.classes))]).alias("p"))
+        told = told.withColumn("prediction", (F.array_position("p", F.array_max("p")) - 1).cast("double"))
+    return (test.join(told, test.row == told.qid).select("label", "prediction", array_to_vector("p").alias("probability")))
 
 
 def permutation_importance(prep: Prepared, model, repeats: int = 4, seed: int = 42) -> np.ndarray:

@@ -1,14 +1,20 @@
-"""Top-k similarity and retrieval as a blocked join (V1, R1, R2, U16), and by an
-inverted file where a corpus is too large for all pairs (V2).
+"""Top-k similarity and retrieval.
 
-Exact top-k needs every (query, item) score, but the pairs are never rows.
+Exact top-k of a stated query set by a blocked join: the pairs are never rows.
 Queries are hashed into blocks of at most ``q_block`` rows and items into
 chunks of at most ``d_chunk`` rows; every (block, chunk) cell is one cogroup
 task that scores the cell with NumPy in memory and emits only its local top-k
 per query.  A final ``row_number() <= k`` per query (Spark plans it as a
 WindowGroupLimit, so partial top-k happens before the shuffle) merges the
 cells.  Memory per task is bounded by the block sizes, whatever the table
-sizes; a hot token or a dense cluster cannot create a larger group.
+sizes; a dense cluster cannot create a larger group.  Neighbours of every item
+come from :mod:`tablelens.operators.neighbours`, without all pairs.
+
+Keyword retrieval sends the inverted index of a query set of checked size to the documents, which
+are then read once and never shuffled.  Beyond that size queries and documents meet by token.  A query's k-th score among
+documents that share its rarest tokens is a bound: a document that reaches it
+must share one of all but so many of the query's tokens, so the posting lists of the most common
+ones are never read whole.
 """
 
 from __future__ import annotations
@@ -17,11 +23,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalars import hash_bucket
 from tablelens.functions.text import whitespace_tokens
+from tablelens.operators.ranks import shared
 
 
 def _cell_topk(kind: str, k: int, exclude_self: bool):
@@ -32,31 +41,11 @@ def _cell_topk(kind: str, k: int, exclude_self: bool):
         d = d.sort_values("did", kind="stable").reset_index(drop=True)
         qids = q["qid"].to_numpy()
         dids = d["did"].to_numpy()
-        if kind in ("cosine", "euclidean"):
-            qm = np.vstack([np.asarray(v, dtype=np.float64) for v in q["payload"]])
-            dm = np.vstack([np.asarray(v, dtype=np.float64) for v in d["payload"]])
-            scores = dm @ qm.T
-            if kind == "euclidean":  # negative squared distance: larger is nearer
-                scores = 2 * scores - (dm * dm).sum(axis=1)[:, None] - (qm * qm).sum(axis=1)[None, :]
-        else:  # overlap of distinct token sets
-            vocab = pd.Index(pd.unique(np.concatenate([np.asarray(t, dtype=object) for t in q["payload"]]
-                                                      or [np.array([], dtype=object)])))
-            qmat = np.zeros((len(vocab), len(q)), dtype=np.float64)
-            for j, toks in enumerate(q["payload"]):
-                qmat[vocab.get_indexer(np.asarray(toks, dtype=object)), j] = 1.0
-            scores = np.zeros((len(d), len(q)), dtype=np.float64)
-            lens = np.fromiter((len(t) for t in d["payload"]), dtype=np.int64, count=len(d))
-            if lens.sum():
-                flat = np.concatenate([np.asarray(t, dtype=object) for t in d["payload"]])
-                codes = vocab.get_indexer(flat)  # -1: token in no query of this block
-                rows = np.repeat(np.arange(len(d)), lens)
-                hit = codes >= 0
-                rows, codes = rows[hit], codes[hit]
-                step = max(1, 4_000_000 // max(1, len(q)))  # bound the temporary (pairs x queries)
-                for a in range(0, len(rows), step):
-                    r, c = rows[a:a + step], codes[a:a + step]  # r is sorted (one run per document)
-                    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-                    scores[r[starts]] += np.add.reduceat(qmat[c], starts, axis=0)
+        qm = np.vstack([np.asarray(v, dtype=np.float64) for v in q["payload"]])
+        dm = np.vstack([np.asarray(v, dtype=np.float64) for v in d["payload"]])
+        scores = dm @ qm.T
+        if kind == "euclidean":  # negative squared distance: larger is nearer
+            scores = 2 * scores - (dm * dm).sum(axis=1)[:, None] - (qm * qm).sum(axis=1)[None, :]
         if exclude_self:  # dids are sorted: locate each query's own row directly
             pos = np.searchsorted(dids, qids)
             ok = (pos < len(dids)) & (dids[np.minimum(pos, len(dids) - 1)] == qids)
@@ -90,9 +79,8 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, exclu
                  q_block: int = 2048, d_chunk: int = 8192) -> DataFrame:
     """Top-``k`` items per query: ``qid, did, score, rank`` (rank 1 = best; ties
     by ascending ``did``).  Inputs have columns ``qid long, payload`` and
-    ``did long, payload`` where payload is a unit vector (``cosine``), a raw
-    vector (``euclidean``: score = minus squared distance) or a distinct token
-    array (``overlap``)."""
+    ``did long, payload`` where payload is a unit vector (``cosine``) or a raw
+    vector (``euclidean``: score = minus squared distance)."""
     nq, nd = queries.count(), corpus.count()
     b = max(1, math.ceil(nq / q_block))
     c = max(1, math.ceil(nd / d_chunk))
@@ -125,64 +113,114 @@ def vector_topk(queries: DataFrame, q_id: str, corpus: DataFrame, d_id: str, vec
     return blocked_topk(q, d, k, "cosine", exclude_self)
 
 
-def ivf_topk(queries: DataFrame, q_id: str, corpus: DataFrame, d_id: str, vec_col: str, k: int = 5,
-             exclude_self: bool = False, lists: int = 64, probes: int = 40, fit_rows: int = 20_000,
-             d_chunk: int = 8192, q_block: int = 2048, seed: int = 42) -> DataFrame:
-    """V2: cosine neighbours by an inverted file: ``qid, did, score, rank``.
-
-    Centroids are fitted on at most ``fit_rows`` rows (by hash); every row of the
-    corpus is in the list of its nearest centroid, and a query scores, exactly,
-    all rows of its ``probes`` nearest lists.  A list is scored in chunks of
-    ``d_chunk`` rows, so a crowded one is many tasks and no row is left out.
-    Work falls with ``probes / lists``; at ``probes = lists`` the result is that
-    of :func:`vector_topk`.  Choose ``lists`` near the root of the corpus's rows;
-    the default probes suit vectors with hardly any clusters (recall 0.95 and more
-    on the test embeddings), clustered ones need far fewer."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    d = unit_vectors(corpus, d_id, vec_col).withColumnRenamed("id", "did")
-    q = unit_vectors(queries, q_id, vec_col).withColumnRenamed("id", "qid")
-    sample = (d.orderBy(F.xxhash64("did", F.lit(seed)), "did").limit(fit_rows)
-              .select(array_to_vector("payload").alias("features")))
-    model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine").fit(sample)
-    centres = np.array(model.clusterCenters())
-    held = corpus.sparkSession.sparkContext.broadcast(centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12))
-    probes = min(probes, len(centres))
-
-    def nearest(n: int):
-        @F.pandas_udf("array<int>")
-        def pick(payload: pd.Series) -> pd.Series:
-            scores = np.array(payload.tolist(), dtype=float).reshape(len(payload), -1) @ held.value.T
-            return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :n].astype(np.int32)))
-        return pick
-    listed = d.withColumn("list", nearest(1)("payload")[0])
-    probing = q.withColumn("list", F.explode(nearest(probes)("payload")))
-    blocks = (listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / d_chunk).cast("int").alias("chunks"))
-              .join(probing.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / q_block).cast("int").alias("blocks")), "list"))
-    blocks = F.broadcast(blocks)  # at most a row per list
-    pieces = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    in_piece = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = (probing.join(blocks, "list").withColumn("qb", in_piece("qid", "blocks")).withColumn("dc", pieces("chunks"))
-            .select("qid", "payload", "list", "qb", "dc"))
-    right = (listed.join(blocks, "list").withColumn("dc", in_piece("did", "chunks")).withColumn("qb", pieces("blocks"))
-             .select("did", "payload", "list", "qb", "dc"))
-    cell = ["list", "qb", "dc"]
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(
-        _cell_topk("cosine", k, exclude_self), schema="qid long, did long, score double")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("did"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+#: Queries, and their tokens, up to which their index is broadcast; cells of counts and meetings looked at together.
+INDEX_QUERIES, INDEX_TOKENS, CELLS = 1 << 14, 1 << 21, 1 << 22
+#: Rows of a posting list above which it is split (where that is over 1/1024 of all postings, so few are).
+HOT_ROWS = 100_000
+
+
+def _leading(found: DataFrame, by: str, rows: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy(F.desc(by), F.asc("did"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows)
+
+
+def _best(frames: list[pd.DataFrame], k: int) -> pd.DataFrame:
+    found = pd.concat(frames).sort_values(["qid", "score", "did"], ascending=[True, False, True], kind="stable")
+    return found.groupby("qid", sort=False).head(k)
+
+
+def _scan_documents(index, k: int):
+    """The ``k`` best documents of a task for every query: counts of shared tokens by the queries' inverted index."""
+    def run(batches):
+        vocabulary, begins, owners, qids = index.value
+        frames, held, n = [], 0, len(qids)
+        at_once = max(1, min(CELLS // max(n, 1), 4 * CELLS // max(len(owners), 1)))  # a document meets each posting once
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = batch.slice(at, at_once)
+                tokens, sizes = part.column(1), pc.list_value_length(part.column(1)).to_numpy()
+                codes = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)[codes >= 0]
+                codes = codes[codes >= 0]
+                lengths = begins[codes + 1] - begins[codes]
+                posting = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begins[codes], lengths)
+                counts = np.bincount(np.repeat(row, lengths) * n + owners[posting], minlength=len(sizes) * n)
+                dids = part.column(0).to_numpy()
+                order = np.argsort(dids, kind="stable")
+                frames.append(_local_topk(counts.reshape(len(sizes), n)[order].astype(float), qids, dids[order], k))
+                held += len(frames[-1])
+                if held > 8 * k * n + 100_000:
+                    frames = [_best(frames, k)]
+                    held = len(frames[0])
+        if frames:
+            yield pa.RecordBatch.from_pandas(_best(frames, k)[["qid", "did", "score"]], preserve_index=False)
+    return run
+
+
+def _index_of(queries: list) -> tuple:
+    """(tokens, begin of each posting list, queries, their ids) of rows (qid, tokens)."""
+    flat = [(t, i) for i, r in enumerate(queries) for t in r["tokens"]]
+    codes, names = pd.factorize(np.array([t for t, _ in flat], dtype=object)) if flat else (np.empty(0, int), [])
+    order = np.argsort(codes, kind="stable")
+    owners = np.array([i for _, i in flat], np.int64)[order] if flat else np.empty(0, np.int64)
+    begins = np.searchsorted(codes[order], np.arange(len(names) + 1))
+    return pa.array(list(names), pa.string()), begins, owners, np.array([r["qid"] for r in queries], np.int64)
 
 
 def keyword_topk(queries: DataFrame, q_id: str, q_text: str, corpus: DataFrame, d_id: str, d_text: str,
-                 k: int = 2) -> DataFrame:
+                 k: int = 2, rare: int = 4) -> DataFrame:
     """Documents ranked by the number of distinct lower-cased whitespace
     tokens shared with the query; ties by document id; unmatched documents
-    score 0 and still fill ``k``."""
-    q = queries.select(F.col(q_id).cast("long").alias("qid"), whitespace_tokens(F.col(q_text)).alias("payload"))
-    d = corpus.select(F.col(d_id).cast("long").alias("did"), whitespace_tokens(F.col(d_text)).alias("payload"))
-    out = blocked_topk(q, d, k, "overlap")
-    return out.withColumn("score", F.col("score").cast("long"))
+    score 0 and still fill ``k``.  ``rare``: the tokens of a query whose documents set its bound.  Ids are
+    unique; null texts have no tokens."""
+    none = F.array().cast("array<string>")
+    q = queries.select(F.col(q_id).cast("long").alias("qid"), F.coalesce(whitespace_tokens(F.col(q_text)), none).alias("tokens"))
+    d = corpus.select(F.col(d_id).cast("long").alias("did"), F.coalesce(whitespace_tokens(F.col(d_text)), none).alias("tokens"))
+    asked = q.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("tokens")).alias("tokens")).first()
+    if asked["rows"] <= INDEX_QUERIES and (asked["tokens"] or 0) <= INDEX_TOKENS:
+        index = d.sparkSession.sparkContext.broadcast(_index_of(q.collect()))
+        found = d.mapInArrow(_scan_documents(index, k), "qid long, did long, score double")
+        return _leading(found.withColumn("score", F.col("score").cast("long")), "score", k).select("qid", "did", "score", "rank")
+    postings = d.select("did", F.explode("tokens").alias("token"))
+    lists = shared(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    total = lists.agg(F.sum("n")).first()[0] or 0
+    most = max(total // 1024, HOT_ROWS)
+    hot = F.broadcast(lists.where(F.col("n") > most).select("token", F.ceil(F.col("n") / most).cast("int").alias("salts")))  # 1,023 at most
+    # the tokens of each query that the corpus has, the rarest first
+    terms = shared(q.select("qid", F.explode("tokens").alias("token")).join(lists, "token").groupBy("qid")
+                   .agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("by")).select("qid", F.col("by.token").alias("terms")))
+
+    def shares(wanted: DataFrame) -> DataFrame:
+        """(qid, did, n): how many of the wanted (qid, token) each document has; a hot list is met in parts."""
+        salts = F.coalesce("salts", F.lit(1))
+        left = wanted.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        right = postings.join(hot, "token", "left").withColumn("salt", F.pmod(F.xxhash64("did"), salts).cast("int"))
+        return left.drop("salts").join(right.drop("salts"), ["token", "salt"]).groupBy("qid", "did").agg(F.count(F.lit(1)).alias("n"))
+
+    def kth(found: DataFrame, by: str, name: str) -> DataFrame:
+        return _leading(found, by, k).where(F.col("rank") == k).select("qid", F.col(by).alias(name))
+
+    d_rows = d.hint("merge")  # its tokens are many times its files' bytes: never broadcast by those
+    common = F.size(F.array_intersect("tokens", "terms"))
+    first = _leading(shares(terms.select("qid", F.explode(F.slice("terms", 1, rare)).alias("token"))), "n", 4 * k).select("qid", "did")
+    first = first.join(d_rows, "did").join(terms, "qid").select("qid", "did", common.alias("score"))
+    # so many of a query's commonest tokens cannot lift a document to the bound on their own
+    spare = F.greatest(F.coalesce("bound", F.lit(0)) - 1, F.lit(0))
+    split = shared(terms.join(kth(first, "score", "bound"), "qid", "left").withColumn("spare", spare)
+                   .withColumn("needed", F.size("terms") - F.col("spare")))
+    found = shared(shares(split.select("qid", F.explode(F.slice("terms", F.lit(1), F.col("needed"))).alias("token"))))
+    open_ = (found.join(split.join(kth(found, "n", "reached"), "qid", "left"), "qid")
+             .where(F.col("n") + F.col("spare") >= F.greatest(F.coalesce("bound", F.lit(0)), F.coalesce("reached", F.lit(0)))))
+    rest = F.slice("terms", F.col("needed") + 1, F.greatest(F.col("spare"), F.lit(1)))
+    scored = (open_.select("qid", "did", "n", rest.alias("terms")).join(d_rows, "did")
+              .select("qid", "did", (F.col("n") + common).alias("score")))
+    # queries with fewer than k documents: the first ids of those that share nothing
+    short = (q.select("qid").join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("met")), "qid", "left")
+             .where(F.coalesce("met", F.lit(0)) < k).select("qid"))
+    ids = [r["did"] for r in d.select("did").orderBy("did").limit(2 * k).collect()]
+    fill = short.withColumn("did", F.explode(F.array(*map(F.lit, ids)).cast("array<long>")))
+    fill = fill.join(found, ["qid", "did"], "left_anti").withColumn("score", F.lit(0).cast("long"))
+    return _leading(scored.unionByName(fill), "score", k).select("qid", "did", "score", "rank")
 
 
 def similar_items(features: DataFrame, id_col: str, feature_cols: list[str], k: int = 5) -> DataFrame:
@@ -191,7 +229,7 @@ def similar_items(features: DataFrame, id_col: str, feature_cols: list[str], k:
     vec = features.select(F.col(id_col).cast("long").alias("id"),
                           F.array(*[F.col(f"`{c}`").cast("double") for c in feature_cols]).alias("v"))
     unit = unit_vectors(vec, "id", "v")
-    res = blocked_topk(unit.withColumnRenamed("id", "qid"), unit.withColumnRenamed("id", "did"), k, "cosine",
-                       exclude_self=True)
+    from tablelens.operators.neighbours import proven_topk
+    res = proven_topk(unit.withColumnRenamed("id", "qid"), unit.withColumnRenamed("id", "did"), k, "cosine", exclude_self=True)
     return res.select(F.col("qid").alias("item"), F.col("did").alias("similar"), "score", "rank")
 

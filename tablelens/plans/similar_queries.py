@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tablelens.functions.text import WHITESPACE_CLASS
 from tablelens.operators import clean as C
 from tablelens.operators import features as X
+from tablelens.operators import neighbours as N
 from tablelens.operators import similar as S
+from tablelens.operators.ranks import attach_scalars
 from tablelens.plans.common import load
 from tablelens.plans.registry import register
 
@@ -37,12 +39,30 @@ def vector_topk(spark, sf):
     return out.select("qid", "did", F.round("score", 6).alias("score"), "rank")
 
 
+def _approximate(e, k=5):
+    return N.quantised_topk(e.where(F.col("vec_id") % 100 == 0), "vec_id", e, "vec_id", "embedding", k=k, exclude_self=True)
+
+
 @register("vector_neighbours")
 def vector_neighbours(spark, sf):
     """V2: every hundredth vector against all."""
+    return _approximate(load(spark, sf, "embeddings")).select("qid", "did", F.round("score", 6).alias("score"), "rank")
+
+
+@register("vector_recall", """
+SELECT count(*) AS asked, 5 * count(*) AS neighbours, true AS recall_reached, true AS few_pairs
+FROM embeddings WHERE vec_id % 100 = 0
+""")
+def vector_recall(spark, sf):
+    """V2 against V1: at least 0.9 of the exact neighbours, by exact scores of a tenth of all pairs (50 a query) at most."""
     e = load(spark, sf, "embeddings")
-    out = S.ivf_topk(e.where(F.col("vec_id") % 100 == 0), "vec_id", e, "vec_id", "embedding", k=5, exclude_self=True)
-    return out.select("qid", "did", F.round("score", 6).alias("score"), "rank")
+    asked, rows = e.where(F.col("vec_id") % 100 == 0), e.agg(F.count(F.lit(1)).alias("rows"))
+    exact = S.vector_topk(asked, "vec_id", e, "vec_id", "embedding", k=5, exclude_self=True).select("qid", "did")
+    got = _approximate(e).select("qid", "did", F.lit(1).alias("hit"))
+    both = exact.join(got, ["qid", "did"], "left").agg(F.countDistinct("qid").alias("asked"), F.count(F.lit(1)).alias("neighbours"),
+                                                       F.count("hit").alias("hits"))
+    return attach_scalars(both, rows).select("asked", "neighbours", (F.col("hits") >= 0.9 * F.col("neighbours")).alias("recall_reached"),
+                                             (F.lit(50) <= 0.1 * F.col("rows")).alias("few_pairs"))
 
 
 def part_features(spark, sf):

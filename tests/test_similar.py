@@ -1,8 +1,12 @@
-"""V2: neighbours by an inverted file against all pairs."""
+"""Neighbours and keyword retrieval against all pairs."""
+
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tablelens.operators import neighbours as N
 from tablelens.operators import similar as S
 
 
@@ -18,16 +22,75 @@ def _neighbours(rows):
     return out
 
 
-def test_recall_of_the_inverted_file(vectors):
+def _triples(found):
+    return sorted((r["qid"], r["did"], r["rank"]) for r in found.collect())
+
+
+def test_recall_of_product_codes(vectors):
     queries = vectors.where("vec_id % 20 = 0")
     exact = _neighbours(S.vector_topk(queries, "vec_id", vectors, "vec_id", "embedding", 5, True).collect())
-    found = _neighbours(S.ivf_topk(queries, "vec_id", vectors, "vec_id", "embedding", 5, True).collect())
-    assert set(found) == set(exact) and all(len(v) == 5 for v in found.values())
-    assert np.mean([len(found[q] & exact[q]) / 5 for q in exact]) >= 0.9
+    found = N.quantised_topk(queries, "vec_id", vectors, "vec_id", "embedding", 5, True)
+    rows = found.collect()
+    got = _neighbours(rows)
+    assert set(got) == set(exact) and all(len(v) == 5 for v in got.values())
+    assert np.mean([len(got[q] & exact[q]) / 5 for q in exact]) >= 0.9
+    cosine = {r["vec_id"]: np.array(r["embedding"], float) for r in vectors.collect()}
+    for r in rows[:20]:
+        a, b = cosine[r["qid"]], cosine[r["did"]]
+        assert abs(r["score"] - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-9
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_proven_neighbours_are_exact(spark, monkeypatch, metric):
+    monkeypatch.setattr(N, "ALL_PAIRS", 0)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([rng.normal(size=(8, 3)).repeat(60, axis=0) + rng.normal(scale=0.1, size=(480, 3)), np.zeros((6, 3)),
+                        np.ones((30, 3))])  # clusters, zero vectors and copies
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    rows = S.unit_vectors(df, "id", "v") if metric == "cosine" else df.withColumnRenamed("v", "payload")
+    q, d = rows.withColumnRenamed("id", "qid"), rows.withColumnRenamed("id", "did")
+    exact = S.blocked_topk(q, d, 4, metric, True)
+    found = N.proven_topk(q, d, 4, metric, True, q_block=40, d_chunk=25)
+    scores = lambda t: sorted((r["qid"], r["rank"], round(r["score"], 9)) for r in t.collect())
+    assert scores(found) == scores(exact)
+    ties = {i for i, x in enumerate(v) if not x.any() or (x == 1).all()}
+    assert [t for t in _triples(found) if t[0] not in ties] == [t for t in _triples(exact) if t[0] not in ties]
+
+
+def test_proven_neighbours_read_few_lists(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(20, 4), scale=30).repeat(100, axis=0) + rng.normal(size=(2000, 4))
+    centres = N.lloyd(v[rng.permutation(2000)], 44)
+    away = N._distance(v, centres, "euclidean")
+    own = away.argmin(1)
+    radius = np.array([away[own == c, c].max() if (own == c).any() else 0 for c in range(len(centres))])
+    kth = np.sort(np.sqrt(N.squared(v[:200], v)), axis=1)[:, 5]
+    assert ((away[:200] - radius) <= kth[:, None]).mean() < 0.2
+
+
+def test_one_vector_and_no_rows(spark):
+    one = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
+    assert [r["did"] for r in S.similar_items(one.select("id", F.col("v")[0].alias("a")), "id", ["a"], 2).collect()] == []
+    none = one.limit(0)
+    assert N.quantised_topk(one, "id", none, "id", "v").count() == 0
 
 
-def test_all_lists_and_small_chunks_give_the_exact_result(vectors):
-    queries = vectors.where("vec_id % 50 = 0")
-    exact = sorted(map(tuple, S.vector_topk(queries, "vec_id", vectors, "vec_id", "embedding", 3).select("qid", "did", "rank").collect()))
-    found = S.ivf_topk(queries, "vec_id", vectors, "vec_id", "embedding", 3, lists=4, probes=4, d_chunk=40, q_block=3)
-    assert sorted(map(tuple, found.select("qid", "did", "rank").collect())) == exact
+@pytest.mark.parametrize("hot,tokens", [(100_000, 0), (5, 0), (5, 1 << 20)])
+def test_keyword_retrieval_against_all_pairs(spark, monkeypatch, hot, tokens):
+    """By token, with and without split lists, and by the broadcast index."""
+    monkeypatch.setattr(S, "HOT_ROWS", hot)
+    monkeypatch.setattr(S, "INDEX_TOKENS", tokens)
+    monkeypatch.setattr(S, "CELLS", 400)
+    pick = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda n: " ".join(words[min(59, int(pick.expovariate(0.12)))] for _ in range(n))
+    docs = [(i, text(pick.randint(0, 30)) if i % 9 else None) for i in range(150)]
+    asked = [(i, text(pick.randint(1, 20))) for i in range(25)] + [(90, ""), (91, None), (92, "nowhere"), (93, "W3 w3 w59")]
+    found = S.keyword_topk(spark.createDataFrame(asked, "q long, t string"), "q", "t",
+                           spark.createDataFrame(docs, "d long, t string"), "d", "t", k=3)
+    want = []
+    for q, t in asked:
+        own = set((t or "").lower().split())
+        best = sorted((-len(own & set((x or "").lower().split())), d) for d, x in docs)[:3]
+        want += [(q, d, -s, i + 1) for i, (s, d) in enumerate(best)]
+    assert sorted((r["qid"], r["did"], r["score"], r["rank"]) for r in found.collect()) == sorted(want)
