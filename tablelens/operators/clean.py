@@ -109,16 +109,28 @@ def finite_target(df: DataFrame, target: str) -> DataFrame:
                                           & (F.abs(_q(target)) < F.lit(float("inf"))))
 
 
+#: Estimates beyond this many times a bound need no exact count.
+NEAR = 2
+
+
 @finite_input
-def distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Exact non-null distinct count of several columns from one unpivoted job."""
+def distinct_counts(df: DataFrame, cols: list[str], upto: int | None = None) -> dict[str, int]:
+    """Non-null distinct counts of several columns: exact, or with ``upto`` exact where they may be at most that.
+
+    Sketches of a kilobyte or two a column tell in one pass which columns are beyond
+    ``upto``; only the others' values are counted, and those are few."""
     if not cols:
         return {}
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), _q(c).cast("string").alias("v"))
-                                         for c in cols])).alias("s")).select("s.k", "s.v")
-    g = long.where(F.col("v").isNotNull()).groupBy("k", "v").agg(F.lit(1).alias("_")).groupBy("k").count()
-    got = {r["k"]: r["count"] for r in g.collect()}
-    return {c: int(got.get(c, 0)) for c in cols}
+    from tablelens.operators.profile import distinct_values
+    got = {}
+    if upto is not None:
+        row = df.agg(*[F.approx_count_distinct(_q(c).cast("string"), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        got = {c: int(row[f"d{i}"]) for i, c in enumerate(cols) if row[f"d{i}"] > NEAR * upto + 8}
+    left = [c for c in cols if c not in got]
+    if left:
+        exact = {r["pos"]: r["unique"] for r in distinct_values(df.select(*[_q(c) for c in left])).collect()}  # a row a column
+        got |= {c: int(exact.get(i, 0)) for i, c in enumerate(left)}
+    return {c: got[c] for c in cols}
 
 
 def auto_target(df: DataFrame) -> str:
@@ -127,7 +139,7 @@ def auto_target(df: DataFrame) -> str:
     named = [c for c in df.columns if c.strip().lower() in TARGET_NAMES]
     if named or not df.columns:
         return named[0] if named else ""
-    counts = distinct_counts(df, [c for c in df.columns if not is_numeric_type(df.schema[c].dataType)])
+    counts = distinct_counts(df, [c for c in df.columns if not is_numeric_type(df.schema[c].dataType)], upto=10)
     few = [c for c, n in counts.items() if n in range(2, 11)]
     return (few or df.columns)[-1]
 
@@ -255,9 +267,11 @@ def variance_table(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def drop_constant_columns(df: DataFrame) -> DataFrame:
-    """C14: keep columns with more than one distinct non-null value."""
-    dc = distinct_counts(df, df.columns)
-    return df.select(*[_q(c) for c in df.columns if dc[c] > 1])
+    """C14: keep columns with more than one distinct non-null value, told by least and greatest."""
+    from tablelens.functions.scalars import finite_table
+    values = {c: _q(c) if isinstance(df.schema[c].dataType, T.AtomicType) else F.xxhash64(_q(c).cast("string")) for c in df.columns}
+    row = finite_table(df).agg(*[(F.min(v) < F.max(v)).alias(f"v{i}") for i, v in enumerate(values.values())]).first()
+    return df.select(*[_q(c) for i, c in enumerate(df.columns) if row[f"v{i}"]])
 
 
 @finite_input
@@ -291,19 +305,20 @@ def numeric_matrix(df: DataFrame, drop: str | None = None, max_cols: int | None
 
 @finite_input
 def infer_ui_types(df: DataFrame) -> DataFrame:
-    """Per column over ALL rows (text form): number / date / category / text / empty.
-    One unpivoted aggregation: per (column, value) first, then per column."""
+    """Per column over ALL rows (text form): number / date / category / text.  One pass
+    with a sketch of each column's distinct values; they are counted only where they may be few."""
     cols = df.columns
     date_re = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}|^[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}"
-    pos = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
-    long = _long_text(df, cols).select("k", F.coalesce("v", F.lit("")).alias("v"))
-    g = long.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
-    st = g.groupBy("k").agg(
-        F.sum("c").alias("n"), F.count(F.lit(1)).alias("u"),
-        F.min(F.when((F.col("v") != "") & to_number(F.col("v")).isNotNull(), 1).otherwise(0)).alias("num"),
-        F.min(F.when(F.col("v").rlike(date_re), 1).otherwise(0)).alias("dt"))
-    n = F.col("n")
-    kind = (F.when(n == 0, "empty").when(F.col("num") == 1, "number").when(F.col("dt") == 1, "date")
-            .when(F.col("u") <= F.least(F.lit(12), F.greatest(F.lit(2), F.floor(n / 2))), "category")
-            .otherwise("text"))
-    return st.select(pos[F.col("k")].alias("pos"), F.col("k").alias("column_name"), kind.alias("kind"))
+    shown = df.select(*[F.coalesce(_q(c).cast("string"), F.lit("")).alias(c) for c in cols])
+    row = shown.agg(F.count(F.lit(1)).alias("n"), *[x for i, c in enumerate(cols) for x in (
+        F.min(((_q(c) != "") & to_number(_q(c)).isNotNull()).cast("int")).alias(f"num{i}"),
+        F.min(_q(c).rlike(date_re).cast("int")).alias(f"dt{i}"),
+        F.approx_count_distinct(_q(c), 0.05).alias(f"d{i}"))]).first()
+    n = row["n"]
+    few = min(12, max(2, n // 2))
+    near = [c for i, c in enumerate(cols) if n and not row[f"num{i}"] and not row[f"dt{i}"] and row[f"d{i}"] <= NEAR * few + 8]
+    exact = distinct_counts(shown, near)
+    kind = lambda i, c: ("number" if row[f"num{i}"] else "date" if row[f"dt{i}"]
+                         else "category" if c in exact and exact[c] <= few else "text")
+    rows = [(i, c, kind(i, c)) for i, c in enumerate(cols)] if n else []
+    return df.sparkSession.createDataFrame(rows, "pos int, column_name string, kind string")

@@ -41,7 +41,7 @@ def log_candidates(df: DataFrame, cols: list[str] | None = None, max_new: int =
     """E1 rule: non-negative, more than 10 distinct values, skew > 2; first 3."""
     cols = cols or [c for c in df.columns if is_numeric_type(df.schema[c].dataType)]
     st = {r["column_name"]: r for r in skew_table(df, cols).collect()}
-    dc = distinct_counts(df, cols)
+    dc = distinct_counts(df, cols, upto=10)
     out = []
     for c in cols:
         r = st[c]

@@ -1,10 +1,9 @@
 """Column dictionary and data-quality score.
 
-All columns are profiled by one job: the table is unpivoted to
-(column, value-as-text), reduced to distinct pairs with their counts (partial
-aggregation happens map-side, so a constant or hot value collapses before the
-shuffle), and the per-column statistics are sums over those pairs.  This avoids
-Catalyst's Expand of one ``count(DISTINCT)`` per column on wide tables.
+One pass over the table gives every column's counts, text lengths, least and
+greatest value: a row a task is shuffled.  Constants follow from these.
+Distinct values are counted only where they are shown, and then by digests of two hashes (16
+bytes, whatever the length of a value), reduced before the shuffle.
 """
 
 from __future__ import annotations
@@ -17,25 +16,43 @@ from tablelens.functions.scalars import finite_input, is_datetime_type, is_numer
 from tablelens.operators.ranks import attach_scalars
 
 
-def _long_values(df: DataFrame) -> DataFrame:
-    cols = df.columns
-    pairs = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"),
-                               F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(cols)])
-    return df.select(F.explode(pairs).alias("s")).select("s.pos", "s.name", "s.v")
+def _text(df: DataFrame, c: str):
+    return F.col(f"`{c}`").cast("string")
 
 
 @finite_input
+def column_facts(df: DataFrame) -> DataFrame:
+    """Per column: pos, name, n, missing_n, mean_len (of non-null text), constant (at most
+    one distinct value, NULL counted as a value).  One aggregate; no rows for an empty table."""
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(df.columns):
+        kind = df.schema[c].dataType
+        value = F.col(f"`{c}`") if isinstance(kind, T.AtomicType) else F.xxhash64(_text(df, c))
+        aggs += [F.count(F.col(f"`{c}`")).alias(f"c{i}"), F.avg(F.length(_text(df, c))).alias(f"l{i}"),
+                 (F.min(value) == F.max(value)).alias(f"s{i}")]
+    row = df.agg(*aggs)
+    facts = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(c).alias("name"), "n", (F.col("n") - F.col(f"c{i}")).alias("missing_n"),
+                               F.col(f"l{i}").alias("mean_len"),
+                               ((F.col(f"c{i}") == 0) | ((F.col(f"c{i}") == F.col("n")) & F.col(f"s{i}"))).alias("constant"))
+                      for i, c in enumerate(df.columns)])
+    return row.where("n > 0").select(F.explode(facts).alias("f")).select("f.*")
+
+
+@finite_input
+def distinct_values(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """``pos, unique``: non-null distinct values of the columns, by digests of their text."""
+    cols = df.columns if cols is None else cols
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.when(F.col(f"`{c}`").isNotNull(), F.xxhash64(_text(df, c))).alias("a"),
+                               F.xxhash64(_text(df, c), F.lit(i + 1)).alias("b")) for i, c in enumerate(cols)])
+    long = df.select(F.explode(cells).alias("s")).select("s.*").where(F.col("a").isNotNull())
+    return (long.groupBy("pos", "a", "b").agg(F.lit(1).alias("one")).groupBy("pos")
+            .agg(F.count(F.lit(1)).cast("long").alias("unique")))
+
+
 def column_stats(df: DataFrame) -> DataFrame:
-    """Per column: pos, name, n, missing_n, unique (non-null distinct),
-    distinct_all (NULL counted as a value), mean_len (of non-null text)."""
-    pairs = _long_values(df).groupBy("pos", "name", "v").agg(F.count(F.lit(1)).alias("c"))
-    return pairs.groupBy("pos", "name").agg(
-        F.sum("c").cast("long").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("c"))), F.lit(0)).cast("long").alias("missing_n"),
-        F.count("v").cast("long").alias("unique"),
-        F.count(F.lit(1)).cast("long").alias("distinct_all"),
-        (F.sum(F.length("v") * F.col("c")) / F.sum(F.when(F.col("v").isNotNull(), F.col("c")))).alias("mean_len"),
-    )
+    """:func:`column_facts` with ``unique`` (non-null distinct values)."""
+    return (column_facts(df).join(distinct_values(df), "pos", "left")
+            .withColumn("unique", F.coalesce("unique", F.lit(0).cast("long"))))
 
 
 @finite_input
@@ -70,16 +87,15 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with at most one distinct value (NULL counts as a value)."""
-    st = column_stats(df)
-    return st.where(F.col("distinct_all") <= 1).select("pos", "name")
+    return column_facts(df).where("constant").select("pos", "name")
 
 
 def quality_score(df: DataFrame) -> DataFrame:
     """``score = round(100 - miss*140 - dup/n*80 - const*3)`` clamped to 0..100,
     with ``missing`` in percent, ``duplicates`` and ``constant_cols``."""
-    st = column_stats(df).agg(
+    st = column_facts(df).agg(
         F.avg(F.col("missing_n") / F.col("n")).alias("miss"),
-        F.sum(F.when(F.col("distinct_all") <= 1, 1).otherwise(0)).cast("long").alias("constant_cols"),
+        F.sum(F.when(F.col("constant"), 1).otherwise(0)).cast("long").alias("constant_cols"),
         F.max("n").alias("n"),
     )
     j = attach_scalars(st, duplicate_rows(df))
@@ -105,7 +121,7 @@ def quality_findings(df: DataFrame, target: str | None = None, positive=None,
     more (info); quality score >= 90 (good) else duplicates > 0 (warn).  At most
     ``max_rows`` rows, in rule order.
     """
-    st = column_stats(df)
+    st = column_facts(df)
     parts = [st.where(F.col("missing_n") * 100.0 / F.col("n") >= 5)
                .select(F.lit(1).alias("ord"), F.col("pos").alias("sub_ord"), F.lit("missing").alias("rule"),
                        F.col("name").alias("subject"),

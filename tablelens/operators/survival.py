@@ -37,7 +37,7 @@ def choose_columns(df: DataFrame, target: str | None = None) -> tuple[str, str]:
     cols = df.columns
     event = target if target in cols else None
     if event is None:
-        dc = distinct_counts(df, cols)
+        dc = distinct_counts(df, cols, upto=2)
         event = next((c for c in cols if dc[c] == 2), None)
     if event is None:
         raise ValueError("no column tells events from censored rows: name one with two values as the target")

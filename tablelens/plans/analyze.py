@@ -140,7 +140,7 @@ def _supervised(df: DataFrame, target: str | None, task: str, key_cols: list[str
         r.optional("box", lambda: G.box_summary(df, num[0], target if prep.is_classification else None))
     if prep.is_classification and prep.binary:
         pos_label = prep.classes[1]
-        few = {c for c, k in C.distinct_counts(df, [c for c in df.columns if c != target]).items() if k <= 8}
+        few = {c for c, k in C.distinct_counts(df, [c for c in df.columns if c != target], upto=8).items() if k <= 8}
         seg = next((c for c in [*drivers, *df.columns] if c in few), None)
         if seg:
             r.optional("segments", lambda: G.segment_rate(df, seg, target, pos_label))
@@ -274,7 +274,7 @@ def _survival(df: DataFrame, target):
     r["median"], r["event_rate"] = SV.km_median(curve), SV.event_rate(tf)
     timed = SV.with_survival(df, duration, event)
     feats = C.numeric_matrix(timed.drop(event, duration), keep=["_T", "_E"])  # imputed and encoded covariates
-    counts = C.distinct_counts(feats, [c for c in feats.columns if c not in ("_T", "_E")])
+    counts = C.distinct_counts(feats, [c for c in feats.columns if c not in ("_T", "_E")], upto=1)
     cols = [c for c, k in counts.items() if k > 1]
     if len(cols) > 1 and tf.limit(41).count() > 40:
         r.optional("hazards", lambda: SV.hazard_bars(SV.cox_ph(feats, "_T", "_E", cols)))
