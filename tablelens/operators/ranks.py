@@ -162,6 +162,8 @@ def midranks(df: DataFrame, value_col: str, group_cols: list[str] | None = None)
 REACH, ACCURACY = 2.5e-4, 10_000
 #: Groups below this size have brackets over all their values (a rank is a large share of them).
 WHOLE_BELOW = 8_000
+#: Values up to which one aggregate holds them all: the same quantiles by fewer jobs.
+HELD_VALUES = 1 << 21
 
 
 def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
@@ -175,6 +177,12 @@ def exact_quantiles(df: DataFrame, value_col: str, probs: list[float],
     gc = list(group_cols or [])
     df = finite_table(df.select(*[F.col(f"`{c}`") for c in gc], F.col(f"`{value_col}`").cast("double").alias("_v")))
     df = df.where(F.col("_v").isNotNull())
+    if not probs:
+        return df.select(*[F.col(f"`{c}`") for c in gc], F.lit(0.0).alias("p"), F.lit(0.0).alias("q")).limit(0)
+    if df.count() <= HELD_VALUES:
+        at = F.array(*[F.lit(float(p)) for p in probs])
+        held = df.groupBy(*[F.col(f"`{c}`") for c in gc]).agg(F.percentile("_v", at).alias("_q")).where(F.col("_q").isNotNull())
+        return held.select(*[F.col(f"`{c}`") for c in gc], F.inline(F.arrays_zip(at.alias("p"), F.col("_q").alias("q"))))
     if not gc:  # a constant group keeps every step an equi-join
         df, gc = df.withColumn("_g0", F.lit(0)), ["_g0"]
     ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-REACH, REACH)]

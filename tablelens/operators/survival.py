@@ -158,9 +158,26 @@ def _efron(d: int, risk: np.ndarray, tied: np.ndarray, p: int) -> tuple[float, n
     return ll, g, h
 
 
+def _gram(z: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return z.T @ (weight[:, None] * z)
+
+
+def _segments(z, xb, w, t, e) -> dict[str, np.ndarray]:
+    """Sums over the rows of each time, in the order of the rows."""
+    cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    we = np.where(e, w, 0.0)
+    return {"cut": cut, "of": np.repeat(np.arange(len(cut)), np.diff(np.r_[cut, len(t)])), "d": np.add.reduceat(e.astype(np.int64), cut),
+            "r0": np.add.reduceat(w, cut), "r1": np.add.reduceat(w[:, None] * z, cut), "t0": np.add.reduceat(we, cut),
+            "t1": np.add.reduceat(we[:, None] * z, cut), "we": we}
+
+
 def _part_terms(beta: np.ndarray, later: dict[int, np.ndarray]):
     """Likelihood, gradient and Hessian of a part, read from the latest time down;
-    ``later`` has the sums of all parts with later times.  Holds sums, no rows."""
+    ``later`` has the sums of all parts with later times.
+
+    A batch is handled by cumulative sums of w and w z over its times; what its times take of w z z' is one
+    product of matrices, each row weighted by the times it is at risk at.  Only the last time of a batch is
+    carried on, as sums, as its ties may go on in the next."""
     p = len(beta)
 
     def run(batches):
@@ -179,25 +196,48 @@ def _part_terms(beta: np.ndarray, later: dict[int, np.ndarray]):
                 risk = later[int(pdf["part"].iloc[0])].copy()
             z, xb, w = _weighted(pdf, beta)
             t, e = pdf["T"].to_numpy(), pdf["E"].to_numpy().astype(bool)
-            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-            for i, j in zip(cut[:-1], cut[1:]):
-                if t[i] != time:
+            ll, g = ll + xb[e].sum(), g + z[e].sum(axis=0)
+            same = int(np.searchsorted(t != time, True)) if time is not None else 0  # rows that go on with the carried time
+            for rows in (slice(0, same), slice(same, len(t))):
+                if rows.start == rows.stop:
+                    continue
+                zi, wi, ei = z[rows], w[rows], e[rows]
+                s = _segments(zi, xb[rows], wi, t[rows], ei)
+                if rows.start == same:  # new times: the carried one is complete, and so are all but the last here
                     close()
-                    time, tied, d = t[i], np.zeros(1 + p + p * p), 0
-                zi, wi, ei = z[i:j], w[i:j], e[i:j]
-                risk += np.r_[wi.sum(), wi @ zi, (zi.T @ (wi[:, None] * zi)).ravel()]
-                if ei.any():
-                    zt, wt = zi[ei], wi[ei]
-                    tied += np.r_[wt.sum(), wt @ zt, (zt.T @ (wt[:, None] * zt)).ravel()]
-                    d += int(ei.sum())
-                    ll += xb[i:j][ei].sum()
-                    g += zt.sum(axis=0)
+                    tied, d, m = np.zeros(1 + p + p * p), 0, len(s["cut"]) - 1
+                    more = _complete(s, zi, wi, risk, m, p)
+                    ll, g, h = ll + more[0], g + more[1], h + more[2]
+                    time = t[rows][-1]
+                risk = risk + np.r_[wi.sum(), wi @ zi, _gram(zi, wi).ravel()]
+                last = s["cut"][-1]
+                tied = tied + np.r_[s["t0"][-1], s["t1"][-1], _gram(zi[last:], s["we"][last:]).ravel()]
+                d += int(s["d"][-1])
         close()
         if risk is not None:
             yield pd.DataFrame({"ll": [ll], "g": [g.tolist()], "h": [h.ravel().tolist()]})
     return run
 
 
+def _complete(s: dict, z: np.ndarray, w: np.ndarray, risk: np.ndarray, m: int, p: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """What the first ``m`` times of a batch add (without their own covariates), by Efron's weights of their ties."""
+    d = s["d"][:m]
+    if not d.any():
+        return 0.0, np.zeros(p), np.zeros((p, p))
+    r0, r1 = risk[0] + np.cumsum(s["r0"])[:m], risk[1:1 + p] + np.cumsum(s["r1"], axis=0)[:m]
+    t0, t1 = s["t0"][:m], s["t1"][:m]
+    owner = np.repeat(np.arange(m), d)
+    frac = (np.arange(len(owner)) - np.repeat(np.cumsum(d) - d, d)) / d[owner]
+    den = r0[owner] - frac * t0[owner]
+    a0, a1, b0, b1, b2 = (np.bincount(owner, x, m) for x in (1 / den, frac / den, 1 / den ** 2, frac / den ** 2, frac ** 2 / den ** 2))
+    at_risk = np.r_[np.cumsum(a0[::-1])[::-1], 0.0]  # of a row: the complete times from its own on
+    second = risk[1 + p:].reshape(p, p) * a0.sum() + _gram(z, w * at_risk[np.minimum(s["of"], m)])
+    second -= _gram(z, s["we"] * np.r_[a1, 0.0][np.minimum(s["of"], m)])
+    cross = r1.T @ (b1[:, None] * t1)
+    first = _gram(r1, b0) - cross - cross.T + _gram(t1, b2)
+    return -float(np.log(den).sum()), -(a0 @ r1 - a1 @ t1), first - second
+
+
 def _likelihood(rows: DataFrame, beta: np.ndarray, penalizer: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Penalised log-likelihood, gradient and Hessian: two passes over the sorted
     parts, and p x p numbers per part to the driver."""

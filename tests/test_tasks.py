@@ -243,3 +243,37 @@ def test_chart_specs_drop_invalid(spark):
              "junk"]
     cards = run_chart_specs(df, specs)
     assert len(cards) == 1 and cards[0].count() == 3
+
+
+def test_cox_sums_do_not_depend_on_batches(spark):
+    """Gradient near 0 at the result, with many ties and with a time of its own for every row."""
+    from tablelens.operators.survival import cox_ph
+    rng = np.random.default_rng(8)
+    for times in (12, 10 ** 9):
+        x = rng.normal(size=(600, 2))
+        t = np.floor(rng.exponential(1 / np.exp(0.7 * x[:, 0]), 600) * times / 6) + 1
+        pdf = pd.DataFrame({"t": t, "e": (rng.random(600) < 0.7).astype(int), "a": x[:, 0], "b": x[:, 1]})
+        df = _df(spark, pdf)
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        found = []
+        for batch in ("7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found.append(sorted(map(tuple, cox_ph(df, "t", "e", ["a", "b"]).collect())))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert np.allclose([r[1:3] for r in found[0]], [r[1:3] for r in found[1]], rtol=1e-6)
+        assert all(abs(r[3]) < 1e-3 for r in found[0]) and 0.4 < found[0][0][1] < 1.0
+
+
+def test_profiles_of_odd_columns(spark):
+    from tablelens.operators.clean import distinct_counts, drop_constant_columns
+    from tablelens.operators.profile import column_stats, constant_columns
+    df = spark.createDataFrame([(1, None, "a", [1], {"k": 1}, float("nan")), (1, None, None, [1], {"k": 1}, 2.0), (1, None, "a", [1], {"k": 2}, 2.0)],
+                               "one int, none int, gap string, list array<int>, map map<string,int>, nan double")
+    assert {r["name"] for r in constant_columns(df).collect()} == {"one", "none", "list"}
+    got = {r["name"]: (r["missing_n"], r["unique"]) for r in column_stats(df).collect()}
+    assert got == {"one": (0, 1), "none": (3, 0), "gap": (1, 1), "list": (0, 1), "map": (0, 2), "nan": (1, 1)}
+    assert drop_constant_columns(df).columns == ["map"]
+    assert column_stats(df.limit(0)).count() == 0
+    many = spark.range(5000).selectExpr("id", "id % 3 AS few", "id % 20 AS near")
+    counts = distinct_counts(many, ["id", "few", "near"], upto=10)
+    assert counts["id"] > 10 and counts["few"] == 3 and counts["near"] == 20

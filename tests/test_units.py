@@ -41,7 +41,9 @@ def test_prefix_sum_text_keys(spark):
     assert got["cum_one"].tolist() == list(range(1, 501))
 
 
-def test_exact_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("held", [0, 1 << 21])
+def test_exact_quantiles_match_numpy(spark, monkeypatch, held):
+    monkeypatch.setattr(R, "HELD_VALUES", held)
     rng = np.random.default_rng(1)
     x = np.round(rng.exponential(size=999), 2)
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
@@ -116,6 +118,7 @@ def test_keyword_topk_fills_k_with_zero_scores(spark):
 def test_bucketed_path_matches_window(spark, monkeypatch):
     """Many buckets, with more of them than are looked at together."""
     monkeypatch.setattr(R, "ROWS_PER_BUCKET", 20)
+    monkeypatch.setattr(R, "HELD_VALUES", 0)
     rng = np.random.default_rng(5)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 3000), "k": rng.normal(size=3000), "v": rng.integers(0, 5, 3000)})
     df = spark.createDataFrame(pdf)
@@ -134,6 +137,7 @@ def test_bucketed_path_matches_window(spark, monkeypatch):
 
 def test_null_groups_stay(spark, monkeypatch):
     monkeypatch.setattr(R, "ROWS_PER_BUCKET", 2)
+    monkeypatch.setattr(R, "HELD_VALUES", 0)
     df = spark.createDataFrame([(None if i % 2 else "a", float(i), 1) for i in range(10)], "g string, k double, v int")
     got = sorted((str(r["g"]), r["k"], r["cum_v"]) for r in R.prefix_sum(df, "k", ["v"], ["g"]).collect())
     assert got == sorted([("a", float(i), i // 2 + 1) for i in range(0, 10, 2)] + [("None", float(i), i // 2 + 1) for i in range(1, 10, 2)])
@@ -142,6 +146,7 @@ def test_null_groups_stay(spark, monkeypatch):
 
 
 def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(R, "HELD_VALUES", 0)
     monkeypatch.setattr(R, "WHOLE_BELOW", 10)  # brackets also where a rank is a large share
     rng = np.random.default_rng(7)
     x = np.r_[np.round(rng.exponential(size=30000), 3), np.full(9000, 0.7), np.nan]
