@@ -163,6 +163,21 @@ def jarque_bera(spark, sf):
     return mom.select("grp", "n", F.round("jb", 4).alias("jb"))
 
 
+@register("shapiro_wilk")
+def shapiro_wilk(spark, sf):
+    """Account balances by nation; nations of 5,000 customers or more are not normal without a test."""
+    return S.shapiro_wilk(S.value_cells(load(spark, sf, "customer"), ["c_acctbal"], [], "c_nationkey").drop("v"))
+
+
+@register("shapiro_gate", """
+SELECT 'c_acctbal' AS feature, CAST(c_nationkey AS VARCHAR) AS grp, CAST(count(*) AS BIGINT) AS n, count(*) < 5000 AS tested
+FROM customer WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL GROUP BY c_nationkey HAVING count(*) >= 3
+""")
+def shapiro_gate(spark, sf):
+    """Which groups the normality test is made of: a W between 0 and 1 below 5,000 rows, none above."""
+    return shapiro_wilk(spark, sf).select("feature", "grp", "n", F.coalesce(F.col("w").between(0.0, 1.0), F.lit(False)).alias("tested"))
+
+
 @register("statistics")
 def statistics(spark, sf):
     li = load(spark, sf, "lineitem")

@@ -154,3 +154,41 @@ def test_quantiles_of_large_groups_are_exact(spark, monkeypatch):
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
     got = {r["p"]: r["q"] for r in R.exact_quantiles(df, "x", probs).collect()}
     assert all(got[p] == pytest.approx(float(np.nanquantile(x, p)), rel=1e-12) for p in probs)
+
+
+def test_shapiro_wilk_of_published_values():
+    # men's weights of the 1965 paper, W 0.79; and what the exact law of n = 3 and symmetry ask for
+    w, p = PV.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]))
+    assert w == pytest.approx(0.7888, abs=2e-4) and p == pytest.approx(0.0067, abs=1e-4)
+    assert PV.shapiro_wilk(np.array([2.0, 2.0, 2.0, 2.0])) == (1.0, 1.0)
+    assert PV.shapiro_wilk(np.array([1.0, 2.0, 3.0]))[1] == pytest.approx(1.0)
+    assert PV.shapiro_wilk(np.array([0.0, 0.0, 1.0])) == pytest.approx((0.75, 0.0), abs=1e-7)
+    rng = np.random.default_rng(1)
+    for n in (4, 5, 6, 11, 12, 50, 700, 4999):
+        x = rng.normal(size=n)
+        assert PV._order_weights(n) @ PV._order_weights(n) == pytest.approx(1.0)
+        assert PV.shapiro_wilk(5 - 3 * x) == pytest.approx(PV.shapiro_wilk(x))
+    share = np.mean([[PV.shapiro_wilk(rng.normal(size=n))[1] < 0.05 for n in (8, 40, 300)] for _ in range(1500)], axis=0)
+    assert np.abs(share - 0.05).max() < 0.02  # the test's level
+    assert all(PV.shapiro_wilk(rng.exponential(size=n))[1] < 1e-4 for n in (100, 1000))
+
+
+def test_shapiro_gate_picks_the_test(spark):
+    from tablelens.operators import stats as S
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"y": np.repeat(["a", "b"], 300), "bell": np.r_[rng.normal(size=300), rng.normal(size=300) + 0.4],
+                        "long": np.r_[rng.exponential(size=300), rng.exponential(size=300) * 1.5], "gap": 1.0})
+    pdf.loc[10:590, "gap"] = np.nan
+    df = spark.createDataFrame(pdf)
+    got = {r["feature"]: r["test"] for r in S.statistics(df, "y", True).collect()}
+    assert got == {"bell": "Welch t-test", "long": "Mann-Whitney U"}  # none of a column without two values
+    cells = S.value_cells(df, ["bell", "long", "gap"], [], "y").drop("v")
+    found = {(r["feature"], r["grp"]): r for r in S.shapiro_wilk(cells).collect()}
+    for name, group in pdf.groupby("y"):
+        r = found[("bell", name)]
+        assert r["n"] == 300 and (r["w"], r["p"]) == pytest.approx(PV.shapiro_wilk(group["bell"].to_numpy()))
+    assert found[("gap", "a")]["w"] == 1.0 and found[("gap", "a")]["n"] == 10
+    big = spark.range(5000).selectExpr("'f' AS feature", "cast(id AS double) AS x", "'g' AS grp", "1L AS c")
+    row = S.shapiro_wilk(big).collect()[0]
+    assert row["w"] is None and row["normal"] is False and row["n"] == 5000
+    assert S.shapiro_wilk(cells.limit(0)).count() == 0
