@@ -10,15 +10,14 @@ every row with the broadcast forest — the forest size is fixed by
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalars import finite_input
@@ -38,59 +37,174 @@ def _assembled(df: DataFrame, cols: list[str]) -> DataFrame:
 
 #: Rows, about, whose exact Euclidean silhouette the verdict is the mean of; each is held against all rows.
 SILHOUETTE_ROWS = 2000
+#: Rows that starting centres are drawn from; values of a table that one task clusters by itself (with the same steps).
+START_ROWS, HELD_VALUES = 2048, 1 << 22
+#: Squared way of all centres of a run below which it has ended, and rows whose distances are there at once.
+TOLERANCE, CHUNK = 1e-4, 4096
+
+
+def _row_unit(seed: int) -> Column:
+    """A hash of the row's number (equal rows have hashes of their own) in [0, 1)."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(2 ** 31)) / F.lit(2.0 ** 31)
+
+
+def _scaled(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The table with its standardised columns as the array ``__x``; a missing value is the mean."""
+    scaled = [f"{c}__z" for c in cols]
+    z = standardize(df, cols, suffix="__z")
+    return z.withColumn("__x", F.array(*[F.coalesce(_q(c).cast("double"), F.lit(0.0)) for c in scaled])).drop(*scaled)
+
+
+def _matrices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        for at in range(0, len(x), CHUNK):
+            yield x[at:at + CHUNK]
+
+
+def _picks(x: np.ndarray, centres: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre for each row and run; one product serves all runs."""
+    far = (centres ** 2).sum(axis=1) - 2 * x @ centres.T
+    return np.stack([b + far[:, b:e].argmin(axis=1) for b, e in zip(np.r_[0, ends[:-1]], ends)], axis=1)
+
+
+def _tally(x: np.ndarray, centres: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each centre: the sum of its rows, of their squared lengths, and their count."""
+    member = np.zeros((len(x), len(centres)))
+    member[np.arange(len(x))[:, None], _picks(x, centres, ends)] = 1
+    return member.T @ np.c_[x, (x ** 2).sum(axis=1), np.ones(len(x))]
+
+
+def _lloyd(total, centres: np.ndarray, ends: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Moves the centres of all runs, a scan a round, until each run has ended; the centres and their tallies."""
+    sizes, centres = np.diff(np.r_[0, ends]), centres.copy()
+    run = np.repeat(np.arange(len(ends)), sizes)
+    tally, moving = np.zeros((len(centres), centres.shape[1] + 2)), np.ones(len(ends), bool)
+    for left in reversed(range(rounds)):
+        at = np.flatnonzero(moving[run])
+        here, upto = centres[at], np.cumsum(sizes[moving])
+        tally[at] = total(lambda x: _tally(x, here, upto))  # noqa: B023 - used in this round only
+        n = tally[at, -1:]
+        moved = np.where(n > 0, tally[at, :-2] / np.maximum(n, 1), here)
+        moving &= np.bincount(run[at], ((moved - here) ** 2).sum(axis=1), len(ends)) > TOLERANCE
+        if not left or not moving.any():
+            break
+        centres[at] = np.where(moving[run[at]][:, None], moved, here)
+    return centres, tally
+
+
+def _silhouettes(x: np.ndarray, fits: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sum over the rows, for each fit, of the squared-Euclidean silhouette, from the clusters' tallies."""
+    out, length, at = np.zeros((len(fits), 1)), (x ** 2).sum(axis=1), np.arange(len(x))
+    for i, (centres, tally) in enumerate(fits):
+        own, n = _picks(x, centres, np.array([len(centres)]))[:, 0], tally[:, -1]
+        if (n > 0).sum() < 2:  # all rows are equal
+            continue
+        size = np.maximum(n, 1)
+        mean = np.where(n > 0, np.maximum(length[:, None] + tally[:, -2] / size - 2 * x @ (tally[:, :-2] / size[:, None]).T, 0), np.inf)
+        inner = mean[at, own] * n[own] / np.maximum(n[own] - 1, 1)
+        mean[at, own] = np.inf
+        outer = mean.min(axis=1)
+        out[i] = np.where(n[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0).sum()
+    return out
+
+
+def _fits(total, n: int, centres: np.ndarray, ends: np.ndarray, ks: list[int], starts: int, rounds: int) -> list[tuple]:
+    """(k, silhouette, centres) of the best start of each k."""
+    centres, tally = _lloyd(total, centres, ends, rounds)
+    s, q, m = tally[:, :-2], tally[:, -2], tally[:, -1]
+    cost = np.add.reduceat(q - 2 * (centres * s).sum(axis=1) + m * (centres ** 2).sum(axis=1), np.r_[0, ends[:-1]])
+    best = [i * starts + int(cost[i * starts:(i + 1) * starts].argmin()) for i in range(len(ks))]
+    fits = [(centres[ends[r] - k:ends[r]], tally[ends[r] - k:ends[r]]) for k, r in zip(ks, best)]
+    value = total(lambda x: _silhouettes(x, fits))[:, 0] / n
+    return [(k, float(v), c) for k, v, (c, _) in zip(ks, value, fits)]
+
+
+def _start(rows: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: every next centre is a row drawn by its squared distance to the centres so far."""
+    picked = [int(rng.integers(len(rows)))]
+    apart = ((rows - rows[picked[0]]) ** 2).sum(axis=1)
+    while len(picked) < k:
+        weight = apart if apart.sum() > 0 else np.ones(len(rows))
+        picked.append(int(rng.choice(len(rows), p=weight / weight.sum())))
+        apart = np.minimum(apart, ((rows - rows[picked[-1]]) ** 2).sum(axis=1))
+    return rows[picked]
+
+
+def _summed(z: DataFrame, width: int):
+    """``total(fn)``: the matrix ``fn(rows)`` summed over all rows, a row of it a task before the exchange."""
+    def total(fn):
+        def part(batches):
+            found = None
+            for x in _matrices(batches, width):
+                found = fn(x) if found is None else found + fn(x)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found.tolist())], names=["i", "v"])
+        sums = z.select("__x").mapInArrow(part, "i int, v array<double>")
+        wide = len(fn(np.zeros((1, width)))[0])
+        rows = sums.groupBy("i").agg(F.array(*[F.sum(F.col("v")[j]) for j in range(wide)]).alias("v")).orderBy("i").collect()
+        return np.array([r["v"] for r in rows])  # a row per centre
+    return total
 
 
 @finite_input
-def kmeans_select(df: DataFrame, cols: list[str], k_max: int = 8, seed: int = 42):
-    """Fit k = 2..k_max (fewer when rows are few) on standardised columns, the
-    fits side by side, and keep the best silhouette of all rows (Spark's, which is
-    squared-Euclidean; :func:`euclidean_silhouette` is for the verdict).  Returns
-    ``(scores DataFrame(k, silhouette), best_k, labelled DataFrame)``, labelled with the raw columns."""
+def kmeans_select(df: DataFrame, cols: list[str], k_max: int = 8, seed: int = 42, starts: int = 10, rounds: int = 100):
+    """k = 2..k_max (fewer when rows are few) on standardised columns, ``starts`` runs of each, and the best
+    silhouette of all rows (squared-Euclidean, as Spark's evaluator; :func:`euclidean_silhouette` is for the verdict).
+    Returns ``(scores DataFrame(k, silhouette), best_k, labelled DataFrame)``, labelled with the raw columns.
+
+    All runs of all k move together: a round is one scan, whose distances come from one product of the rows with
+    all centres that still move; one more scan gives the silhouettes of the best start of every k.  Starting centres are
+    k-means++ draws from ``START_ROWS`` rows by a hash of their number; all rows take part in everything after that.
+    A missing value counts as its column's mean; a cluster that loses its rows keeps its centre; equal rows give 0."""
     if len(cols) < 2:
         raise ValueError("clustering takes two numeric columns or more")
-    scaled = [f"{c}__z" for c in cols]
-    z = _assembled(standardize(df, cols, suffix="__z"), scaled).drop(*scaled).cache()
+    width = len(cols)
+    z = _scaled(df, cols).cache()
     try:
         n = z.count()
-
-        def fit(k):
-            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(z)
-            if sum(size > 0 for size in model.summary.clusterSizes) < 2:  # all rows are equal
-                return k, 0.0, model
-            ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster")
-            return k, float(ev.evaluate(model.transform(z))), model
-        with ThreadPoolExecutor(4) as pool:
-            found = list(pool.map(fit, range(2, min(k_max + 1, n))))
+        ks = list(range(2, min(k_max + 1, n)))
+        if not ks:
+            raise ValueError("clustering takes three rows or more")
+        drawn = z.select("__x", _row_unit(seed).alias("__u")).orderBy("__u", "__x").limit(START_ROWS).collect()
+        rows = np.array([r["__x"] for r in drawn])
+        centres = np.vstack([_start(rows, k, np.random.default_rng([seed, k, s])) for k in ks for s in range(starts)])
+        ends = np.cumsum(np.repeat(ks, starts))
+        if n * width <= HELD_VALUES:
+            def alone(batches):
+                parts = list(_matrices(batches, width))
+                for k, value, c in _fits(lambda fn: sum(map(fn, parts)), n, centres, ends, ks, starts, rounds):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([value]), pa.array([c.ravel().tolist()])],
+                                                     names=["k", "value", "centres"])
+            held = z.select("__x").coalesce(1).mapInArrow(alone, "k int, value double, centres array<double>").collect()
+            found = [(r["k"], r["value"], np.array(r["centres"]).reshape(-1, width)) for r in held]  # a row per k
+        else:
+            found = _fits(_summed(z, width), n, centres, ends, ks, starts, rounds)
     finally:
         z.unpersist()
-    if not found:
-        raise ValueError("clustering takes three rows or more")
-    best = max(found, key=lambda x: (x[1], -x[0]))
-    out = df.sparkSession.createDataFrame([x[:2] for x in found], "k int, silhouette double")
-    return out, best[0], best[2].transform(z).drop("features")
+    best, _, at = max(found, key=lambda f: (f[1], -f[0]))
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        return pd.Series(_picks(np.array(x.tolist(), dtype=float).reshape(-1, width), at, np.array([len(at)]))[:, 0])
+    out = df.sparkSession.createDataFrame([f[:2] for f in found], "k int, silhouette double")
+    return out, best, z.withColumn("cluster", nearest("__x")).drop("__x")
 
 
 def euclidean_silhouette(labelled: DataFrame, cols: list[str], cluster_col: str = "cluster", seed: int = 42) -> DataFrame:
     """P6's input: ``value``, the mean Euclidean silhouette on standardised columns.
 
-    The mean is over ``SILHOUETTE_ROWS`` rows, or all of a smaller table; the
-    distances of each are summed over ALL rows of every cluster, so its value is
-    exact.  Equal rows are drawn by their count: a tuple that ``c`` of ``n`` rows
-    have weighs ``c * SILHOUETTE_ROWS / n``, rounded up or down by a hash of it."""
+    The mean is over about ``SILHOUETTE_ROWS`` rows, drawn by a hash of their number, or all of a smaller table; the
+    distances of each are summed over ALL rows of every cluster, so its value is exact."""
     spark = labelled.sparkSession
-    scaled = [f"{c}__z" for c in cols]
-    z = standardize(labelled, cols, suffix="__z").select(
-        F.col(cluster_col).cast("int").alias("cluster"), F.array(*[_q(c).cast("double") for c in scaled]).alias("x")).cache()
+    z = _scaled(labelled, cols).select(F.col(cluster_col).cast("int").alias("cluster"), F.col("__x").alias("x")).cache()
     try:
         sizes = {r["cluster"]: r["count"] for r in z.groupBy("cluster").count().collect()}  # a row per cluster
         n = sum(sizes.values())
         if len(sizes) < 2:
             return spark.createDataFrame([(0.0,)], "value double")
-        share = min(1.0, SILHOUETTE_ROWS / n)
-        unit = F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(2 ** 31)) / F.lit(2.0 ** 31)
-        drawn = (z.groupBy("cluster", "x").agg(F.count(F.lit(1)).alias("c"))
-                 .select("cluster", "x", F.floor(F.col("c") * F.lit(share) + unit * F.lit(float(share < 1))).alias("w"))
-                 .where("w > 0").orderBy("cluster", "x").collect())  # SILHOUETTE_ROWS of them, about
+        drawn = (z.where(_row_unit(seed) < min(1.0, SILHOUETTE_ROWS / n)).groupBy("cluster", "x")
+                 .agg(F.count(F.lit(1)).alias("w")).orderBy("cluster", "x").collect())  # SILHOUETTE_ROWS of them, about
         ids = sorted(sizes)
         points = np.array([r["x"] for r in drawn])
         held = spark.sparkContext.broadcast((points, (points ** 2).sum(axis=1), ids))
