@@ -19,7 +19,8 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression, NaiveB
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelens.functions.scalars import finite_table, hash_unit, is_datetime_type, is_numeric_type, is_string_type
@@ -27,7 +28,7 @@ from tablelens.operators import clean as C
 from tablelens.operators import evaluate as V
 from tablelens.operators import features as X
 from tablelens.operators import text as TX
-from tablelens.operators.ranks import exact_quantiles, medians, prefix_sum
+from tablelens.operators.ranks import exact_quantiles, medians
 from tablelens.operators.sample import kfold, random_split, stratified_split
 from tablelens.session import cut_lineage
 
@@ -372,14 +373,24 @@ def nearest_neighbours(prep: Prepared, k: int = 5) -> DataFrame:
     return (test.join(told, test.row == told.qid).select("label", "prediction", array_to_vector("p").alias("probability")))
 
 
+#: Places between which the scores of rows of different blocks are told apart: shares of all scores, and as many beyond each end.
+SCORE_BINS, OUTER_BINS = 4096, 1024
+
+
+def _pairs_in_order(pos: np.ndarray, neg: np.ndarray) -> float:
+    """(positive, negative) pairs with the positive above, from counts by rising score; equal ones count half."""
+    return float((pos * (np.cumsum(neg) - neg / 2.0)).sum())
+
+
 def permutation_importance(prep: Prepared, model, repeats: int = 4, seed: int = 42) -> np.ndarray:
     """Drop of a linear model's score on all test rows when one feature's values
     are permuted, mean over ``repeats``.
 
-    Rows are dealt by a hash of their number (not of their values) into blocks of
-    bounded size, and values are permuted inside a block, which is a random part of the
-    rows; the score is aggregated over all blocks: the ROC-AUC by one ranking of
-    every permutation's scores, accuracy and R2 by sums."""
+    Rows are dealt to tasks by a hash of their number (not of their values), and values are permuted inside blocks of
+    bounded size, which are random parts of the rows.  Only sums leave a task: of accuracy and R2 as they are; for the
+    ROC-AUC, the counts of positives and negatives by bins of the score for each permutation.  Pairs inside a block are
+    counted exactly, so a table of one block has its exact AUC; of the pairs of different blocks only those in one
+    bin, about one in ``SCORE_BINS``, count half, which bounds the error by half their share."""
     test = prep.data.where(F.col("split") == "test").select("label", vector_to_array("features").alias("x"))
     if prep.is_classification:
         coef, base = model.coefficientMatrix.toArray(), np.asarray(model.interceptVector.toArray())
@@ -390,39 +401,59 @@ def permutation_importance(prep: Prepared, model, repeats: int = 4, seed: int =
     n, var = test.agg(F.count(F.lit(1)), F.var_pop("label")).first()
     if not n or not used:
         return out
-    ranked = prep.is_classification and len(coef) == 1
+    is_clf, ranked = prep.is_classification, prep.is_classification and len(coef) == 1
     held = int(np.clip(BLOCK_SCORES // (len(used) * repeats), 256, 8192))
-    block = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(-(-n // held)))
-    rows = test.withColumn("row", F.monotonically_increasing_id()).withColumn("block", block)
-    is_clf = prep.is_classification
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        x, y = np.array(pdf["x"].tolist(), dtype=float), pdf["label"].to_numpy()
-        whole, draw = x @ coef.T + base, np.random.default_rng([seed, int(pdf["block"].iloc[0])])
-
-        def right(logits):
-            if ranked:
-                return logits[:, 0]
-            return (logits.argmax(axis=1) == y).astype(float) if is_clf else -(logits[:, 0] - y) ** 2
-        found = [right(whole)]
-        for j in used:
-            for _ in range(repeats):
-                found.append(right(whole + np.outer(draw.permutation(x[:, j]) - x[:, j], coef[:, j])))
-        if ranked:
-            return pd.DataFrame({"label": y, "s": np.stack(found, axis=1).tolist()})
-        return pd.DataFrame({"label": [0.0], "s": [[float(f.sum()) for f in found]]})
-    scored = (rows.groupBy("block").applyInPandas(score, "label double, s array<double>")
-              .select("label", F.posexplode("s").alias("which", "s")))
-    if ranked:
-        counts = scored.groupBy("which", "s").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count(F.lit(1)).alias("t"))
-        ranks = prefix_sum(counts, "s", ["t"], ["which"])
-        found = ranks.groupBy("which").agg(F.sum(F.col("pos") * (F.col("cum_t") - F.col("t") + (F.col("t") + 1) / 2.0)).alias("s"),
-                                           F.sum("pos").alias("p")).collect()  # a row per permutation
-        value = {r["which"]: (r["s"] - r["p"] * (r["p"] + 1) / 2.0) / max(r["p"] * (n - r["p"]), 1) for r in found}
-    else:
-        scale = n if is_clf else n * (var or 1.0)
-        value = {r["which"]: r["s"] / scale for r in scored.groupBy("which").agg(F.sum("s").alias("s")).collect()}
+    tasks = min(-(-n // held), int(test.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = test.withColumn("row", F.monotonically_increasing_id())
+    tried = 1 + len(used) * repeats
+    edges = np.zeros(0)
+    if ranked and n > held:
+        whole = F.aggregate(F.zip_with("x", F.array(*map(F.lit, coef[0].tolist())), lambda a, c: a * c), F.lit(float(base[0])), lambda s, t: s + t)
+        marks = rows.agg(F.percentile_approx(whole, [i / SCORE_BINS for i in range(SCORE_BINS + 1)], 4 * SCORE_BINS)).first()[0]
+        span = (marks[-1] - marks[0]) or 1.0
+        beyond = span * np.arange(1, OUTER_BINS + 1) / OUTER_BINS
+        edges = np.unique(np.r_[marks[0] - beyond, marks, marks[-1] + beyond])
+
+    def blocks(batches):
+        kept = pd.DataFrame()
+        for pdf in batches:
+            kept = pd.concat([kept, pdf], ignore_index=True) if len(kept) else pdf
+            while len(kept) >= 2 * held:
+                yield kept.iloc[:held]
+                kept = kept.iloc[held:].reset_index(drop=True)
+        for part in np.array_split(np.arange(len(kept)), max(1, round(len(kept) / held))):
+            yield kept.iloc[part]
+
+    def scored(batches):
+        counts = np.zeros((tried, 2, len(edges) + 1), np.int64)
+        exact, draw = np.zeros(tried), np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for block in blocks(batches):
+            if not len(block):
+                continue
+            x, y = np.array(block["x"].tolist(), dtype=float), block["label"].to_numpy()
+            logits = x @ coef.T + base
+            moves = [(None, 0), *((j, r) for j in used for r in range(repeats))]
+            for which, (j, _) in enumerate(moves):
+                got = logits if j is None else logits + np.outer(draw.permutation(x[:, j]) - x[:, j], coef[:, j])
+                if not ranked:
+                    exact[which] += (got.argmax(axis=1) == y).sum() if is_clf else -((got[:, 0] - y) ** 2).sum()
+                    continue
+                values, at = np.unique(got[:, 0], return_inverse=True)
+                bins = np.searchsorted(edges, got[:, 0], side="right")
+                own = np.stack([np.bincount(bins[y == c], minlength=len(edges) + 1) for c in (1, 0)])
+                exact[which] += _pairs_in_order(*(np.bincount(at[y == c], minlength=len(values)) for c in (1, 0))) - _pairs_in_order(*own)
+                counts[which] += own
+        which, bins = np.nonzero(counts.sum(axis=1))
+        yield pd.DataFrame({"which": np.r_[np.arange(tried), which], "bin": np.r_[np.full(tried, -1), bins], "s": np.r_[exact, np.zeros(len(which))],
+                            "pos": np.r_[np.zeros(tried, np.int64), counts[which, 0, bins]],
+                            "neg": np.r_[np.zeros(tried, np.int64), counts[which, 1, bins]]})
+    sums = (rows.repartition(tasks, "row").sortWithinPartitions("row").mapInPandas(scored, "which int, bin int, s double, pos long, neg long")
+            .groupBy("which", "bin").agg(*[F.sum(c).alias(c) for c in ("s", "pos", "neg")]))
+    upto = F.sum("neg").over(Window.partitionBy("which").orderBy("bin"))  # a row per bin
+    found = (sums.withColumn("pairs", F.col("s") + F.col("pos") * (upto - F.col("neg") / 2.0)).groupBy("which")
+             .agg(F.sum("pairs").alias("s"), F.sum("pos").alias("p")).collect())  # a row per permutation
+    scale = {True: lambda p: max(p * (n - p), 1), False: lambda p: n if is_clf else n * (var or 1.0)}[ranked]
+    value = {r["which"]: r["s"] / scale(r["p"]) for r in found}
     for i, j in enumerate(used):
         out[j] = value[0] - np.mean([value[1 + i * repeats + r] for r in range(repeats)])
     return np.maximum(out, 0)

@@ -277,3 +277,70 @@ def test_profiles_of_odd_columns(spark):
     many = spark.range(5000).selectExpr("id", "id % 3 AS few", "id % 20 AS near")
     counts = distinct_counts(many, ["id", "few", "near"], upto=10)
     assert counts["id"] > 10 and counts["few"] == 3 and counts["near"] == 20
+
+
+def test_kmeans_agrees_with_the_evaluator_and_between_plans(spark, monkeypatch):
+    """The silhouettes are those of Spark's evaluator; one task and many give the same; more starts are no worse."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from tablelens.operators import cluster as U
+    rng = np.random.RandomState(3)
+    spots = rng.uniform(-10, 10, size=(5, 3))
+    x = np.vstack([rng.normal(size=(80, 3)) + s for s in spots] + [np.repeat([[1.0, 2.0, 3.0]], 40, axis=0)])
+    x = (x - x.mean(axis=0)) / x.std(axis=0)  # standardised, so that the evaluator sees the same columns
+    df = _df(spark, pd.DataFrame(x, columns=["a", "b", "c"])).repartition(5, "a")
+    scores, k, lab = U.kmeans_select(df, ["a", "b", "c"])
+    scored = {r["k"]: r["silhouette"] for r in scores.collect()}
+    assert set(scored) == set(range(2, 9)) and lab.columns == ["a", "b", "c", "cluster"]
+    seen = VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(lab)
+    assert scored[k] == max(scored.values())
+    assert ClusteringEvaluator(featuresCol="f", predictionCol="cluster").evaluate(seen) == pytest.approx(scored[k], abs=1e-9)
+    monkeypatch.setattr(U, "HELD_VALUES", 0)
+    again, k2, lab2 = U.kmeans_select(df, ["a", "b", "c"])
+    assert k2 == k and {r["k"]: r["silhouette"] for r in again.collect()} == pytest.approx(scored, abs=1e-9)
+    assert sorted(map(tuple, lab2.collect())) == sorted(map(tuple, lab.collect()))
+
+
+def test_kmeans_of_odd_tables(spark):
+    from tablelens.operators.cluster import kmeans_select
+    same = _df(spark, pd.DataFrame({"a": [1.0] * 9, "b": [2.0] * 9}))
+    scores, k, lab = kmeans_select(same, ["a", "b"])
+    assert k == 2 and {r["silhouette"] for r in scores.collect()} == {0.0} and lab.count() == 9
+    gaps = spark.createDataFrame([(0.0, None), (0.1, 0.0), (9.0, 8.0), (9.1, float("nan")), (9.2, 8.1)], "a double, b double")
+    scores, k, lab = kmeans_select(gaps, ["a", "b"], k_max=3)
+    assert lab.where("cluster IS NULL").count() == 0 and scores.count() == 2
+    with pytest.raises(ValueError):
+        kmeans_select(same.limit(2), ["a", "b"])
+    with pytest.raises(ValueError):
+        kmeans_select(same, ["a"])
+
+
+def test_permutation_auc_of_many_blocks(spark, monkeypatch):
+    """Counts by bins agree with the AUC of all pairs, which one block gives."""
+    from types import SimpleNamespace
+    from pyspark.ml.linalg import Matrices, Vectors
+    from tablelens.operators import model as M
+    rng = np.random.RandomState(2)
+    n = 9000
+    x = np.c_[rng.normal(size=(n, 2)), rng.randint(0, 3, n)]
+    y = (x @ [1.5, -0.5, 0.4] + rng.logistic(size=n) > 1).astype(float)
+    model = SimpleNamespace(coefficientMatrix=Matrices.dense(1, 3, [1.5, -0.5, 0.4]), interceptVector=Vectors.dense([-1.0]))
+    prep = _scored_by(spark, x, y, ["0", "1"])
+    apart = []
+
+    def auc(s):
+        order = s.argsort(kind="stable")
+        rank = pd.Series(s).rank().to_numpy()
+        p = y.sum()
+        return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (n - p)) if len(order) else 0.0
+    whole = auc(x @ [1.5, -0.5, 0.4])
+    for j, c in enumerate([1.5, -0.5, 0.4]):
+        drops = []
+        for _ in range(20):
+            moved = x.copy()
+            moved[:, j] = rng.permutation(moved[:, j])
+            drops.append(whole - auc(moved @ [1.5, -0.5, 0.4]))
+        apart.append(np.mean(drops))
+    for scores in (4_000_000, 1):  # blocks of 8,192 and of 256 rows
+        monkeypatch.setattr(M, "BLOCK_SCORES", scores)
+        assert M.permutation_importance(prep, model, repeats=8) == pytest.approx(apart, abs=0.008)
