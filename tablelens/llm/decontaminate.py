@@ -8,26 +8,32 @@ ranks and suffix positions sampled at every ``SAMPLE``-th place of the text,
 searches all windows backwards at once, locates their occurrences by stepping to
 the next sampled position, and merges the spans per document.
 
-The benchmark is the stated query set: it is read in blocks of bounded size,
-each broadcast, and every document meets every block inside its own task, so
-nothing is shuffled whatever the size of a group of copies.
+The benchmark is the stated query set.  It is read in blocks of bounded size, one
+broadcast at a time: a pass over all documents searches one block and writes the
+spans and items of each document that it hits, and the passes' rows are merged by
+the documents' row numbers.  A benchmark of one block needs one pass and no
+shuffle.  The driver holds two blocks at most, a task the windows of one.
 
 Defined cases: null and empty texts have no words and no hits; items without
 words are never found; equal windows of several items count for each of them;
-repeated documents get a row each; empty tables give no rows or no hits.
+repeated documents get a row each; a very long text is a shard by itself; columns of any
+other name stay out of the way (documents are carried as one struct); empty
+tables give no rows or no hits.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.common import text_of
+from tablelens.llm.common import materialise, text_of
 
 #: Fixed value: runs of ASCII letters and digits and of all characters beyond ASCII.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -154,40 +160,37 @@ def occurrences(text: np.ndarray, windows: Windows) -> Iterator[tuple[int, np.nd
 class _Shard:
     """Documents whose stretches are indexed together."""
 
-    def __init__(self, blocks: list[Windows]):
-        self.blocks, self.docs, self.held = blocks, [], 0
-        self.texts: list[list[np.ndarray]] = [[] for _ in blocks]
-        self.origins: list[list[tuple[int, int, int]]] = [[] for _ in blocks]  # length with separator, document, first word
+    def __init__(self, windows: Windows):
+        self.windows, self.docs, self.held = windows, [], 0
+        self.texts: list[np.ndarray] = []
+        self.origins: list[tuple[int, int, int]] = []  # length with separator, document, first word
 
     def add(self, words: list[str]) -> None:
-        at = len(self.docs)
+        at, known = len(self.docs), self.windows
         self.docs.append(len(words))
-        for b, block in enumerate(self.blocks):
-            if not block.shortest or len(words) < block.shortest:
-                continue
-            ids = np.fromiter((block.vocabulary.get(w, 0) for w in words), np.int64, len(words))
-            cut = np.flatnonzero(np.r_[True, ids == 0, True])  # a stretch lies between two cuts
-            for i in np.flatnonzero(np.diff(cut) > block.shortest):
-                stretch = ids[cut[i]:cut[i + 1] - 1]
-                self.texts[b] += [stretch, np.zeros(1, np.int64)]
-                self.origins[b].append((len(stretch) + 1, at, int(cut[i])))
-                self.held += len(stretch) + 1
+        if not known.shortest or len(words) < known.shortest:
+            return
+        ids = np.fromiter((known.vocabulary.get(w, 0) for w in words), np.int64, len(words))
+        cut = np.flatnonzero(np.r_[True, ids == 0, True])  # a stretch lies between two cuts
+        for i in np.flatnonzero(np.diff(cut) > known.shortest):
+            stretch = ids[cut[i]:cut[i + 1] - 1]
+            self.texts += [stretch, np.zeros(1, np.int64)]
+            self.origins.append((len(stretch) + 1, at, int(cut[i])))
+            self.held += len(stretch) + 1
 
     def spans(self) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
         """(words, merged [begin, end) spans, items) of each document, in order."""
         marks: list[list[tuple[int, int]]] = [[] for _ in self.docs]
         items: list[set[str]] = [set() for _ in self.docs]
-        for block, texts, origins in zip(self.blocks, self.texts, self.origins):
-            if not texts:
-                continue
-            lengths, docs, firsts = (np.array(x, np.int64) for x in zip(*origins))
+        if self.texts:
+            lengths, docs, firsts = (np.array(x, np.int64) for x in zip(*self.origins))
             begins = np.cumsum(lengths) - lengths
-            for length, found, numbers in occurrences(np.concatenate(texts), block):
+            for length, found, numbers in occurrences(np.concatenate(self.texts), self.windows):
                 stretch = np.searchsorted(begins, found, side="right") - 1
                 starts = found - begins[stretch] + firsts[stretch]
                 for doc, start, number in zip(docs[stretch].tolist(), starts.tolist(), numbers.tolist()):
                     marks[doc].append((start, start + length))
-                    items[doc].update(block.items[number])
+                    items[doc].update(self.windows.items[number])
         for n, spans, held in zip(self.docs, marks, items):
             yield n, merged(spans), held
 
@@ -218,10 +221,10 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def _shards(blocks: list, n: int):
+def _shards(block, n: int):
     """Iterator of finished shards over batches of (row, text); a document's key is its place in the held rows."""
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[str], _Shard]]:
-        windows = [Windows(b.value, n) for b in blocks]
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str], _Shard]]:
+        windows = Windows(block.value, n)
         for batch in batches:
             begin, shard, texts = 0, _Shard(windows), []
             for at, text in enumerate(batch.column(1).to_pylist()):
@@ -233,54 +236,100 @@ def _shards(blocks: list, n: int):
     return shards
 
 
-def _scan(blocks: list, n: int):
-    shards, span = _shards(blocks, n), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+SPAN = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def _found(ids: pa.Array, rows: list[tuple[int, list[tuple[int, int]], list[str]]]) -> pa.RecordBatch:
+    """Rows of (words, spans, items), as ``RESULT`` has them."""
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array([r[0] for r in rows], pa.int64()),
+         pa.array([sum(e - b for b, e in r[1]) for r in rows], pa.int64()),
+         pa.array([[{"begin": b, "end": e} for b, e in r[1]] for r in rows], SPAN),
+         pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
+        names=["id", "n_words", "n_hit", "spans", "items"])
+
+
+def _scan(block, n: int):
+    shards = _shards(block, n)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, shard in shards(batches):
-            rows = list(shard.spans())
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([r[0] for r in rows], pa.int64()),
-                 pa.array([sum(e - b for b, e in r[1]) for r in rows], pa.int64()),
-                 pa.array([[{"begin": b, "end": e} for b, e in r[1]] for r in rows], span),
-                 pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))],
-                names=["id", "n_words", "n_hit", "spans", "items"])
+            yield _found(ids, list(shard.spans()))
     return scan
 
 
-def _cut(blocks: list, n: int):
-    shards = _shards(blocks, n)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the passes found in each document, as one list of spans and one of items."""
+    for batch in batches:
+        words, spans, items = (c.to_pylist() for c in batch.columns[1:])
+        rows = [(n, merged([(s["begin"], s["end"]) for part in a for s in part]), set(chain.from_iterable(b)))
+                for n, a, b in zip(words, spans, items)]
+        yield _found(batch.column(0), rows)
+
+
+def _cut_rows(rows: pa.Array, texts: list[str], found: list[tuple[int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [rows, pa.array([without(t, s) if s else None for t, (_, s) in zip(texts, found)], pa.string()),
+         pa.array([bool(s) for _, s in found]),
+         pa.array([sum(e - b for b, e in s) < w or not s for w, s in found])],
+        names=["row", "cut", "hit", "left"])
+
+
+def _cut(block, n: int):
+    shards = _shards(block, n)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts, shard in shards(batches):
-            found = [(n_words, spans) for n_words, spans, _ in shard.spans()]
-            yield pa.RecordBatch.from_arrays(
-                [rows, pa.array([without(t, s) if s else None for t, (_, s) in zip(texts, found)], pa.string()),
-                 pa.array([bool(s) for _, s in found]),
-                 pa.array([sum(e - b for b, e in s) < w or not s for w, s in found])],
-                names=["row", "cut", "hit", "left"])
+            yield _cut_rows(rows, texts, [(n_words, spans) for n_words, spans, _ in shard.spans()])
     return cut
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list:
-    """The items in broadcast blocks of at most ``BLOCK_CHARS`` characters (or one item)."""
-    sc = benchmark.sparkSession.sparkContext
-    blocks, block, size = [], [], 0
+def _cut_found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As :func:`_cut`, from (row, text, n_words, spans)."""
+    for batch in batches:
+        spans = [[(s["begin"], s["end"]) for s in found or []] for found in batch.column(3).to_pylist()]
+        yield _cut_rows(batch.column(0), batch.column(1).to_pylist(), list(zip(batch.column(2).to_pylist(), spans)))
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of at most ``BLOCK_CHARS`` characters (or one item), one at a time."""
+    block, size = [], 0
     for item, text in benchmark.select(F.col(item_col).cast("string"), text_of(text_col)).toLocalIterator():
         if block and size + len(text) > BLOCK_CHARS:
-            blocks.append(sc.broadcast(block))
+            yield block
             block, size = [], 0
         block.append((item or "", text))
         size += len(text)
-    return [*blocks, sc.broadcast(block)] if block else blocks
+    yield block
+
+
+def _passes(rows: DataFrame, blocks: Iterator[list[tuple[str, str]]], n: int) -> DataFrame:
+    """(number, n_words, n_hit, spans, items) of a table of (number, text): a pass for each block, merged."""
+    sc, found = rows.sparkSession.sparkContext, []
+    for block in blocks:
+        held = sc.broadcast(block)
+        part = rows.mapInArrow(_scan(held, n), f"id long, {RESULT}")
+        # the first pass counts words for all documents, later ones keep the documents that they hit
+        found.append(materialise(part if not found else part.where("n_hit > 0"), "leaks"))
+        held.destroy()
+    both = reduce(DataFrame.unionByName, found).groupBy("id").agg(
+        F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    merged_rows = both.select("id", "n_words", "spans", "items").mapInArrow(_merge, f"id long, {RESULT}")
+    return merged_rows.withColumnRenamed("id", "number")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
     """One row per document: id, n_words, n_hit, spans of hit words, items found (sorted as strings)."""
     blocks = benchmark_blocks(benchmark, item_col, item_text_col)
+    first, second = next(blocks), next(blocks, None)
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(_scan(blocks, n), f"id {rows.schema['id'].dataType.simpleString()}, {RESULT}")
+    if second is None:
+        block = docs.sparkSession.sparkContext.broadcast(first)
+        return rows.mapInArrow(_scan(block, n), f"id {rows.schema['id'].dataType.simpleString()}, {RESULT}")
+    numbered = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    found = _passes(numbered.select("number", "text"), chain([first, second], blocks), n)
+    return numbered.select("number", "id").join(found, "number").drop("number")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None,
@@ -288,9 +337,17 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """The documents, all columns, with the hit spans cut out of their texts (and ``length_col`` set to the characters
     left); documents of which no word is left go, others stay as they are."""
     blocks = benchmark_blocks(benchmark, item_col, item_text_col)
+    first, second = next(blocks), next(blocks, None)
     rows = docs.select(F.struct(*docs.columns).alias("row"), text_of(text_col).alias("text"))
-    done = rows.mapInArrow(_cut(blocks, n), f"row {rows.schema['row'].dataType.simpleString()}, cut string, hit boolean, "
-                           "left boolean").where("left")
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, cut string, hit boolean, left boolean"
+    if second is None:
+        block = docs.sparkSession.sparkContext.broadcast(first)
+        done = rows.mapInArrow(_cut(block, n), schema)
+    else:
+        numbered = materialise(rows.withColumn("number", F.monotonically_increasing_id()), "numbered")
+        found = _passes(numbered.select("number", "text"), chain([first, second], blocks), n)
+        done = numbered.join(found, "number").select("row", "text", "n_words", "spans").mapInArrow(_cut_found, schema)
+    done = done.where("left")
     new = {text_col: F.when(F.col("hit"), F.col("cut")).otherwise(F.col("row")[text_col])}
     if length_col:
         new[length_col] = F.when(F.col("hit"), F.char_length("cut").cast(docs.schema[length_col].dataType)

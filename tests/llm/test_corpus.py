@@ -51,11 +51,30 @@ def test_find_leaks(spark):
 
 
 def test_benchmark_in_several_blocks(spark, monkeypatch):
+    """A pass for each block, one broadcast at a time; the same rows and texts as from one block."""
+    rows = [x for x in ODD if x[0] != 10] + [(30, PASSAGE + " and " + prose(77, 30), "a"), (31, "one two three", "a"), (31, "one two three", "b")]
+    docs = table(spark, rows)
+    whole = decontaminate.remove_leaks(docs, benchmark(spark), length_col="n_chars").collect()
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 50)
-    docs = table(spark, [(1, PASSAGE + " and " + prose(77, 30), "a"), (2, "one two three", "a")])
-    assert len(decontaminate.benchmark_blocks(benchmark(spark), "item_id", "text")) > 2
-    got = {r.id: (r.n_hit, r["items"]) for r in decontaminate.find_leaks(docs, benchmark(spark)).collect()}
-    assert got == {1: leaks(PASSAGE + " and " + prose(77, 30), BENCHMARK)[1:], 2: (3, ["2"])}
+    blocks = list(decontaminate.benchmark_blocks(benchmark(spark), "item_id", "text"))
+    assert len(blocks) > 2
+    there, most, passes = set(), [0], [0]
+    make = spark.sparkContext.broadcast
+
+    def broadcast(block):
+        held = make(block)
+        there.add(id(held))
+        passes[0], most[0] = passes[0] + 1, max(most[0], len(there))
+        gone = held.destroy
+        held.destroy = lambda: (there.discard(id(held)), gone())
+        return held
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    got = decontaminate.find_leaks(docs, benchmark(spark)).collect()
+    assert (passes[0], most[0]) == (len(blocks), 1)
+    assert sorted((str(r.id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted((str(i), *leaks(t, BENCHMARK)) for i, t, _ in rows)
+    parts = decontaminate.remove_leaks(docs, benchmark(spark), length_col="n_chars")
+    assert parts.columns == docs.columns and sorted(map(str, parts.collect())) == sorted(map(str, whole))
+    assert decontaminate.find_leaks(docs.limit(0), benchmark(spark)).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
