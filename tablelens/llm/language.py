@@ -10,8 +10,10 @@ smoothed towards the corpus's.  A page's own share is taken out of every sum tha
 used for it.  Sums are combined map-side, so a host with a third of all pages is one row per task.
 
 Defined cases: null html and url count as empty; a page without text, declaration and host gets the corpus's prior;
-null ids and repeated rows get a row each; labelled rows without text or language teach nothing; without
-any labelled row every page's language and probability are null; an empty table of pages gives no rows.
+null ids and repeated rows get a row each; of languages that are equally likely the first by code point is given; texts
+are read whole, whatever their length; columns beyond the named ones are not read, so their names do not matter; labelled
+rows without text or language teach nothing; without any labelled row every page's language and probability are null; an
+empty table of pages gives no rows.
 """
 
 from __future__ import annotations
@@ -96,22 +98,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _rows(sums)
 
 
+def _packed(counts: pa.Table) -> pa.Table:
+    """A language's counts (a group of at most ``PLACES`` rows) as one row of bytes: 8 for each trigram that it has."""
+    place, n = counts["place"].to_numpy(), counts["n"].to_numpy()
+    return pa.table({"lang": counts["lang"][:1], "total": [n.sum() + 0.5 * PLACES], "place": [place.astype("<u4").tobytes()],
+                     "gain": [np.log((n + 0.5) / 0.5).astype("<f4").tobytes()]},
+                    pa.schema([("lang", pa.string()), ("total", pa.float64()), ("place", pa.binary()), ("gain", pa.binary())]))
+
+
 def learn_text(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel | SparseTextModel:
-    """Trigram shares of each language, counted over all labelled documents."""
+    """Trigram shares of each language, counted over all labelled documents.
+
+    Counts are summed and packed on the executors; the driver reads a row of bytes a language."""
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), text_of(text_col).alias("text"))
-    table = rows.mapInArrow(_counted, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(table["lang"].unique())
-    number = table["lang"].map({x: i for i, x in enumerate(languages)})
-    if len(languages) > MOST_LANGUAGES:
-        table = table.assign(lang=number).sort_values(["place", "lang"])
-        totals = np.bincount(table["lang"], table["n"], len(languages)) + 0.5 * PLACES
-        begin = np.searchsorted(table["place"].to_numpy(), np.arange(PLACES + 1))
-        return SparseTextModel(languages, np.log(0.5 / totals), begin, table["lang"].to_numpy(np.int32),
-                               np.log((table["n"].to_numpy() + 0.5) / 0.5).astype(np.float32))
-    counts = np.full((len(languages), PLACES), 0.5)
-    if languages:
-        counts[number, table["place"]] += table["n"]
-    return TextModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    counts = rows.mapInArrow(_counted, "lang string, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
+    held = (counts.groupBy("lang").applyInArrow(_packed, "lang string, total double, place binary, gain binary")
+            .orderBy("lang").collect())
+    languages = [r["lang"] for r in held]
+    unseen = np.log(0.5 / np.array([r["total"] for r in held], float))
+    places, gains = ([np.frombuffer(r[c], kind) for r in held] for c, kind in (("place", "<u4"), ("gain", "<f4")))
+    if len(languages) <= MOST_LANGUAGES:
+        shares = np.repeat(unseen[:, None].astype(np.float32), PLACES, axis=1)
+        for own, low, place, gain in zip(shares, unseen, places, gains):
+            own[place] = low + gain
+        return TextModel(languages, shares)
+    at, number = np.concatenate(places), np.repeat(np.arange(len(languages), dtype=np.int32), [len(x) for x in places])
+    order = np.argsort(at, kind="stable")
+    return SparseTextModel(languages, unseen, np.searchsorted(at[order], np.arange(PLACES + 1)), number[order],
+                           np.concatenate(gains)[order])
 
 
 def visible(page: str) -> str:
@@ -186,6 +200,19 @@ def _sums(column: str, n: int) -> Column:
     return F.array(*[F.sum(F.col(column)[i]) for i in range(n)])
 
 
+#: Bytes of the table of declared languages that a broadcast may have, and the parts that a join spreads a word over beyond.
+DECLARED_BYTES, SALTS = 64 << 20, 64
+
+
+def _with_declared(read: DataFrame, declared: DataFrame, size: int) -> DataFrame:
+    """The sums of each page's declared language beside it; most pages may declare the same, or none."""
+    if size <= DECLARED_BYTES:
+        return read.join(F.broadcast(declared), "declared")
+    salted = declared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return (read.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+            .join(salted, ["declared", "salt"]).drop("salt"))
+
+
 def identify(pages: DataFrame, model: TextModel | SparseTextModel, id_col: str = "page_id", url_col: str = "url",
              html_col: str = "html", markup: bool = True) -> DataFrame:
     """One row per page: id, lang, probability, text_lang (by the text alone).
@@ -209,7 +236,7 @@ def identify(pages: DataFrame, model: TextModel | SparseTextModel, id_col: str =
     shares = read.agg(_sums("share", n)).first()[0] or [0.0] * n
     totals = read.agg(F.count_distinct("suffix"), F.count_distinct("declared")).first()
     corpus = np.array([x or 0.0 for x in shares])
-    joined = read.join(hosts, "host").join(F.broadcast(declared), "declared")
+    joined = _with_declared(read.join(hosts, "host"), declared, 8 * n * totals[1])
     return joined.select("id", "host", "likely", "share", "of_host", "of_domain", "of_suffix", "of_declared").mapInArrow(
         _fuse(model.languages, corpus, (totals[0] + 1, totals[1] + 1)),
         f"id {kind}, lang string, probability double, text_lang string")

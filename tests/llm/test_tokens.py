@@ -153,3 +153,44 @@ def test_markup_and_addresses():
     assert language.visible("<style>p{}</style><p>a&amp;b<!-- c --></p><script>d</script>").split() == ["a&b"]
     assert language.address("https://u@Blog.Example.FR:80/x") == ("blog.example.fr", "example.fr", "fr")
     assert language.address("") == ("", "", "") and language.address("http://10.0.0.1/")[2] == ""
+
+
+def test_languages_against_the_fusion_formula(spark, monkeypatch):
+    """Every page's posterior, by plain loops; with the declared languages broadcast and joined in parts."""
+    said = {"en": "the cat sat on the mat and the dog", "fr": "le chat est sur la table et le chien", "de": "der hund und die katze sind hier"}
+    docs = spark.createDataFrame([(t, k) for k, t in said.items() for _ in range(2)] + [("odd", None), (None, "de"), ("", "fr")], "text string, lang string")
+    pages = [(1, "http://a.x.fr/1", "<html lang=\"fr\">le chien"), (2, "http://a.x.fr/2", "<html lang=\"fr\">the dog sat"), (3, "http://b.x.fr/", "la table"),
+             (4, "http://q.de", "der hund"), (4, "http://q.de", "der hund"), (5, None, None), (None, "http://b.x.fr/", ""), (7, "", "<html lang=\"fr\">zz")]
+    table = spark.createDataFrame([(i, u, h, "?", "?") for i, u, h in pages], "page_id long, url string, html string, host string, share string")
+    model = language.learn_text(docs)
+    assert model.languages == ["de", "en", "fr"]
+    for i, k in enumerate(model.languages):
+        counts = np.full(language.PLACES, 0.5)
+        for t in docs.where(F.col("lang") == k).toPandas()["text"].fillna(""):
+            counts += np.bincount(language.trigrams(t), minlength=language.PLACES)
+        assert np.allclose(model.log_share[i], np.log(counts / counts.sum()), atol=1e-5)
+    likely = [model.log_likelihood(language.visible(h or "")) for _, _, h in pages]
+    share = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in likely]
+    places = [language.address(u or "") for _, u, _ in pages]
+    declared = [m[1].lower() if (m := language.DECLARED.search(h or "")) else "" for _, _, h in pages]
+
+    def others(i, values):  # shares of the other pages that have the same value
+        return sum((share[j] for j in range(len(pages)) if j != i and values[j] == values[i]), np.zeros(3))
+    want = []
+    for i, (page, _, _) in enumerate(pages):
+        rest = others(i, [0] * len(pages))
+        prior = (rest + 1) / (rest + 1).sum()
+        for level, weight in ((1, language.DOMAIN_WEIGHT), (0, language.HOST_WEIGHT)):
+            seen = others(i, [p[level] for p in places]) * (places[i][0] != "")
+            prior = (seen + weight * prior) / (seen.sum() + weight)
+        logs = likely[i] + np.log(prior)
+        for values in ([p[2] for p in places], declared):
+            logs = logs + np.log((others(i, values) + language.ADDED) / (rest + language.ADDED * (len(set(values)) + 1)))
+        shares = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        want.append((str(page), model.languages[int(shares.argmax())], round(float(shares.max()), 5)))
+    for most in (64 << 20, 0):
+        monkeypatch.setattr(language, "DECLARED_BYTES", most)
+        got = language.identify(table, model).collect()
+        found = sorted((str(r.id), r.lang, round(r.probability, 5)) for r in got)
+        assert [x[:2] for x in found] == [x[:2] for x in sorted(want)]
+        assert [x[2] for x in found] == pytest.approx([x[2] for x in sorted(want)], abs=1e-4)
