@@ -1,8 +1,9 @@
 """Supervised modelling (M1, M2, M10, M11, M13, M14, M16) on MLlib.
 
 The reference searches boosted-tree libraries under a wall-clock budget; here
-a fixed, deterministic candidate grid of MLlib estimators is fitted on the
-hash-split training rows and scored on the held-out rows.  Feature
+a fixed, deterministic grid of candidates (MLlib's, and extremely randomised
+trees) is fitted on growing samples of the hash-split training rows, the winner
+on all of them, and scored on the held-out rows.  Feature
 preparation follows the reference's order (clean -> dates -> impute/encode ->
 engineered features -> width cap) with every statistic computed by Spark.
 """
@@ -28,6 +29,7 @@ from tablelens.operators import clean as C
 from tablelens.operators import evaluate as V
 from tablelens.operators import features as X
 from tablelens.operators import text as TX
+from tablelens.operators.extratrees import ExtraTrees
 from tablelens.operators.ranks import exact_quantiles, medians
 from tablelens.operators.sample import kfold, random_split, stratified_split
 from tablelens.session import cut_lineage
@@ -214,17 +216,18 @@ def balanced(data: DataFrame, feats: list[str], classes: list[str], oversample:
 # ------------------------------------------------------------------ search
 
 def candidates(prep: Prepared, seed: int = 42) -> dict:
-    """M1 grid: a fixed, deterministic list of MLlib estimators."""
+    """M1 grid: a fixed, deterministic list of estimators."""
     if prep.is_classification:
         c = {"Logistic Regression (L2)": LogisticRegression(maxIter=100, regParam=0.01),
              "Logistic Regression (L1)": LogisticRegression(maxIter=100, regParam=0.01, elasticNetParam=1.0),
              "Random Forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed)}
         if prep.binary:
             c["Gradient-Boosted Trees"] = GBTClassifier(maxIter=30, maxDepth=5, seed=seed)
-        return c
+        return c | {"Extra Trees": ExtraTrees(len(prep.classes), seed=seed)}
     return {"Elastic Net": LinearRegression(maxIter=100, regParam=0.01, elasticNetParam=0.5),
             "Random Forest": RandomForestRegressor(numTrees=50, maxDepth=8, seed=seed),
-            "Gradient-Boosted Trees": GBTRegressor(maxIter=30, maxDepth=5, seed=seed)}
+            "Gradient-Boosted Trees": GBTRegressor(maxIter=30, maxDepth=5, seed=seed),
+            "Extra Trees": ExtraTrees(0, seed=seed)}
 
 
 def baselines(prep: Prepared, seed: int = 42) -> dict:
@@ -271,19 +274,31 @@ def together(fn, items) -> list:
         return list(pool.map(fn, items))
 
 
-def model_search(prep: Prepared) -> tuple[DataFrame, object]:
-    """M1: fit the grid on train, score on test; ``model, score, metric, best``
-    and the best fitted model."""
-    data = prep.data.cache()
+#: Training rows of the smallest sample of a search, at least, and the shares of the training rows that it goes through.
+RUNG_ROWS, RUNG_SHARES = 20_000, (1 / 9, 1 / 3, 1.0)
+
+
+def model_search(prep: Prepared, seed: int = 42) -> tuple[DataFrame, object]:
+    """M1: ``model, score, metric, best, share`` and the best fitted model, by successive halving.
+
+    All candidates are fitted on a sample of the training rows and scored on the test rows; the better half goes on to a
+    sample three times as large that holds the first, and the rest to all training rows, on which the best is chosen.
+    Samples under ``RUNG_ROWS`` rows are passed over.  ``share``: of the training rows in a model's last fit."""
+    data = prep.data.withColumn("_u", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(2 ** 31)) / F.lit(2.0 ** 31)).cache()
     try:
-        res = fit_and_score(prep, candidates(prep), data.where(F.col("split") == "train"),
-                            data.where(F.col("split") == "test"))
+        train, test = data.where(F.col("split") == "train"), data.where(F.col("split") == "test")
+        n, left, last = train.count(), candidates(prep), {}
+        order = list(left)
+        for share in (s for s in RUNG_SHARES if s == 1.0 or s * n >= RUNG_ROWS):
+            res = fit_and_score(prep, left, train if share == 1.0 else train.where(F.col("_u") < share), test)
+            res.sort(key=lambda r: (-r["score"], order.index(r["model"])))
+            last |= {r["model"]: r | {"share": share} for r in res}
+            left = {r["model"]: left[r["model"]] for r in res[:-(-len(res) // 2)]}
     finally:
         data.unpersist()
-    best = max(res, key=lambda r: (r["score"], -list(candidates(prep)).index(r["model"])))
-    rows = [(r["model"], r["score"], r["metric"], r is best) for r in res]
-    table = prep.data.sparkSession.createDataFrame(rows, "model string, score double, metric string, best boolean")
-    return table, best["fitted"]
+    rows = [(m, last[m]["score"], last[m]["metric"], m == res[0]["model"], last[m]["share"]) for m in order]
+    table = prep.data.sparkSession.createDataFrame(rows, "model string, score double, metric string, best boolean, share double")
+    return table, res[0]["fitted"]
 
 
 def model_compare(prep: Prepared, best_name: str, best_score: float) -> DataFrame:

@@ -184,6 +184,7 @@ def _verdict(prep, metrics: DataFrame, df: DataFrame, target: str) -> DataFrame:
 
 def _fresh(model, _est):
     """A new, unfitted estimator with the fitted model's parameters."""
+    from tablelens.operators.extratrees import ExtraTreesModel
     from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                            LogisticRegressionModel, RandomForestClassificationModel,
                                            RandomForestClassifier)
@@ -192,6 +193,8 @@ def _fresh(model, _est):
     pairs = {LogisticRegressionModel: LogisticRegression, RandomForestClassificationModel: RandomForestClassifier,
              GBTClassificationModel: GBTClassifier, LinearRegressionModel: LinearRegression,
              RandomForestRegressionModel: RandomForestRegressor, GBTRegressionModel: GBTRegressor}
+    if isinstance(model, ExtraTreesModel):
+        return model.estimator
     est = pairs[type(model)]()
     keep = {p.name for p in est.params}
     return est.setParams(**{p.name: v for p, v in model.extractParamMap().items()
