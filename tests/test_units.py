@@ -192,3 +192,26 @@ def test_shapiro_gate_picks_the_test(spark):
     row = S.shapiro_wilk(big).collect()[0]
     assert row["w"] is None and row["normal"] is False and row["n"] == 5000
     assert S.shapiro_wilk(cells.limit(0)).count() == 0
+
+
+def test_rows_meet_their_group_where_they_lie(spark, monkeypatch):
+    """Few groups are no few tasks: neither quantiles nor a split deal the rows by group."""
+    from tablelens.operators import ranks
+    from tablelens.operators.sample import stratified_split
+    monkeypatch.setattr(ranks, "HELD_VALUES", 0)
+    merged = []
+    plain = ranks.null_safe
+    monkeypatch.setattr(ranks, "null_safe", lambda *a: merged.append(plain(*a)) or merged[-1])
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(0, 4000, 1, 5).selectExpr("id", "nullif(id % 3, 2) AS g", "double(id) AS v")
+        q = {r["g"]: r["q"] for r in ranks.exact_quantiles(df, "v", [0.5], ["g"]).collect()}
+        assert q == {0: 1999.5, 1: 1999.0, None: 2000.0}
+        assert "BroadcastHashJoin" in merged[0]._jdf.queryExecution().sparkPlan().toString()
+        split = stratified_split(df, "g", ["id"])
+        assert split.rdd.getNumPartitions() == 5
+        assert {(r["g"], r["n"]) for r in split.where("split = 'test'").groupBy("g").agg(F.count("id").alias("n")).collect()} == \
+            {(0, 267), (1, 267), (None, 267)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
