@@ -1,10 +1,9 @@
 """Top-k similarity and retrieval.
 
 Exact top-k of a stated query set by a blocked join: the pairs are never rows.
-Queries are hashed into blocks of at most ``q_block`` rows and items into
-chunks of at most ``d_chunk`` rows; every (block, chunk) cell is one cogroup
-task that scores the cell with NumPy in memory and emits only its local top-k
-per query.  A final ``row_number() <= k`` per query (Spark plans it as a
+Queries are hashed into blocks and items into chunks of bounded size, and every
+(block, chunk) cell is one cogroup task that scores the cell tile by tile with NumPy
+and emits only its local top-k per query.  A final ``row_number() <= k`` per query (Spark plans it as a
 WindowGroupLimit, so partial top-k happens before the shuffle) merges the
 cells.  Memory per task is bounded by the block sizes, whatever the table
 sizes; a dense cluster cannot create a larger group.  Neighbours of every item
@@ -33,6 +32,19 @@ from tablelens.functions.text import whitespace_tokens
 from tablelens.operators.ranks import shared
 
 
+#: Queries and rows whose scores are there at once.
+Q_TILE, D_TILE = 2048, 8192
+#: Numbers of one side of a cell, at most, and cells that a larger join has, at least.
+SIDE_NUMBERS, LEAST_CELLS = 1 << 22, 64
+
+
+def _sides(nq: int, nd: int, width: int) -> tuple[int, int]:
+    """(query blocks, row chunks): as few as memory allows, as each side is sent once for each part of the other."""
+    most = max(1, SIDE_NUMBERS // max(1, width))
+    b = max(1, math.ceil(nq / most), min(math.isqrt(LEAST_CELLS), math.ceil(nq / Q_TILE)))
+    return b, max(1, math.ceil(nd / most), min(math.ceil(LEAST_CELLS / b), math.ceil(nd / D_TILE)))
+
+
 def _cell_topk(kind: str, k: int, exclude_self: bool):
     def fn(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
@@ -43,14 +55,24 @@ def _cell_topk(kind: str, k: int, exclude_self: bool):
         dids = d["did"].to_numpy()
         qm = np.vstack([np.asarray(v, dtype=np.float64) for v in q["payload"]])
         dm = np.vstack([np.asarray(v, dtype=np.float64) for v in d["payload"]])
-        scores = dm @ qm.T
-        if kind == "euclidean":  # negative squared distance: larger is nearer
-            scores = 2 * scores - (dm * dm).sum(axis=1)[:, None] - (qm * qm).sum(axis=1)[None, :]
+        norms = (dm * dm).sum(axis=1)
+        own = np.full(len(qids), -1)
         if exclude_self:  # dids are sorted: locate each query's own row directly
             pos = np.searchsorted(dids, qids)
-            ok = (pos < len(dids)) & (dids[np.minimum(pos, len(dids) - 1)] == qids)
-            scores[pos[ok], np.flatnonzero(ok)] = -np.inf
-        return _local_topk(scores, qids, dids, k)
+            own = np.where((pos < len(dids)) & (dids[np.minimum(pos, len(dids) - 1)] == qids), pos, -1)
+        found = []
+        for i in range(0, len(qids), Q_TILE):
+            qt, frames = qm[i:i + Q_TILE], []
+            for j in range(0, len(dids), D_TILE):
+                scores = dm[j:j + D_TILE] @ qt.T
+                if kind == "euclidean":  # negative squared distance: larger is nearer
+                    scores = 2 * scores - norms[j:j + D_TILE, None] - (qt * qt).sum(axis=1)[None, :]
+                at = own[i:i + Q_TILE] - j
+                ok = (own[i:i + Q_TILE] >= 0) & (at >= 0) & (at < len(scores))
+                scores[at[ok], np.flatnonzero(ok)] = -np.inf
+                frames.append(_local_topk(scores, qids[i:i + Q_TILE], dids[j:j + D_TILE], k))
+            found.append(_best(frames, k) if len(frames) > 1 else frames[0])
+        return pd.concat(found, ignore_index=True)
     return fn
 
 
@@ -76,14 +98,17 @@ def _local_topk(scores: np.ndarray, qids: np.ndarray, dids: np.ndarray, k: int)
 
 
 def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, exclude_self: bool = False,
-                 q_block: int = 2048, d_chunk: int = 8192) -> DataFrame:
+                 q_block: int | None = None, d_chunk: int | None = None) -> DataFrame:
     """Top-``k`` items per query: ``qid, did, score, rank`` (rank 1 = best; ties
     by ascending ``did``).  Inputs have columns ``qid long, payload`` and
     ``did long, payload`` where payload is a unit vector (``cosine``) or a raw
-    vector (``euclidean``: score = minus squared distance)."""
-    nq, nd = queries.count(), corpus.count()
-    b = max(1, math.ceil(nq / q_block))
-    c = max(1, math.ceil(nd / d_chunk))
+    vector (``euclidean``: score = minus squared distance).  Blocks and chunks
+    are as large as ``SIDE_NUMBERS`` allows unless their rows are given."""
+    nq = queries.count()
+    nd, width = corpus.agg(F.count(F.lit(1)), F.max(F.size("payload"))).first()
+    b, c = _sides(nq, nd, width or 1)
+    b = max(1, math.ceil(nq / q_block)) if q_block else b
+    c = max(1, math.ceil(nd / d_chunk)) if d_chunk else c
     # fresh aliases: the two sides may come from the same DataFrame (self top-k)
     queries = queries.select(F.col("qid").alias("qid"), F.col("payload").alias("payload"))
     corpus = corpus.select(F.col("did").alias("did"), F.col("payload").alias("payload"))

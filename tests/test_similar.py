@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,21 @@ def test_keyword_retrieval_against_all_pairs(spark, monkeypatch, hot, tokens):
         best = sorted((-len(own & set((x or "").lower().split())), d) for d, x in docs)[:3]
         want += [(q, d, -s, i + 1) for i, (s, d) in enumerate(best)]
     assert sorted((r["qid"], r["did"], r["score"], r["rank"]) for r in found.collect()) == sorted(want)
+
+
+def test_cells_are_tiled_and_few(spark, monkeypatch):
+    """A side of the exact join is sent a few times at most, whatever its rows; tiles find what one matrix finds."""
+    for rows in (120_000, 720_000):
+        b, c = S._sides(rows, rows, 64)
+        assert 64 <= b * c and b + c <= 24
+    rng = np.random.default_rng(5)
+    q = pd.DataFrame({"qid": np.arange(40), "payload": list(rng.integers(0, 3, (40, 2)).astype(float))})
+    d = pd.DataFrame({"did": np.arange(90) // 2, "payload": list(rng.integers(0, 3, (90, 2)).astype(float))})
+    for kind in ("cosine", "euclidean"):
+        whole = S._cell_topk(kind, 4, True)(q, d)
+        monkeypatch.setattr(S, "Q_TILE", 7)
+        monkeypatch.setattr(S, "D_TILE", 9)
+        order = ["qid", "score", "did"]
+        tiled = S._cell_topk(kind, 4, True)(q, d).sort_values(order).reset_index(drop=True)
+        monkeypatch.undo()
+        pd.testing.assert_frame_equal(tiled, whole.sort_values(order).reset_index(drop=True))
