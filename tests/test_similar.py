@@ -113,3 +113,22 @@ def test_cells_are_tiled_and_few(spark, monkeypatch):
         tiled = S._cell_topk(kind, 4, True)(q, d).sort_values(order).reset_index(drop=True)
         monkeypatch.undo()
         pd.testing.assert_frame_equal(tiled, whole.sort_values(order).reset_index(drop=True))
+
+
+@pytest.mark.parametrize("self_too", [True, False])
+def test_cells_are_searched_beside_the_query(monkeypatch, self_too):
+    """The rows of a cell that a query scores are few, and the neighbours are those of all pairs."""
+    rng = np.random.default_rng(11)
+    v = np.concatenate([rng.normal(size=(3000, 3)) * [1000, 3, 1], np.full((40, 3), 7.0), rng.normal(size=(5, 3)) * 1e5])
+    q = pd.DataFrame({"qid": np.arange(0, len(v), 2), "payload": v[::2].tolist()})
+    d = pd.DataFrame({"did": np.arange(len(v)), "payload": v.tolist()}).sample(frac=1, random_state=1)
+    pairs, whole = [], N.squared
+    monkeypatch.setattr(N, "squared", lambda a, b: pairs.append(len(a) * len(b)) or whole(a, b))
+    found = N._near_topk(5, self_too)(q, d).sort_values(["qid", "score", "did"], ascending=[True, False, True])
+    exact = S._cell_topk("euclidean", 5, self_too)(q, d).sort_values(["qid", "score", "did"], ascending=[True, False, True])
+    assert sum(pairs) < len(q) * len(d) / 3
+    assert found["qid"].tolist() == exact["qid"].tolist()
+    far = np.abs(found["score"].to_numpy() - exact["score"].to_numpy())
+    assert (far <= 1e-6 + 1e-9 * np.abs(exact["score"].to_numpy())).all()
+    apart = ~found["qid"].between(3000, 3039).to_numpy()  # copies tie
+    assert found["did"].to_numpy()[apart].tolist() == exact["did"].to_numpy()[apart].tolist()
