@@ -344,3 +344,14 @@ def test_permutation_auc_of_many_blocks(spark, monkeypatch):
     for scores in (4_000_000, 1):  # blocks of 8,192 and of 256 rows
         monkeypatch.setattr(M, "BLOCK_SCORES", scores)
         assert M.permutation_importance(prep, model, repeats=8) == pytest.approx(apart, abs=0.008)
+
+
+def test_a_distinct_date_text_is_parsed_once(spark, monkeypatch):
+    """Dates are told by the distinct texts of columns that look like dates; nulls and repeats count as rows."""
+    from tablelens.operators import clean as C
+    rows = [("2024-01-%02d" % (i % 9 + 1) if i % 10 else None, "a-%d" % (i % 7), "2024/02/03" if i % 4 else "no-day") for i in range(200)]
+    df = spark.createDataFrame(rows, "day string, code string, mixed string")
+    seen, parse = [], C.parse_datetime_text
+    monkeypatch.setattr(C, "parse_datetime_text", lambda c: seen.append(c._jc.toString()) or parse(c))
+    assert C.date_like_columns(df) == ["day"]
+    assert seen == ["v"]
