@@ -24,6 +24,7 @@ empty table writes no blocks.
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ from tablelens.llm.common import materialise, text_of, write_folder
 #: Ids after which a block is closed; documents stay whole.
 BLOCK_IDS = 1 << 16
 #: Distinct chunks that a task remembers, and the characters that it splits at a time.
-HELD, AT_ONCE = 1 << 19, 1 << 20
+HELD, AT_ONCE = 1 << 19, 1 << 21
 #: Words that are encoded as one text.
 TOGETHER = 256
 #: Characters that Python takes for white space and the tokenizer doesn't.
@@ -111,6 +112,13 @@ class Encoder:
         """Remember the ids of new chunks; a word is encoded once, whatever its case and the marks after it."""
         known, parted, new, words = self.known, [], set(), set()
         for chunk in chunks:
+            if chunk.isascii() and chunk.isalpha():  # the most, which need no look at their end
+                word = chunk.lower()
+                if word != chunk:
+                    parted.append((chunk, word, ""))
+                if word not in known:
+                    words.add(word)
+                continue
             word = chunk.rstrip(MARKS)
             if word.isalpha() and (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word)):
                 marks, word = chunk[len(word):], word.lower()
@@ -137,11 +145,15 @@ class Encoder:
             while to < len(texts) and (to == at or size < AT_ONCE):
                 size += len(texts[to])
                 to += 1
-            chunks = [[t] if ODD.search(t) else t.split() for t in texts[at:to]]
             known = self.known
             if len(known) > HELD:
                 known.clear()
-            self.learn({c for own in chunks for c in own if c not in known})
+            gc.disable()  # many lists and pairs, none of them in a cycle
+            try:
+                chunks = [[t] if ODD.search(t) else t.split() for t in texts[at:to]]
+                self.learn(set().union(*chunks).difference(known))
+            finally:
+                gc.enable()
             for own in chunks:
                 yield b"".join(map(known.__getitem__, own)) + self.end
             at = to
