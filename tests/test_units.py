@@ -215,3 +215,22 @@ def test_rows_meet_their_group_where_they_lie(spark, monkeypatch):
             {(0, 267), (1, 267), (None, 267)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_quantile_brackets_are_generated_code(spark, monkeypatch):
+    """Every value meets its group's brackets by plain expressions (no interpreted lambdas); NULL is a group."""
+    import numpy as np
+
+    from tablelens.operators import ranks
+    monkeypatch.setattr(ranks, "HELD_VALUES", 0)
+    monkeypatch.setattr(ranks, "WHOLE_BELOW", 100)
+    rng = np.random.default_rng(3)
+    values = {g: np.round(rng.normal(size=n), 2) for g, n in (("a", 20_000), (None, 9_000), ("b", 7))}
+    rows = [(g, float(x)) for g, v in values.items() for x in v] + [("a", None), ("c", None), ("b", float("nan"))]
+    found = ranks.exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", [0.0, 0.25, 0.5, 1.0], ["g"])
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    got = {(r["g"], r["p"]): r["q"] for r in found.collect()}
+    ranks.release_shared()
+    assert got.keys() == {(g, p) for g in values for p in (0.0, 0.25, 0.5, 1.0)}
+    for (g, p), q in got.items():
+        assert abs(q - np.quantile(values[g], p)) < 1e-12
