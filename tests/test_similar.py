@@ -132,3 +132,41 @@ def test_cells_are_searched_beside_the_query(monkeypatch, self_too):
     assert (far <= 1e-6 + 1e-9 * np.abs(exact["score"].to_numpy())).all()
     apart = ~found["qid"].between(3000, 3039).to_numpy()  # copies tie
     assert found["did"].to_numpy()[apart].tolist() == exact["did"].to_numpy()[apart].tolist()
+
+
+@pytest.mark.parametrize("self_too", [True, False])
+def test_cosine_cells_are_searched_beside_the_query(monkeypatch, self_too):
+    """Unit vectors' cells score few of their pairs; zero vectors meet all rows; the neighbours are those of all pairs."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(3000, 4)) * [0, 1, 0.1, 0.02] + [2, 0, 0, 0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[100:120] = v[100]
+    asked = v[::2].copy()
+    asked[[3, 700]] = 0
+    q = pd.DataFrame({"qid": np.arange(0, len(v), 2), "payload": asked.tolist()})
+    d = pd.DataFrame({"did": np.arange(len(v)), "payload": v.tolist()}).sample(frac=1, random_state=1)
+    order = {"by": ["qid", "score", "did"], "ascending": [True, False, True]}
+    exact = S._cell_topk("cosine", 5, self_too)(q, d).sort_values(**order)
+    pairs, best = [], N._local_topk
+    monkeypatch.setattr(N, "_local_topk", lambda scores, *rest: pairs.append(scores.size) or best(scores, *rest))
+    found = N._near_topk(5, self_too, "cosine")(q, d).sort_values(**order)
+    assert sum(pairs) < len(q) * len(d) / 2
+    assert found["qid"].tolist() == exact["qid"].tolist()
+    assert np.allclose(found["score"], exact["score"], rtol=0, atol=1e-12)
+    apart = ~found["qid"].between(100, 119).to_numpy()  # copies tie
+    assert found["did"].to_numpy()[apart].tolist() == exact["did"].to_numpy()[apart].tolist()
+
+
+def test_rows_of_one_file_are_searched_by_many_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 3)))]
+    d = spark.createDataFrame(rows, "id long, payload array<double>").coalesce(1)
+    q, d = d.withColumnRenamed("id", "qid"), d.withColumnRenamed("id", "did")
+    monkeypatch.setattr(N, "ALL_PAIRS", 0)
+    kept, real = [], N.shared
+    monkeypatch.setattr(N, "shared", lambda t: kept.append(t) or real(t))
+    found = N.proven_topk(q, d, 4, "euclidean", True).collect()
+    want = S.blocked_topk(q, d, 4, "euclidean", True).collect()
+    assert {(r["qid"], r["rank"], r["did"]) for r in found} == {(r["qid"], r["rank"], r["did"]) for r in want}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [t.rdd.getNumPartitions() for t in kept[:2]] == [parts, parts]
