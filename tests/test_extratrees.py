@@ -77,3 +77,31 @@ def test_search_by_halving_ends_on_all_rows(spark, monkeypatch):
     top = next(r for r in got.values() if r["best"])
     assert top["share"] == 1.0 and top["score"] > 0.9
     assert sorted(round(r["share"], 2) for r in got.values()) == [0.11, 0.11, 0.33, 1.0, 1.0]
+
+
+def test_rows_are_made_once_for_all_levels(spark, monkeypatch):
+    """A scan a level reads what the first one kept: the rows are not made again for each."""
+    monkeypatch.setattr(E, "HELD_VALUES", 0)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def label(i):
+        made.add(1)
+        return float(i % 2)
+    rows = spark.range(0, 200, 1, 2).withColumn("label", label("id"))
+    rows = rows.withColumn("features", array_to_vector(F.array(F.col("id") * 1.0, (F.col("id") * 7 % 200) * 1.0)))
+    model = E.ExtraTrees(2, trees=3, depth=6).fit(rows)
+    assert len(model._levels) == 7 and made.value <= 3 * 200
+
+
+def test_leaves_end_the_way_of_their_rows(monkeypatch):
+    """Rows that are below a leaf count in no sum and are told what the leaf holds, in chunks of any size."""
+    level = lambda feature, cut, sums: E._Level(np.array([feature]), np.array([cut], float), np.array([sums], float))
+    levels = [level([0], [1.5], [[3, 3]]), level([-1, 1], [0, 0.5], [[2, 0], [1, 3]]),
+              level([-1] * 4, [0] * 4, [[9, 9], [9, 9], [1, 0], [0, 3]])]
+    x, y = np.array([[0, 0], [1, 1], [2, 0], [3, 1], [4, 1], [5, 1]], float), np.array([0, 0, 0, 1, 1, 1], float)
+    for chunk in (1, 4, 100):
+        monkeypatch.setattr(E, "CHUNK", chunk)
+        assert E._outputs(levels, 2, x)[:, 1].tolist() == [0, 0, 0, 1, 1, 1]
+        got = E._sums_left(x, y, 2, levels[:2], range(1), np.zeros((1, 4, 1), int), np.full((1, 4, 1), 4.0)).reshape(4, 2)
+        assert got.tolist() == [[0, 0], [0, 0], [1, 0], [0, 2]]
