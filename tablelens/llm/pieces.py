@@ -6,8 +6,8 @@
    no rule begins are copied whole.  White space, the dummy prefix and symbols the
    user defined follow the model's settings.
 2. *Pieces.*  The best-scored neighbours merge first, the leftmost of equals.  Pieces hold a word mark only in
-   front, and a character in no longer piece never merges, so a text parts into units that merge on their own; a
-   worker merges a distinct unit once while it remembers it.  What the vocabulary lacks falls back to its bytes.
+   front, and characters that stand side by side in no piece never merge, so a text parts into units that merge on
+   their own (a word, and the marks after it); a worker merges a distinct unit once while it remembers it.  What the vocabulary lacks falls back to its bytes.
 3. *Projection.*  The characters of each piece give its begin and end in the bytes of the source (a character in
    byte pieces belongs to the last of them, as in the library's own offsets).
 
@@ -25,8 +25,9 @@ import codecs
 import functools
 import heapq
 import itertools
+import operator
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units that a worker remembers, and pieces handed on at a time.
 HELD, AT_ONCE = 1 << 19, 1 << 20
+#: Groups of characters that units are parted by; the smaller ones count as one.
+GROUPS = 8
 #: Characters of a unit whose pairs are looked through at each merge; longer ones keep them in a heap.
 SHORT = 64
 
@@ -100,6 +103,38 @@ def _class(characters: set[str]) -> str:
     return "".join(map(re.escape, sorted(characters)))
 
 
+def _groups(pieces: Iterable[str]) -> list[set[str]]:
+    """Characters of longer pieces in groups, the largest first: those of two groups stand side by side in no piece."""
+    above: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        above.setdefault(c, c)
+        while above[c] != c:
+            above[c] = c = above[above[c]]
+        return c
+    for piece in pieces:
+        if len(piece) > 1:
+            bare = piece.replace(MARK, "")
+            for a, b in zip(bare[:1] + bare, bare):
+                above[top(a)] = top(b)
+    found: dict[str, set[str]] = {}
+    for c in above:
+        found.setdefault(top(c), set()).add(c)
+    groups = sorted(found.values(), key=lambda g: (-len(g), min(g)))
+    return groups[:GROUPS - 1] + ([set().union(*groups[GROUPS - 1:])] if len(groups) >= GROUPS else [])
+
+
+class _Known(dict):
+    """What ``make`` gives for each key, remembered."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class Normaliser:
     """Normalised text with the source byte of each of its characters."""
 
@@ -189,16 +224,16 @@ class Pieces:
         self.bytes = {int(n[3:5], 16): i for i, (n, k) in enumerate(zip(names, kinds)) if k == BYTE}
         self.normalise = Normaliser(model.normalizer_spec, own, model.trainer_spec.treat_whitespace_as_suffix)
         self.own = self.normalise.own
-        joining = {c for p in self.ids if len(p) > 1 for c in p} - {MARK}
+        joining = "|".join(f"[{_class(g)}]+" for g in _groups(self.ids))
         apart = not own and not any(MARK in p.lstrip(MARK) for p in self.ids)
-        self.unit = re.compile(f"{MARK}+[{_class(joining)}]*|[{_class(joining)}]+|.", re.S) if apart and joining else None
+        self.unit = re.compile(f"{MARK}+(?:{joining})?|{joining}|.", re.S) if apart and joining else None
         self.surface = [b"" if k == CONTROL else model.trainer_spec.unk_surface.encode() if k == UNKNOWN
                         else bytes([int(n[3:5], 16)]) if k == BYTE else n.replace(MARK, " ").encode()
                         for n, k in zip(names, kinds)]
         self.is_byte = [k == BYTE for k in kinds]
         self.marked = [k not in (CONTROL, UNKNOWN, BYTE) and n.startswith(MARK) for n, k in zip(names, kinds)]
         self.strips = self.normalise.prefix or self.normalise.squeeze
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._unit)
 
     def merged(self, unit: str) -> list[str]:
         """The pieces of a unit: the best-scored pair of neighbours first, the leftmost of equals."""
@@ -206,15 +241,15 @@ class Pieces:
             return self._merged_by_heap(unit)
         score, none = self.scores.get, float("-inf")
         symbols = list(unit)
-        pairs = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        pairs = [score(p, none) for p in map(operator.add, unit, unit[1:])]
         while pairs and (best := max(pairs)) != none:
             at = pairs.index(best)
-            symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            new = symbols[at] = symbols[at] + symbols.pop(at + 1)
             del pairs[at]
             if at:
-                pairs[at - 1] = score(symbols[at - 1] + symbols[at], none)
+                pairs[at - 1] = score(symbols[at - 1] + new, none)
             if at < len(pairs):
-                pairs[at] = score(symbols[at] + symbols[at + 1], none)
+                pairs[at] = score(new + symbols[at + 1], none)
         return symbols
 
     def _merged_by_heap(self, unit: str) -> list[str]:
@@ -274,8 +309,6 @@ class Pieces:
         known = self.known
         if len(known) > HELD:
             known.clear()
-        for unit in {u for u in units if u not in known}:
-            known[unit] = self._unit(unit)
         ids, sizes = np.frombuffer(b"".join(map(known.__getitem__, units)), np.intc).reshape(-1, 2).T
         if not self.fallback and len(ids):  # neighbours that the vocabulary lacks are one piece
             first = np.flatnonzero(~((ids == self.unknown) & np.r_[False, ids[:-1] == self.unknown]))

@@ -106,3 +106,20 @@ def test_query_digests(spark, sf_small):
         ids = library.encode(texts[r.doc_id])
         sha = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids))]
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), *sha)
+
+
+def test_marks_after_a_word_are_units_of_their_own():
+    """A word is merged once, whatever marks follow it, as no piece holds a letter beside a mark."""
+    model = pieces.Pieces(MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    text = "wonder, wonder! wonder... (wonder) wonder"
+    assert model.encode(text)[0].tolist() == library.encode(text)
+    assert [u for u in model.known if "wonder" in u] == ["▁wonder", "wonder"]
+
+
+def test_groups_of_characters():
+    """Characters that a piece holds side by side are one group, also by way of others; the smallest groups are joined."""
+    assert pieces._groups(["ab", "bc", "▁d", "d▁e", "x", ".,", "▁▁"])[0] == {"a", "b", "c"}
+    assert sorted(map(sorted, pieces._groups(["ab", "▁d", ".,"]))) == [[",", "."], ["a", "b"], ["d"]]
+    many = [chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i) for i in range(50)]
+    assert sorted(map(len, pieces._groups(many))) == [2] * (pieces.GROUPS - 1) + [100 - 2 * (pieces.GROUPS - 1)]
