@@ -194,3 +194,16 @@ def test_languages_against_the_fusion_formula(spark, monkeypatch):
         found = sorted((str(r.id), r.lang, round(r.probability, 5)) for r in got)
         assert [x[:2] for x in found] == [x[:2] for x in sorted(want)]
         assert [x[2] for x in found] == pytest.approx([x[2] for x in sorted(want)], abs=1e-4)
+
+
+@pytest.mark.parametrize("kind", ["binary", "large_binary"])
+def test_ids_of_a_column_are_counted_together(kind):
+    """The ids of all rows of a batch (also a part of one, and of no rows) without a count of the vocabulary a row."""
+    import pyarrow as pa
+    rows = [np.array(r, "<u2").tobytes() for r in ([1, 2], [], [2, 5, 2], [7])]
+    column = pa.array(rows, getattr(pa, kind)())
+    assert token_files._ids_of(column, "<u2").tolist() == [1, 2, 2, 5, 2, 7]
+    assert token_files._ids_of(column.slice(1, 2), "<u2").tolist() == [2, 5, 2]
+    assert token_files._ids_of(column.slice(4), "<u2").tolist() == []
+    got = list(token_files._frequencies("<u2", 9)(iter([pa.RecordBatch.from_arrays([column], names=["ids"])])))[0]
+    assert got.to_pydict() == {"token": [1, 2, 5, 7], "n": [1, 3, 1, 1]}
