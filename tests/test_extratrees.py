@@ -57,6 +57,19 @@ def test_forest_of_numbers(spark, monkeypatch):
     assert 1 - ((told["label"] - told["prediction"]) ** 2).sum() / ((y[600:] - y[600:].mean()) ** 2).sum() > 0.85
 
 
+def test_forest_of_numbers_is_the_same_in_one_task_and_in_many(spark, monkeypatch):
+    """Ties of few rows are not left to the order of sums."""
+    rng = np.random.RandomState(1)
+    x = rng.randint(0, 50, (400, 4)).astype(float)
+    df = _frame(spark, x, 0.1 * x[:, 0] + rng.normal(size=400) / 3).repartition(5)
+    one = E.ExtraTrees(0, trees=20).fit(df)
+    monkeypatch.setattr(E, "HELD_VALUES", 0)
+    many = E.ExtraTrees(0, trees=20).fit(df)
+    assert len(one._levels) == len(many._levels)
+    for a, b in zip(one._levels, many._levels):
+        assert (a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.sums == b.sums).all()
+
+
 def test_forest_of_odd_tables(spark):
     empty = _frame(spark, np.zeros((1, 2)), [0]).where("label > 0")
     assert E.ExtraTrees(2).fit(empty).transform(empty).count() == 0
@@ -79,6 +92,22 @@ def test_search_by_halving_ends_on_all_rows(spark, monkeypatch):
     assert sorted(round(r["share"], 2) for r in got.values()) == [0.11, 0.11, 0.33, 1.0, 1.0]
 
 
+def test_search_fits_every_candidate_on_all_rows_whatever_their_number(spark, monkeypatch):
+    from pyspark.ml.regression import LinearRegression
+    rows = spark.range(0, 75_100, 1, 4).select(F.col("id").cast("string").alias("_key"), (F.col("id") % 97).cast("double").alias("label"),
+                                               F.when(F.col("id") < 100, "test").otherwise("train").alias("split"),
+                                               array_to_vector(F.array((F.col("id") % 97) * 1.0, (F.col("id") % 7) * 1.0)).alias("features"))
+    fitted = []
+
+    class Counted:
+        def fit(self, train):
+            fitted.append(train.count())
+            return LinearRegression(maxIter=3).fit(train)
+    monkeypatch.setattr(M, "candidates", lambda prep, seed=42: {n: Counted() for n in "abc"})
+    table, _ = M.model_search(M.Prepared(rows, ["f0", "f1"], False))
+    assert fitted == [75_000] * 3 and [r["share"] for r in table.collect()] == [1.0] * 3
+
+
 def test_rows_are_made_once_for_all_levels(spark, monkeypatch):
     """A scan a level reads what the first one kept: the rows are not made again for each."""
     monkeypatch.setattr(E, "HELD_VALUES", 0)
