@@ -32,8 +32,9 @@ from tablelens.functions.text import whitespace_tokens
 from tablelens.operators.ranks import shared
 
 
-#: Queries and rows whose scores are there at once.
-Q_TILE, D_TILE = 2048, 8192
+#: Queries and rows that make a cell of their own, at least, and those whose scores are there at once: two megabytes, so
+#: that they are looked through before they leave the processor's cache.
+Q_TILE, D_TILE, Q_SCORES, D_SCORES = 2048, 8192, 256, 1024
 #: Numbers of one side of a cell, at most, and cells that a larger join has, at least.
 SIDE_NUMBERS, LEAST_CELLS = 1 << 22, 64
 
@@ -61,21 +62,58 @@ def _cell_topk(kind: str, k: int, exclude_self: bool):
             pos = np.searchsorted(dids, qids)
             own = np.where((pos < len(dids)) & (dids[np.minimum(pos, len(dids) - 1)] == qids), pos, -1)
         found = []
-        for i in range(0, len(qids), Q_TILE):
-            qt, frames = qm[i:i + Q_TILE], []
-            for j in range(0, len(dids), D_TILE):
-                scores = dm[j:j + D_TILE] @ qt.T
+        for i in range(0, len(qids), Q_SCORES):
+            qt = qm[i:i + Q_SCORES]
+            leaders = _Leaders(len(qt), k)
+            for j in range(0, len(dids), D_SCORES):
+                scores = dm[j:j + D_SCORES] @ qt.T
                 if kind == "euclidean":  # negative squared distance: larger is nearer
-                    scores = 2 * scores - norms[j:j + D_TILE, None] - (qt * qt).sum(axis=1)[None, :]
-                at = own[i:i + Q_TILE] - j
-                ok = (own[i:i + Q_TILE] >= 0) & (at >= 0) & (at < len(scores))
+                    scores = 2 * scores - norms[j:j + D_SCORES, None] - (qt * qt).sum(axis=1)[None, :]
+                at = own[i:i + Q_SCORES] - j
+                ok = (own[i:i + Q_SCORES] >= 0) & (at >= 0) & (at < len(scores))
                 scores[at[ok], np.flatnonzero(ok)] = -np.inf
-                frames.append(_local_topk(scores, qids[i:i + Q_TILE], dids[j:j + D_TILE], k))
-            found.append(_best(frames, k) if len(frames) > 1 else frames[0])
+                leaders.add(scores, dids[j:j + D_SCORES])
+            found.append(leaders.rows(qids[i:i + Q_SCORES]))
         return pd.concat(found, ignore_index=True)
     return fn
 
 
+#: Rows after which the leaders are first looked at, and how many times as many rows come until they are again.
+FIRST_ROWS, MORE_ROWS = 64, 8
+
+
+class _Leaders:
+    """The ``k`` best rows of each query so far, by (score desc, id asc).
+
+    Rows come by rising id, so only those above a query's k-th score can still be among its best: after the first few rows a
+    tile's scores are compared once, and hardly any is sorted."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.c, self.score, self.did = np.empty(0, np.intp), np.empty(0), np.empty(0, np.int64)
+
+    def add(self, scores: np.ndarray, dids: np.ndarray) -> None:
+        begin, step = 0, FIRST_ROWS if not len(self.c) else len(dids)
+        while begin < len(dids):
+            r, c = np.nonzero(scores[begin:begin + step] > self.least[None, :])
+            if len(r):
+                c = np.r_[self.c, c]
+                score, did = np.r_[self.score, scores[begin + r, c[len(self.c):]]], np.r_[self.did, dids[begin + r]]
+                order = np.lexsort((did, -score, c))
+                c = c[order]
+                place = np.arange(len(c)) - np.searchsorted(c, c, side="left")
+                kept = order[place < self.k]
+                last = order[place == self.k - 1]
+                self.least[c[place == self.k - 1]] = score[last]
+                self.c, self.score, self.did = c[place < self.k], score[kept], did[kept]
+            begin, step = begin + step, step * MORE_ROWS
+
+    def rows(self, qids: np.ndarray) -> pd.DataFrame:
+        some = np.isfinite(self.score)
+        return pd.DataFrame({"qid": qids[self.c[some]].astype("int64"), "did": self.did[some].astype("int64"),
+                             "score": self.score[some].astype("float64")})
+
+
 def _local_topk(scores: np.ndarray, qids: np.ndarray, dids: np.ndarray, k: int) -> pd.DataFrame:
     """Top-k rows of every column by (score desc, row asc) — rows are in id
     order — with a linear-time partition and one vectorised sort of the few
@@ -125,9 +163,11 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, k: int, kind: str, exclu
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``qid/did`` candidates: id and L2-normalised double vector (zero stays zero)."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
-    return df.select(F.col(id_col).cast("long").alias("id"), unit.alias("payload"))
+    # a column each: inside the last function they would be worked out again for every number of a vector
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))
+    unit = F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(F.lit(0.0)))
+    return rows.select("id", unit.alias("payload"))
 
 
 def vector_topk(queries: DataFrame, q_id: str, corpus: DataFrame, d_id: str, vec_col: str, k: int = 5,

@@ -170,3 +170,30 @@ def test_rows_of_one_file_are_searched_by_many_tasks(spark, monkeypatch):
     assert {(r["qid"], r["rank"], r["did"]) for r in found} == {(r["qid"], r["rank"], r["did"]) for r in want}
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert [t.rdd.getNumPartitions() for t in kept[:2]] == [parts, parts]
+
+
+@pytest.mark.parametrize("kind", ["cosine", "euclidean"])
+def test_scores_of_a_cell_are_not_sorted(monkeypatch, kind):
+    """Rows behind the k-th so far are dropped by one comparison; ties go to the least id, in tiles of any size."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(900, 3)) * 2)  # many equal scores
+    ids = rng.permutation(900)
+    q = pd.DataFrame({"qid": np.arange(0, 900, 3), "payload": list(x[::3])})
+    d = pd.DataFrame({"did": ids, "payload": list(x[ids])})
+    sorted_, real = [], np.lexsort
+    partition = np.argpartition
+    monkeypatch.setattr(S.np, "lexsort", lambda keys: sorted_.append(len(keys[0])) or real(keys))
+    monkeypatch.setattr(S.np, "argpartition", lambda a, *rest, **more: sorted_.append(a.size) or partition(a, *rest, **more))
+    got = S._cell_topk(kind, 4, True)(q, d)
+    assert sum(sorted_) < len(q) * len(d) / 2
+    score = x[::3] @ x.T if kind == "cosine" else 2 * x[::3] @ x.T - (x * x).sum(1) - (x[::3] ** 2).sum(1)[:, None]
+    score[np.arange(300), np.arange(0, 900, 3)] = -np.inf
+    want = [(3 * i, int(j), score[i, j]) for i in range(300) for j in np.lexsort((np.arange(900), -score[i]))[:4]]
+    assert [tuple(r) for r in got.itertuples(index=False)] == want
+
+
+def test_a_vector_has_its_norm_worked_out_once(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id long, v array<double>")
+    unit = S.unit_vectors(df, "id", "v")
+    assert [r["payload"] for r in unit.orderBy("id").collect()] == [[0.6, 0.8], [0.0, 0.0]]
+    assert unit._jdf.queryExecution().optimizedPlan().toString().lower().count("aggregate(") == 1
