@@ -89,4 +89,5 @@ def test_rows_that_ask_each_other_are_kept_once(spark, monkeypatch):
     monkeypatch.setattr(N, "shared", lambda t: kept.append(t) or real(t))
     assert sorted(N.proven_topk(None, d, 4, "euclidean", True).collect()) == sorted(want)
     assert sum(set(t.columns) >= {"payload"} and "list" not in t.columns for t in kept) == 0  # beside the listed rows
+    assert sum("blocks" in t.columns for t in kept) == 2  # both sides of a search read how its lists are cut
     R.release_shared()
